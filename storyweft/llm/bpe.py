@@ -1,7 +1,7 @@
 """BPE encoding with reuse of content-defined chunks, and decoding.
 
 Texts are cut where a rolling hash of the last bytes says so, so that documents that share passages share chunks. A
-worker encodes each distinct chunk once and keeps it (bounded). At a chunk join the tokens of the two sides needn't be
+worker encodes each distinct chunk once and keeps it (bounded), and within chunks each pre-token. At a chunk join the tokens of the two sides needn't be
 those of the whole: the stretch between the nearest places where a word certainly ends is encoded again and put in
 between, and is widened until both sides' own token boundaries agree with it.
 """
@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,8 @@ from .tokens import portions, powers, prefix
 
 #: Mean chunk (a power of two) and longest chunk in bytes, bytes the rolling hash sees, bytes of chunks a worker keeps.
 MEAN, LONGEST, WINDOW, KEPT = 1024, 1 << 16, 16, 48 << 20
+#: Pre-tokens a worker keeps.
+KEPT_WORDS = 400_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PRINT = np.zeros(256, bool)
@@ -37,6 +42,12 @@ def _byte_names() -> dict[str, int]:
     return names
 
 
+_LATIN = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
+#: Texts of Latin letters and printable ASCII, where all versions of Unicode agree on what a letter, digit or space is; the byte-level pre-tokenizer's rule is spelled out for them.
+_PLAIN = re.compile(f"[{_LATIN}\\t\\n\\r -~]*")
+_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\\t\\n\\r {_LATIN}0-9]+|[\\t\\n\\r ]+(?![^\\t\\n\\r ])|[\\t\\n\\r ]+")
+
+
 class Codec:
     """A byte-level BPE tokenizer of the tokenizers library, with a chunk cache."""
 
@@ -63,6 +74,39 @@ class Codec:
         self.now: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
         self.held = 0
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts. A plain text is taken apart to pre-tokens, which the library encodes once each; others go to it whole."""
+        plain = [_PRETOKEN.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.old_words = {}, self.words
+        words, old = self.words, self.old_words
+        missing = set()
+        for w in set(chain.from_iterable(p for p in plain if p is not None)):
+            if w not in words:
+                if (got := old.get(w)) is not None:
+                    words[w] = got
+                else:
+                    missing.add(w)
+        new = sorted(missing)
+        # Words after a space stay apart when strung together, so that one call encodes many; byte lengths part them again.
+        spaced = [w for w in new if w[0] == " " and len(w) > 1 and w[1] not in "\t\n\r "]
+        rows = [spaced[i : i + 512] for i in range(0, len(spaced), 512)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            at = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in row])) + 1
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(row, at.tolist(), strict=True):
+                words[w] = raw[4 * a : 4 * b]
+                a = b
+        other = [w for w in new if w not in words]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            words[w] = np.array(e.ids, np.int32).tobytes()
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if p is None], add_special_tokens=False))
+        get = words.__getitem__
+        return [np.array(next(whole).ids, np.int32) if p is None else np.frombuffer(b"".join(map(get, p)), np.int32) for p in plain]
 
     def cached(self, piece: bytes) -> np.ndarray | None:
         got = self.now.get(piece)
@@ -87,8 +131,8 @@ class Codec:
                 if got is None:
                     missing.append(p)
         if missing:
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False), strict=True):
-                out[p] = np.array(e.ids, np.int32)
+            for p, ids in zip(missing, self.encoded([m.decode() for m in missing]), strict=True):
+                out[p] = ids
                 if len(p) <= LONGEST:
                     self.keep(p, out[p])
         return out
