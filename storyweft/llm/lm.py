@@ -55,11 +55,32 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, pa.int32() if i < 3 else pa.binary()) for i, c in enumerate(cols)], names=names)
 
 
+def _pack():
+    """Rows to their homes, compressed: the text is the most of what moves."""
+
+    def run(batches):
+        for batch in batches:
+            home = batch.column("home").to_numpy()
+            for h in np.unique(home).tolist():
+                sink = pa.BufferOutputStream()
+                part = batch.take(pa.array(np.flatnonzero(home == h)))
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["home", "rows"])
+
+    return run
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("rows").to_pylist()])
+
+
 class _Tokens:
     """The tokens of a home's documents, and their distinct words and bigrams in the order that messages keep."""
 
     def __init__(self, table: pa.Table, n: int):
         # The order of rows is not to matter: documents stand by id, then text.
+        table = _unpack(table)
         table = table.append_column("_t", pa.array(octets(table.column("text")), pa.large_binary()))
         self.table = table.sort_by([("id", "ascending"), ("_t", "ascending")])
         texts = self.table.column("_t").to_pylist()
@@ -284,7 +305,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     """
     n = fanout(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    homes = rows.withColumn("home", bucket_of("id", n)).groupBy("home")
+    homes = rows.withColumn("home", bucket_of("id", n)).mapInArrow(_pack(), "home int, rows binary").groupBy("home")
     asked = homes.applyInArrow(_ask(n), _MSG)
     counted = asked.groupBy("to").applyInArrow(_count(n), _MSG)
     known = counted.groupBy("to").applyInArrow(_word_stats, _MSG).withColumnsRenamed({"to": "at", "home": "src"}).withColumnsRenamed({"at": "home_", "src": "home"})
