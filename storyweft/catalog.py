@@ -2,5 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import expressions, relational, special
+from .sources.tables import duck_sql, run_sql
+
+_WORDS = {"spark": "explode(split(lower(text), '[^a-z]+'))", "duck": "unnest(string_split_regex(lower(text), '[^a-z]+'))"}
+
+
+def _fill(body: str, engine: str) -> str:
+    return body.replace("{explode_words}", _WORDS[engine])
+
+
+QUERIES = {k: (lambda spark, sf_dir, body=_fill(v, "spark"): run_sql(spark, sf_dir, body)) for k, v in relational.BODIES.items()} | expressions.QUERIES | special.QUERIES
+ORACLES = {k: duck_sql(_fill(v, "duck")) for k, v in relational.BODIES.items()} | expressions.ORACLES | special.ORACLES
