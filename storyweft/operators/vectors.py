@@ -45,10 +45,10 @@ def quantise(v: Column) -> Column:
 
 def _tiles(floor: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not {"id"} <= {*left.column_names} & {*right.column_names}:  # an absent side has no columns
+        if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        ids = [t.column("id").to_numpy() for t in (left, right)]
-        x = [np.array(t.column("v").to_pylist(), np.float64).reshape(len(t), -1) for t in (left, right)]
+        ids = [t.column(0).to_numpy() for t in (left, right)]
+        x = [np.array(t.column(1).to_pylist(), np.float64).reshape(len(t), -1) for t in (left, right)]
         sim = x[0] @ x[1].T
         i, j = np.nonzero(sim >= floor)
         keep = ids[0][i] < ids[1][j]
@@ -61,9 +61,9 @@ def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", colu
     """Pairs (a < b, sim) of dot product `floor` or more, inside `group` if set, by a blocked matrix product: each pair of blocks is one task."""
     rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(0)).cast("long").alias("g"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = lambda mine, other: rows.withColumn(mine, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    a, b = spread("i", "j"), spread("j", "i")
-    return a.groupBy("g", "i", "j").cogroup(b.groupBy("g", "i", "j")).applyInArrow(_tiles(floor), "a long, b long, sim double")
+    spread = lambda p, mine, other: rows.withColumn(mine, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*[F.col(c).alias(p + c) for c in ("id", "v", "g", "i", "j")])
+    a, b = spread("a", "i", "j"), spread("b", "j", "i")
+    return a.groupBy("ag", "ai", "aj").cogroup(b.groupBy("bg", "bi", "bj")).applyInArrow(_tiles(floor), "a long, b long, sim double")
 
 
 def separation(pairs: DataFrame) -> DataFrame:
