@@ -257,7 +257,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """`docs` with ids (array of int), n_tokens, ids_sha256 and decoded_sha256; null counts as empty. Columns so named are replaced. `path` must be readable on every worker."""
     new = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
-    docs = docs.drop(*new)
+    docs, added = docs.drop(*new), list(new)
 
     def run(batches):
         c = codec(path)
@@ -267,7 +267,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             sha = [hashlib.sha256(c.written(x)).hexdigest() for x in ids]
             back = [hashlib.sha256(c.decode(x, t)).hexdigest() for x, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(np.diff(at), pa.int64()), pa.array(sha), pa.array(back)], names=[*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(np.diff(at), pa.int64()), pa.array(sha), pa.array(back)], names=[*batch.schema.names, *added])
 
     kind = docs.withColumns(new).schema
     for f in kind:

@@ -54,8 +54,8 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order (A-Z lower-cased, split at 0x20 and 0x09-0x0D), and where each text's words begin (one longer than texts)."""
+def words(texts: list[bytes], heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order (A-Z lower-cased, split at 0x20 and 0x09-0x0D), and where each text's words begin (one longer than texts). With `heads`, each word's row also has the hashes of its first bytes, so many as said."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     first = np.concatenate(([0], np.cumsum(sizes)))
@@ -75,11 +75,13 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.diff(np.concatenate(([1], gap.view(np.int8), [1])))
         s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(s):
-            hashes.append(span_hash(prefix(_LOWER[data[at:end]]), s, e))
+            sums = prefix(_LOWER[data[at:end]])
+            h = span_hash(sums, s, e)
+            hashes.append(np.column_stack([h, *(span_hash(sums, s, np.minimum(s + k, e)) + np.uint64(k) for k in heads)]) if heads else h)
             starts.append(s + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros((0, 1 + len(heads)) if heads else 0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), first)
 
 

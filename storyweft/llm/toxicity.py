@@ -1,6 +1,6 @@
 """Classifier chain for toxicity categories.
 
-Each category's linear model sees a text's words and the probabilities of the categories before it; in training these
+Each category's linear model sees a text's words and their beginnings (inflected languages vary the rest) and the probabilities of the categories before it; in training these
 are out-of-fold predictions, so that a later model doesn't trust an earlier one more than it will deserve.
 """
 
@@ -14,7 +14,9 @@ from .tokens import portions, words
 
 #: Labelled rows used for fitting at most (those with the least hash of their id), words a category's model keeps, folds.
 TRAIN_ROWS, MOST_WORDS, FOLDS = 10_000, 2_048, 4
-_STEPS, _L1 = 150, 2e-4
+#: First bytes of words that are features of their own.
+HEADS = (4, 5, 6)
+_STEPS, _L1, _L2 = 120, 0.7, 1e-3
 
 
 def _fit_linear(rows: np.ndarray, feats: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray) -> dict:
@@ -33,20 +35,23 @@ def _fit_linear(rows: np.ndarray, feats: np.ndarray, n: int, extra: np.ndarray,
     held = slot[at] >= 0
     r, c, k = rows[held], slot[at][held], len(best)
     weight = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
-    w, u, b = np.zeros(k), np.zeros(extra.shape[1]), 0.0
-    vw, vu, vb, t = w.copy(), u.copy(), b, 1.0
     scale = np.maximum(1.0, np.bincount(c, weights=weight[r], minlength=k) / n * 8)
-    for _ in range(_STEPS):  # accelerated proximal gradient, steps scaled by how common a word is
-        m = np.bincount(r, weights=vw[c], minlength=n) + extra @ vu + vb
-        g = weight * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y) / n
-        step = 40.0 / scale
-        nw = vw - step * np.bincount(c, weights=g[r], minlength=k)
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * _L1, 0)
-        nu, nb = vu - 0.05 * (extra.T @ g), vb - 1.0 * g.sum()
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        a = (t - 1) / t2
-        vw, vu, vb = nw + a * (nw - w), nu + a * (nu - u), nb + a * (nb - b)
-        w, u, b, t = nw, nu, nb, t2
+    w, u, b = np.zeros(k), np.zeros(extra.shape[1]), 0.0
+    # First, which words: what chance can do to a useless word's gradient keeps it out. Then their weights, without that penalty.
+    for l1, l2, able in ((_L1 / np.sqrt(n), 0.0, None), (0.0, _L2, True)):
+        able = np.ones(k) if able is None else (w != 0).astype(float)
+        vw, vu, vb, t = w.copy(), u.copy(), b, 1.0
+        for _ in range(_STEPS):  # accelerated proximal gradient, steps scaled by how common a word is
+            m = np.bincount(r, weights=vw[c], minlength=n) + extra @ vu + vb
+            g = weight * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y) / n
+            step = 10.0 / scale
+            nw = vw - step * (np.bincount(c, weights=g[r], minlength=k) + l2 * vw)
+            nw = able * np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
+            nu, nb = vu - 0.05 * (extra.T @ g), vb - 1.0 * g.sum()
+            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            a = (t - 1) / t2
+            vw, vu, vb = nw + a * (nw - w), nu + a * (nu - u), nb + a * (nb - b)
+            w, u, b, t = nw, nu, nb, t2
     used = w != 0
     return {"words": vocab[best][used], "w": w[used], "u": u, "b": float(b)}
 
@@ -87,8 +92,8 @@ def run_chain(chain: list[dict], rows: np.ndarray, feats: np.ndarray, n: int) ->
 
 def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(row, word hash) for the distinct words of each text."""
-    h, at = words(texts)
-    own = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    h, at = words(texts, HEADS)
+    own = [np.unique(h[a:b].reshape(-1)) for a, b in zip(at[:-1], at[1:], strict=True)]
     return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own) if own else np.zeros(0, np.uint64)
 
 
