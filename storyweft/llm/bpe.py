@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from .tokens import portions, powers, prefix
 
 #: Mean chunk (a power of two) and longest chunk in bytes, bytes the rolling hash sees, bytes of chunks a worker keeps.
-MEAN, LONGEST, WINDOW, KEPT = 1024, 1 << 16, 16, 48 << 20
+MEAN, LONGEST, WINDOW, KEPT = 1024, 1 << 16, 16, 16 << 20
 #: Pre-tokens a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PRINT = np.zeros(256, bool)

@@ -13,27 +13,29 @@ from pyspark.sql import DataFrame, functions as F
 from .tokens import portions, words
 
 #: Labelled rows used for fitting at most (those with the least hash of their id), words a category's model keeps, folds.
-TRAIN_ROWS, MOST_WORDS, FOLDS = 10_000, 2_048, 4
+TRAIN_ROWS, MOST_WORDS, FOLDS = 6_000, 2_048, 4
+#: Rows that a word must be in to be learnt from.
+LEAST = 3
 #: First bytes of words that are features of their own.
-HEADS = (4, 5, 6)
+HEADS = (4, 5)
 _STEPS, _L1, _L2 = 120, 0.7, 1e-3
 
 
-def _fit_linear(rows: np.ndarray, feats: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray) -> dict:
-    """L1-regularised logistic regression on word presence and dense extras. rows, feats: (row, word hash) pairs."""
+def _fit_linear(rows: np.ndarray, codes: np.ndarray, size: int, n: int, extra: np.ndarray, y: np.ndarray) -> dict:
+    """L1-selected logistic regression on word presence and dense extras. rows, codes: (row, word) pairs; words are numbered below `size`."""
     pos = float(y.sum())
     if n == 0 or pos == 0 or pos == n:
-        return {"words": np.zeros(0, np.uint64), "w": np.zeros(0), "u": np.zeros(extra.shape[1]), "b": 12.0 if n and pos == n else -12.0}
-    vocab, at = np.unique(feats, return_inverse=True)
-    seen, hit = np.bincount(at, minlength=len(vocab)), np.bincount(at, weights=y[rows], minlength=len(vocab))
+        return {"words": np.zeros(0, np.int64), "w": np.zeros(0), "u": np.zeros(extra.shape[1]), "b": 12.0 if n and pos == n else -12.0}
+    seen, hit = np.bincount(codes, minlength=size), np.bincount(codes[y[rows] == 1], minlength=size)
     rate = pos / n
     z = (hit - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
-    z[seen < min(3, pos)] = 0
+    z[seen < min(LEAST, pos)] = 0
     best = np.sort(np.argsort(-np.abs(z), kind="stable")[:MOST_WORDS])
-    slot = np.full(len(vocab), -1)
+    slot = np.full(size, -1, np.int32)
     slot[best] = np.arange(len(best))
-    held = slot[at] >= 0
-    r, c, k = rows[held], slot[at][held], len(best)
+    c = slot[codes]
+    held = c >= 0
+    r, c, k = rows[held], c[held], len(best)
     weight = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
     scale = np.maximum(1.0, np.bincount(c, weights=weight[r], minlength=k) / n * 8)
     w, u, b = np.zeros(k), np.zeros(extra.shape[1]), 0.0
@@ -53,7 +55,7 @@ def _fit_linear(rows: np.ndarray, feats: np.ndarray, n: int, extra: np.ndarray,
             vw, vu, vb = nw + a * (nw - w), nu + a * (nu - u), nb + a * (nb - b)
             w, u, b, t = nw, nu, nb, t2
     used = w != 0
-    return {"words": vocab[best][used], "w": w[used], "u": u, "b": float(b)}
+    return {"words": best[used], "w": w[used], "u": u, "b": float(b)}
 
 
 def _score(model: dict, rows: np.ndarray, feats: np.ndarray, n: int, extra: np.ndarray) -> np.ndarray:
@@ -65,21 +67,35 @@ def _score(model: dict, rows: np.ndarray, feats: np.ndarray, n: int, extra: np.n
     return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
 
 
-def fit_chain(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[dict]:
-    """One model per column of y; column j's model gets out-of-fold probabilities of the columns before it."""
-    n, extra, chain = len(y), np.zeros((len(y), 0)), []
+def fit_chain(own: list[np.ndarray], y: np.ndarray, folds: np.ndarray) -> list[dict]:
+    """One model per column of y, from each row's distinct hashes; column j's model gets out-of-fold probabilities of the columns before it."""
+    flat = np.sort(np.concatenate([*own, np.zeros(0, np.uint64)]))
+    at = np.flatnonzero(np.concatenate((flat[:1] == flat[:1], flat[1:] != flat[:-1])))
+    vocab = flat[at[np.diff(np.concatenate((at, [len(flat)]))) >= min(LEAST, max(len(own), 1))]]
+    del flat, at
+    coded = []
+    for x in own:  # words in fewer rows than LEAST could not be learnt from
+        i = np.searchsorted(vocab, x)
+        i[i == len(vocab)] = 0
+        coded.append(i[vocab[i] == x].astype(np.int32) if len(vocab) else np.zeros(0, np.int32))
+    rows = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in coded])
+    codes = np.concatenate([*coded, np.zeros(0, np.int32)])
+    del coded
+    n, size, extra, chain = len(y), len(vocab), np.zeros((len(y), 0)), []
     for j in range(y.shape[1]):
-        chain.append(_fit_linear(rows, feats, n, extra, y[:, j]))
+        chain.append(_fit_linear(rows, codes, size, n, extra, y[:, j]))
         oof = np.zeros(n)
-        for f in range(FOLDS):
+        for f in range(FOLDS if j + 1 < y.shape[1] else 0):
             test = folds == f
-            number = np.cumsum(~test) - 1
+            number = (np.cumsum(~test) - 1).astype(np.int32)
             inside = ~test[rows]
-            part = _fit_linear(number[rows[inside]], feats[inside], int((~test).sum()), extra[~test], y[~test, j])
+            part = _fit_linear(number[rows[inside]], codes[inside], size, int((~test).sum()), extra[~test], y[~test, j])
             number = np.cumsum(test) - 1
-            inside = test[rows]
-            oof[test] = _score(part, number[rows[inside]], feats[inside], int(test.sum()), extra[test])
+            inside = ~inside
+            oof[test] = _score(part, number[rows[inside]], codes[inside], int(test.sum()), extra[test])
         extra = np.column_stack([extra, oof])
+    for model in chain:
+        model["words"] = vocab[model["words"]]
     return chain
 
 
@@ -118,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, str], id_col: s
         table = table.sort_by([("_id", "ascending"), ("words", "ascending")])
         own = [np.frombuffer(b, np.uint64) for b in table.column("words").to_pylist()]
         y = np.column_stack([table.column(f"_y{j}").to_numpy().astype(float) for j in range(len(names))])
-        feats = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        chain = fit_chain(np.repeat(np.arange(len(own)), [len(x) for x in own]), feats, y, np.arange(len(own)) % FOLDS)
+        del table
+        chain = fit_chain(own, y, np.arange(len(own)) % FOLDS)
         return pa.table({"model": pa.array([pickle.dumps(chain)], pa.binary())})
 
     kinds = "_id string, words binary, " + ", ".join(f"_y{j} int" for j in range(len(names)))
@@ -128,8 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, str], id_col: s
     got = rows.mapInArrow(features, kinds).withColumn("all", F.lit(1)).groupBy("all").applyInArrow(fit, "model binary").collect()
     if got:
         return pickle.loads(bytes(got[0][0]))  # noqa: S301 - made by `fit` just above
-    nothing = np.zeros(0, np.uint64)
-    return fit_chain(np.zeros(0, np.int64), nothing, np.zeros((0, len(names))), np.zeros(0, np.int64))
+    return fit_chain([], np.zeros((0, len(names))), np.zeros(0, np.int64))
 
 
 def classify(docs: DataFrame, chain: list[dict], names: list[str], text_col: str = "text") -> DataFrame:
