@@ -18,7 +18,7 @@ TITLES = ["president", "deputy president", "minister", "senator", "governor", "m
 PARTICLES = ["ole", "arap", "wa", "bin", "binti", "de", "van"]
 FURNITURE = re.compile(r"^(read also|read more|advertisement|share this|subscribe|photo:|follow us)", re.I)
 
-_FIGURE = re.compile(r"(?P<cur>us\$|[$€£]|\b(?:ksh|kes|sh)\.?\s*)?(?P<num>\b\d{1,3}(?:,\d{3})+(?:\.\d+)?|\b\d+(?:\.\d+)?|\b(?:" + "|".join(NUMBERS) + r")\b)(?:\s*(?P<scale>" + "|".join(SCALES) + r")\b)?(?P<pct>\s*(?:%|per\s?cent\b|percent\b))?", re.I)
+_FIGURE = re.compile(r"(?:(?P<cur>us\$|[$€£]|\b(?:ksh|kes|sh)\.?\s*)|(?<![\w.,]))(?P<num>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\b(?:" + "|".join(NUMBERS) + r")\b)(?:\s*(?P<scale>" + "|".join(SCALES) + r")\b)?(?P<pct>\s*(?:%|per\s?cent\b|percent\b))?", re.I)
 _WORD = re.compile(r"[A-Za-z][A-Za-z'-]*")
 _QUOTE = re.compile(r"[\"“]([^\"“”]+)[\"”]|(?<![\w'])['‘]([^'‘’]+(?:['’]\w[^'‘’]*)*)['’](?!\w)")
 _NAME = r"[A-Z][\w'-]+(?:\s+(?:(?:" + "|".join(PARTICLES) + r")\s+)?[A-Z][\w'-]+){0,3}"

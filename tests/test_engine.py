@@ -111,7 +111,7 @@ def test_statistics():
 
 def test_models_are_deterministic():
     assert models.embed("a b") == models.embed("b a") and math.isclose(sum(x * x for x in models.embed("a b c")), 1)
-    assert models.relation("ten people died", "ten people died today") == "second_more"
+    assert models.relation("ten people", "ten people died in the flood today") == "second_more"
     assert models.target_tone("good", 3, 9) is None
 
 
