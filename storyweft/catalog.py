@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from .plans import expressions, relational, special
+from .plans import composite, expressions, relational, reports, special
 from .sources.tables import duck_sql, run_sql
 
-_WORDS = {"spark": "explode(split(lower(text), '[^a-z]+'))", "duck": "unnest(string_split_regex(lower(text), '[^a-z]+'))"}
+_MARKS = {"explode_words": {"spark": "explode(split(lower(text), '[^a-z]+'))", "duck": "unnest(string_split_regex(lower(text), '[^a-z]+'))"}} | reports.MARKS
+_BODIES = relational.BODIES | reports.BODIES
 
 
 def _fill(body: str, engine: str) -> str:
-    return body.replace("{explode_words}", _WORDS[engine])
+    for mark, forms in _MARKS.items():
+        body = body.replace("{" + mark + "}", forms[engine])
+    return body
 
 
-QUERIES = {k: (lambda spark, sf_dir, body=_fill(v, "spark"): run_sql(spark, sf_dir, body)) for k, v in relational.BODIES.items()} | expressions.QUERIES | special.QUERIES
-ORACLES = {k: duck_sql(_fill(v, "duck")) for k, v in relational.BODIES.items()} | expressions.ORACLES | special.ORACLES
+QUERIES = {k: (lambda spark, sf_dir, body=_fill(v, "spark"): run_sql(spark, sf_dir, body)) for k, v in _BODIES.items()} | expressions.QUERIES | special.QUERIES | composite.QUERIES
+ORACLES = {k: duck_sql(_fill(v, "duck")) for k, v in _BODIES.items()} | expressions.ORACLES | special.ORACLES | composite.ORACLES

@@ -85,3 +85,17 @@ def split(rows: DataFrame, article: str, test_share: float = 0.5, seed: int = 0)
     """dev or test by article, so that no article is in both."""
     h = F.pmod(F.xxhash64(F.lit(seed), F.col(article)), F.lit(1000))
     return rows.withColumn("split", F.when(h < int(test_share * 1000), "test").otherwise("dev"))
+
+
+def stacked(rows: DataFrame, features: list[str], folds: int = 3, seed: int = 0) -> DataFrame:
+    """(split, n, accuracy) of a multinomial regression over method scores, fitted on rows of split dev (label 0, 1, 2), its penalty chosen by cross-validation."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    x = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows)
+    model = LogisticRegression(featuresCol="_x", labelCol="label", family="multinomial", maxIter=20)
+    grid = ParamGridBuilder().addGrid(model.regParam, [0.01, 0.1]).build()
+    fit = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, seed=seed).fit(x.where("split = 'dev'"))
+    return fit.transform(x).groupBy("split").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
