@@ -51,18 +51,25 @@ def _tiles(floor: float):
         x = [np.array(t.column(1).to_pylist(), np.float64).reshape(len(t), -1) for t in (left, right)]
         sim = x[0] @ x[1].T
         i, j = np.nonzero(sim >= floor)
-        keep = ids[0][i] < ids[1][j]
-        return pa.table({"a": ids[0][i][keep], "b": ids[1][j][keep], "sim": sim[i, j][keep]})
+        a, b, s = ids[0][i], ids[1][j], sim[i, j]
+        # On the diagonal each pair is met twice, elsewhere once.
+        keep = a < b if left.column("ai")[0].as_py() == left.column("aj")[0].as_py() else a != b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[keep]})
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", column: str = "embedding", group: str | None = None, blocks: int = 4) -> DataFrame:
-    """Pairs (a < b, sim) of dot product `floor` or more, inside `group` if set, by a blocked matrix product: each pair of blocks is one task."""
-    rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(0)).cast("long").alias("g"))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = lambda p, mine, other: rows.withColumn(mine, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*[F.col(c).alias(p + c) for c in ("id", "v", "g", "i", "j")])
-    a, b = spread("a", "i", "j"), spread("b", "j", "i")
+def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", column: str = "embedding", group: str | None = None, tile: int = 2048) -> DataFrame:
+    """Pairs (a < b, sim) of dot product `floor` or more, inside `group` if set, by a blocked matrix product.
+
+    A group is cut into blocks of about `tile` rows, however large it is, and each unordered pair of its blocks is one
+    bounded task. Rows with a null id, vector or group take no part; ids are unique.
+    """
+    rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(0)).cast("long").alias("g")).where("id is not null and g is not null")
+    cuts = rows.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    placed = rows.join(cuts, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    a = placed.withColumn("aj", F.explode(F.sequence("block", F.col("blocks") - 1))).select(F.col("id").alias("aid"), F.col("v").alias("av"), F.col("g").alias("ag"), F.col("block").alias("ai"), "aj")
+    b = placed.withColumn("bi", F.explode(F.sequence(F.lit(0), "block"))).select(F.col("id").alias("bid"), F.col("v").alias("bv"), F.col("g").alias("bg"), "bi", F.col("block").alias("bj"))
     return a.groupBy("ag", "ai", "aj").cogroup(b.groupBy("bg", "bi", "bj")).applyInArrow(_tiles(floor), "a long, b long, sim double")
 
 

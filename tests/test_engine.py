@@ -138,6 +138,16 @@ def test_snapshots(spark):
         stories.page(old, limit=0)
 
 
+@pytest.mark.parametrize("tile", [1, 7, 100])
+def test_similar_pairs_do_not_depend_on_tiles(spark, tile):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4))
+    rows = [(i, x[i].tolist(), i % 2) for i in range(40)] + [(40, None, 0), (None, [1.0] * 4, 0), (41, [1.0] * 4, None)]
+    got = vectors.similar_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>, g long"), 0.5, group="g", tile=tile).collect()
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 2 == j % 2 and x[i] @ x[j] >= 0.5}
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
