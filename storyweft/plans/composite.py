@@ -169,7 +169,7 @@ def upserted(s: SparkSession, d: str) -> DataFrame:
 
 def named(s: SparkSession, d: str) -> DataFrame:
     """Listed and titled names in whole texts, with offsets."""
-    listed = {"Raila Odinga": ("PERSON", "raila"), "Nairobi": ("GPE", "nairobi")}
+    listed = {"Apache License": ("WORK_OF_ART", "apache-license"), "License": ("WORK_OF_ART", None)}
     rows = table(s, d, "documents").select("doc_id", "text")
     return extract.table_function(rows, "text", lambda t: extract.names(t, listed), "text string, label string, id string, start long, end long", ["doc_id"])
 
