@@ -2,13 +2,15 @@
 
 A document's set is its distinct word shingles. In each of TREES independent trees a document walks down by the minwise
 token of its set under a hash that depends on the path so far; similar sets choose the same tokens. A node that is
-small enough is compared there, a large one is branched further. Comparing in a node joins documents whose sketches
-may pass into candidate components; within each candidate component links are confirmed on full sets.
+small enough is compared there, a large one is branched further; one that is large at the last level is a candidate
+as a whole. Comparing in a node joins documents whose sketches may pass into candidate components; within each
+candidate component links are confirmed on full sets, in one task, or by a distributed prefix-filter join if it is large.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,20 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, cut, fanout
 from .tokens import mix, octets, portions, shingles, words
 
-#: A pair of similarity 0.85 shares a node of the first level (depth 3) with probability 0.614 a tree, so is missed by all trees with 2e-7; where nodes are large, at depth 6, with 5e-4.
-TREES, LEVELS = 16, (3, 6, 9)
-#: Sets in a node that are compared there; larger nodes are branched, at the last level dealt out around a common member.
+#: A pair of similarity 0.85 shares a node of the last level (depth 6) with probability 0.377 a tree, so is missed by all trees with 8e-5 at most, however large its nodes are; in small nodes (depth 3) with 5e-9.
+TREES, LEVELS = 20, (3, 6)
+#: Sets in a node that are compared there; larger nodes are branched, at the last level all their sets are candidates.
 NODE = 1024
 #: Hashes of a bottom-k sketch. Pairs whose estimate is below LEADER are no candidates: 0.25 below 0.85 is over 5 standard errors.
 SKETCH, LEADER = 64, 0.6
-#: Candidate components of more sets are confirmed in the nodes of their trees, not in one task.
+#: Candidate components of more sets are confirmed by a join, not in one task.
 GATHER = 4096
+#: Classes of tokens whose counts order the prefixes of that join. Any order is exact; rare tokens first make short lists.
+CLASSES = 1 << 18
+#: Pairs a listed token that are compared at once; while there are more, sets are compared with one of each list first, which leaves fewer pairs that are not connected yet.
+PAIRS = 16
+#: Sets of a block; pairs are compared block against block.
+BLOCK = 512
 _NONE = np.uint32(0xFFFFFFFF)
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -141,10 +149,10 @@ def _node_keys(level: int):
 
 def _stars(table: pa.Table) -> pa.Table:
     """Star edges of the nodes of one bucket."""
-    table = table.sort_by([("key", "ascending"), ("part", "ascending"), ("rep", "ascending")])
-    ids, key, part = (table.column(c).to_numpy() for c in ("rep", "key", "part"))
+    table = table.sort_by([("key", "ascending"), ("rep", "ascending")])
+    ids, key = (table.column(c).to_numpy() for c in ("rep", "key"))
     sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint32).reshape(-1, SKETCH)
-    edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True])))
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     out = [star_edges(ids[a:b], sk[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
     a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).group_by(["a", "b"]).aggregate([])
@@ -177,8 +185,8 @@ def _links(percent: int):
     return run
 
 
-def _nodes(reps: DataFrame) -> DataFrame:
-    """(rep, key, part) of nodes with two sets or more. Level by level: a node of more than NODE sets is left to the next level; at the last, its sets are dealt to parts, and its least member is in all."""
+def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, key) of nodes with two sets or more that are compared, and edges (a, b) of those that are candidates as a whole. Level by level: a node of more than NODE sets is left to the next level."""
     out, open_ = None, None
     for level in range(len(LEVELS)):
         rows = reps.select("rep", "keys").mapInArrow(_node_keys(level), "rep long, key long")
@@ -187,20 +195,107 @@ def _nodes(reps: DataFrame) -> DataFrame:
         rows = cut(rows)
         count = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
         held = cut(rows.join(count, "key"))
-        last = level == len(LEVELS) - 1
-        small = held.where(F.col("n") <= NODE).select("rep", "key", F.lit(0).alias("part"))
-        if last:
-            parts = F.ceil(F.col("n") / (NODE - 1)).cast("int")
-            dealt = held.where(F.col("n") > NODE).withColumn("parts", parts)
-            spread = dealt.where("rep <> least").select("rep", "key", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("part"))
-            common = dealt.where("rep = least").select("rep", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-            small = small.unionByName(spread).unionByName(common)
+        small = held.where(F.col("n") <= NODE).select("rep", "key")
         out = small if out is None else out.unionByName(small)
-        if last or not (open_ := cut(held.where(F.col("n") > NODE).select("rep").distinct())).head(1):
-            return out
+        large = held.where(F.col("n") > NODE)
+        if level == len(LEVELS) - 1 or not (open_ := cut(large.select("rep").distinct())).head(1):
+            return out, large.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     raise AssertionError
 
 
+def _classes(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens) >> np.uint64(20)).astype(np.int64) % CLASSES
+
+
+def _counts(batches):
+    """How many tokens of each class a batch has."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        flat = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
+        of, n = np.unique(_classes(flat), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(n.astype(np.int64))], names=["of", "n"])
+
+
+def _listed(percent: int, weight: np.ndarray):
+    """(token, rep, size): the tokens of each set's prefix. Two sets that pass have one in common."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, size = [], []
+            for blob in batch.column("tokens").to_pylist():
+                x = np.frombuffer(blob, np.uint64)
+                keep = len(x) - -(-percent * len(x) // 100) + 1
+                own.append(x[np.lexsort((x, weight[_classes(x)]))[:keep]].view(np.int64))
+                size.append(len(x))
+            many = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(batch.column("rep").to_numpy(), many)), pa.array(np.repeat(np.array(size, np.int64), many))], names=["token", "rep", "size"])
+
+    return run
+
+
+def _compared(percent: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, t in zip(right.column("rep").to_pylist(), right.column("tokens").to_pylist(), strict=True):
+            sets.setdefault(i, []).append(np.frombuffer(t, np.uint64))
+        a, b = [], []
+        for i, j in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            for x, y in product(sets[i], sets[j]):
+                both = int(np.isin(x, y, assume_unique=True).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    a.append(i)
+                    b.append(j)
+                    break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _passing(pairs: DataFrame, sets: DataFrame, percent: int, n_sets: int) -> DataFrame:
+    """Those of `pairs(a, b)` that pass on full sets, compared block against block."""
+    blocks = -(-n_sets // BLOCK)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("g", block("a") * blocks + block("b")))
+    wanted = pairs.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
+    return cut(pairs.groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(_compared(percent), "a long, b long"))
+
+
+def join_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """`links(a, b)` and as many more as connect all of `sets(rep, tokens)` that pass: exact, by lists of prefix tokens; pairs that are connected already are not compared."""
+    weight = np.zeros(CLASSES, np.int64)
+    for r in sets.mapInArrow(_counts, "of long, n long").groupBy("of").agg(F.sum("n").alias("n")).toLocalIterator():
+        weight[r["of"]] = r["n"]
+    n_sets = sets.count()
+    lists = cut(sets.mapInArrow(_listed(percent, weight), "token long, rep long, size long"))
+    room, turn, last = PAIRS * lists.count(), 0, False
+    while True:
+        label = cut(components(links))
+        held = cut(lists.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"))
+        per = held.groupBy("token", "c").agg(F.count("*").alias("k"), F.min("rep").alias("one"))
+        hub = F.min_by("one", F.xxhash64("c", F.lit(turn)))
+        tokens = cut(per.groupBy("token").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("labels"), hub.alias("hub")).where("labels > 1"))
+        many = tokens.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
+        if not many:
+            return links
+        rows = held.join(tokens.select("token", "n", "hub"), "token")
+        if last or many <= room:
+            # All that is left; long lists are dealt to parts, each against the whole list.
+            rows = cut(rows.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")))
+            one = rows.select("token", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
+            two = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
+            fits = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent
+            pairs = one.join(two, ["token", "part"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
+            return links.unionByName(_passing(pairs, sets, percent, n_sets))
+        there = label.select(F.col("id").alias("hub"), F.col("component").alias("ch"))
+        pairs = rows.join(there, "hub", "left").where(F.col("c") != F.coalesce("ch", "hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        more = _passing(pairs, sets, percent, n_sets)
+        last = not more.head(1)
+        links, turn = links.unionByName(more), turn + 1
+
+
 def near_dups(docs: DataFrame, percent: int = 85, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable over links of percent / 100 similarity or more), kept (id = component_id).
 
@@ -216,21 +311,25 @@ def near_dups(docs: DataFrame, percent: int = 85, n_words: int = 5, id_col: str
     real = profiles.where("id is not null and n > 0")
     classes = cut(real.groupBy("fp").agg(F.min("id").alias("rep")))
     one = cut(real.join(classes, "fp").where("id = rep").groupBy("rep").agg(F.min_by("keys", "fp").alias("keys"), F.min_by("sk", "fp").alias("sk")))
-    nodes = _nodes(one)
-    held = nodes.join(one.select("rep", "sk"), "rep").withColumn("g", F.pmod(F.xxhash64("key", "part"), F.lit(n * 4)))
-    edges = cut(held.groupBy("g").applyInArrow(_stars, "a long, b long"))
+    nodes, whole = _nodes(one)
+    held = nodes.join(one.select("rep", "sk"), "rep").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(n * 4)))
+    edges = cut(held.groupBy("g").applyInArrow(_stars, "a long, b long").unionByName(whole))
     groups = cut(components(edges))
     size = groups.groupBy("component").count()
     member = cut(groups.join(size, "component").select(F.col("id").alias("rep"), F.col("component").alias("grp"), F.col("count").alias("m")))
     few = member.where(F.col("m") <= GATHER).select("rep", "grp")
-    many = member.where(F.col("m") > GATHER).select("rep")
+    many = member.where(F.col("m") > GATHER)
     big = bool(many.head(1))
     if big:
-        few = few.unionByName(nodes.join(many, "rep", "left_semi").select("rep", F.xxhash64("key", "part").alias("grp")))
+        # Linked in parts first, so that the join has little left to connect.
+        few = few.unionByName(many.select("rep", F.xxhash64("grp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / GATHER))).alias("grp")))
     wanted = member.select("rep")
     sets = texts.where("id is not null").withColumnRenamed("id", "rep").join(wanted, "rep").mapInArrow(_sets(n_words), "rep long, tokens binary")
+    sets = cut(sets) if big else sets
     packed = sets.join(few, "rep").withColumn("g", F.pmod(F.xxhash64("grp"), F.lit(n * 4)))
     links = cut(packed.groupBy("g").applyInArrow(_links(percent), "a long, b long"))
+    if big:
+        links = join_links(cut(sets.join(many, "rep", "left_semi").distinct()), links, percent)
     final = components(links) if big else links.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("id"), "component")
     # Written, so that what follows is a plain join, whose hot classes can be split.
     label = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

@@ -331,6 +331,26 @@ def test_near_dups(spark, node, gather, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
 
 
+def test_near_dups_in_large_nodes(spark, monkeypatch):
+    """Pairs of near copies in one family of sets that are similar, but not near copies: nothing chains what a node or a component loses."""
+    rnd, rows = random.Random(12), []
+    for i in range(200):
+        one = [f"w{k}" for k in range(400)]
+        for k in rnd.sample(range(0, 400, 8), 5):
+            one[k] = f"p{i}.{k}"
+        other = one[:]
+        for k in rnd.sample(range(4, 400, 8), 2):
+            other[k] = f"q{i}.{k}"
+        rows += [(2 * i, " ".join(one), "s"), (2 * i + 1, " ".join(other), "s")]
+    for name, value in {"NODE": 8, "GATHER": 64, "BLOCK": 32, "PAIRS": 1}.items():
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    h, at = tokens.words([t.encode() for _, t, _ in rows])
+    root = near_dedup.link_sets([tokens.shingles(h[a:b], 5) for a, b in zip(at[:-1], at[1:])], 85)
+    assert len(set(root.tolist())) > 150
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dups(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(root.tolist()))
+
+
 def test_link_sets_is_exact():
     rnd = random.Random(8)
     sets = []
