@@ -22,7 +22,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from storyweft.llm.line_dedup import dedup_lines
 
     kept = dedup_lines(docs).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", "n_removed")
-    return kept.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return kept.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, fanout
 
-#: A repeated run is deleted when it has this many words or more.
-MIN_WORDS = 20
+#: A repeated run is deleted when it has this many words or more: with one, all but runs of blank lines.
+MIN_WORDS = 1
 _DOC = ["id", "h"]
 
 

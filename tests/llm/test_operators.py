@@ -247,6 +247,12 @@ def test_lines(spark, docs, rows):
         assert got[i].kept_text == (text if not any(gone) else "\n".join(x for x, g in zip(own, gone) if not g))
 
 
+def test_short_lines_go_too(spark):
+    texts = ["menu\n\none a b", "two\n\nmenu\n\n  \nlast", "menu", "menu\n\n  \nall rights reserved\nx", "all rights reserved\n\n\ny\nmenu"]
+    got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(5)] == [texts[0], "two\n\n  \nlast", "", "all rights reserved\nx", "\n\ny"]
+
+
 def test_longest_earlier():
     rnd = random.Random(4)
     for _ in range(200):
