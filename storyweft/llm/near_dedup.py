@@ -1,6 +1,6 @@
 """Near-dedup by a chosen-path set similarity join (Christiani, Pagh, Sivertsen).
 
-A document's set is its distinct word shingles. In each of TREES independent trees a document walks down by the minwise
+A document's set is its distinct word shingles. In each of several independent trees a document walks down by the minwise
 token of its set under a hash that depends on the path so far; similar sets choose the same tokens. A node that is
 small enough is compared there, a large one is branched further; one that is large at the last level is a candidate
 as a whole. Comparing in a node joins documents whose sketches may pass into candidate components; within each
@@ -10,6 +10,7 @@ candidate component links are confirmed on full sets, in one task, or by a distr
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import product
 
 import numpy as np
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, cut, fanout
 from .tokens import mix, octets, portions, shingles, words
 
-#: A pair of similarity 0.85 shares a node of the last level (depth 6) with probability 0.377 a tree, so is missed by all trees with 8e-5 at most, however large its nodes are; in small nodes (depth 3) with 5e-9.
-TREES, LEVELS = 20, (3, 6)
+#: Depths of nodes, and how likely all trees may miss a pair of just the similarity sought, however large its nodes are.
+LEVELS, MISS = (3, 6), 1e-4
 #: Sets in a node that are compared there; larger nodes are branched, at the last level all their sets are candidates.
 NODE = 1024
-#: Hashes of a bottom-k sketch. Pairs whose estimate is below LEADER are no candidates: 0.25 below 0.85 is over 5 standard errors.
-SKETCH, LEADER = 64, 0.6
+#: Hashes of a bottom-k sketch. A set whose estimate with a leader is SLACK below the similarity sought or better is no leader itself; SLACK is 5 standard errors.
+SKETCH, SLACK = 64, 0.25
 #: Candidate components of more sets are confirmed by a join, not in one task.
 GATHER = 4096
 #: Classes of tokens whose counts order the prefixes of that join. Any order is exact; rare tokens first make short lists.
@@ -34,12 +35,17 @@ PAIRS = 16
 #: Sets of a block; pairs are compared block against block.
 BLOCK = 512
 _NONE = np.uint32(0xFFFFFFFF)
-_SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def paths(tokens: np.ndarray) -> np.ndarray:
+def trees(percent: int) -> int:
+    """Trees that meet MISS at the last level, where a pair of similarity s shares a node with s^depth: 20 for 85, 31 for 80."""
+    together = min((percent / 100) ** LEVELS[-1], 0.999)
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-together)))
+
+
+def paths(tokens: np.ndarray, n_trees: int) -> np.ndarray:
     """Node keys, levels x trees, of a set of tokens."""
-    state, out = _SEEDS.copy(), []
+    state, out = mix(np.arange(1, n_trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), []
     for depth in range(1, LEVELS[-1] + 1):
         ranks = (tokens[None, :] + state[:, None]) * (mix(state) | np.uint64(1))[:, None]
         state = mix(state * np.uint64(0xA0761D6478BD642F) + tokens[ranks.argmin(axis=1)])
@@ -64,18 +70,21 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return both / np.maximum(union, 1)
 
 
-def star_edges(ids: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def star_edges(ids: np.ndarray, sk: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest that connects all pairs whose sketches may pass: every set joins each leader that it may share a partner with, or becomes one; an edge inside a tree is left out."""
     a, b, root, rest = [], [], np.arange(len(ids)), np.arange(len(ids))
+    lead = percent / 100 - SLACK
+    # A partner of one that joined the leader may be as far from it as both distances together, and 0.1 for the estimate.
+    least = lead + percent / 100 - 1.1 if len(ids) > 2 else lead
     while len(rest) > 1:
-        lead = rest[0]
-        est = estimates(sk[lead], sk)
-        near = root[est >= (LEADER - 0.25 if len(ids) > 2 else LEADER)]
-        near = np.unique(near[near != root[lead]])
-        a.append(np.full(len(near), ids[lead]))
+        at = rest[0]
+        est = estimates(sk[at], sk)
+        near = root[est >= least - 1e-9]
+        near = np.unique(near[near != root[at]])
+        a.append(np.full(len(near), ids[at]))
         b.append(ids[near])
-        root[np.isin(root, near)] = root[lead]
-        rest = rest[1:][est[rest[1:]] < LEADER]
+        root[np.isin(root, near)] = root[at]
+        rest = rest[1:][est[rest[1:]] < lead - 1e-9]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
@@ -118,7 +127,7 @@ def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _profiles(n_words: int):
+def _profiles(n_words: int, n_trees: int):
     def run(batches):
         for batch, texts in portions(batches, "text"):
             h, at = words(texts)
@@ -127,35 +136,39 @@ def _profiles(n_words: int):
                 s = shingles(h[a:b], n_words)
                 size.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(paths(s).tobytes() if len(s) else None)
+                keys.append(paths(s, n_trees).tobytes() if len(s) else None)
                 sk.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.binary()), pa.array(sk, pa.binary())], names=["id", "n", "fp", "keys", "sk"])
 
     return run
 
 
-def _node_keys(level: int):
+def _node_keys(level: int, n_trees: int):
     """(key, rep) rows of one level from profiles (rep, keys)."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(len(batch), len(LEVELS), TREES)[:, level]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), TREES)), pa.array(keys.reshape(-1))], names=["rep", "key"])
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(len(batch), len(LEVELS), n_trees)[:, level]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), n_trees)), pa.array(keys.reshape(-1))], names=["rep", "key"])
 
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
+def _stars(percent: int):
     """Star edges of the nodes of one bucket."""
-    table = table.sort_by([("key", "ascending"), ("rep", "ascending")])
-    ids, key = (table.column(c).to_numpy() for c in ("rep", "key"))
-    sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint32).reshape(-1, SKETCH)
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    out = [star_edges(ids[a:b], sk[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
-    a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).group_by(["a", "b"]).aggregate([])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("rep", "ascending")])
+        ids, key = (table.column(c).to_numpy() for c in ("rep", "key"))
+        sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint32).reshape(-1, SKETCH)
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        out = [star_edges(ids[a:b], sk[a:b], percent) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
+        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).group_by(["a", "b"]).aggregate([])
+
+    return run
 
 
 def _sets(n_words: int):
@@ -185,11 +198,11 @@ def _links(percent: int):
     return run
 
 
-def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _nodes(reps: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
     """(rep, key) of nodes with two sets or more that are compared, and edges (a, b) of those that are candidates as a whole. Level by level: a node of more than NODE sets is left to the next level."""
     out, open_ = None, None
     for level in range(len(LEVELS)):
-        rows = reps.select("rep", "keys").mapInArrow(_node_keys(level), "rep long, key long")
+        rows = reps.select("rep", "keys").mapInArrow(_node_keys(level, n_trees), "rep long, key long")
         if open_ is not None:
             rows = rows.join(open_, "rep", "left_semi")
         rows = cut(rows)
@@ -305,15 +318,15 @@ def near_dups(docs: DataFrame, percent: int = 85, n_words: int = 5, id_col: str
     candidates are sought by the one of least fingerprint.
     """
     spark = docs.sparkSession
-    n = fanout(spark)
+    n, n_trees = fanout(spark), trees(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profiles = cut(texts.mapInArrow(_profiles(n_words), "id long, n long, fp binary, keys binary, sk binary"))
+    profiles = cut(texts.mapInArrow(_profiles(n_words, n_trees), "id long, n long, fp binary, keys binary, sk binary"))
     real = profiles.where("id is not null and n > 0")
     classes = cut(real.groupBy("fp").agg(F.min("id").alias("rep")))
     one = cut(real.join(classes, "fp").where("id = rep").groupBy("rep").agg(F.min_by("keys", "fp").alias("keys"), F.min_by("sk", "fp").alias("sk")))
-    nodes, whole = _nodes(one)
+    nodes, whole = _nodes(one, n_trees)
     held = nodes.join(one.select("rep", "sk"), "rep").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(n * 4)))
-    edges = cut(held.groupBy("g").applyInArrow(_stars, "a long, b long").unionByName(whole))
+    edges = cut(held.groupBy("g").applyInArrow(_stars(percent), "a long, b long").unionByName(whole))
     groups = cut(components(edges))
     size = groups.groupBy("component").count()
     member = cut(groups.join(size, "component").select(F.col("id").alias("rep"), F.col("component").alias("grp"), F.col("count").alias("m")))

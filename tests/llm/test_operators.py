@@ -357,6 +357,36 @@ def test_near_dups_in_large_nodes(spark, monkeypatch):
     assert got == dict(enumerate(root.tolist()))
 
 
+def test_trees_hold_their_recall():
+    """Of 3,000 pairs of similarity 0.80, those that share no node of the last level in any tree."""
+    rng = np.random.default_rng(3)
+    n, missed = near_dedup.trees(80), 0
+    for _ in range(3000):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        one, other = np.sort(x[:90]), np.sort(x[10:])
+        assert len(set(one.tolist()) & set(other.tolist())) == 80
+        missed += not (near_dedup.paths(one, n)[-1] == near_dedup.paths(other, n)[-1]).any()
+    assert (n, near_dedup.trees(85)) == (31, 20) and missed <= 3
+
+
+def test_near_dups_of_80_in_a_group_of_thousands(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE", 256)
+    rnd, rows = random.Random(5), []
+    for i in range(2100):
+        one = [f"w{k}" for k in range(140)]
+        for k in rnd.sample(range(6, 134, 8), 4):
+            one[k] = f"p{i}.{k}"
+        other = one[:]
+        for k in rnd.sample(range(10, 134, 8), 3):
+            other[k] = f"q{i}.{k}"
+        rows += [(2 * i, " ".join(one), "s"), (2 * i + 1, " ".join(other), "s")]
+    h, at = tokens.words([t.encode() for _, t, _ in rows])
+    root = near_dedup.link_sets([tokens.shingles(h[a:b], 5) for a, b in zip(at[:-1], at[1:])], 80)
+    assert len(set(root.tolist())) < len(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dups(frame(spark, rows), percent=80).collect()}
+    assert sum(got[i] != r for i, r in enumerate(root.tolist())) <= 2
+
+
 def test_link_sets_is_exact():
     rnd = random.Random(8)
     sets = []
