@@ -121,18 +121,17 @@ def match_clusters(previous: dict[int, set], current: dict[int, set], share: flo
     return out
 
 
-def continuity(old: DataFrame, new: DataFrame, share: float = 0.5, rounds: int = 20) -> DataFrame:
-    """(label, cluster_id) kept, for old (cluster_id, article_id) and new (label, article_id): the greedy order of `match_clusters`, as rounds in which pairs that are each other's best are matched."""
+def continuity(old: DataFrame, new: DataFrame, share: float = 0.5) -> DataFrame:
+    """(label, cluster_id) kept, for old (cluster_id, article_id) and new (label, article_id): the greedy order of `match_clusters`, as rounds in which pairs that are each other's best are matched, until none is open; the best of all is matched in each."""
     a = old.groupBy("cluster_id").agg(F.count("*").alias("na"))
     b = new.groupBy("label").agg(F.count("*").alias("nb"))
     both = old.join(new, "article_id").groupBy("cluster_id", "label").agg(F.count("*").alias("shared")).join(a, "cluster_id").join(b, "label")
     rank = F.struct((-F.col("shared")).alias("s"), (-F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("j"), "cluster_id", "label")
     open_ = both.where(F.col("shared") / F.least("na", "nb") >= share).select("cluster_id", "label", rank.alias("k")).checkpoint()
     done = None
-    for _ in range(rounds):
+    while True:
         first = open_.groupBy("cluster_id").agg(F.min("k").alias("k")).select("k").intersect(open_.groupBy("label").agg(F.min("k").alias("k")).select("k")).select("k.label", "k.cluster_id").checkpoint()
         done = first if done is None else done.unionByName(first)
         open_ = open_.join(first.select("label"), "label", "left_anti").join(first.select("cluster_id"), "cluster_id", "left_anti").checkpoint()
         if not open_.head(1):
-            break
-    return done
+            return done

@@ -75,6 +75,18 @@ def test_continuity(spark, old, new, want):
     assert {r.label: r.cluster_id for r in clustering.continuity(a, b).collect()} == want
 
 
+def test_continuity_of_a_chain(spark):
+    """Each old cluster shares as much with two new ones, so that about one pair is settled a round."""
+    from storyweft.operators.snapshots import checkpoint_ready
+
+    checkpoint_ready(spark)
+    old = [(i, 2 * i + k) for i in range(24) for k in (0, 1)]
+    new = [(i + k, 2 * i + k) for i in range(24) for k in (0, 1)]
+    sets = lambda rows: {c: {a for x, a in rows if x == c} for c, _ in rows}
+    got = clustering.continuity(spark.createDataFrame(old, "cluster_id long, article_id long").coalesce(1), spark.createDataFrame(new, "label long, article_id long").coalesce(1))
+    assert {r.label: r.cluster_id for r in got.collect()} == clustering.match_clusters(sets(old), sets(new))
+
+
 def test_hdbscan_finds_planted_clusters():
     rng = np.random.default_rng(0)
     x = np.concatenate([c + rng.normal(0, 0.05, (20, 8)) for c in np.eye(8)[:3] * 5] + [rng.normal(0, 1, (3, 8)) + 40])
