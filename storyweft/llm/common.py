@@ -33,6 +33,14 @@ def fanout(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """`names`, with as many underscores before them as keep them apart from columns that are there."""
+    held, mark = {c.lower() for c in taken}, "_"
+    while any((mark + n).lower() in held for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def lowered(text):
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

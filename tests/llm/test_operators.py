@@ -253,6 +253,27 @@ def test_short_lines_go_too(spark):
     assert [got[i] for i in range(5)] == [texts[0], "two\n\n  \nlast", "", "all rights reserved\nx", "\n\ny"]
 
 
+def test_lines_beside_odd_columns_nulls_and_repeats(spark):
+    rows = [(1, "a b\nc", "x", "y", 1), (2, "a b\nd", None, None, None), (2, "a b\nd", None, None, None), (2, "e\na b", "x", "y", 1), (None, "a b", "x", "y", 1), (3, None, "x", "y", 1), (4, "", "x", "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, _id string, n_removed int")
+    got = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "_text", "_id", "kept_text", "n_lines", "n_removed").collect()), key=str)
+    want = [(1, "x", "y", "a b\nc", 2, 0), (2, None, None, "d", 2, 1), (2, None, None, "d", 2, 1), (2, "x", "y", "e", 2, 1), (None, "x", "y", "a b", 1, 0), (3, "x", "y", None, 0, 0), (4, "x", "y", "", 1, 0)]
+    assert got == sorted(want, key=str)
+
+
+def test_a_common_line_over_many_chunks(spark, monkeypatch):
+    """One line in every document, before lines that other documents have: a class of the array that all chunks share."""
+    rnd = random.Random(7)
+    rows = [(i, "\n".join(["same"] + [f"l{rnd.randrange(12)}" for _ in range(rnd.randint(0, 4))] + ["same", f"u{i}"]), "s") for i in range(150)]
+    monkeypatch.setattr(line_dedup, "fanout", lambda _: 13)
+    got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    seen = set()
+    for i, t, _ in rows:
+        kept = [x for k, x in enumerate(t.split("\n")) if x not in seen and x not in t.split("\n")[:k]]
+        seen |= set(t.split("\n"))
+        assert got[i] == "\n".join(kept)
+
+
 def test_longest_earlier():
     rnd = random.Random(4)
     for _ in range(200):
