@@ -74,7 +74,8 @@ def _chunked(ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
     Suffixes of one rank are equal to the end of their repeated stretch, so that the others have the whole stretch from
     an earlier place. Chunks are ranges of ranks, as many as suit the cluster; a class of any size is cut by them."""
     spark = ranks.sparkSession
-    one = ranks.groupBy("r").agg(F.min(F.struct(*_PLACE)).alias("p"))
+    # Written first: the join with it is then a plain one, whose common ranks can be split.
+    one = cut(ranks.groupBy("r").agg(F.min(F.struct(*_PLACE)).alias("p")))
     marked = cut(ranks.join(one, "r").withColumn("least", F.struct(*_PLACE) == F.col("p")).drop("p"))
     top = marked.agg(F.max("r")).first()[0]
     width = max(1, -(-(int(top or 0) + 1) // (fanout(spark) * 4)))
