@@ -92,7 +92,7 @@ def _round(seed: int):
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, size, source_size, target, copies, taken (= copies * size); no row is taken more than three times.
+    """Per row: id, size, source_size, target, copies, taken (= copies * size), its source and text_hash (xxhash64 of the text); no row is taken more than three times.
 
     Null text has size 0 and is never taken; null sources form one source, the last. Repeated ids are told apart by
     their text's hash; repeated rows are the same row and get the same copies. All choices come from hashes of ids, so
@@ -131,4 +131,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id
     picked = rounded.select("key", F.col("source").alias("of"), "p")
     out = rows.withColumn("key", key).alias("r").join(picked.alias("q"), (F.col("r.key") == F.col("q.key")) & F.col("r.source").eqNullSafe(F.col("of")), "left").drop("key", "of")
     copies = F.when(F.col("size") > 0, F.floor("rate") + F.coalesce(F.col("p"), F.lit(0.0)).cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.col("source").alias(source_col), F.col("h").alias("text_hash"))

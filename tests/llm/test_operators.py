@@ -115,6 +115,14 @@ def test_substrings(spark, docs, rows):
         assert [(s.start, s.stop) for s in r.spans] == spans
 
 
+def test_substrings_of_repeated_and_null_ids(spark):
+    rnd = random.Random(11)
+    x, y, z = ("".join(rnd.choice("abcdefgh ") for _ in range(k)) for k in (60, 320, 70))
+    rows = [(1, x + z, "s"), (2, y, "s"), (2, x, "s"), (2, x, "s"), (3, y[100:] + x, "s"), (None, x, "s"), (4, None, "s")]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == Counter([(1, 130, 0, 0), (2, 320, 0, 0), (2, 60, 60, 1), (2, 60, 60, 1), (3, 280, 280, 1), (None, 60, 0, 0), (4, 0, 0, 0)])
+
+
 def test_suffix_array_and_intervals():
     rnd = random.Random(2)
     texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(6, 40))) for _ in range(12)] + [b"a" * 30, b"a" * 30]
@@ -480,3 +488,27 @@ def test_pipeline_stages(spark, tmp_path):
             assert out.columns == corpus_pipeline.COLUMNS
             docs = common.cut(out)
     assert queries.QUERIES["pipeline"](spark, str(tmp_path)).count() == out.count() == docs.count() > 0
+
+
+def test_pipeline_stages_with_nulls_and_repeats(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    line = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    rows = [(1, line(k), "en", "a", 0) for k in range(6)] + [(2, line(9), "en", "b", 0)] * 2 + [(3, line(9) + " end", "en", "b", 0), (None, line(9), None, None, None), (4, None, None, "a", None), (5, "", "en", None, 0), (6, line(20), "en", None, 0)]
+    stages = dict(corpus_pipeline.STAGES)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, kind)
+    run = lambda name, d=docs: [tuple(r) for r in stages[name](spark, d, str(tmp_path)).collect()]
+    assert Counter(run("toxicity")) == Counter(rows)
+    assert sorted((r[0] or 0 for r in run("near_dedup"))) == [0, 1, 2, 4, 5, 6]
+    got = Counter((r[0], r[1]) for r in run("line_dedup"))
+    assert got == Counter((a, b) for a, b, *_ in rows)
+    # Every row of a repeated id is taken as often as the mix says for its own text.
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    have = Counter((a, s, len(words(t))) for a, t, _, s, _ in run("mixing"))
+    assert have == +want and sum(have.values()) < 40
+    for name in stages:
+        assert run(name, spark.createDataFrame([], kind)) == []
