@@ -8,7 +8,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain doesn't call toxic. It is fitted on the labelled rows of these documents."""
+    """Documents that the chain doesn't call toxic. It is fitted on the labelled rows of these documents.
+
+    Null and empty texts have no features and stay unless the chain's bias alone is toxic; null ids have no label but are
+    judged; repeated rows are judged alike; without labels nothing is toxic."""
     from storyweft.llm import toxicity
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -18,7 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later copies of repeated line runs; a document left without any text goes."""
+    """Documents without the later copies of repeated line runs; a document that lost lines and has no text left goes.
+
+    Null and empty texts stay, null ids stay whole; repeated rows lose the same lines."""
     from storyweft.llm.line_dedup import dedup_lines
 
     kept = dedup_lines(docs).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", "n_removed")
@@ -26,24 +31,34 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document, that of least id, of each group of near copies (five-word shingles, similarity 0.8).
+
+    Rows of one id are one document: of repeated ones, the least by its columns stays. Texts without words are copies of
+    nothing; rows with a null id all stay."""
     from storyweft.llm.near_dedup import near_dups
 
-    kept = near_dups(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    kept = near_dups(docs, percent=80).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    docs = docs.select(*COLUMNS)
+    once = docs.join(kept.where("_n = 1 or _id is null"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    several = docs.join(kept.where("_n > 1"), docs["doc_id"] == F.col("_id"), "left_semi")
+    least = several.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return once.unionByName(least.select("doc_id", "row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (up to three times, as rows of their own)."""
+    """Documents as often as the mix takes them (up to three times, as rows of their own).
+
+    Null and empty texts are never taken. Rows of one id are told apart by source and text; repeated rows are taken alike."""
     from storyweft.llm.mixing import mix
 
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").distinct()
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("text_hash").alias("_h"), "copies").distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_of")) & (F.xxhash64(docs["text"]) == F.col("_h"))
+    rows = docs.select(*COLUMNS).join(taken, same)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digest of their decoding."""
+    """Token ids of every document, and the digest of their decoding; null text counts as empty, every row comes back."""
     import public_tokenizers
 
     from storyweft.llm.bpe import encode as encoded
