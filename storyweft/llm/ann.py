@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut
+from .common import cut, fanout
 
-#: Vectors in a shard, edges of a vector, beam in building and in queries, relaxations of the two passes, queries in a block.
-SHARD, DEGREE, BUILD_BEAM, BEAM, RELAX, BLOCK = 8192, 40, 64, 256, (1.0, 1.2), 512
+#: Vectors in a shard: at most, and at least while the cluster has more partitions than shards. Larger shards are searched with less work in all.
+SHARD, LEAST_SHARD = 1 << 18, 1 << 14
+#: Edges of a vector, beam in building and in queries, relaxations of the two passes, queries in a block, blocks that a task reads a shard for.
+DEGREE, BUILD_BEAM, BEAM, RELAX, BLOCK, SLAB = 32, 48, 96, (1.0, 1.2), 512, 64
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int, want_visited: bool = False):
@@ -83,36 +85,48 @@ def prune(x: np.ndarray, node: int, near: np.ndarray, relax: float) -> np.ndarra
 
 
 def build(x: np.ndarray, seed: int = 11) -> tuple[np.ndarray, int]:
-    """(graph: rows of DEGREE neighbours, padded with -1; the entry, nearest to the mean). x: vectors of equal length, all different."""
+    """(graph: rows of DEGREE neighbours, padded with -1; the entry, nearest to the mean). x: vectors of equal length, all different. Edges back may fill a row to twice DEGREE before it is pruned."""
     n = len(x)
     rng = np.random.default_rng(seed)
     start = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
-    graph = np.full((n, DEGREE), -1, np.int64)
+    graph = np.full((n, 2 * DEGREE), -1, np.int64)
+    many = np.zeros(n, np.int64)
+
+    def put(node: int, edges: np.ndarray) -> None:
+        graph[node, : len(edges)], graph[node, len(edges) :] = edges, -1
+        many[node] = len(edges)
+
     k = min(DEGREE // 2, n - 1)
     if k > 0:
         first = rng.integers(0, n, (n, k))
         graph[:, :k] = np.where(first == np.arange(n)[:, None], (first + 1) % n, first)
+        many[:] = k
     for relax in RELAX:
         order = rng.permutation(n)
         for a in range(0, n, 256):
             batch = order[a : a + 256]
             _, visited = beam_search(x, graph, start, x[batch], BUILD_BEAM, want_visited=True)
-            back: dict[int, list[int]] = {}
+            to, by = [], []
             for node, seen in zip(batch.tolist(), visited, strict=True):
-                own = graph[node]
-                edges = prune(x, node, np.concatenate((own[own >= 0], np.array(seen, np.int64))), relax)
-                graph[node] = -1
-                graph[node, : len(edges)] = edges
-                for e in edges.tolist():
-                    back.setdefault(e, []).append(node)
-            for e, new in back.items():
-                own = graph[e][graph[e] >= 0]
-                both = np.union1d(own, new)
-                if len(both) > DEGREE:
-                    both = prune(x, e, both, relax)
-                graph[e] = -1
-                graph[e, : len(both)] = both
-    return graph, start
+                edges = prune(x, node, np.concatenate((graph[node, : many[node]], np.array(seen, np.int64))), relax)
+                put(node, edges)
+                to.append(edges)
+                by.append(np.full(len(edges), node))
+            to, by = np.concatenate(to), np.concatenate(by)
+            new = ~(graph[to] == by[:, None]).any(axis=1)
+            order_ = np.argsort(to[new], kind="stable")
+            to, by = to[new][order_], by[new][order_]
+            ends, at, count = np.unique(to, return_index=True, return_counts=True)
+            fits = many[ends] + count <= 2 * DEGREE
+            easy = np.repeat(fits, count)
+            place = many[to] + np.arange(len(to)) - np.repeat(at, count)
+            graph[to[easy], place[easy]] = by[easy]
+            many[ends[fits]] += count[fits]
+            for e, i, c in zip(ends[~fits].tolist(), at[~fits].tolist(), count[~fits].tolist(), strict=True):
+                put(e, prune(x, e, np.concatenate((graph[e, : many[e]], by[i : i + c])), relax))
+    for node in np.flatnonzero(many > DEGREE).tolist():
+        put(node, prune(x, node, graph[node, : many[node]], RELAX[-1]))
+    return graph[:, :DEGREE], start
 
 
 def _augmented(x: np.ndarray) -> np.ndarray:
@@ -133,29 +147,29 @@ def _index(table: pa.Table) -> pa.Table:
 
 
 def _answer(k: int):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["x"], np.float64).reshape(-1, row["dim"])
-                ids, count = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["count"], np.int64)
-                graph = np.frombuffer(row["graph"], np.int32).reshape(len(x), DEGREE).astype(np.int64)
-                q = np.frombuffer(row["qv"], np.float64).reshape(-1, row["dim"])
-                qid, first = np.frombuffer(row["qid"], np.int64), np.concatenate(([0], np.cumsum(count)))
+    """A slab of query blocks on one shard."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for row in left.to_pylist():
+            x = np.frombuffer(row["x"], np.float64).reshape(-1, row["dim"])
+            ids, count = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["count"], np.int64)
+            graph = np.frombuffer(row["graph"], np.int32).reshape(len(x), DEGREE).astype(np.int64)
+            near, first = _augmented(x), np.concatenate(([0], np.cumsum(count)))
+            for asked in right.sort_by("block").to_pylist():
+                q, qid = np.frombuffer(asked["qv"], np.float64).reshape(-1, row["dim"]), np.frombuffer(asked["qid"], np.int64)
                 aug = np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32)
-                out: list[list] = [[], [], []]
                 for a in range(0, len(q), 64):
-                    found = beam_search(_augmented(x), graph, row["start"], aug[a : a + 64], max(BEAM, 2 * k))
-                    for i, hit in enumerate(found, a):
+                    for i, hit in enumerate(beam_search(near, graph, row["start"], aug[a : a + 64], max(BEAM, 2 * k)), a):
                         hit = hit[hit >= 0]
                         score = (x[hit] * q[i]).sum(axis=1)
                         who = [ids[first[h] : first[h] + min(count[h], k + 1)] for h in hit]
                         score, who = np.repeat(score, [len(w) for w in who]), np.concatenate(who)
                         keep = who != qid[i]
                         best = np.lexsort((who[keep], -score[keep]))[:k]
-                        out[0].append(np.full(len(best), qid[i]))
-                        out[1].append(who[keep][best])
-                        out[2].append(score[keep][best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "vec_id", "score"])
+                        for o, v in zip(out, (np.full(len(best), qid[i]), who[keep][best], score[keep][best]), strict=True):
+                            o.append(v)
+        return pa.table([pa.array(np.concatenate(o)) for o in out], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -187,11 +201,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     rows = rows.join(F.broadcast(size.select("n")), F.size("e") == F.col("n"), "left_semi")
     flat = cut(rows.mapInArrow(_doubles, "id long, q boolean, v binary"))
     total = flat.count()
-    shards, blocks = max(1, math.ceil(total / SHARD)), max(1, math.ceil(flat.where("q").count() / BLOCK))
-    index = cut(flat.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_index, "shard int, start long, dim int, x binary, ids binary, count binary, graph binary"))
-    asked = flat.where("q").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_packed, "block int, qid binary, qv binary")
-    # A stated query set against all rows, in blocks.
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(max(1, min(shards * blocks, 4096)), "shard", "block").join(index, "shard")
-    near = pairs.mapInArrow(_answer(k), "query_id long, vec_id long, score double")
+    shards = max(1, math.ceil(total / SHARD), min(math.ceil(total / LEAST_SHARD), fanout(vectors.sparkSession)))
+    blocks = max(1, math.ceil(flat.where("q").count() / BLOCK))
+    index = flat.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_index, "shard int, start long, dim int, x binary, ids binary, count binary, graph binary")
+    asked = cut(flat.where("q").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_packed, "block int, qid binary, qv binary"))
+    # A stated query set against all rows: every shard is read once for each slab of query blocks.
+    every = asked.withColumn("slab", F.expr(f"block div {SLAB}").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    held = cut(index).withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // SLAB))))
+    near = held.groupBy("shard", "slab").cogroup(every.groupBy("at", "slab")).applyInArrow(_answer(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

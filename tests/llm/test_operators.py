@@ -181,6 +181,27 @@ def test_search(spark):
     assert hits >= 0.95 * 20 * len(by)
 
 
+def test_search_in_several_shards(spark, monkeypatch):
+    """Shards are searched by the graph, not read whole, and fewer candidates than asked for all come back."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 4000)] + 0.7 * rng.normal(size=(4000, 16))
+    monkeypatch.setattr(ann, "LEAST_SHARD", 1000)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(docs, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & {i for i in np.argsort(-(x @ x[q]), kind="stable")[:21].tolist() if i != q}) for q in range(0, 4000, 20)]
+    assert set(got) == set(range(0, 4000, 20)) and sum(hits) >= 0.9 * 20 * len(hits)
+    near = ann._augmented(x)
+    graph, start = ann.build(near)
+    q = np.concatenate((x[::20], np.zeros((200, 1))), axis=1).astype(np.float32)
+    opened = ann.beam_search(near, graph, start, q, 40, want_visited=True)[1]
+    assert np.mean([len(np.unique(graph[v])) for v in opened]) < 0.25 * len(x)
+    few = ann.search(docs.where("vec_id < 5"), F.col("vec_id") == 0, k=20).collect()
+    assert [r.rank for r in few] == [1, 2, 3, 4] and {r.vec_id for r in few} == {1, 2, 3, 4}
+
+
 def test_kneser_ney(spark, docs, rows):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     got = {r.doc_id: r for r in lm.score_corpus(docs, held).collect()}
