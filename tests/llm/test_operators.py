@@ -202,35 +202,54 @@ def test_search_in_several_shards(spark, monkeypatch):
     assert [r.rank for r in few] == [1, 2, 3, 4] and {r.vec_id for r in few} == {1, 2, 3, 4}
 
 
-def test_kneser_ney(spark, docs, rows):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(spark, rows, order, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED", 5000)
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = {r.doc_id: r for r in lm.score_corpus(docs, held).collect()}
-    tk = {i: [*words(t), None] for i, t, _ in rows}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tk}
-    uni = Counter(w for i in tk if not out[i] for w in tk[i])
-    two = Counter(p for i in tk if not out[i] for p in zip(["<s>", *tk[i][:-1]], tk[i]))
+    rows = [*rows, rows[3], (None, "one two", "s")]
+    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_corpus(frame(spark, rows), held, order).collect())
+    out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows]
+    texts = [[*words(t), "</s>"] for _, t, _ in rows]
+    counts = {order: Counter(), 0: Counter()}
+    for t, o in zip(texts, out):
+        if not o:
+            line = ["<s>"] * (order - 1) + t
+            counts[order].update(tuple(line[k : k + order]) for k in range(len(t)))
+            counts[0].update(t)
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    uni = counts[0]
     n, v = sum(uni.values()), len(uni)
-    coc = lambda c: [sum(x == k for x in c) for k in (1, 2, 3, 4)]
-    kinds, ctx, by = Counter(w for _, w in two), Counter(), {}
-    for (a, _), k in two.items():
-        ctx[a] += k
-        by.setdefault(a, [0] * 4)[min(k, 3)] += 1
-    d1, d2 = lm._discounts(*coc(kinds.values())), lm._discounts(*coc(two.values()))
-    spare = sum(d1[min(k, 3)] for k in kinds.values()) / len(two)
-    low = lambda w: (kinds[w] - d1[min(kinds[w], 3)]) / len(two) + spare / (v + 1)
-
-    def p(a, w):
-        if not ctx[a]:
-            return low(w)
-        return (two[a, w] - d2[min(two[a, w], 3)]) / ctx[a] + sum(d2[j] * by[a][j] for j in (1, 2, 3)) / ctx[a] * low(w)
-
-    rest = sum(d2[j] * by["<s>"][j] for j in (1, 2, 3)) / ctx["<s>"]
-    assert math.isclose(sum(p("<s>", w) for w in uni) + rest * spare / (v + 1), 1)
-    for i, t in tk.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(uni[w] > 0 for w in t), n)
-        assert math.isclose(r.base_score, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, w)) for a, w in zip(["<s>", *t[:-1]], t)), rel_tol=1e-9)
+    disc, after = {}, {}
+    for k in range(1, order + 1):
+        disc[k] = lm._discounts(*[sum(x == j for x in counts[k].values()) for j in (1, 2, 3, 4)])
+        for g, x in counts[k].items():
+            s = after.setdefault(g[:-1], [0] * 4)
+            s[0] += x
+            s[min(x, 3)] += 1
+
+    def p(g):
+        k, low = len(g), 1 / (v + 1) if len(g) == 1 else p(g[1:])
+        s = after.get(g[:-1])
+        if not s:
+            return low
+        x = counts[k][g]
+        return (x - disc[k][min(x, 3)]) / s[0] + sum(disc[k][j] * s[j] for j in (1, 2, 3)) / s[0] * low
+
+    first = ("<s>",) * (order - 1)
+    assert math.isclose(sum(p((*first, w)) for w in uni) + p((*first, "never seen")), 1)
+    want = Counter()
+    for (i, *_), t, o in zip(rows, texts, out):
+        line = [*first, *t]
+        want[i, o, len(t), sum(uni[w] > 0 for w in t), n, round(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), 6), round(sum(math.log10(p(tuple(line[k : k + order]))) for k in range(len(t))), 6)] += 1
+    assert got == want
+
+
+def test_kneser_ney_perplexity_and_no_training_rows(spark, docs):
+    scored = lm.score_corpus(docs, F.col("doc_id") % 3 == 0).cache()
+    by = {r.held_out: r for r in lm.perplexity(scored).collect()}
+    assert all(1 < by[o].perplexity < by[o].base_perplexity for o in (False, True))
+    assert all(r.score == r.base_score == 0 and r.train_tokens == 0 for r in lm.score_corpus(docs, F.lit(True)).collect())
 
 
 def test_bpe(spark, docs, rows, monkeypatch):
