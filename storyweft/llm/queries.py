@@ -67,7 +67,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    return score_corpus(docs, held)
+    return score_corpus(docs, held, order=3)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
