@@ -3,7 +3,7 @@
 Texts are cut where a rolling hash of the last bytes says so, so that documents that share passages share chunks. A
 worker encodes each distinct chunk once and keeps it (bounded), and within chunks each pre-token. At a chunk join the tokens of the two sides needn't be
 those of the whole: the stretch between the nearest places where a word certainly ends is encoded again and put in
-between, and is widened until both sides' own token boundaries agree with it.
+between. Where a chunk's own token boundaries don't agree with it, the stretch is widened over that chunk to the next such place.
 """
 
 from __future__ import annotations
@@ -74,6 +74,8 @@ class Codec:
         self.now: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
         self.held = 0
+        #: Bytes of chunks and of joins' windows that were asked for, and those of them that had been encoded before.
+        self.asked = self.reused = 0
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
@@ -125,11 +127,15 @@ class Codec:
         out: dict[bytes, np.ndarray] = {}
         missing = []
         for p in wanted:
-            if p not in out:
-                got = self.cached(p)
-                out[p] = got
-                if got is None:
-                    missing.append(p)
+            self.asked += len(p)
+            if p in out:
+                self.reused += len(p)
+                continue
+            got = out[p] = self.cached(p)
+            if got is None:
+                missing.append(p)
+            else:
+                self.reused += len(p)
         if missing:
             for p, ids in zip(missing, self.encoded([m.decode() for m in missing]), strict=True):
                 out[p] = ids
@@ -169,8 +175,9 @@ class Codec:
             ends = np.cumsum(self.size[ids])
             x = int(np.searchsorted(ends, at - a, "right")) if at > a else 0
             y = int(np.searchsorted(ends, stop - a)) + 1
-            if (x and ends[x - 1] != at - a) or ends[y - 1] != stop - a:  # no agreement: the whole stretch is encoded at once
-                return np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.int32)
+            if (x and ends[x - 1] != at - a) or ends[y - 1] != stop - a:  # no agreement: both are certain places, so what lies between stands by itself
+                ids = np.array(self.tokenizer.encode(t[at:stop].decode(), add_special_tokens=False).ids, np.int32)
+                x, y = 0, len(ids)
             out.append(ids[x:y])
             at = stop
             if j < n and joins[j][0] == at:
