@@ -27,7 +27,7 @@ NODE = 1024
 #: Hashes of a bottom-k sketch. A set whose estimate with a leader is SLACK below the similarity sought or better is no leader itself; SLACK is 5 standard errors.
 SKETCH, SLACK = 64, 0.25
 #: Candidate components of more sets are confirmed by a join, not in one task.
-GATHER = 512
+GATHER = 4096
 #: Classes of tokens whose counts order the prefixes of that join. Any order is exact; rare tokens first make short lists.
 CLASSES = 1 << 18
 #: Pairs a listed token that are compared at once; while there are more, sets are compared with one of each list first, which leaves fewer pairs that are not connected yet.
