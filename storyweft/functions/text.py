@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Function words that Title Case capitalises, cumulative markers, verbs of dispute, reporting verbs by family.
+# Function words that Title Case capitalises, English function words, markers of running totals, reporting verbs by family, words of controversy, short titles, words of attribution, authorities, kinds of entities that can be framed, currencies.
 FUNCTION_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "with"]
 ENGLISH = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "this", "to", "was", "were", "which", "will", "with"]
-CUMULATIVE = ["so far", "to date", "in total", "cumulative", "since the start", "since january", "altogether", "overall"]
-DISPUTE = ["deny", "dispute", "reject", "refute", "contradict", "challenge", "clash"]
-CONTROVERSY = ["row", "controversy", "scandal", "standoff", "feud"]
-VERB_FAMILY = {"said": "says", "says": "says", "told": "says", "stated": "says", "claimed": "claims", "claims": "claims", "denied": "denies", "denies": "denies", "warned": "warns", "warns": "warns", "accused": "accuses"}
+CUMULATIVE = [
+    "since", "so far", "to date", "this year", "last year", "nationally", "in total", "altogether", "annually", "cumulative", "year to date",
+    "over the past", "already this", "between january", "each year", "across the two", "both countries", "combined", "in total across",
+    "on both sides", "overall", "nationwide",
+]
+REPORTING = {
+    "said": ["say", "tell", "state", "note", "add", "explain", "announce", "reveal", "respond", "reply", "react", "describe", "disclose", "confirm", "speak", "remark", "address", "write", "report", "affirm", "reaffirm", "reiterate", "stress", "emphasise", "emphasize", "recall", "acknowledge", "admit"],
+    "claimed": ["claim", "allege", "insist", "maintain", "contend", "purport"],
+    "promised or assured": ["assure", "reassure", "pledge", "promise", "vow"],
+    "praised": ["hail", "laud", "praise", "commend", "congratulate", "thank", "applaud", "celebrate", "champion"],
+    "criticised": ["slam", "blast", "criticise", "criticize", "castigate", "attack", "accuse", "blame", "condemn", "decry", "dismiss", "rubbish", "lash out", "hit back", "fire back", "hit out", "challenge", "censure", "fault", "rebuke", "mock", "ridicule", "taunt", "take aim", "take swipe", "take jibe", "take dig"],
+    "denied or defended": ["deny", "defend", "refute", "reject", "dispute", "counter"],
+    "urged or warned": ["urge", "call on", "call for", "appeal", "ask", "implore", "plead", "warn", "caution", "direct", "order", "demand", "threaten"],
+}
+CONTROVERSY = [
+    "rows?", "disputes?", "disputed", "clash(?:es|ed)?", "protests?", "protesters", r"impeach\w*", "probes?", "probed", "scandals?", "petitions?", "arrest(?:s|ed)?", "murder(?:s|ed)?",
+    "kill(?:s|ed|ings?)?", "crackdown", "ultimatum", "rift", "feud", "showdown", "war", "attacks?", "attacked", "standoff", "outcry", "backlash", "fraud", "corruption", "graft",
+    "sack(?:s|ed)?", "suspend(?:s|ed)?", "ousts?", "ousted", "defy", "defies", "condemns?", "condemned", "demands?", "warns?", "threat(?:s|ens)?", "bans?", "banned", r"evict\w*",
+    r"demoli\w*", "court", "charged", "accused", "controversy", "controversial", "uproar", "fury", "anger",
+]
+TITLES = {"dp": "deputy president", "cs": "cabinet secretary", "ps": "principal secretary", "cj": "chief justice", "ig": "inspector general", "ag": "attorney general"}
+ATTRIBUTES = ["according to", "said", "says", "told", "reported by", "data from", "figures from", "revealed", "disclosed", "announced", "confirmed", "estimates?"]
+AUTHORITIES = [
+    "police", "court", "judiciary", "ministry", "government", "treasury", "parliament", "senate", "KNBS", "IEBC", "KNCHR", "EACC", "KRA", "CBK", "NTSA", "IPOA", "county", "officials?", "hospital", "morgue",
+    "union", "commission", "authority", "regulator", "census", "survey", "poll", "audit", "report", "Red Cross", "UN", "(?-i:WHO)", "UNICEF", "World Bank", "IMF", "rights group", "watchdog",
+]
+FRAMED_TYPES = ["PERSON", "ORG", "GPE", "NORP", "LAW", "EVENT", "FAC", "PRODUCT"]
 CURRENCY = {"$": "USD", "us$": "USD", "€": "EUR", "£": "GBP", "sh": "KES", "ksh": "KES", "kes": "KES"}
 
 
@@ -104,13 +127,17 @@ def is_cumulative(s: Column) -> Column:
 
 
 def verb_family(phrase: Column) -> Column:
-    families = F.create_map(*[F.lit(x) for kv in VERB_FAMILY.items() for x in kv])
+    """The family of a verb's base form: of the whole phrase, else of its first two words, else of the first."""
+    families = F.create_map(*[F.lit(x) for family, verbs in REPORTING.items() for v in verbs for x in (v, family)])
     words = F.split(F.lower(F.trim(phrase)), r"\s+")
     return F.coalesce(F.try_element_at(families, F.lower(F.trim(phrase))), F.try_element_at(families, F.array_join(F.slice(words, 1, 2), " ")), F.try_element_at(families, F.try_element_at(words, F.lit(1))))
 
 
 def inflections(verb: str) -> str:
-    """A regular expression of a verb's forms."""
+    """A regular expression of a verb's forms; of a phrase, those of its first word before the rest as it is."""
+    verb, _, rest = verb.partition(" ")
+    if rest:
+        return inflections(verb) + r"\s+" + rest
     if verb.endswith("y"):
         return f"{verb[:-1]}(y|ies|ied|ying)"
     if verb.endswith("e"):
@@ -118,8 +145,12 @@ def inflections(verb: str) -> str:
     return f"{verb}(s|es|ed|ing)?"
 
 
+#: Headlines with a verb of attack or denial, or a word of controversy.
+DISPUTED = r"\b(" + "|".join([*map(inflections, [*REPORTING["criticised"], *REPORTING["denied or defended"]]), *CONTROVERSY]) + r")\b"
+
+
 def disputed(title: Column) -> Column:
-    return F.coalesce(F.lower(title).rlike(r"\b(" + "|".join([*map(inflections, DISPUTE), *CONTROVERSY]) + r")\b"), F.lit(False))
+    return F.coalesce(F.lower(title).rlike(DISPUTED), F.lit(False))
 
 
 def headline_tense(verb: Column) -> Column:
@@ -209,3 +240,88 @@ def seven_point(s: Column) -> Column:
     """-3..3 as negative, neutral, positive; x as unusable; blank null; anything else invalid."""
     n = F.try_to_number(F.trim(s), F.lit("S9")).cast("int")
     return F.when(F.trim(F.coalesce(s, F.lit(""))) == "", None).when(F.lower(F.trim(s)) == "x", "unusable").when(n.between(-3, 3), F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral")).otherwise("invalid")
+
+
+def listing(names: Column) -> Column:
+    """'A', 'A and B', 'A, B and C'; null without names."""
+    n = F.size(names)
+    return F.when(n == 1, names[0]).when(n > 1, F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(names, -1)))
+
+
+def plural(n: Column, word: str, many: str | None = None) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {word}")).otherwise(F.lit(f" {many or word + 's'}")))
+
+
+def some_of(k: Column, n: Column) -> Column:
+    return F.when(n == 1, F.lit("The one fact found was")).otherwise(F.concat(k.cast("string"), F.lit(" of the "), n.cast("string"), F.when(k == 1, F.lit(" facts was")).otherwise(F.lit(" facts were"))))
+
+
+def excerpt(text: Column, start: Column, size: int = 280) -> Column:
+    """About `size` characters around a place (from 0), from word to word; three dots where text is left out."""
+    first = F.greatest(F.lit(0), start - size // 2)
+    part = F.substring(text, first + 1, F.lit(size))
+    more = first + size < F.length(text)
+    part = F.when(first > 0, F.regexp_replace(part, r"^\S*\s+", "")).otherwise(part)
+    part = F.when(more, F.regexp_replace(part, r"\s+\S*$", "")).otherwise(part)
+    return F.concat(F.when(first > 0, F.lit("... ")).otherwise(F.lit("")), part, F.when(more, F.lit(" ...")).otherwise(F.lit("")))
+
+
+def cited_authority(sentence: Column) -> Column:
+    """Whom a sentence credits: the first authority, if it has a word of attribution."""
+    who = F.regexp_extract(sentence, r"(?i)\b(" + "|".join(AUTHORITIES) + r")\b", 1)
+    return F.when(sentence.rlike(r"(?i)\b(?:" + "|".join(ATTRIBUTES) + r")\b") & (who != ""), who)
+
+
+def true_case(title: Column, lexicon: Column) -> Column:
+    """A Title Case headline with words as the lexicon (map of lower-cased to usual form) writes them; the first word and acronyms stay, and so do headlines in sentence case."""
+    pieces = F.regexp_extract_all(title, F.lit(r"[\p{L}']+|[^\p{L}']+"), F.lit(0))
+    first = F.when(F.try_element_at(pieces, F.lit(1)).rlike(r"^[\p{L}']"), 0).otherwise(1)
+    acronym = lambda w: (F.length(w) > 1) & (w == F.upper(w))
+    fixed = F.transform(pieces, lambda w, i: F.when((i == first) | acronym(w), w).otherwise(F.coalesce(F.try_element_at(lexicon, F.lower(w)), w)))
+    return F.when(is_title_case(title), F.array_join(fixed, "")).otherwise(title)
+
+
+def straight_possessive(s: Column) -> Column:
+    """A curly apostrophe of a possessive as a straight one; offsets hold."""
+    return F.regexp_replace(s, r"(?<=\w)\u2019(?=s\b)", "'")
+
+
+def title_words(title: Column) -> Column:
+    """Words of a title, short titles written out."""
+    short = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])
+    words = F.filter(F.split(F.lower(F.trim(title)), r"\s+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.split(F.coalesce(F.try_element_at(short, w), w), " ")))
+
+
+def escape_html(s: Column) -> Column:
+    out = F.coalesce(s, F.lit(""))
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(c), F.lit(name))
+    return out
+
+
+def web_link(url: Column) -> Column:
+    """A link safe to follow, escaped, or nothing: only http and https leave the page."""
+    return F.when(is_web_url(url), escape_html(url)).otherwise(F.lit(""))
+
+
+def mark(value: Column) -> Column:
+    """A reviewer's yes or no; null for anything else."""
+    v = F.lower(F.trim(value))
+    return F.when(v.isin("y", "yes", "1"), F.lit(True)).when(v.isin("n", "no", "0"), F.lit(False))
+
+
+def verdict(k: Column, n: Column, low: Column, threshold: float) -> Column:
+    """Of k right ones in n, `low` the interval's lower end."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "not labelled").when(k / n < threshold, "FAIL").when(low >= threshold, "PASS").otherwise("PASS (interval reaches below the threshold)")
+
+
+def clean_phrase(s: Column) -> Column:
+    """A phrase without its leading article and the punctuation around it."""
+    bare = F.regexp_replace(F.trim(F.coalesce(s, F.lit(""))), r"(?i)^(?:the|a|an)\s+", "")
+    return F.regexp_replace(bare, r"^[ .,:;|\u2014-]+|[ .,:;|\u2014-]+$", "")
+
+
+def worth_framing(kind: Column, name: Column, verbs: Column, key: Column, share: Column, most: float = 0.25) -> Column:
+    """A mention that a tone can be about: of a framed kind, four words at most, no verb among them, a key of three letters or more, not in all the corpus."""
+    return kind.isin(FRAMED_TYPES) & (F.size(F.split(F.trim(name), r"\s+")) <= 4) & ~F.coalesce(verbs, F.lit(False)) & (F.length(key) >= 3) & (F.coalesce(share, F.lit(0.0)) <= most)

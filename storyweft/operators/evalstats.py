@@ -31,11 +31,23 @@ def kappa(a: list[str], b: list[str], quadratic: bool = False, classes=CLASSES)
     return 1 - (w * m).sum() / (w * e).sum() if (w * e).sum() else 1.0
 
 
-def best_threshold(gold: list[str], scores: list[float]) -> float:
-    """Of 0 to 0.80 in hundredths: the best macro F1, ties to the nearest to 0.15."""
-    label = lambda s, t: "pos" if s > t else "neg" if s < -t else "neu"
-    grid = [i / 100 for i in range(81)]
-    return min(grid, key=lambda t: (-round(f1(gold, [label(s, t) for s in scores]), 6), abs(t - 0.15)))
+def threshold_scores(rows: DataFrame, gold: str = "gold", score: str = "score", steps: int = 81) -> DataFrame:
+    """(step, f1): the macro F1 of each threshold step / 100, scores beyond it either way being pos and neg.
+
+    Rows are first counted by gold class, sign and the number of steps they are beyond, so that work on the grid does
+    not grow with them."""
+    beyond = F.least(F.lit(steps), F.ceil(F.round(F.abs(score) * 100, 9))).cast("int")
+    cells = rows.where(F.col(score).isNotNull()).groupBy(F.col(gold).alias("g"), F.signum(score).alias("sign"), beyond.alias("beyond")).agg(F.count("*").alias("n"))
+    each = cells.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    guess = F.when(F.col("step") >= F.col("beyond"), "neu").when(F.col("sign") > 0, "pos").otherwise("neg")
+    held = lambda c: (F.sum(F.when((F.col("g") == c) & (guess == c), F.col("n")).otherwise(0)), F.sum(F.when((F.col("g") == c) != (guess == c), F.col("n")).otherwise(0)))
+    part = lambda hit, wrong: F.when(hit > 0, 2 * hit / (2 * hit + wrong)).otherwise(F.lit(0.0))
+    return each.groupBy("step").agg((sum(part(*held(c)) for c in CLASSES) / len(CLASSES)).alias("f1"))
+
+
+def tuned_threshold(rows: DataFrame, gold: str = "gold", score: str = "score", near: int = 15) -> DataFrame:
+    """The one row of threshold_scores that is best; of equal ones, the nearest to `near`."""
+    return threshold_scores(rows, gold, score).orderBy(F.round("f1", 6).desc(), F.abs(F.col("step") - near), "step").limit(1)
 
 
 def paired_bootstrap(gold: list[str], a: list[str], b: list[str], times: int = 5000, seed: int = 0) -> tuple[float, float]:

@@ -9,9 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # Number words, scales, casualty states, authorities, reporting verbs, titles.
-NUMBERS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "dozen": 12}
-SCALES = {"hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12, "m": 1e6, "bn": 1e9}
-STATES = {"dead": ["dead", "died", "killed", "deaths", "death", "bodies"], "missing": ["missing"], "injured": ["injured", "wounded", "hurt"], "displaced": ["displaced", "homeless", "evacuated"], "arrested": ["arrested", "detained"], "rescued": ["rescued", "saved"]}
+NUMBERS = {
+    "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
+    "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
+    "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "dozen": 12,
+}
+SCALES = {"hundred": 1e2, "thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "mn": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "trillion": 1e12, "tn": 1e12}
+STATES = {
+    "dead": ["killed", "kill", "dead", "death", "deaths", "died", "die", "toll", "fatalities", "fatality", "casualties", "casualty", "perished"],
+    "missing": ["missing", "unaccounted"],
+    "injured": ["injured", "wounded", "hurt"],
+    "displaced": ["displaced", "homeless"],
+    "arrested": ["arrested", "detained"],
+    "rescued": ["rescued", "evacuated"],
+}
 CURRENCIES = {"$": "USD", "us$": "USD", "€": "EUR", "£": "GBP", "sh": "KES", "ksh": "KES", "kes": "KES"}
 SPEAKING = ["said", "says", "told", "stated", "added", "argued", "claimed", "denied", "warned", "noted", "explained", "insisted"]
 TITLES = ["president", "deputy president", "minister", "senator", "governor", "mp", "dr", "prof", "mr", "mrs", "ms", "judge", "pastor"]

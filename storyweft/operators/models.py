@@ -49,7 +49,7 @@ def relation(a: str, b: str, least: float = 0.5, fn: Callable[[str, str], float]
 
 
 def tone(t: str | None) -> float:
-    w = _words((t or "")[:512])
+    w = _words(t or "")
     good, bad = sum(x in GOOD for x in w), sum(x in BAD for x in w)
     return (good - bad) / (good + bad) if good + bad else 0.0
 

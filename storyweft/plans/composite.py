@@ -13,9 +13,6 @@ from ..sources.tables import DUCK_PREFIX, run_sql, table
 from .expressions import ORACLES as ORACLES_TEXT
 from .special import QUERY, _CENT, _DIST, _SIM, _emb
 
-SOURCES = [f"src{i}" for i in range(20)]
-
-
 def _members(s: SparkSession, d: str) -> DataFrame:
     return run_sql(s, d, "SELECT cluster_id, article_id, source, title, category, us FROM members")
 
@@ -32,6 +29,13 @@ def outlet_topics(s: SparkSession, d: str) -> DataFrame:
     return n.groupBy("source").agg(F.array_join(F.transform(order, lambda x: F.concat(x["category"], F.lit(":"), (-x["k"]).cast("string"))), ",").alias("topics"))
 
 
+def coverage_pivot(s: SparkSession, d: str) -> DataFrame:
+    """Articles of every outlet by story, in one row a story; outlets are whatever the table has."""
+    n = _members(s, d).where("source is not null").groupBy("cluster_id", "source").agg(F.count("*").alias("n"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat_ws(":", x["source"], x["n"]))
+    return n.groupBy("cluster_id").agg(F.array_join(cells, ",").alias("coverage"), F.count("*").alias("outlets"))
+
+
 def titles_in_order(s: SparkSession, d: str) -> DataFrame:
     """First and last titles of a story by time; per story a bounded state, no list of all."""
     m = _members(s, d).where("title <> ''")
@@ -182,7 +186,7 @@ QUERIES = {
     "stories_by_differences": by_differences,
     "figure_digest": digest,
     "number_sections": sections,
-    "coverage_pivot": lambda s, d: _members(s, d).groupBy("cluster_id").pivot("source", SOURCES).agg(F.count(F.lit(1))).fillna(0, SOURCES),
+    "coverage_pivot": coverage_pivot,
     "search_with_story": hits_with_story,
     "related_centroids": related_centroids,
     "search_story_groups": search_groups,
@@ -207,7 +211,7 @@ b AS (SELECT f.story, f.source, f.sentence, f.unit, count(*) FILTER (WHERE f.val
 k AS (SELECT t.*, row_number() OVER (PARTITION BY story, source, value, unit ORDER BY pos) AS k FROM t WHERE rn = 1),
 u AS (SELECT k.*, b.rest FROM k JOIN b USING (story, source, sentence, unit) WHERE k = 1),
 dig AS (SELECT story, pos, source, unit, value, rest, count(*) OVER (PARTITION BY story, unit) - count(*) OVER (PARTITION BY story, unit, source) AS peers FROM u)"""
-_DISPUTED = r"\b(" + "|".join([*map(T.inflections, T.DISPUTE), *T.CONTROVERSY]) + r")\b"
+_DISPUTED = T.DISPUTED
 _LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
 _SPLIT = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
 
@@ -225,8 +229,8 @@ ORACLES = {
     "rate_limit_sliding": "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events), r AS (SELECT user_id, rn, CAST(NULL AS BIGINT) AS older, t AS last, true AS admitted FROM e WHERE rn = 1 UNION ALL SELECT user_id, rn, CASE WHEN ok THEN last ELSE older END, CASE WHEN ok THEN t ELSE last END, ok FROM (SELECT e.user_id, e.rn, e.t, r.older, r.last, r.older IS NULL OR r.older <= e.t - 86400000000 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) x) SELECT user_id, count(*) AS n, count(*) FILTER (WHERE admitted) AS admitted FROM r GROUP BY user_id",
     "contested_ranking": DUCK_PREFIX + f", p AS (SELECT cluster_id, avg(CASE WHEN coalesce(regexp_matches(lower(title), '{_DISPUTED}'), false) OR article_id % 3 = 0 THEN 1e0 ELSE 0e0 END) AS share, count(DISTINCT source) AS outlets, max(us) AS latest, count(*) FILTER (WHERE article_id % 11 = 0) AS quotes FROM members GROUP BY cluster_id), s AS (SELECT cluster_id, round(share + CASE WHEN cluster_id % 2 = 0 THEN 0.25e0 ELSE 0e0 END + 0.25e0 * quotes, 6) AS score, outlets, latest FROM p) SELECT cluster_id, score, outlets, latest FROM s WHERE score >= 0.5 ORDER BY score DESC, outlets DESC, latest DESC NULLS LAST, cluster_id LIMIT 20",
     "collapse_hits_per_story": "WITH h AS (SELECT vec_id AS article_id, CASE WHEN vec_id % 3 > 0 THEN label END AS cluster_id, CAST(embedding[1] AS DOUBLE) AS sim FROM embeddings), t AS (SELECT * FROM h WHERE sim >= 0.1 ORDER BY sim DESC, article_id LIMIT 120), r AS (SELECT *, row_number() OVER (PARTITION BY coalesce('s' || cluster_id, 'a' || article_id) ORDER BY sim DESC, article_id) AS rn FROM t) SELECT article_id, cluster_id, round(sim, 6) AS sim FROM (SELECT * FROM r WHERE rn = 1 ORDER BY sim DESC, article_id LIMIT 20)",
-    "tone_model": f"SELECT doc_id, {_tone('substr(text, 1, 512)')} AS tone FROM documents",
-    "targeted_tone": f"WITH s AS (SELECT doc_id, text, instr(text, ' ') - 1 AS stop FROM documents) SELECT doc_id, CASE WHEN stop > 0 THEN {_tone('substr(text, 1, least(stop + 300, 512))')} ELSE {_tone('substr(text, 1, 512)')} END AS tone, CASE WHEN stop > 0 THEN 'targeted' ELSE 'sentence' END AS scored_by FROM s",
+    "tone_model": f"SELECT doc_id, {_tone('text')} AS tone FROM documents",
+    "targeted_tone": f"WITH s AS (SELECT doc_id, text, instr(text, ' ') - 1 AS stop FROM documents) SELECT doc_id, CASE WHEN stop > 0 THEN {_tone('substr(text, 1, stop + 300)')} ELSE {_tone('text')} END AS tone, CASE WHEN stop > 0 THEN 'targeted' ELSE 'sentence' END AS scored_by FROM s",
     "topic_model": "SELECT doc_id, CASE " + " ".join(f"WHEN {v} > 0 AND {v} / CAST({' + '.join(_HITS.values())} AS DOUBLE) >= 0.75 THEN '{k}'" for k, v in _HITS.items()) + " ELSE 'General' END AS topic FROM documents",
     "claim_pair_pool": f"WITH {_SIM}, w AS (SELECT doc_id, list_distinct({_SPLIT.format(x='text')}) AS w FROM documents), r AS (SELECT a, b, len(list_intersect(x.w, y.w)) >= 0.5 * len(y.w) AND len(y.w) > 0 AS one, len(list_intersect(x.w, y.w)) >= 0.5 * len(x.w) AND len(x.w) > 0 AS two FROM pairs JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b WHERE la = lb AND sim >= 0.35) SELECT a, b, CASE WHEN one AND two THEN 'same' WHEN one THEN 'first_more' WHEN two THEN 'second_more' ELSE 'different' END AS relation FROM r",
     "stories_per_source_lateral": DUCK_PREFIX + ", o AS (SELECT cluster_id, list(DISTINCT source) AS outlets FROM members GROUP BY cluster_id), e AS (SELECT unnest(outlets) AS source FROM o) SELECT source, count(*) AS stories FROM e GROUP BY source",
@@ -235,7 +239,7 @@ ORACLES = {
     "stories_by_differences": DUCK_PREFIX + ", p AS (SELECT cluster_id, count(*) FILTER (WHERE article_id % 5 = 0) + count(*) FILTER (WHERE article_id % 7 = 0) AS r, count(DISTINCT article_id % 2) AS tones, count(DISTINCT source) AS outlets FROM members GROUP BY cluster_id) SELECT cluster_id, outlets, r + CASE WHEN outlets > 2 THEN 1 ELSE 0 END + CASE WHEN tones = 2 THEN 1 ELSE 0 END AS gaps FROM p",
     "figure_digest": f"WITH {_DIGEST} SELECT story, pos, source, unit, value, rest, peers, CASE WHEN peers > 0 THEN 'shared' ELSE 'single' END AS tier FROM dig",
     "number_sections": f"WITH {_DIGEST}, g AS (SELECT story, unit, value FROM dig GROUP BY ALL HAVING count(DISTINCT source) >= 2) SELECT CASE WHEN g.story IS NOT NULL THEN 'grouped' WHEN dig.peers > 0 THEN 'ungrouped' ELSE 'solo' END AS section, count(*) AS n FROM dig LEFT JOIN g USING (story, unit, value) GROUP BY 1",
-    "coverage_pivot": DUCK_PREFIX + ", m AS (SELECT * FROM members) SELECT cluster_id, " + ", ".join(f"count(*) FILTER (WHERE source = '{x}') AS {x}" for x in SOURCES) + " FROM m GROUP BY cluster_id",
+    "coverage_pivot": DUCK_PREFIX + ", n AS (SELECT cluster_id, source, count(*) AS n FROM members WHERE source IS NOT NULL GROUP BY cluster_id, source) SELECT cluster_id, string_agg(source || ':' || n, ',' ORDER BY source) AS coverage, count(*) AS outlets FROM n GROUP BY cluster_id",
     "search_with_story": f"WITH {_SIM}, firm AS (SELECT la FROM pairs WHERE la = lb GROUP BY la HAVING avg(sim) >= 0.3) SELECT vec_id, firm.la AS story_id, round(distance, 6) AS distance FROM (SELECT * FROM {_DIST} ORDER BY distance, vec_id LIMIT 20) t LEFT JOIN firm ON firm.la = t.label",
     "related_centroids": f"WITH {_CENT}, n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM cent GROUP BY label), p AS (SELECT x.label AS a, y.label AS b, sum(x.m * y.m) AS s FROM cent x JOIN cent y ON x.pos = y.pos AND x.label < y.label GROUP BY x.label, y.label) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(s / (n.norm * k.norm), 6) AS sim FROM p JOIN n ON n.label = a JOIN n k ON k.label = b WHERE s / (n.norm * k.norm) >= 0.1",
     "separation_stats": f"WITH {_SIM}, b AS (SELECT a AS id, sim FROM pairs WHERE sim >= 0.2 UNION ALL SELECT b, sim FROM pairs WHERE sim >= 0.2), o AS (SELECT id, max(sim) AS first FROM b GROUP BY id) SELECT count(*) AS n, round(avg(first), 6) AS mean, round(quantile_cont(first, 0.5), 6) AS median, round(min(first), 6) AS least, round(quantile_cont(first, 0.9) - quantile_cont(first, 0.1), 6) AS spread FROM o",

@@ -38,7 +38,7 @@ QUERIES = {
     "contested_headlines": lambda s, d: _docs(s, d).select("doc_id", T.disputed(F.concat(F.lit("minister denies "), "lang")).alias("verb"), T.disputed(F.col("text")).alias("disputed")),
     "title_case_flag": lambda s, d: _titles(s, d).select("doc_id", T.is_title_case(F.col("title")).alias("title_case")),
     "english_share": lambda s, d: _docs(s, d).select("doc_id", F.round(T.english_share(F.col("text")), 6).alias("share")),
-    "verb_family": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.verb_family(F.concat(F.when(F.col("turn") % 2 == 0, "denied").otherwise("told"), F.lit(" that"))).alias("family")),
+    "verb_family": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.verb_family(F.concat(F.when(F.col("turn") % 2 == 0, "deny").otherwise("Tell"), F.lit(" that"))).alias("family")),
     "entity_key": lambda s, d: _docs(s, d).select("doc_id", T.entity_key(F.concat(F.lit("The Minister "), "source", F.lit("'s"))).alias("key")),
     "word_stems": lambda s, d: _docs(s, d).where("lang = 'en'").select(F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("w")).distinct().select("w", T.stem(F.col("w")).alias("stem"), T.singular(F.col("w")).alias("singular")),
     "name_mentions_prefilter": lambda s, d: _docs(s, d).where(F.col("text").rlike(r"(?i)(?<!\w)(idiot|moron)(?!\w)")).select("doc_id"),
@@ -84,8 +84,7 @@ def threshold_grid(s: SparkSession, d: str) -> DataFrame:
 
 
 _SPLIT = "(SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
-_FAMILIES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.VERB_FAMILY.items())
-_DISPUTE = r"\b(" + "|".join([*map(T.inflections, T.DISPUTE), *T.CONTROVERSY]) + r")\b"
+_DISPUTE = T.DISPUTED
 _END = "CASE " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) - {len(e)} >= 4 THEN left(w, length(w) - {len(e)})" for e in ("ing", "ed", "es", "s", "e")) + " ELSE w END"
 
 ORACLES = {
@@ -100,7 +99,7 @@ ORACLES = {
     "contested_headlines": f"SELECT doc_id, true AS verb, regexp_matches(lower(text), '{_DISPUTE}') AS disputed FROM documents",
     "title_case_flag": rf"WITH w AS (SELECT doc_id, regexp_extract_all(title, '[\p{{L}}'']+')[2:] AS ws FROM {_TITLES}) SELECT doc_id, len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{Lu}}') AND list_contains({_list(T.FUNCTION_WORDS)}, lower(x)))) > 0 OR (len(list_filter(ws, lambda x: length(x) >= 4)) >= 2 AND len(list_filter(ws, lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\p{{Lu}}'))) = 0) AS title_case FROM w",
     "english_share": f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents) SELECT doc_id, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: list_contains({_list(T.ENGLISH)}, x))) / len(ws), 6) END AS share FROM w",
-    "verb_family": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'denies' ELSE 'says' END AS family FROM conversations",
+    "verb_family": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'denied or defended' ELSE 'said' END AS family FROM conversations",
     "entity_key": "SELECT doc_id, source AS key FROM documents",
     "word_stems": rf"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*|%')) AS w FROM documents WHERE lang = 'en') SELECT w, {_END} AS stem, CASE WHEN ends_with(w, 'ies') AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END AS singular FROM w",
     "name_mentions_prefilter": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(idiot|moron)($|[^A-Za-z0-9_])')",

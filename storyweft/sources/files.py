@@ -88,31 +88,36 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+# The words of a run log.
+_DONE, _CORPUS, _FAILURES, _FEED, _ITEM = r"^=== done in ([\d.]+)s(?: \(([\d.]+)s of it working\))?", "corpus:", "FAILURES:", r"^(.+?): FEED FAILED \(.+?\)", r"^  - (.+)$"
+
+
 def run_log(spark: SparkSession, path: str, header: str, stages: list[str]) -> DataFrame:
     """Runs of a log -> started, wall, work, stages (map of seconds), feeds_failed, failures.
 
-    `header` is a regular expression that opens a run and captures when it began. A run without its "done in" line was
-    cut off and is no row. Logs are read file by file.
+    `header` is a regular expression that opens a run and captures when it began. Every line belongs to the run opened
+    last before it, and is of one kind; what a run has is gathered from its lines. A run that never was done is no row.
     """
-    opened, closed = "\u0001", "\u0002"
-    runs = F.split(F.regexp_replace("value", header, opened + "$1" + closed), opened)
-    parts = spark.read.text(path, wholetext=True).select(F.explode(F.slice(runs, F.lit(2), F.size(runs))).alias("run"))
-    cut = parts.select(F.split_part("run", F.lit(closed), F.lit(1)).alias("started"), F.split_part("run", F.lit(closed), F.lit(2)).alias("body"))
-    done = r"=== done in ([\d.]+)s(?: \(([\d.]+)s of it working\))?"
-    ended = cut.where(F.col("body").rlike(done))
-    tail = F.regexp_extract("body", "(?s)" + done + "(.*)", 3)
-    times = F.split_part(tail, F.lit("corpus:"), F.lit(1))
-    pattern = F.lit("(" + "|".join(stages) + r") ([\d.]+)s")
-    names, secs = (F.regexp_extract_all(times, pattern, F.lit(i)) for i in (1, 2))
-    last_first = F.map_from_entries(F.filter(F.arrays_zip(names.alias("k"), F.transform(secs, lambda x: x.try_cast("double")).alias("v")), lambda e: e["k"].isNotNull()))
-    return ended.select(
-        F.try_to_timestamp(F.trim("started"), F.lit("yyyy-MM-dd HH:mm")).alias("started"),
-        F.regexp_extract("body", done, 1).try_cast("double").alias("wall"),
-        F.regexp_extract("body", done, 2).try_cast("double").alias("work"),
-        last_first.alias("stages"),
-        F.regexp_extract_all("body", F.lit(r"(?m)^(.+?): FEED FAILED \((.+?)\)"), F.lit(1)).alias("feeds_failed"),
-        F.when(tail.contains("FAILURES:"), F.regexp_extract_all(F.split_part(tail, F.lit("FAILURES:"), F.lit(2)), F.lit(r"(?m)^  - (.+)$"), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("failures"),
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    order = Window.partitionBy("file").orderBy("at")
+    lines = lines.withColumn("run", F.sum(F.col("line").rlike(header).cast("int")).over(order)).where("run > 0")
+    so_far = Window.partitionBy("file", "run").orderBy("at")
+    ever = lambda c: F.max(c.cast("int")).over(so_far) == 1
+    done = F.col("line").rlike(_DONE)
+    lines = lines.withColumns({"after": ever(done), "listed": ever(F.col("line").startswith(_FAILURES)), "corpus": ever(F.col("line").contains(_CORPUS))})
+    timed = F.when(F.col("after") & ~F.col("corpus"), F.regexp_extract_all("line", F.lit("(?:" + "|".join(stages) + r") [\d.]+s"), F.lit(0)))
+    pick = lambda when, pattern: F.array_compact(F.array_agg(F.struct("at", F.when(when & F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1)).alias("x")))).alias("_")
+    texts = lambda when, pattern: F.transform(F.filter(F.array_sort(pick(when, pattern)), lambda e: e["x"].isNotNull()), lambda e: e["x"])
+    runs = lines.groupBy("file", "run").agg(
+        F.min(F.when(F.col("line").rlike(header), F.regexp_extract("line", header, 1))).alias("began"),
+        F.min_by(F.when(done, F.regexp_extract("line", _DONE, 1)), F.when(done, F.col("at"))).alias("wall"),
+        F.min_by(F.when(done, F.regexp_extract("line", _DONE, 2)), F.when(done, F.col("at"))).alias("work"),
+        F.flatten(F.collect_list(timed)).alias("timed"),
+        texts(F.lit(True), _FEED).alias("feeds_failed"),
+        texts(F.col("listed"), _ITEM).alias("failures"),
     )
+    seconds = F.map_from_entries(F.transform("timed", lambda x: F.struct(F.regexp_extract(x, r"^(.*) [\d.]+s$", 1).alias("key"), F.regexp_extract(x, r"([\d.]+)s$", 1).try_cast("double").alias("value"))))
+    return runs.where("wall is not null").select(F.try_to_timestamp("began", F.lit("yyyy-MM-dd HH:mm")).alias("started"), F.col("wall").try_cast("double").alias("wall"), F.col("work").try_cast("double").alias("work"), seconds.alias("stages"), "feeds_failed", "failures")
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
