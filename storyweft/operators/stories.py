@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SORTS = {"outlets": ["outlets", "article_count"], "latest": ["latest"]}
 
@@ -49,3 +49,13 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Stories whose members changed between snapshots (cluster_id, article_id): their analyses are void."""
     both = old.select("cluster_id", "article_id", F.lit(1).alias("o")).join(new.select("cluster_id", "article_id", F.lit(1).alias("n")), ["cluster_id", "article_id"], "full_outer")
     return both.where("o is null or n is null").select("cluster_id").distinct()
+
+
+def comparable(readable: Column, facts: Column) -> Column:
+    """A story that can be compared: two readable outlets or more and a shared fact; unknown while its facts are."""
+    return F.when(facts.isNotNull(), (F.size(F.array_compact(readable)) >= 2) & (F.size(F.array_compact(facts)) > 0))
+
+
+def next_status(current: Column, asked: Column, error: Column) -> Column:
+    """A story's state after a run: a deep analysis stays, an error is recorded, else what was asked for is there."""
+    return F.when(current == "deep", current).when(error.isNotNull(), "failed").otherwise(asked)
