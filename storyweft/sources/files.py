@@ -10,19 +10,21 @@ from ..operators.vectors import quantise
 #: Items that are taken of a feed, from its top.
 PER_FEED = 25
 _RSS = "title string, link string, description string, pubDate string"
+_ATOM = "title: string, link: array<struct<_href: string, _rel: string>>, summary: string, content: string, published: string, updated: string"
 _SHEET_ORDER = "item"
 
 
 def feed_items(spark: SparkSession, path: str, most: int = PER_FEED) -> DataFrame:
-    """RSS documents under `path` -> (feed, pos, title, url, snippet, published, identifier), the first `most` items of each.
+    """RSS and Atom documents under `path` -> (feed, pos, title, url, snippet, published, identifier), the first `most` items of each.
 
     `feed` is the file's path. An item without a title or a web link is no row but counts towards `most`. A broken
     document gives no rows; see `feed_report`. A date that can't be read is null.
+    Of an Atom entry, the first alternate link counts, the summary before the content, and the time of publishing before that of the last change.
     """
     rows = _channels(spark, path).select("feed", F.posexplode("items").alias("pos", "item")).where(F.col("pos") < most)
     title, url = clean_text(F.col("item.title")), clean_text(F.col("item.link"))
     zone = F.regexp_replace(F.regexp_replace(F.trim(F.col("item.pubDate")), r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|Z)$", " +0000")
-    out = rows.select("feed", "pos", title.alias("title"), url.alias("url"), strip_markup(F.col("item.description")).alias("snippet"), F.try_to_timestamp(zone, F.lit("d MMM yyyy HH:mm:ss Z")).alias("published"))
+    out = rows.select("feed", "pos", title.alias("title"), url.alias("url"), strip_markup(F.col("item.description")).alias("snippet"), F.coalesce(F.try_to_timestamp(zone, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.trim(F.col("item.pubDate")))).alias("published"))
     return out.where((F.col("title") != "") & is_web_url(F.col("url"))).withColumn("identifier", identifier(F.col("url"), F.col("title")))
 
 
@@ -33,10 +35,17 @@ def feed_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"channel struct<item: array<struct<{', '.join(f.replace(' ', ': ', 1) for f in _RSS.split(', '))}>>>"
+    schema = f"channel struct<item: array<struct<{', '.join(f.replace(' ', ': ', 1) for f in _RSS.split(', '))}>>>, entry array<struct<{_ATOM}>>"
     # A document is one value: feeds are small, and a broken one must not take others with it.
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("feed"), "value")
-    return whole.select("feed", F.from_xml("value", schema, {"mode": "PERMISSIVE"})["channel"]["item"].alias("items"))
+    read = whole.select("feed", F.from_xml("value", schema, {"mode": "PERMISSIVE"}).alias("x"))
+    return read.select("feed", F.coalesce("x.channel.item", F.transform("x.entry", _entry)).alias("items"))
+
+
+def _entry(e: Column) -> Column:
+    """An Atom entry in the shape of an RSS item."""
+    page = F.try_element_at(F.filter(e["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"]
+    return F.struct(e["title"].alias("title"), page.alias("link"), F.coalesce(e["summary"], e["content"]).alias("description"), F.coalesce(e["published"], e["updated"]).alias("pubDate"))
 
 
 def gazetteer(spark: SparkSession, path: str, sections: dict[str, str]) -> DataFrame:

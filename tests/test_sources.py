@@ -27,6 +27,15 @@ def test_feeds(spark, tmp_path):
     assert {r["feed"][-5:]: (r["items"], r["failed"]) for r in files.feed_report(spark, str(tmp_path)).collect()} == {"a.xml": (30, False), "b.xml": (2, False), "c.xml": (0, True), "d.xml": (0, True)}
 
 
+def test_atom_feeds(spark, tmp_path):
+    entry = "<entry><title type='html'>{t}</title><link rel='self' href='https://a/self'/><link {r} href='{u}'/>{s}<updated>2026-11-03T09:00:00+03:00</updated></entry>"
+    items = [entry.format(t="One", r="rel='alternate'", u="https://a/1", s="<summary type='html'>&lt;p&gt;A &amp;amp; b&lt;/p&gt;</summary><content>C</content>"), entry.format(t="Two", r="", u="https://a/2", s="<published>2026-11-02T06:30:00Z</published><content>C</content>"), entry.format(t="None", r="rel='edit'", u="https://a/3", s="")]
+    (tmp_path / "a.xml").write_text("<?xml version='1.0'?><feed xmlns='http://www.w3.org/2005/Atom'><title>Feed</title><link href='https://a/'/>" + "".join(items) + "</feed>")
+    got = [(r["pos"], r["title"], r["url"], r["snippet"], r["published"].isoformat()[:16]) for r in files.feed_items(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == [(0, "One", "https://a/1", "A & b", "2026-11-03T06:00"), (1, "Two", "https://a/2", "C", "2026-11-02T06:30")]
+    assert [(r["items"], r["failed"]) for r in files.feed_report(spark, str(tmp_path)).collect()] == [(3, False)]
+
+
 def test_gazetteer(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"towns": ["Nakuru", {"name": "Thika"}], "people": [{"name": "Jane Doe", "id": "jane", "aliases": ["JD"], "case_sensitive": True}], "other": 3}))
     got = sorted(map(tuple, files.gazetteer(spark, str(tmp_path / "g.json"), {"towns": "GPE", "people": "PERSON"}).collect()), key=str)
