@@ -1,103 +1,28 @@
-"""Density clustering of a window (HDBSCAN, from the published algorithm), its guard, and stable ids between runs."""
+"""Clusters of a window (HDBSCAN, from the published algorithm), their guard, and stable ids between runs."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .density import cluster, dense_tree, tree_labels
+from .vectors import distances
 
-def hdbscan(x: np.ndarray, least: int = 2, samples: int = 1) -> np.ndarray:
-    """Labels (-1: noise): mutual reachability, minimum spanning tree, condensed tree, excess of mass. The root is never a cluster."""
+
+def hdbscan(x: np.ndarray, least: int = 2, samples: int = 1, epsilon: float = 0.0) -> np.ndarray:
+    """Labels (-1: noise) of a few points held in memory; `density.cluster` is the same over tables."""
     n = len(x)
     if n < max(least, 2):
         return np.full(n, -1)
-    sq = (x * x).sum(axis=1)
-    d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
+    d = distances(x, x)
     np.fill_diagonal(d, 0)
     core = np.sort(d, axis=1)[:, min(samples, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    inside, dist, parent, edges, at = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), [], 0
-    inside[0] = True
-    for _ in range(n - 1):
-        near = ~inside & (reach[at] < dist)
-        dist[near], parent[near] = reach[at][near], at
-        at = int(np.where(inside, np.inf, dist).argmin())
-        inside[at] = True
-        edges.append((dist[at], int(parent[at]), at))
-    edges.sort(key=lambda e: e[0])
-    root, node, kids, height, size = list(range(n)), list(range(n)), {}, {}, [1] * n
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for w, a, b in edges:
-        a, b = find(a), find(b)
-        new = len(size)
-        kids[new], height[new] = (node[a], node[b]), w
-        size.append(size[node[a]] + size[node[b]])
-        root[b], node[a] = a, new
-
-    def leaves(v: int) -> list[int]:
-        out, todo = [], [v]
-        while todo:
-            t = todo.pop()
-            if t < n:
-                out.append(t)
-            else:
-                todo.extend(kids[t])
-        return out
-
-    # Condensed: a split counts only if both sides have `least` members; else points fall out of the cluster.
-    top = len(size) - 1
-    clusters, todo = {0: {"birth": 0.0, "stability": 0.0, "kids": [], "points": leaves(top)}}, [(top, 0)]
-    while todo:
-        v, c = todo.pop()
-        if v < n:
-            continue
-        lam = 1 / max(height[v], 1e-12)
-        a, b = kids[v]
-        big = [k for k in (a, b) if size[k] >= least]
-        info = clusters[c]
-        if len(big) == 2:
-            info["stability"] += (lam - info["birth"]) * size[v]
-            for k in (a, b):
-                clusters[new := len(clusters)] = {"birth": lam, "stability": 0.0, "kids": [], "points": leaves(k)}
-                info["kids"].append(new)
-                todo.append((k, new))
-        else:
-            gone = sum(size[k] for k in (a, b) if k not in big)
-            info["stability"] += (lam - info["birth"]) * gone
-            todo += [(k, c) for k in big]
-    chosen: dict[int, bool] = {}
-    for c in sorted(clusters, reverse=True):
-        below = sum(clusters[k]["stability"] for k in clusters[c]["kids"])
-        if c and (not clusters[c]["kids"] or clusters[c]["stability"] >= below):
-            chosen[c] = True
-        else:
-            clusters[c]["stability"] = below
-    labels, todo, k = np.full(n, -1), list(clusters[0]["kids"]), 0
-    while todo:
-        c = todo.pop(0)
-        if chosen.get(c):
-            labels[clusters[c]["points"]] = k
-            k += 1
-        else:
-            todo.extend(clusters[c]["kids"])
-    return labels
+    return tree_labels(n, *dense_tree(np.maximum(d, np.maximum(core[:, None], core[None]))), least, epsilon)
 
 
 def cluster_window(vectors: DataFrame, least: int = 2, samples: int = 1) -> DataFrame:
-    """(window, id, label). A window is clustered in one task: the method is global over it; windows run side by side."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({"window": pdf["window"], "id": pdf["id"], "label": hdbscan(np.array(pdf["vector"].tolist(), float), least, samples)})
-
-    return vectors.groupBy("window").applyInPandas(run, "window long, id long, label long")
+    """(window, id, label) of vectors(window, id, vector)."""
+    return cluster(vectors, least, samples)
 
 
 def degenerate(members: DataFrame, most: float = 0.25) -> bool:

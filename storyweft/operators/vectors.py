@@ -73,11 +73,64 @@ def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", colu
     return a.groupBy("ag", "ai", "aj").cogroup(b.groupBy("bg", "bi", "bj")).applyInArrow(_tiles(floor), "a long, b long, sim double")
 
 
-def separation(pairs: DataFrame) -> DataFrame:
-    """First and second nearest similarity of each id, from similar pairs in both directions."""
-    both = pairs.select(F.col("a").alias("id"), "sim").unionByName(pairs.select(F.col("b").alias("id"), "sim"))
-    w = Window.partitionBy("id").orderBy(F.desc("sim"))
-    return both.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("id").agg(F.max("sim").alias("first"), F.min("sim").alias("second"))
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column as rows of a matrix."""
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances; squares are rounded to 12 places, so that equal rows are 0 apart and block sizes don't show."""
+    out = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None]
+    out -= 2 * (x @ y.T)
+    return np.sqrt(np.round(np.maximum(out, 0, out=out), 12, out=out), out=out)
+
+
+def placed(rows: DataFrame, tile: int) -> DataFrame:
+    """rows(g, id, ...) with the block of each and how many of about `tile` rows its group has."""
+    cuts = rows.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    return rows.join(cuts, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def in_tiles(held: DataFrame, run, schema: str, more: list[str] = [], within: Column | None = None) -> DataFrame:  # noqa: B006
+    """run(left, right) over each unordered pair of a group's blocks, placed(...) rows as tables (g, id, v, block, *more). Pairs of a block with itself are left out where `within` is false."""
+    columns = ["g", "id", "v", "block", *more]
+    own = (F.col("other") != F.col("block")) | (within if within is not None else F.lit(True))
+    left = held.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).where(own).select(*columns, F.col("block").alias("i"), F.col("other").alias("j"))
+    right = held.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).where(own).select(*[F.col(c).alias("r_" + c) for c in columns], F.col("other").alias("r_i"), F.col("block").alias("r_j"))
+    return left.groupBy("g", "i", "j").cogroup(right.groupBy("r_g", "r_i", "r_j")).applyInArrow(lambda a, b: run(a, b.rename_columns(a.column_names)), schema)
+
+
+def nearest_each(rows: DataFrame, k: int, tile: int = 2048) -> DataFrame:
+    """rows(g, id, v) -> (g, id, near): the `k` nearest other rows of the group (all, if fewer), as (d, id) by distance, then id. A tile keeps k a row, which are merged; a row alone in its group is left out."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            ids, x = [t.column("id").to_numpy() for t in (left, right)], [matrix(t.column("v")) for t in (left, right)]
+            d = distances(*x)
+            d[ids[0][:, None] == ids[1][None]] = np.inf
+            # A block against itself is met once, as a whole.
+            same = left.column("block")[0].as_py() == right.column("block")[0].as_py()
+            for own, far, m in [(ids[0], ids[1], d)] + ([] if same else [(ids[1], ids[0], d.T)]):
+                n = min(k, m.shape[1])
+                at = np.argpartition(m, n - 1, axis=1)[:, :n]
+                near = np.take_along_axis(m, at, axis=1)
+                i, j = np.nonzero(np.isfinite(near))
+                out.append((own[i], near[i, j], far[at[i, j]]))
+        cells = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        g = left.column("g")[0].as_py() if len(left) else 0
+        return pa.table({"g": np.full(len(cells[0]), g, np.int64), "id": cells[0], "d": cells[1], "other": cells[2]})
+
+    found = in_tiles(placed(rows, tile), run, "g long, id long, d double, other long")
+    return found.groupBy("g", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("other").alias("id")))), 1, k).alias("near"))
+
+
+def separation(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(id, first, second): distances to the nearest and second nearest other row; null where there is none. Every row with an id and a vector comes back; ids are unique."""
+    rows = vectors.select(F.lit(0).cast("long").alias("g"), F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    near = nearest_each(rows, 2).select("id", "near")
+    return rows.select("id").join(near, "id", "left").select("id", F.get("near", F.lit(0)).getField("d").alias("first"), F.get("near", F.lit(1)).getField("d").alias("second"))
 
 
 def collapse_hits(hits: DataFrame, floor: float = 0.25, most: int = 120, show: int = 20) -> DataFrame:

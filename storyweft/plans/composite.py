@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import text as T
-from ..operators import clustering, comparison, evalstats, extract, grouping, models, stories, vectors
+from ..operators import comparison, density, evalstats, extract, grouping, models, stories, vectors
 from ..sources.tables import DUCK_PREFIX, run_sql, table
 from .expressions import ORACLES as ORACLES_TEXT
-from .special import QUERY, _CENT, _DIST, _SIM, _emb
+from .special import QUERY, _APART, _CENT, _DIST, _SIM, _emb, weeks
 
 def _members(s: SparkSession, d: str) -> DataFrame:
     return run_sql(s, d, "SELECT cluster_id, article_id, source, title, category, us FROM members")
@@ -119,19 +119,17 @@ def showcase(s: SparkSession, d: str) -> DataFrame:
 
 
 def separation_stats(s: SparkSession, d: str) -> DataFrame:
-    near = vectors.separation(vectors.similar_pairs(_emb(s, d), 0.2))
-    q = lambda p: F.percentile("first", p)
-    return near.agg(F.count("*").alias("n"), F.round(F.avg("first"), 6).alias("mean"), F.round(q(0.5), 6).alias("median"), F.round(F.min("first"), 6).alias("least"), F.round(q(0.9) - q(0.1), 6).alias("spread"))
+    """Distances to the nearest and second nearest vector; the spread is that of the second."""
+    q = lambda c, p: F.percentile(c, p)
+    return vectors.separation(_emb(s, d)).agg(
+        F.count("*").alias("n"), F.round(F.avg("first"), 6).alias("mean"), F.round(q("first", 0.5), 6).alias("median"), F.round(F.min("first"), 6).alias("least"),
+        F.round(F.avg("second"), 6).alias("mean_second"), F.round(q("second", 0.5), 6).alias("median_second"), F.round(q("second", 0.9) - q("second", 0.1), 6).alias("spread"),
+    )
 
 
 def sweep(s: SparkSession, d: str) -> DataFrame:
-    """Clusters and noise of each window under several settings."""
-    rows = _emb(s, d).select(F.floor(F.col("vec_id") / 500).cast("long").alias("window"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    out = None
-    for least in (2, 4):
-        one = clustering.cluster_window(rows, least=least).groupBy("window").agg(F.lit(least).alias("least"), F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Clusters and noise of each week under all settings."""
+    return density.sweep(weeks(s, d), [2, 3, 4, 5, 6], [1, 2, 3], [0.0, 0.7, 0.75, 0.8])
 
 
 def claim_pool(s: SparkSession, d: str) -> DataFrame:
@@ -193,6 +191,8 @@ QUERIES = {
     "showcase_pick": showcase,
     "separation_stats": separation_stats,
     "hdbscan_sweep": sweep,
+    "hdbscan_stability": lambda s, d: density.stability(weeks(s, d)),
+    "hdbscan_density_curve": lambda s, d: density.density_curve(weeks(s, d), [0.25, 0.4, 0.55, 0.7, 0.85, 1.0]),
     "claim_pair_pool": claim_pool,
     "targeted_tone": target_tones,
     "topic_model": lambda s, d: table(s, d, "documents").select("doc_id", models.column(models.topic, StringType())(F.col("text")).alias("topic")),
@@ -242,7 +242,7 @@ ORACLES = {
     "coverage_pivot": DUCK_PREFIX + ", n AS (SELECT cluster_id, source, count(*) AS n FROM members WHERE source IS NOT NULL GROUP BY cluster_id, source) SELECT cluster_id, string_agg(source || ':' || n, ',' ORDER BY source) AS coverage, count(*) AS outlets FROM n GROUP BY cluster_id",
     "search_with_story": f"WITH {_SIM}, firm AS (SELECT la FROM pairs WHERE la = lb GROUP BY la HAVING avg(sim) >= 0.3) SELECT vec_id, firm.la AS story_id, round(distance, 6) AS distance FROM (SELECT * FROM {_DIST} ORDER BY distance, vec_id LIMIT 20) t LEFT JOIN firm ON firm.la = t.label",
     "related_centroids": f"WITH {_CENT}, n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM cent GROUP BY label), p AS (SELECT x.label AS a, y.label AS b, sum(x.m * y.m) AS s FROM cent x JOIN cent y ON x.pos = y.pos AND x.label < y.label GROUP BY x.label, y.label) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(s / (n.norm * k.norm), 6) AS sim FROM p JOIN n ON n.label = a JOIN n k ON k.label = b WHERE s / (n.norm * k.norm) >= 0.1",
-    "separation_stats": f"WITH {_SIM}, b AS (SELECT a AS id, sim FROM pairs WHERE sim >= 0.2 UNION ALL SELECT b, sim FROM pairs WHERE sim >= 0.2), o AS (SELECT id, max(sim) AS first FROM b GROUP BY id) SELECT count(*) AS n, round(avg(first), 6) AS mean, round(quantile_cont(first, 0.5), 6) AS median, round(min(first), 6) AS least, round(quantile_cont(first, 0.9) - quantile_cont(first, 0.1), 6) AS spread FROM o",
+    "separation_stats": f"WITH {_APART} SELECT count(*) AS n, round(avg(first), 6) AS mean, round(quantile_cont(first, 0.5), 6) AS median, round(min(first), 6) AS least, round(avg(second), 6) AS mean_second, round(quantile_cont(second, 0.5), 6) AS median_second, round(quantile_cont(second, 0.9) - quantile_cont(second, 0.1), 6) AS spread FROM sep",
     "mcnemar_exact": "WITH n AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 2 = 0) AS b, count(*) FILTER (WHERE quality = 0 AND doc_id % 2 = 1) AS c FROM labels), i AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS i FROM n) SELECT b, c, least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) AS p FROM i GROUP BY b, c",
     "upsert_preview": "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, o.toxic FROM (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) o FULL OUTER JOIN (SELECT page_id AS doc_id, 7 AS quality FROM pages WHERE page_id % 2 = 0) n ON n.doc_id = o.doc_id",
     "span_marking": "SELECT page_id, '[[' || substr(url, 1, 4) || ']]' || substr(url, 5) AS marked, coalesce(substr(url, 1, 4) = 'http', false) AS holds FROM pages",

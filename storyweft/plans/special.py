@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
-from ..operators import clustering, comparison, extract, grouping, models, stories, vectors
+from ..operators import clustering, comparison, density, extract, grouping, models, stories, vectors
 from ..operators.snapshots import checkpoint_ready
 from ..sources.tables import DUCK_PREFIX, run_sql, table
 from ..streaming.ingest import rate_limit
@@ -43,9 +43,16 @@ def _stories(s: SparkSession, d: str) -> DataFrame:
     return _emb(s, d).select(F.col("label").cast("long").alias("story"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
 
 
+def weeks(s: SparkSession, d: str) -> DataFrame:
+    """(window, id, vector, source): vectors in windows of seven days of event time, counted back from the newest (0); those without an event have no window."""
+    e = _emb(s, d).join(table(s, d, "events").select(F.col("event_id").alias("vec_id"), "ts"), "vec_id").join(table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "source"), "vec_id", "left")
+    newest = e.agg(F.max("ts").alias("newest"))
+    age = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("newest"))
+    return e.crossJoin(F.broadcast(newest)).select(F.floor(age / (7 * 86_400_000_000)).cast("long").alias("window"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "source")
+
+
 def windows(s: SparkSession, d: str) -> DataFrame:
-    """Vectors in windows of 500 ids, each clustered by itself."""
-    return clustering.cluster_window(_emb(s, d).select(F.floor(F.col("vec_id") / 500).cast("long").alias("window"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return density.cluster(weeks(s, d))
 
 
 def kept_ids(s: SparkSession, d: str) -> DataFrame:
@@ -84,7 +91,7 @@ QUERIES = {
     "medoid_title": medoid_title,
     "quantize_int8": lambda s, d: _emb(s, d).select("vec_id", vectors.quantise(F.col("embedding")).alias("q")).select("vec_id", F.round("q.scale", 9).alias("scale"), F.aggregate("q.codes", F.lit(0), lambda a, x: a + F.abs(x)).alias("mass")),
     "pairwise_similar_claims": lambda s, d: vectors.similar_pairs(_emb(s, d), 0.35, group="label").select("a", "b", F.round("sim", 6).alias("sim")),
-    "nn_separation": lambda s, d: vectors.separation(vectors.similar_pairs(_emb(s, d), 0.2)).select("id", F.round("first", 6).alias("first"), F.round("second", 6).alias("second")),
+    "nn_separation": lambda s, d: vectors.separation(_emb(s, d)).select("id", F.round("first", 6).alias("first"), F.round("second", 6).alias("second")),
     "collapse_hits_per_story": collapsed,
     "coverage_groups": covered,
     "leader_groups": lambda s, d: grouping.leader_groups(_stories(s, d), 0.3),
@@ -103,6 +110,7 @@ QUERIES = {
 _DIST = f"(SELECT vec_id, label, 1 - list_inner_product(CAST(embedding AS DOUBLE[]), {QUERY}) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS distance FROM embeddings)"
 _CENT = "cells AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings), cent AS (SELECT label, pos, count(*) AS n, avg(CAST(x AS DOUBLE)) AS m FROM cells GROUP BY label, pos)"
 _SIM = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+_APART = "far AS (SELECT a.vec_id AS id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a LEFT JOIN embeddings b ON a.vec_id <> b.vec_id), sep AS (SELECT id, list_sort(list(d))[1] AS first, list_sort(list(d))[2] AS second FROM far GROUP BY id)"
 ORACLES = {
     "story_list": DUCK_PREFIX + "SELECT s.cluster_id, s.outlets, s.article_count, x.sources, s.latest, s.latest_title FROM stories s JOIN (SELECT cluster_id, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT cluster_id, source FROM members) y GROUP BY cluster_id) x ON x.cluster_id = s.cluster_id WHERE outlets >= 2 ORDER BY outlets DESC, article_count DESC, s.cluster_id LIMIT 20",
     "cluster_centroid": f"WITH {_CENT} SELECT label, n, CAST(pos AS INTEGER) AS pos, round(m, 6) AS m FROM cent",
@@ -113,6 +121,6 @@ ORACLES = {
     "medoid_title": f"WITH {_CENT}, s AS (SELECT c.label, e.vec_id, sum(CAST(e.embedding[c.pos + 1] AS DOUBLE) * c.m) AS sim FROM embeddings e JOIN cent c ON c.label = e.label GROUP BY c.label, e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS rn FROM s) SELECT label, vec_id AS medoid, trim(split_part(text, chr(10), 1)) AS title FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rn = 1",
     "quantize_int8": "WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127 AS scale FROM embeddings) SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(list_transform(embedding, lambda x: abs(CAST(round_even(CAST(x AS DOUBLE) / scale, 0) AS INTEGER)))) AS INTEGER) AS mass FROM s",
     "pairwise_similar_claims": f"WITH {_SIM} SELECT a, b, round(sim, 6) AS sim FROM pairs WHERE la = lb AND sim >= 0.35",
-    "nn_separation": f"WITH {_SIM}, b AS (SELECT a AS id, sim FROM pairs WHERE sim >= 0.2 UNION ALL SELECT b, sim FROM pairs WHERE sim >= 0.2), r AS (SELECT id, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC) AS rn FROM b) SELECT id, round(max(sim), 6) AS first, round(min(sim), 6) AS second FROM r WHERE rn <= 2 GROUP BY id",
+    "nn_separation": f"WITH {_APART} SELECT id, round(first, 6) AS first, round(second, 6) AS second FROM sep",
     "coverage_groups": DUCK_PREFIX + ", o AS (SELECT cluster_id AS story, source, bool_or(article_id % 2 = 0) AS readable FROM members GROUP BY 1, 2), g AS (SELECT cluster_id AS story, category AS grp, source, bool_or(article_id % 3 > 0) AS same FROM members GROUP BY 1, 2, 3), k AS (SELECT DISTINCT story, grp FROM g), t AS (SELECT k.story, k.grp, s.source, CASE WHEN g.same THEN 'r' WHEN g.source IS NOT NULL THEN 'm' WHEN s.readable THEN 'o' END AS kind FROM k JOIN o s ON s.story = k.story LEFT JOIN g ON g.story = k.story AND g.grp = k.grp AND g.source = s.source) SELECT story, grp, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE kind = 'r'), '') AS reported_by, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE kind = 'm'), '') AS related, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE kind = 'o'), '') AS omitted_by FROM t GROUP BY story, grp",
 }
