@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Function words that Title Case capitalises, English function words, markers of running totals, reporting verbs by family, words of controversy, short titles, words of attribution, authorities, kinds of entities that can be framed, currencies.
-FUNCTION_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "with"]
+FUNCTION_WORDS = [
+    "a", "an", "the", "and", "or", "but", "nor", "of", "in", "on", "at", "to", "for", "with", "into", "onto", "over", "after", "from", "as", "by", "about", "amid",
+    "against", "before", "between", "during", "under", "up", "out", "off", "is", "are", "was", "were", "be", "will", "his", "her", "their", "its", "this", "that",
+    "who", "what", "why", "how", "not", "no", "than", "via", "per",
+]
 ENGLISH = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "this", "to", "was", "were", "which", "will", "with"]
 CUMULATIVE = [
     "since", "so far", "to date", "this year", "last year", "nationally", "in total", "altogether", "annually", "cumulative", "year to date",
@@ -134,15 +138,17 @@ def verb_family(phrase: Column) -> Column:
 
 
 def inflections(verb: str) -> str:
-    """A regular expression of a verb's forms; of a phrase, those of its first word before the rest as it is."""
+    """A regular expression of a verb's forms, a final consonant doubled or not; of a phrase, those of its first word before the rest as it is."""
     verb, _, rest = verb.partition(" ")
     if rest:
         return inflections(verb) + r"\s+" + rest
-    if verb.endswith("y"):
+    before, last = verb[-2:-1], verb[-1:]
+    if last == "y" and before not in "aeiou":
         return f"{verb[:-1]}(y|ies|ied|ying)"
-    if verb.endswith("e"):
+    if last == "e":
         return f"{verb[:-1]}(e|es|ed|ing)"
-    return f"{verb}(s|es|ed|ing)?"
+    doubled = f"|{last}ed|{last}ing" if before and before in "aeiou" and last not in "aeiouwxy" else ""
+    return f"{verb}(s|es|ed|ing{doubled})?"
 
 
 #: Headlines with a verb of attack or denial, or a word of controversy.

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Number words, scales, casualty states, authorities, reporting verbs, titles.
+# Number words, scales, casualty states, currencies, units of time, persons and money, what stands before an age, nouns that are not counted, stop words, reporting verbs, titles.
 NUMBERS = {
     "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
     "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
@@ -23,13 +23,36 @@ STATES = {
     "arrested": ["arrested", "detained"],
     "rescued": ["rescued", "evacuated"],
 }
-CURRENCIES = {"$": "USD", "us$": "USD", "€": "EUR", "£": "GBP", "sh": "KES", "ksh": "KES", "kes": "KES"}
+CURRENCIES = {"$": "USD", "us$": "USD", "usd": "USD", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP", "sh": "KES", "ksh": "KES", "kes": "KES"}
+TIMES = ["hour", "day", "week", "month", "year"]
+PERSONS = {
+    "people", "person", "persons", "resident", "residents", "leader", "leaders", "worker", "workers", "trader", "traders", "student", "students", "voter", "voters",
+    "delegate", "delegates", "teacher", "teachers", "farmer", "farmers", "officer", "officers", "patient", "patients", "family", "families", "household", "households",
+    "refugee", "refugees", "passenger", "passengers", "victim", "victims", "survivor", "survivors", "civilian", "civilians",
+}
+MONEY = {
+    "investment", "investments", "funding", "budget", "budgets", "revenue", "worth", "cost", "costs", "fdi", "capital", "loan", "loans", "debt", "refund", "aid",
+    "grant", "grants", "profit", "turnover", "sales", "salary", "salaries", "wage", "wages", "allocation", "bailout",
+}
+AGES = r"\b(?:aged|age of|at the age of|died at|dies at|was)\s*$"
+UNCOUNTED = {"time", "way", "part", "number", "total", "case", "point", "kind", "sort", "lot", "bit", "end", "side", "level", "rate", "value", "result", "figure", "one", "other", "same", "such", "own", "half", "third", "quarter"}
+STOPPED = {
+    "the", "a", "an", "and", "or", "but", "of", "in", "on", "at", "to", "for", "from", "with", "by", "as", "is", "are", "was", "were", "be", "been", "has", "have", "had", "that", "this",
+    "these", "those", "it", "its", "their", "his", "her", "they", "them", "than", "then", "there", "over", "under", "after", "before", "into", "about", "more", "most", "least", "some",
+    "new", "now", "across", "within", "during", "through", "near", "around", "between", "among", "since", "until", "against", "per", "each", "every", "another", "also", "will", "would",
+    "can", "could", "may", "still", "yet", "not", "said", "says", "say", "told", "confirmed", "announced", "reported", "according", "shows", "showed", "show", "data", "report", "reports",
+    "gives", "give", "given", "gave", "reached", "reach", "rose", "stood", "raised", "remain", "remains", "remained", "added", "noted", "revealed",
+}
 SPEAKING = ["said", "says", "told", "stated", "added", "argued", "claimed", "denied", "warned", "noted", "explained", "insisted"]
 TITLES = ["president", "deputy president", "minister", "senator", "governor", "mp", "dr", "prof", "mr", "mrs", "ms", "judge", "pastor"]
 PARTICLES = ["ole", "arap", "wa", "bin", "binti", "de", "van"]
 FURNITURE = re.compile(r"^(read also|read more|advertisement|share this|subscribe|photo:|follow us)", re.I)
 
-_FIGURE = re.compile(r"(?:(?P<cur>us\$|[$€£]|\b(?:ksh|kes|sh)\.?\s*)|(?<![\w.,]))(?P<num>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\b(?:" + "|".join(NUMBERS) + r")\b)(?:\s*(?P<scale>" + "|".join(SCALES) + r")\b)?(?P<pct>\s*(?:%|per\s?cent\b|percent\b))?", re.I)
+_FIGURE = re.compile(
+    r"(?:(?P<cur>us\$|[$€£]|\b(?:usd|eur|gbp|ksh|kes|sh)\.?\s*)|(?<![\w.,]))(?P<num>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\b(?:" + "|".join(NUMBERS) + r")\b)"
+    r"(?:\s*(?P<scale>" + "|".join(SCALES) + r")\b)?(?:(?P<pct>\s*(?:%|per\s?cent\b|percent\b))|(?P<after>\s*(?:usd|eur|gbp|ksh|kes)\b))?",
+    re.I,
+)
 _WORD = re.compile(r"[A-Za-z][A-Za-z'-]*")
 _QUOTE = re.compile(r"[\"“]([^\"“”]+)[\"”]|(?<![\w'])['‘]([^'‘’]+(?:['’]\w[^'‘’]*)*)['’](?!\w)")
 _NAME = r"[A-Z][\w'-]+(?:\s+(?:(?:" + "|".join(PARTICLES) + r")\s+)?[A-Z][\w'-]+){0,3}"
@@ -62,42 +85,81 @@ def state_of(text: str) -> str | None:
     return found[0] if len(found) == 1 else None
 
 
+#: What a word beside a number says that it counts.
+_UNITS = {w: (f"{t}s", None) for t in TIMES for w in (t, f"{t}s")} | dict.fromkeys(["percent", "per", "cent", "%"], ("percent", None)) | dict.fromkeys(MONEY, ("currency", None)) | dict.fromkeys(PERSONS, ("people", None)) | {w: ("people", state) for state, names in STATES.items() for w in names}
+
+
+def singular(word: str) -> str:
+    for tail, cut_, put in (("ies", 3, "y"), ("ses", 2, ""), ("xes", 2, ""), ("zes", 2, ""), ("ches", 2, ""), ("shes", 2, "")):
+        if word.endswith(tail) and (tail != "ies" or len(word) > 4):
+            return word[:-cut_] + put
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") and len(word) > 3 else word
+
+
+def _near_unit(words: list[str]) -> tuple[str | None, str | None, str | None]:
+    """(unit, word, state) by the first word that has one; persons take a state named further on."""
+    at = next((i for i, w in enumerate(words) if w in _UNITS), None)
+    if at is None:
+        return None, None, None
+    unit, state = _UNITS[words[at]]
+    if words[at] in PERSONS:
+        state = next((_UNITS[w][1] for w in words[at + 1 :] if w in _UNITS and _UNITS[w][1]), None)
+    return unit, None if state and words[at] not in PERSONS else words[at], state
+
+
+def _counted(words: list[str]) -> str | None:
+    """The noun that ends the run of plain words after a number."""
+    span = []
+    for w in words[:4]:
+        if w in STOPPED or w in SCALES or w in UNCOUNTED or len(w) < 3 or not w.isalpha():
+            break
+        span.append(w)
+    return singular(span[-1]) if span else None
+
+
 def figures(sentence: str | None) -> list[dict]:
-    """Figures with value, unit, state, currency and offsets. Years, ages and digits glued to letters are none."""
+    """Figures with value, unit, state, currency, the word that is the unit, and offsets. Years, ages and digits glued to letters are none.
+
+    The unit is percent or money where the figure says so, else what the nearest word says, up to the next number, then
+    from the last number on; of a scaled number it is money, else the noun counted."""
     s = sentence or ""
-    marks = [m for m in _FIGURE.finditer(s) if not (m.end() < len(s) and s[m.end()].isalpha() and m["num"][-1].isdigit() and not m["scale"])]
+    marks = [m for m in _FIGURE.finditer(s) if not (m.end("num") < len(s) and s[m.end("num")].isalpha() and m["num"][-1].isdigit() and not m["scale"] and not m["after"])]
     out = []
     for k, m in enumerate(marks):
-        raw = m["num"].lower()
+        raw, bare = m["num"].lower(), not (m["scale"] or m["pct"] or m["cur"] or m["after"])
         value = float(NUMBERS[raw]) if raw in NUMBERS else float(raw.replace(",", ""))
-        cur = CURRENCIES.get((m["cur"] or "").lower().strip(" ."))
-        if not (m["scale"] or m["pct"] or cur) and re.fullmatch(r"(19|20)\d\d|2100", raw):
+        cur = CURRENCIES.get((m["cur"] or m["after"] or "").lower().strip(" ."))
+        if bare and re.fullmatch(r"(19|20)\d\d|2100", raw):
             continue
         after = s[m.end() : marks[k + 1].start() if k + 1 < len(marks) else len(s)]
-        before = s[marks[k - 1].end() if k else 0 : m.start()]
-        if re.match(r"[- ]?years?[- ]old|,? aged\b", after.strip(), re.I):
+        before = s[max(marks[k - 1].end() if k else 0, m.start() - 60) : m.start()]
+        if bare and (re.match(r"[- ]?years?[- ]old|,? aged\b", after.strip(), re.I) or re.search(AGES, s[max(0, m.start() - 24) : m.start()], re.I)):
             continue
         value *= SCALES.get((m["scale"] or "").lower(), 1)
-        near = [w.lower() for w in _WORD.findall(after)][:4]
-        unit = "percent" if m["pct"] else cur or _counted(near) or _counted([w.lower() for w in _WORD.findall(before[-60:])][::-1][:3])
-        state = state_of(" ".join(near)) or state_of(s)
-        out.append({"value": value, "unit": unit, "state": state if unit in ("people", "person", None) or state else None, "currency": cur, "start": m.start("num"), "end": m.end()})
+        words = [w.lower() for w in re.findall(r"[A-Za-z][A-Za-z'-]*|%", after)]
+        if m["pct"] or cur:
+            unit, word, state = ("percent" if m["pct"] else "currency"), None, None
+        else:
+            unit, word, state = _near_unit(words)
+            if not unit:
+                unit, word, state = _near_unit([w.lower() for w in re.findall(r"[A-Za-z][A-Za-z'-]*|%", before)][::-1])
+            if not unit and m["scale"] and len(m["scale"]) > 1:
+                unit = "currency"
+            if not unit:
+                unit = word = _counted(words)
+            if unit == "people":
+                state = state or state_of(s)
+        out.append({"value": value, "unit": unit, "state": state, "currency": cur, "word": word, "start": m.start("num"), "end": m.end()})
     return out
 
 
-_PEOPLE = {"people", "persons", "residents", "civilians", "men", "women", "children", "students", "passengers", "victims", "bodies", "deaths"}
-_SKIP = {"were", "was", "are", "have", "had", "been", "the", "of", "in", "at", "and", "more", "than", "other", "others", "from", "to", "after", "on", "by", "a", "an", "least", "about", "some"}
-
-
-def _counted(words: list[str]) -> str | None:
-    """What is counted: the first plain noun among the next words; persons are one unit however called."""
-    for w in words:
-        if w in _PEOPLE or any(w in names for names in STATES.values()):
-            return "people"
-        if w in _SKIP:
-            continue
-        return w[:-3] + "y" if w.endswith("ies") else w[:-1] if w.endswith("s") and not w.endswith("ss") else w
-    return None
+def subject(text: str | None, word: str | None = None) -> dict:
+    """What a figure is about: tokens (plain words of the sentence, singular, without the figure's own unit word), acronyms (initials of three or four of them in a row), upper (words written in capitals)."""
+    drop = STOPPED | set(SCALES) | {w for w, (unit, state) in _UNITS.items() if unit in ("percent", "people") or w.rstrip("s") in TIMES}
+    plain = [w for w in _WORD.findall(text or "") if len(w) >= 3 and w.lower() not in drop]
+    stems = [singular(w.lower()) for w in plain]
+    initials = {"".join(w[0] for w in stems[i : i + n]) for n in (3, 4) for i in range(len(stems) - n + 1)}
+    return {"tokens": sorted(set(stems) - {singular(word) if word else ""}), "acronyms": sorted(initials), "upper": sorted({w.lower() for w in plain if w.isupper()})}
 
 
 def quotes(text: str | None) -> list[dict]:

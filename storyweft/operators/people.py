@@ -2,30 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import worth_framing
-from .grouping import _unit, align_quotes
+from ..functions.text import true_case, worth_framing
+from .grouping import _unit, unite
+from .models import relation
+
+
+#: How a version relates to the first, by what a model of entailment says of the two.
+RELATIONS = {"same": "same", "first_more": "says less", "second_more": "says more", "different": "worded differently"}
+
+
+def _versions(rows: list[dict], sim: np.ndarray, floor: float, same: float) -> list[list[int]]:
+    """Remarks of one story, each its versions in order, the first leading.
+
+    Speakers that two outlets credit with nearly the same words are one; a speaker's attributed quotes lead, and a lead
+    takes the first near enough quote of every other outlet."""
+    n = len(rows)
+    source = np.array([r["source"] for r in rows], object)
+    known = [r["speaker"] for r in rows]
+    alike = [(i, j) for i, j in zip(*np.nonzero(np.triu(sim >= same, 1)), strict=True) if source[i] != source[j]]
+    first_of: dict[str, int] = {}
+    one = [(first_of.setdefault(k, i), i) for i, k in enumerate(known) if k is not None]
+    speaker = unite(n, [*alike, *one])
+    out, free = [], dict.fromkeys(sorted(range(n), key=lambda i: (speaker[i], known[i] is None, i)))
+    while free:
+        lead = next(iter(free))
+        near = [i for i in free if i != lead and speaker[i] == speaker[lead] and sim[lead, i] >= floor and source[i] != source[lead]]
+        group = [lead, *{source[i]: i for i in reversed(near)}.values()]
+        for i in group:
+            free.pop(i)
+        out.append([lead, *sorted(group[1:], key=near.index)])
+    return out
 
 
 def remarks(quotes: DataFrame, floor: float = 0.7, same: float = 0.9) -> DataFrame:
-    """quotes(story, pos, source, speaker, quote, vector) -> story, remark (its first place), pos, version (from 0), outlets, shared.
+    """quotes(story, pos, source, speaker, wording, lang, vector) -> story, remark (its first place), pos, version (from 0), outlets, shared, relation.
 
-    One remark has one version of each outlet; a quote that none shares is a remark of its own. One story is one task's
-    work, as a story has few quotes."""
+    One remark has one version of each outlet; a quote that none shares is a remark of its own. relation says of a
+    version whether it says the same as the first, more, less, or is worded differently; only English ones are compared.
+    One story is one task's work, as a story has few quotes; places are unique in it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        x, rows = _unit(pdf["vector"]), pdf[["source", "speaker"]].to_dict("records")
-        groups = align_quotes(rows, x @ x.T, floor, same)
-        taken = {i for g in groups for i in g}
-        groups += [[i] for i in range(len(pdf)) if i not in taken]
-        pos = pdf["pos"].tolist()
-        out = [(pdf["story"][0], pos[g[0]], pos[i], v, len(g), len(g) > 1) for g in groups for v, i in enumerate(g)]
-        return pd.DataFrame(out, columns=["story", "remark", "pos", "version", "outlets", "shared"])
+        rows = pdf.sort_values("pos", kind="stable").astype(object).where(lambda x: x.notna(), None).to_dict("records")
+        x = _unit(pd.Series([r["vector"] for r in rows]))
+        out = []
+        for group in _versions(rows, x @ x.T, floor, same):
+            lead = rows[group[0]]
+            for v, i in enumerate(group):
+                both = v and lead["lang"] == rows[i]["lang"] == "en"
+                how = "first" if not v else RELATIONS[relation(lead["wording"] or "", rows[i]["wording"] or "")] if both else "not compared"
+                out.append((lead["story"], lead["pos"], rows[i]["pos"], v, len(group), len(group) > 1, how))
+        return pd.DataFrame(out, columns=["story", "remark", "pos", "version", "outlets", "shared", "relation"])
 
-    return quotes.groupBy("story").applyInPandas(run, "story long, remark long, pos long, version long, outlets long, shared boolean")
+    return quotes.groupBy("story").applyInPandas(run, "story long, remark long, pos long, version long, outlets long, shared boolean, relation string")
 
 
 def remark_split(versions: DataFrame) -> DataFrame:
@@ -38,23 +70,26 @@ def remark_split(versions: DataFrame) -> DataFrame:
 
 
 def folded_names(mentions: DataFrame) -> DataFrame:
-    """mentions(story, key) -> story, key, canonical: a key whose words are all in a longer (then commoner, then earlier in the alphabet) one's of its story is that one.
-
-    Keys are counted first, so that a story's task has one row a key."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = {k: frozenset(k.split()) for k in pdf["key"]}
-        count = dict(zip(pdf["key"], pdf["n"], strict=True))
-        kept: list[str] = []
-        found = {}
-        for k in sorted(words, key=lambda k: (-len(k.split()), -count[k], k)):
-            found[k] = next((c for c in kept if words[k] and words[k] <= words[c]), k)
-            if found[k] == k:
-                kept.append(k)
-        return pd.DataFrame({"story": pdf["story"], "key": pdf["key"], "canonical": [found[k] for k in pdf["key"]]})
-
-    counts = mentions.where("key is not null").groupBy("story", "key").agg(F.count("*").alias("n"))
-    return counts.groupBy("story").applyInPandas(run, "story long, key string, canonical string")
+    """mentions(story, key) -> story, key, canonical: of the keys of its story that have all its words, itself included, the one of most words, then the commonest, then the first in the alphabet.
+
+    A key meets only those that have its rarest word of the story, so that a common word does not pair all keys. A key
+    without words is its own; null keys are left out."""
+    keys = mentions.where("key is not null").groupBy("story", "key").agg(F.count("*").alias("n")).withColumn("words", F.filter(F.split("key", r"\s+"), lambda w: w != ""))
+    each = keys.select("story", "key", F.explode(F.array_distinct("words")).alias("word"))
+    rarest = each.join(each.groupBy("story", "word").agg(F.count("*").alias("k")), ["story", "word"]).groupBy("story", "key").agg(F.min_by("word", F.struct("k", "word")).alias("word"))
+    place = F.struct((-F.size("words")).alias("l"), (-F.col("n")).alias("n"), F.col("key").alias("longer"))
+    longer = keys.select("story", place.alias("place"), F.col("words").alias("having"), F.explode(F.array_distinct("words")).alias("word"))
+    met = keys.join(rarest, ["story", "key"]).join(longer, ["story", "word"]).where(F.size(F.array_except("words", "having")) == 0)
+    best = met.groupBy("story", "key").agg(F.min("place").alias("best"))
+    return keys.join(best, ["story", "key"], "left").select("story", "key", F.coalesce("best.longer", "key").alias("canonical"))
+
+
+def true_cased(titles: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """titles(id, title) -> id, cased: Title Case headlines as lexicon(word, form), of unique words, writes them. A title is sent its own words' forms only."""
+    words = titles.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("title", F.lit(r"[\p{L}']+"), F.lit(0)), F.lower))).alias("word"))
+    forms = words.distinct().join(lexicon.select("word", "form"), "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "form"))).alias("forms"))
+    none = F.create_map().cast("map<string,string>")
+    return titles.join(forms, "id", "left").select("id", true_case(F.col("title"), F.coalesce("forms", none)).alias("cased"))
 
 
 def framed_mentions(mentions: DataFrame) -> DataFrame:

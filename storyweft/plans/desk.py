@@ -1,4 +1,4 @@
-"""The desk's operators: wording, names, remarks, portrayal and framing. The SQL is written apart from the operators; small tables have hand-written answers."""
+"""The desk's operators: wording, names, remarks, portrayal and framing. The SQL is written apart from the operators."""
 
 from __future__ import annotations
 
@@ -7,34 +7,48 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..operators import evalstats, people, stories
 from ..sources.tables import DUCK_PREFIX, run_sql, table
+from .expressions import casing_lexicon
 
-# Quotes of two stories: place, outlet, speaker, wording, direction of the vector.
-_QUOTES = [
-    (1, 1, "a", "otieno", "we will win", [1.0, 0.0, 0.0]), (1, 2, "b", "otieno", "we will win", [1.0, 0.0, 0.0]), (1, 3, "c", None, "we shall win", [0.9, 0.436, 0.0]),
-    (1, 4, "a", "wanjiku", "prices fall", [0.0, 1.0, 0.0]), (1, 5, "b", "achieng", "no deal", [0.0, 0.0, 1.0]), (2, 6, "a", "otieno", "we will win", [1.0, 0.0, 0.0]),
-    (2, 7, "a", "otieno", "we will win", [1.0, 0.0, 0.0]), (2, 8, "b", None, "rain is near", [0.0, 1.0, 0.0]),
-]
-_REMARKS = "(1, 1, 1, 0, 3, true), (1, 1, 2, 1, 3, true), (1, 1, 3, 2, 3, true), (1, 4, 4, 0, 1, false), (1, 5, 5, 0, 1, false), (2, 6, 6, 0, 1, false), (2, 7, 7, 0, 1, false), (2, 8, 8, 0, 1, false)"
-# Mentions of three texts: text, place, kind, name, verb in it, key, share of the corpus that has it.
-_MENTIONS = [
-    (1, 0, "PERSON", "William Ruto", False, "william ruto", 0.02), (1, 40, "PERSON", "Ruto", False, "ruto", 0.05), (1, 90, "PERSON", "Ruto", False, "ruto", 0.05), (1, 120, "DATE", "Monday", False, "monday", 0.1),
-    (1, 130, "GPE", "Kenya", False, "kenya", 0.6), (2, 0, "ORG", "KRA", False, "kra", 0.01), (2, 9, "ORG", "Kenya Revenue Authority Board Members", False, "kenya revenue authority board members", 0.0),
-    (2, 30, "EVENT", "Protests Rock Town", True, "protests rock town", 0.0), (2, 50, "PERSON", "Bo", False, "bo", 0.0), (3, 5, "LAW", "Finance Act", None, "finance act", None), (3, 9, "PERSON", "Jane Ruto", False, "jane ruto", 0.0), (3, 20, "PERSON", "Ruto", False, "ruto", 0.05),
-]
+#: A run of capitalised words, as a name may be written.
+_NAMES = "[A-Z][a-z]+(?: [A-Z][a-z]+)*"
 _EXCERPT = 60
 
 
-def _quotes(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(_QUOTES, "story long, pos long, source string, speaker string, wording string, vector array<double>")
+def _quotes(s: SparkSession, d: str) -> DataFrame:
+    """Headlines of stories as quotes: every third has no speaker, the others' languages are theirs."""
+    rows = run_sql(s, d, "SELECT cluster_id, article_id, source, category, title, embedding FROM articles WHERE cluster_id IS NOT NULL")
+    speaker = F.when(F.col("article_id") % 3 > 0, F.concat(F.col("category"), (F.col("article_id") % 5).cast("string")))
+    return rows.select(F.col("cluster_id").cast("long").alias("story"), F.col("article_id").alias("pos"), F.coalesce("source", F.lit("")).alias("source"), speaker.alias("speaker"), F.col("title").alias("wording"), F.col("category").alias("lang"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def _mentions(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(_MENTIONS, "text_id long, start long, kind string, name string, has_verb boolean, key string, share double")
+def quote_remarks(s: SparkSession, d: str) -> DataFrame:
+    return people.remarks(_quotes(s, d), 0.05, 0.3)
 
 
 def remark_split(s: SparkSession, d: str) -> DataFrame:
-    q = _quotes(s)
-    return people.remark_split(people.remarks(q).join(q.select("story", "pos", "speaker", "wording"), ["story", "pos"]))
+    q = _quotes(s, d)
+    return people.remark_split(people.remarks(q, 0.05, 0.3).join(q.select("story", "pos", "speaker", "wording"), ["story", "pos"]))
+
+
+def _folded(s: SparkSession, d: str) -> DataFrame:
+    """Names in whole texts of stories, each with the name that it is short for."""
+    rows = run_sql(s, d, "SELECT cluster_id AS story, text FROM articles WHERE cluster_id IS NOT NULL")
+    return people.folded_names(rows.select(F.col("story").cast("long").alias("story"), F.explode(F.transform(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0)), F.lower)).alias("key")))
+
+
+def _framed(s: SparkSession, d: str) -> DataFrame:
+    """Names in whole texts: several words are a person, long ones an organisation, others a day or a place; ones in -ing are verbs."""
+    docs = table(s, d, "documents").where("text is not null")
+    found = docs.select(F.col("doc_id").alias("text_id"), F.posexplode(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0))).alias("start", "name")).withColumn("key", F.lower("name"))
+    kind = F.when(F.contains("name", F.lit(" ")), "PERSON").when(F.length("name") >= 9, "ORG").when(F.length("name") >= 6, "DATE").otherwise("GPE")
+    shares = found.groupBy("key").agg(F.countDistinct("text_id").alias("k")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("all_")))).select("key", (F.col("k") / F.col("all_")).alias("share"))
+    return people.framed_mentions(found.withColumn("kind", kind).withColumn("has_verb", F.col("name").endswith("ing")).join(shares, "key")).select("text_id", "start", "key")
+
+
+def _cased(s: SparkSession, d: str) -> DataFrame:
+    """First lines, Title Case ones as the corpus mostly writes their words."""
+    titles = _first_lines(s, d).select(F.col("doc_id").alias("id"), "title")
+    return people.true_cased(titles, casing_lexicon(s, d))
 
 
 def _portrayed(s: SparkSession, d: str) -> DataFrame:
@@ -62,12 +76,6 @@ def _first_lines(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", "text", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
 
 
-def _cased(s: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "Minister Denies Claim Of Graft In Nairobi"), (2, "IEBC Says Vote In Kisumu Is Free"), (3, "Rain falls in Nairobi"), (4, None), (5, "“Peace” Deal Signed By The KRA")]
-    lexicon = {"denies": "denies", "claim": "claim", "of": "of", "graft": "graft", "in": "in", "says": "says", "vote": "vote", "is": "is", "free": "free", "deal": "deal", "signed": "signed", "by": "by", "the": "the", "nairobi": "Nairobi", "peace": "peace"}
-    return s.createDataFrame(rows, "id long, title string").select("id", T.true_case(F.col("title"), F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])).alias("cased"))
-
-
 def _pruned(s: SparkSession, d: str) -> DataFrame:
     """Maps of outlets without their records, opened again."""
     per = run_sql(s, d, "SELECT cluster_id, source, count(*) AS n, max(title) AS records FROM members WHERE source IS NOT NULL GROUP BY cluster_id, source")
@@ -82,10 +90,10 @@ def _comparable(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "quote_remarks": lambda s, d: people.remarks(_quotes(s)),
+    "quote_remarks": quote_remarks,
     "quote_remark_split": remark_split,
-    "entity_alias_folding": lambda s, d: people.folded_names(_mentions(s).where("kind = 'PERSON'").select(F.lit(1).cast("long").alias("story"), "key")),
-    "mentions_worth_framing": lambda s, d: people.framed_mentions(_mentions(s)).select("text_id", "start", "key"),
+    "entity_alias_folding": _folded,
+    "mentions_worth_framing": _framed,
     "portrayal_by_outlet": lambda s, d: people.portrayal(_portrayed(s, d)),
     "framing_view_top3": lambda s, d: people.framing_view(_scores(s, d)),
     "threshold_f1_grid": lambda s, d: evalstats.threshold_scores(_graded(s, d)).select("step", F.round("f1", 9).alias("f1")),
@@ -108,22 +116,31 @@ QUERIES = {
     "centroid_order_rounded": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 3).alias("score")).orderBy(F.desc("score"), "vec_id").limit(50),
 }
 
-_ENTITIES = "(1, 'william ruto', 'william ruto'), (1, 'ruto', 'jane ruto'), (1, 'jane ruto', 'jane ruto'), (1, 'bo', 'bo')"
 _STEP = """g AS (SELECT CASE WHEN toxic = 1 THEN 'neg' WHEN quality = 1 THEN 'pos' ELSE 'neu' END AS gold, doc_id * 7919 % 201 - 100 AS s FROM labels WHERE doc_id IS NOT NULL),
 t AS (SELECT unnest(range(0, 81)) AS step), p AS (SELECT step, gold, CASE WHEN s > step THEN 'pos' WHEN s < -step THEN 'neg' ELSE 'neu' END AS guess FROM t, g),
 c AS (SELECT unnest(['neg', 'neu', 'pos']) AS c), e AS (SELECT step, c, count(*) FILTER (WHERE gold = c AND guess = c) AS tp, count(*) FILTER (WHERE (gold = c) <> (guess = c)) AS wrong FROM p, c GROUP BY step, c),
 f AS (SELECT step, sum(CASE WHEN tp > 0 THEN 2 * tp / CAST(2 * tp + wrong AS DOUBLE) ELSE 0 END) / 3 AS f1 FROM e GROUP BY step)"""
 _ATTR, _AUTH = "(?i)\\b(?:" + "|".join(T.ATTRIBUTES) + ")\\b", "(?i)\\b(" + "|".join(T.AUTHORITIES) + ")\\b"
 ORACLES = {
-    "quote_remarks": f"SELECT * FROM (VALUES {_REMARKS}) t(story, remark, pos, version, outlets, shared)",
-    "quote_remark_split": "SELECT * FROM (VALUES (1, 1, 0, 2, 2), (2, 0, 0, 3, 1)) t(story, shared, all_same, single, single_speakers)",
-    "entity_alias_folding": f"SELECT * FROM (VALUES {_ENTITIES}) t(story, key, canonical)",
-    "mentions_worth_framing": "SELECT * FROM (VALUES (1, 0, 'william ruto'), (1, 40, 'ruto'), (2, 0, 'kra'), (3, 5, 'finance act'), (3, 9, 'jane ruto'), (3, 20, 'ruto')) t(text_id, start, key)",
+    "entity_alias_folding": DUCK_PREFIX + """, k AS (SELECT CAST(cluster_id AS BIGINT) AS story, key, count(*) AS n, string_split(key, ' ') AS w FROM (SELECT cluster_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS key FROM articles WHERE cluster_id IS NOT NULL) GROUP BY ALL),
+p AS (SELECT a.story, a.key, b.key AS canonical, row_number() OVER (PARTITION BY a.story, a.key ORDER BY len(b.w) DESC, b.n DESC, b.key) AS rn FROM k a JOIN k b ON a.story = b.story AND (a.key = b.key OR (len(b.w) > 1 AND list_has_all(b.w, a.w))))
+SELECT story, key, canonical FROM p WHERE rn = 1""",
+    "mentions_worth_framing": """WITH f AS (SELECT doc_id AS text_id, unnest(x) AS name, CAST(unnest(range(0, len(x))) AS INTEGER) AS start FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*') AS x FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT lower(name) AS key, count(DISTINCT text_id) / (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS share FROM f GROUP BY 1)
+SELECT text_id, min(start) AS start, key FROM f JOIN k ON key = lower(name) WHERE share <= 0.25 AND length(key) >= 3 AND NOT suffix(name, 'ing') AND len(string_split(name, ' ')) <= 4 AND (contains(name, ' ') OR length(name) >= 9 OR length(name) < 6) GROUP BY text_id, key""",
     "portrayal_by_outlet": f"WITH {_PORTRAYED}, a AS (SELECT person, outlet, string_agg(verb || ':' || w || ':' || n, ',' ORDER BY n DESC, verb, w) AS actions FROM (SELECT person, outlet, verb, coalesce(who, '') AS w, count(*) AS n FROM m WHERE verb IS NOT NULL GROUP BY ALL) GROUP BY person, outlet) SELECT person, outlet, count(*) AS mentions, count(*) FILTER (WHERE role = 'speaks') AS speaks, count(*) FILTER (WHERE role = 'acts') AS acts, count(*) FILTER (WHERE role = 'acted_on') AS acted_on, count(*) FILTER (WHERE role = 'named') AS named, count(*) FILTER (WHERE tone > 0.15) AS warm, count(*) FILTER (WHERE tone < -0.15) AS cold, round(avg(tone), 6) AS mean_tone, any_value(actions) AS actions FROM m LEFT JOIN a USING (person, outlet) GROUP BY person, outlet",
     "framing_view_top3": DUCK_PREFIX + ", x AS (SELECT cluster_id AS story, category AS entity, source AS outlet, avg((article_id % 21 - 10) / 10) AS s, bool_and(article_id % 5 > 0) AS t FROM members GROUP BY ALL), p AS (SELECT story, entity, round(max(s) - min(s), 6) AS spread, string_agg(outlet, ',' ORDER BY round(s, 6) DESC, outlet) AS outlets, bool_and(t) AS targeted FROM x GROUP BY story, entity HAVING count(*) > 1) SELECT *, row_number() OVER (PARTITION BY story ORDER BY spread DESC, entity) AS place FROM p QUALIFY place <= 3",
     "threshold_f1_grid": f"WITH {_STEP} SELECT step, round(f1, 9) AS f1 FROM f",
     "threshold_tuned": f"WITH {_STEP} SELECT step, round(f1, 9) AS f1 FROM f ORDER BY round(f.f1, 6) DESC, abs(step - 15), step LIMIT 1",
-    "title_true_case": "SELECT * FROM (VALUES (1, 'Minister denies claim of graft in Nairobi'), (2, 'IEBC says vote in Kisumu is free'), (3, 'Rain falls in Nairobi'), (4, NULL), (5, '“Peace” deal signed by the KRA')) t(id, cased)",
+    "title_true_case": """WITH t AS (SELECT doc_id AS id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents),
+w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS form FROM documents WHERE lang = 'en'), c AS (SELECT lower(form) AS word, form, count(*) AS n FROM w WHERE form <> upper(form) GROUP BY 1, 2),
+x AS (SELECT word, max_by(form, lpad(CAST(n AS VARCHAR), 12, '0') || form) AS form FROM c GROUP BY word HAVING sum(n) >= 2),
+p AS (SELECT id, title, regexp_extract_all(title, '[\\p{L}'']+|[^\\p{L}'']+') AS s, regexp_extract_all(title, '[\\p{L}'']+')[2:] AS ws FROM t),
+g AS (SELECT *, len(list_filter(ws, lambda y: regexp_matches(y, '^\\p{Lu}') AND list_contains(string_split('a an the and or but nor of in on at to for with into onto over after from as by about amid against before between during under up out off is are was were be will his her their its this that who what why how not no than via per', ' '), lower(y)))) > 0
+  OR (len(list_filter(ws, lambda y: length(y) >= 4)) >= 2 AND len(list_filter(ws, lambda y: length(y) >= 4 AND NOT regexp_matches(y, '^\\p{Lu}'))) = 0) AS titled FROM p),
+u AS (SELECT id, unnest(s) AS q, unnest(range(0, len(s))) AS i, CASE WHEN regexp_matches(s[1], '^[\\p{L}'']') THEN 0 ELSE 1 END AS first FROM g WHERE titled),
+j AS (SELECT id, string_agg(CASE WHEN i = first OR (length(q) > 1 AND q = upper(q)) THEN q ELSE coalesce(form, q) END, '' ORDER BY i) AS cased FROM u LEFT JOIN x ON word = lower(q) GROUP BY id)
+SELECT id, coalesce(cased, title) AS cased FROM g LEFT JOIN j USING (id)""",
     "nested_column_pruning": DUCK_PREFIX + "SELECT cluster_id, source, count(*) AS n FROM members WHERE source IS NOT NULL GROUP BY cluster_id, source",
     "comparable_story": DUCK_PREFIX + "SELECT m.cluster_id, CASE WHEN m.cluster_id % 5 > 0 THEN count(DISTINCT CASE WHEN l.doc_id IS NOT NULL THEN m.source END) >= 2 AND count(CASE WHEN l.quality = 1 THEN 1 END) > 0 END AS comparable FROM members m LEFT JOIN labels l ON l.doc_id = m.article_id GROUP BY m.cluster_id",
     "outlet_listing": DUCK_PREFIX + ", x AS (SELECT cluster_id, list_sort(list(DISTINCT source) FILTER (WHERE source IS NOT NULL)) AS x, count(DISTINCT article_id) AS n FROM members GROUP BY cluster_id) SELECT cluster_id, CASE WHEN len(x) = 1 THEN x[1] ELSE array_to_string(x[:-2], ', ') || ' and ' || x[-1] END AS names, n || CASE WHEN n = 1 THEN ' article' ELSE ' articles' END AS articles, CASE WHEN n = 1 THEN 'The one fact found was' ELSE len(x) || ' of the ' || n || ' facts ' || CASE WHEN len(x) = 1 THEN 'was' ELSE 'were' END END AS facts FROM x",

@@ -55,6 +55,47 @@ def test_thresholds(spark):
 
 
 def test_folded_names(spark):
-    rows = [(1, "a b"), (1, "b"), (1, "b"), (1, "c b"), (2, "b"), (2, None)]
+    rows = [(1, "a b"), (1, "b"), (1, "b"), (1, "c b"), (2, "b"), (2, None), (3, "a b c"), (3, "c a"), (3, "b"), (3, "x b"), (3, "x b"), (3, "")]
     got = sorted(map(tuple, people.folded_names(spark.createDataFrame(rows, "story long, key string")).collect()))
-    assert got == [(1, "a b", "a b"), (1, "b", "a b"), (1, "c b", "c b"), (2, "b", "b")]
+    assert got == [(1, "a b", "a b"), (1, "b", "a b"), (1, "c b", "c b"), (2, "b", "b"), (3, "", ""), (3, "a b c", "a b c"), (3, "b", "a b c"), (3, "c a", "a b c"), (3, "x b", "x b")]
+
+
+def test_folded_names_equal_brute_force(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.randint(1, 3), " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 4)))) for _ in range(300)]
+    got = sorted(map(tuple, people.folded_names(spark.createDataFrame(rows, "story long, key string")).collect()))
+    want = []
+    for story, key in sorted(set(rows)):
+        over = [(-len(k.split()), -rows.count((s, k)), k) for s, k in set(rows) if s == story and set(key.split()) <= set(k.split())]
+        want.append((story, key, min(over)[2]))
+    assert got == want
+
+
+def test_remarks_by_speaker_and_relation(spark):
+    quotes = [
+        (1, 1, "a", "otieno", "we will win today in all counties", "en", [1.0, 0.0, 0.0]), (1, 2, "b", "otieno", "we will win", "en", [1.0, 0.0, 0.0]), (1, 3, "c", None, "we will win today in all counties", "en", [0.99, 0.1, 0.0]),
+        (1, 4, "a", "wanjiku", "prices fall", "en", [0.0, 1.0, 0.0]), (1, 5, "b", "achieng", "no deal", "en", [0.0, 0.0, 1.0]), (2, 6, "a", "otieno", "we will win", "en", [1.0, 0.0, 0.0]),
+        (2, 7, "a", "otieno", "we will win", "en", [1.0, 0.0, 0.0]), (2, 8, "b", None, "rain", "sw", [0.0, 1.0, 0.0]), (3, 9, "a", "cheptumo", "a b c", "en", [1.0, 0.0, 0.0]), (3, 10, "b", "wendot", "a b d", "fr", [1.0, 0.0, 0.0]),
+        (3, 11, "c", "other", "a b d", "en", [0.8, 0.6, 0.0]),
+    ]
+    df = spark.createDataFrame(quotes, "story long, pos long, source string, speaker string, wording string, lang string, vector array<double>")
+    got = sorted(map(tuple, people.remarks(df).select("story", "remark", "pos", "version", "outlets", "relation").collect()))
+    assert got == [
+        (1, 1, 1, 0, 3, "first"), (1, 1, 2, 1, 3, "says less"), (1, 1, 3, 2, 3, "same"), (1, 4, 4, 0, 1, "first"), (1, 5, 5, 0, 1, "first"), (2, 6, 6, 0, 1, "first"), (2, 7, 7, 0, 1, "first"),
+        (2, 8, 8, 0, 1, "first"), (3, 9, 9, 0, 2, "first"), (3, 9, 10, 1, 2, "not compared"), (3, 11, 11, 0, 1, "first"),
+    ]
+
+
+def test_doubled_consonants_and_ages_and_money(spark):
+    titles = ["governor slammed by mps", "mp hitting back at critics", "MP hits back at critics", "milk output hits record", "hitting the road"]
+    assert values(spark, T.disputed, titles) == [True, True, True, False, False]
+    assert values(spark, T.is_title_case, ["Talks After Raid", "Talks after Raid in Nyeri"]) == [True, False]
+    assert extract.figures("He died at 34") == [] and extract.figures("The pastor, aged 61, said") == []
+    units = lambda t: [(f["value"], f["unit"], f["currency"], f["state"]) for f in extract.figures(t)]
+    assert units("300 kes and EUR 20 and USD 40 million") == [(300, "currency", "KES", None), (20, "currency", "EUR", None), (4e7, "currency", "USD", None)]
+    assert units("five voters and 3 delegates") == [(5, "people", None, None), (3, "people", None, None)]
+    assert units("The death toll rose to 47") == [(47, "people", None, "dead")] and units("1,500 people are missing") == [(1500, "people", None, "missing")]
+    assert units("90 days to identify the dead") == [(90, "days", None, None)] and units("1,000 paid internship opportunities") == [(1000, "opportunity", None, None)]
+    assert units("2.8 billion was lost") == [(2.8e9, "currency", None, None)] and units("20 hospitals") == [(20, "hospital", None, None)]
+    about = extract.subject("Foreign direct investment rose; FDI in 20 hospitals", "hospitals")
+    assert about["tokens"] == ["direct", "fdi", "foreign", "investment"] and "fdi" in about["acronyms"] and about["upper"] == ["fdi"]
