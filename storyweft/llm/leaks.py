@@ -88,23 +88,24 @@ def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
     return cut(found.select(F.xxhash64("terms").alias("window"), "terms", "item", "place"))
 
 
-def _frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, f) of the terms that the index has. Spark broadcasts the terms if their file is small, by its own limit."""
-    return cut(index.where("term is not null").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("f")))
+def frequencies(index: DataFrame, tests: DataFrame) -> DataFrame:
+    """(term, f) of the words of windows(...) that the index has."""
+    return cut(_salted(index, cut(tests.select(F.explode("terms").alias("term")).distinct())).groupBy("term").agg(F.count("*").alias("f")))
 
 
 def _salted(index: DataFrame, tests: DataFrame) -> DataFrame:
-    """Postings joined with tests(term, ...) on the term; postings of one term are dealt over SALTS keys."""
+    """Postings joined with tests(term, ...) on the term; postings of one term are dealt over SALTS keys. Spark broadcasts the tests if their file is small, by its own limit."""
     left = index.where("term is not null").select("term", "at", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int").alias("salt"))
     right = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, ["term", "salt"])
 
 
-def phrases(index: DataFrame, tests: DataFrame) -> DataFrame:
-    """Exact matches of windows(...): (window, start, size), start being the place of the first word. Every occurrence is found."""
+def phrases(index: DataFrame, tests: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Exact matches of windows(...): (window, start, size), start being the place of the first word. Every occurrence is found. `found` are frequencies(...), if known."""
+    found = frequencies(index, tests) if found is None else found
     distinct = tests.groupBy("window").agg(F.first("terms").alias("terms")).where(F.size("terms") > 0)
     lists = cut(distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")))
-    ranked = lists.join(_frequencies(index, lists), "term").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("f", "offset")))
+    ranked = lists.join(found, "term").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("f", "offset")))
     # A window with a word that the index lacks cannot occur.
     whole = Window.partitionBy("window")
     ranked = cut(ranked.withColumn("held", F.count("*").over(whole)).where("held = size").select("window", "size", "term", "offset", "rank"))
@@ -115,8 +116,8 @@ def phrases(index: DataFrame, tests: DataFrame) -> DataFrame:
         tests_ = ranked.where(tested(F.col("rank"))).select("window", F.col("term").alias("wanted"), "offset")
         needed = starts.join(tests_, "window").select("window", "size", "start", "wanted", (F.col("start") + F.col("offset")).alias("at"))
         # Only postings in the candidates' slots can confirm one: read by an equal key, the rest stays where it is.
-        near = needed.select(F.expr(f"at div {SLOT}").alias("slot")).distinct()
-        held = index.where("term is not null").join(ranked.where(tested(F.col("rank"))).select("term").distinct(), "term", "left_semi")
+        near = cut(needed.select(F.expr(f"at div {SLOT}").alias("slot")).distinct())
+        held = index.where("term is not null").join(cut(ranked.where(tested(F.col("rank"))).select("term").distinct()), "term", "left_semi")
         held = held.select("term", "at", F.expr(f"at div {SLOT}").alias("slot")).join(near, "slot", "left_semi").select("term", F.col("at").alias("place"))
         met = needed.join(held, (needed["at"] == held["place"]) & (needed["wanted"] == held["term"]), "left_semi")
         if wanted == 1:
@@ -129,25 +130,25 @@ def phrases(index: DataFrame, tests: DataFrame) -> DataFrame:
     return cut(out.unionByName(both.where("size = 2")).unionByName(first.where("size = 1")))
 
 
-def proximity(index: DataFrame, items: DataFrame, terms: int = 4, span: int = 20) -> DataFrame:
+def proximity(index: DataFrame, items: DataFrame, terms: int = 4, span: int = 20, found: DataFrame | None = None, home: DataFrame | None = None) -> DataFrame:
     """(item, base, start): where an item's `terms` rarest distinct words (all, if it has fewer; of words as rare, those first in the item) stand within `span` words of one text, in any order; start is the first of them.
 
-    items is windows(...). Words that the index lacks make an item unfindable. Every place is found.
+    items is windows(...), `found` are their frequencies(...) and `home` slots(...), if known. Words that the index lacks make an item unfindable. Every place is found.
     """
+    found = frequencies(index, items) if found is None else found
     if span > APART:
         raise ValueError(f"spans of {APART} words at most")
     words_ = items.where("item is not null").select("item", "place", F.posexplode("terms").alias("offset", "term"))
     own = cut(words_.groupBy("item", "term").agg(F.min(F.col("place") + F.col("offset")).alias("place")))
     place = Window.partitionBy("item").orderBy(F.coalesce("f", F.lit(0)), "place", "term")
-    rarest = own.join(_frequencies(index, own), "term", "left").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= terms)
+    rarest = own.join(found, "term", "left").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= terms)
     whole = Window.partitionBy("item")
     rarest = cut(rarest.withColumn("n", F.count("*").over(whole)).withColumn("held", F.count("f").over(whole)).where("held = n").select("item", "term", "rank", "n"))
-    least = cut(_salted(index, rarest.where("rank = 1")).select("item", "at").join(slots(index), F.expr(f"at div {SLOT}") == F.col("slot")).select("item", "base").distinct())
-    rows = _salted(index, rarest).select("item", "at", "rank", "n").join(slots(index), F.expr(f"at div {SLOT}") == F.col("slot"))
-    rows = rows.join(least, ["item", "base"], "left_semi")
+    rows = cut(_salted(index, rarest).select("item", "at", "rank", "n").join(home if home is not None else slots(index), F.expr(f"at div {SLOT}") == F.col("slot")).drop("slot"))
+    rows = rows.join(cut(rows.where("rank = 1").select("item", "base").distinct()), ["item", "base"], "left_semi")
     ahead = Window.partitionBy("item", "base").orderBy("at").rangeBetween(0, span - 1)
-    found = rows.withColumn("met", F.size(F.collect_set("rank").over(ahead))).where("met = n")
-    return found.select("item", "base", F.col("at").alias("start"))
+    met = rows.withColumn("met", F.size(F.collect_set("rank").over(ahead))).where("met = n")
+    return met.select("item", "base", F.col("at").alias("start"))
 
 
 def slots(index: DataFrame) -> DataFrame:
@@ -164,18 +165,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     """
     index = postings(docs, id_col, text_col)
     tests = windows(items, size, item_col, text_col)
-    found = phrases(index, tests)
-    home = slots(index)
+    known = frequencies(index, tests)
+    found = phrases(index, tests, known)
+    texts = cut(index.where("term is null"))
+    home = slots(texts)
     # Starts whose windows overlap mark a word once.
     marked = found.select(F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct()
     hits = marked.join(home, F.expr(f"at div {SLOT}") == F.col("slot")).groupBy("base").agg(F.count("*").alias("n_hit"))
     named = found.join(tests.select("window", "item").distinct(), "window").join(home, F.expr(f"start div {SLOT}") == F.col("slot")).where("item is not null")
     named = named.select("base", F.col("item").cast("string").alias("item"), F.lit(True).alias("exact"))
-    around = proximity(index, tests, near_terms, near_span).select("base", F.col("item").cast("string").alias("item"), F.lit(False).alias("exact"))
+    around = proximity(index, tests, near_terms, near_span, known, home).select("base", F.col("item").cast("string").alias("item"), F.lit(False).alias("exact"))
     listed = named.unionByName(around).distinct().groupBy("base").agg(
         F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("items"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("item")))).alias("near_items")
     )
-    rows = index.where("term is null and at = base").select("base", "id", "n_words")
+    rows = texts.where("at = base").select("base", "id", "n_words")
     none = F.array().cast("array<string>")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return rows.join(hits, "base", "left").join(listed, "base", "left").select(
