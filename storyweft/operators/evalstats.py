@@ -2,33 +2,90 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CLASSES = ("neg", "neu", "pos")
 
 
-def f1(gold: list[str], guess: list[str], classes=CLASSES) -> float:
-    """Macro F1; a class without hits counts 0."""
-    out = []
-    for c in classes:
-        tp = sum(g == c == p for g, p in zip(gold, guess, strict=True))
-        wrong = sum((g == c) != (p == c) for g, p in zip(gold, guess, strict=True))
-        out.append(2 * tp / (2 * tp + wrong) if tp else 0.0)
-    return sum(out) / len(out)
-
-
-def kappa(a: list[str], b: list[str], quadratic: bool = False, classes=CLASSES) -> float:
-    k = {c: i for i, c in enumerate(classes)}
-    m = np.zeros((len(classes),) * 2)
-    for x, y in zip(a, b, strict=True):
-        m[k[x], k[y]] += 1
-    d = np.subtract.outer(np.arange(len(classes)), np.arange(len(classes)))
-    w = d * d if quadratic else (d != 0)
-    e = np.outer(m.sum(1), m.sum(0)) / max(m.sum(), 1)
-    return 1 - (w * m).sum() / (w * e).sum() if (w * e).sum() else 1.0
+def f1_of(cells: np.ndarray) -> np.ndarray:
+    """Macro F1 of confusion matrices (..., gold, guess); a class without hits counts 0."""
+    hits = np.diagonal(cells, axis1=-2, axis2=-1)
+    both = cells.sum(-1) + cells.sum(-2)
+    return np.where(hits > 0, 2 * hits / np.maximum(both, 1), 0.0).mean(-1)
+
+
+def bootstrap(rows: DataFrame, gold: str, guess: str, other: str | None = None, times: int = 5000, seed: int = 0, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """One row (n, value, low, high): macro F1 of `guess`, or its lead over `other` on the same rows, with the 2.5 and 97.5 percentiles of `times` resamples.
+
+    Rows are counted by gold and guesses once; a resample of n rows is a multinomial draw of n over those cells, so its
+    work does not grow with them. Draws are seeded by their number, so that reruns agree. Rows with a class that is not
+    listed, or none, take no part; without rows the values are null.
+    """
+    k, named = len(classes), [gold, guess] + ([other] if other else [])
+    code = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
+    known = rows.select(*[F.try_element_at(code, F.col(c)).alias(f"c{i}") for i, c in enumerate(named)]).dropna()
+    at = sum((F.col(f"c{i}") * k ** (len(named) - 1 - i) for i in range(len(named))), F.lit(0))
+    counts = known.groupBy(at.alias("cell")).agg(F.count("*").alias("m")).agg(F.collect_list(F.struct("cell", "m")).alias("cells"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            m = np.zeros(k ** len(named), np.int64)
+            for c in pdf["cells"].iloc[0] if len(pdf) else []:
+                m[c["cell"]] = c["m"]
+            n = int(m.sum())
+            # The first is the rows as they are.
+            draws = np.array([np.random.default_rng([seed, int(i)]).multinomial(n, m / n) if i else m for i in pdf["id"]]) if n and len(pdf) else np.zeros((0, len(m)))
+            cube = draws.reshape(-1, *[k] * len(named))
+            value = f1_of(cube) if other is None else f1_of(cube.sum(3)) - f1_of(cube.sum(2))
+            yield pd.DataFrame({"id": pdf["id"].iloc[: len(value)], "n": n, "value": value})
+
+    drawn = rows.sparkSession.range(times + 1).crossJoin(F.broadcast(counts)).mapInPandas(run, "id long, n long, value double")
+    first = F.col("id") == 0
+    out = drawn.agg(F.max("n").alias("n"), F.max(F.when(first, F.col("value"))).alias("value"), F.percentile(F.when(~first, F.col("value")), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    return out.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), "value", F.try_element_at("p", F.lit(1)).alias("low"), F.try_element_at("p", F.lit(2)).alias("high"))
+
+
+def classed(score: Column, threshold: float) -> Column:
+    """pos or neg beyond the threshold either way, else neu."""
+    return F.when(score > threshold, "pos").when(score < -threshold, "neg").when(score.isNotNull(), "neu")
+
+
+def tuned_and_fixed(dev: DataFrame, test: DataFrame, fixed: float = 0.15, least: int = 10, times: int = 5000, seed: int = 0) -> DataFrame:
+    """(threshold_of, threshold, n, value, low, high) on test(gold, score) with the threshold that is best on dev(gold, score), and with the fixed one; no rows if test has fewer than `least`."""
+    best = tuned_threshold(dev).first()
+    enough = test.where("score is not null").limit(least).count() >= least
+    out = None
+    for name, t in (("dev", best["step"] / 100 if best else fixed), ("fixed", fixed)):
+        one = bootstrap(test.withColumn("guess", classed(F.col("score"), t)), "gold", "guess", None, times, seed)
+        one = one.select(F.lit(name).alias("threshold_of"), F.lit(float(t)).alias("threshold"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out if enough else out.limit(0)
+
+
+def kappas(rows: DataFrame, a: str, b: str, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """One row (n, kappa, quadratic): Cohen's agreement of two markers, unweighted and with squared distances of the classes' places; 1 where chance leaves nothing to disagree on."""
+    code = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
+    pairs = rows.select(F.try_element_at(code, F.col(a)).alias("a"), F.try_element_at(code, F.col(b)).alias("b")).dropna()
+    cells = pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("m"))
+    left, right = cells.groupBy("a").agg(F.sum("m").alias("p")), cells.groupBy("b").agg(F.sum("m").alias("q"))
+    # As many rows as pairs of classes.
+    grid = left.crossJoin(right).join(cells, ["a", "b"], "left").fillna(0.0, ["m"]).crossJoin(F.broadcast(cells.agg(F.sum("m").alias("n"))))
+    far = F.col("a") - F.col("b")
+    off = lambda w: 1 - F.sum(w * F.col("m")) / F.nullif(F.sum(w * F.col("p") * F.col("q") / F.col("n")), F.lit(0.0))
+    return grid.agg(F.max("n").cast("long").alias("n"), F.coalesce(off((far != 0).cast("double")), F.lit(1.0)).alias("kappa"), F.coalesce(off((far * far).cast("double")), F.lit(1.0)).alias("quadratic"))
+
+
+def mcnemar_p(b: Column, c: Column) -> Column:
+    """Exact two-sided p value of discordant counts: twice the binomial tail, summed term by term from their logarithms."""
+    n, k = b + c, F.least(b, c)
+    step = lambda s, i: F.struct((s["log"] + F.log((n - i + 1) / i)).alias("log"), (s["sum"] + F.exp(s["log"] + F.log((n - i + 1) / i))).alias("sum"))
+    first = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>")), first, step, lambda s: s["sum"])
+    return F.least(F.lit(1.0), 2 * tail)
 
 
 def threshold_scores(rows: DataFrame, gold: str = "gold", score: str = "score", steps: int = 81) -> DataFrame:
@@ -50,37 +107,12 @@ def tuned_threshold(rows: DataFrame, gold: str = "gold", score: str = "score", n
     return threshold_scores(rows, gold, score).orderBy(F.round("f1", 6).desc(), F.abs(F.col("step") - near), "step").limit(1)
 
 
-def paired_bootstrap(gold: list[str], a: list[str], b: list[str], times: int = 5000, seed: int = 0) -> tuple[float, float]:
-    """2.5 and 97.5 percentiles of the difference in macro F1."""
-    rng, n = np.random.default_rng(seed), len(gold)
-    code = {c: i for i, c in enumerate(CLASSES)}
-    g, x, y = (np.array([code[v] for v in z]) for z in (gold, a, b))
-
-    def score(p: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(at))
-        for c in range(len(CLASSES)):
-            tp = ((g[at] == c) & (p[at] == c)).sum(1)
-            wrong = ((g[at] == c) != (p[at] == c)).sum(1)
-            total += np.where(tp > 0, 2 * tp / np.maximum(2 * tp + wrong, 1), 0)
-        return total / len(CLASSES)
-
-    at = rng.integers(0, n, (times, n))
-    low, high = np.percentile(score(x, at) - score(y, at), [2.5, 97.5])
-    return float(low), float(high)
-
-
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     p, q = k / n, z * z
     mid, half = p + q / (2 * n), z * F.sqrt(p * (1 - p) / n + q / (4 * n * n))
     return F.struct(((mid - half) / (1 + q / n)).alias("low"), ((mid + half) / (1 + q / n)).alias("high"))
 
 
-def mcnemar(b: int, c: int) -> float:
-    """Exact two-sided p value of discordant counts."""
-    n = b + c
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n) if n else 1.0
-
-
 def pool_estimate(kept_right: int, kept: int, split_right: int, split: int, kept_pool: int, split_pool: int) -> tuple[float, float]:
     """(share of all pairs that are one fact, share of such pairs that are kept), marked samples weighted back to their pools."""
     a, b = kept_right / kept * kept_pool, split_right / split * split_pool

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import text as T
-from ..operators import comparison, density, evalstats, extract, grouping, models, stories, vectors
+from ..operators import comparison, density, evalstats, grouping, models, names, runs, snapshots, stories, vectors, wording
 from ..sources.tables import DUCK_PREFIX, run_sql, table
 from .expressions import ORACLES as ORACLES_TEXT
 from .special import QUERY, _APART, _CENT, _DIST, _SIM, _emb, weeks
@@ -151,9 +153,20 @@ def target_tones(s: SparkSession, d: str) -> DataFrame:
 
 
 def mcnemar(s: SparkSession, d: str) -> DataFrame:
-    """Two counts come to the driver, for the exact binomial sum."""
-    n = run_sql(s, d, "SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 2 = 0) AS b, count(*) FILTER (WHERE quality = 0 AND doc_id % 2 = 1) AS c FROM labels").first()
-    return s.createDataFrame([(n["b"], n["c"], evalstats.mcnemar(n["b"], n["c"]))], "b long, c long, p double")
+    n = run_sql(s, d, "SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 2 = 0) AS b, count(*) FILTER (WHERE quality = 0 AND doc_id % 2 = 1) AS c FROM labels")
+    return n.select("b", "c", F.round(evalstats.mcnemar_p(F.col("b"), F.col("c")), 9).alias("p"))
+
+
+def _two_methods(s: SparkSession, d: str) -> DataFrame:
+    """Labels as gold classes, and the classes of two scores of different quality."""
+    gold = F.when(F.col("toxic") == 1, "neg").when(F.col("quality") == 1, "pos").otherwise("neu")
+    good = F.when(F.col("doc_id") % 7 < 5, gold).otherwise("neu")
+    return table(s, d, "labels").where("doc_id is not null").select("doc_id", gold.alias("gold"), good.alias("a"), F.when(F.col("doc_id") % 3 == 0, gold).otherwise("pos").alias("b"), (F.when(gold == "pos", 0.4).when(gold == "neg", -0.4).otherwise(0.1) * (F.col("doc_id") % 4 + 1) / 4).alias("score"))
+
+
+def people_section(s: SparkSession, d: str) -> DataFrame:
+    rows = evalstats.split(_two_methods(s, d), "doc_id")
+    return evalstats.tuned_and_fixed(rows.where("split = 'dev'"), rows.where("split = 'test'"))
 
 
 def stacked(s: SparkSession, d: str) -> DataFrame:
@@ -170,10 +183,39 @@ def upserted(s: SparkSession, d: str) -> DataFrame:
 
 
 def named(s: SparkSession, d: str) -> DataFrame:
-    """Listed and titled names in whole texts, with offsets."""
-    listed = {"Apache License": ("WORK_OF_ART", "apache-license"), "License": ("WORK_OF_ART", None)}
-    rows = table(s, d, "documents").select("doc_id", "text")
-    return extract.table_function(rows, "text", lambda t: extract.names(t, listed), "text string, label string, id string, start long, end long", ["doc_id"])
+    """Names in whole texts, with offsets: the capitalised words of the benchmark as a gazetteer, beside what the model and titles find."""
+    return names.mentions(table(s, d, "documents").select("doc_id", "text"), "text", ["doc_id"], _gazetteer(s, d))
+
+
+def _gazetteer(s: SparkSession, d: str) -> DataFrame:
+    words = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("surface")).distinct()
+    licence = s.range(1).select(F.explode(F.array(F.lit("Apache License"), F.lit("License"))).alias("surface"))
+    rows = words.unionByName(licence).distinct()
+    return rows.select("surface", F.when(F.length("surface") > 6, "ORG").otherwise("PERSON").alias("label"), F.lower("surface").alias("id"), (F.length("surface") % 2 == 0).alias("case_sensitive"))
+
+
+def listed_counts(s: SparkSession, d: str) -> DataFrame:
+    """How often each listed name stands in whole texts, alone."""
+    found = names.mentions(table(s, d, "documents").select("doc_id", "text"), "text", ["doc_id"], _gazetteer(s, d), model=None, titles=False)
+    return found.groupBy("id", "label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def turn_diffs(s: SparkSession, d: str) -> DataFrame:
+    """Each turn of a conversation with the words marked that the turn before it of the same role has not."""
+    turns = table(s, d, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return turns.withColumn("other", before).where("other is not null").select("conv_id", "turn", "role", wording.word_diff(F.col("text"), F.col("other")).alias("marked"))
+
+
+def reclustered(s: SparkSession, d: str) -> DataFrame:
+    """Stories after two runs over a sliding window: what was published up to a day before the newest, then everything."""
+    rows = weeks(s, d).where("window = 0").select(F.col("id").alias("article_id"), "vector", "source").join(table(s, d, "events").select(F.col("event_id").alias("article_id"), F.col("ts").alias("published")), "article_id")
+    root = f"{snapshots.shared_dir(s).rstrip('/')}/stories-{uuid.uuid4().hex}"
+    newest = rows.agg(F.max("published").alias("newest"))
+    early = rows.crossJoin(F.broadcast(newest)).where("published < newest - INTERVAL 6 HOURS").drop("newest")
+    runs.recluster(s, root, early, most=1.0)
+    runs.recluster(s, root, rows, most=1.0)
+    return runs.state(s, root)["members"].join(runs.state(s, root)["clusters"].select("cluster_id", "status", "run"), "cluster_id")
 
 
 QUERIES = {
@@ -197,6 +239,13 @@ QUERIES = {
     "targeted_tone": target_tones,
     "topic_model": lambda s, d: table(s, d, "documents").select("doc_id", models.column(models.topic, StringType())(F.col("text")).alias("topic")),
     "mcnemar_exact": mcnemar,
+    "listed_names": listed_counts,
+    "word_diff": turn_diffs,
+    "sliding_recluster": reclustered,
+    "bootstrap_lead": lambda s, d: evalstats.bootstrap(_two_methods(s, d), "gold", "a", "b"),
+    "bootstrap_method": lambda s, d: evalstats.bootstrap(_two_methods(s, d), "gold", "a"),
+    "bootstrap_thresholds": people_section,
+    "kappa_weighted": lambda s, d: evalstats.kappas(_two_methods(s, d), "gold", "b").select("n", F.round("kappa", 9).alias("kappa"), F.round("quadratic", 9).alias("quadratic")),
     "stacked_regression": stacked,
     "upsert_preview": upserted,
     "name_mentions": named,
@@ -225,6 +274,13 @@ def _tone(x: str) -> str:
 _HITS = {k: f"len(list_intersect({_SPLIT.format(x='text')}, {_LISTED(v)}))" for k, v in models.TOPICS.items()}
 _FURNITURE = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "nav", "header", "footer", "aside"))
 ORACLES = {
+    "listed_names": """WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS surface FROM benchmark UNION SELECT 'License'),
+t AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, 'Apache License', 'Apache_License'), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+u AS (SELECT t.doc_id, s.surface FROM t JOIN s ON lower(w) = lower(surface) AND (w = surface OR length(surface) % 2 = 1) UNION ALL SELECT doc_id, 'Apache License' FROM t WHERE w = 'Apache_License')
+SELECT lower(surface) AS id, CASE WHEN length(surface) > 6 THEN 'ORG' ELSE 'PERSON' END AS label, count(*) AS n, count(DISTINCT doc_id) AS docs FROM u GROUP BY surface""",
+    "kappa_weighted": """WITH g AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS a FROM labels WHERE doc_id IS NOT NULL), p AS (SELECT a, CASE WHEN doc_id % 3 = 0 THEN a ELSE 2 END AS b FROM g),
+x AS (SELECT avg(CAST(a <> b AS INTEGER)) AS d, avg((a - b) * (a - b)) AS q, count(*) AS n FROM p), e AS (SELECT avg(CAST(l.a <> r.b AS INTEGER)) AS d, avg((l.a - r.b) * (l.a - r.b)) AS q FROM p l CROSS JOIN p r)
+SELECT n, round(1 - x.d / e.d, 9) AS kappa, round(1 - x.q / e.q, 9) AS quadratic FROM x, e""",
     "html_to_text": ORACLES_TEXT["snippet_plain"].replace("coalesce(html, '')", f"regexp_replace(coalesce(html, ''), '(?is){_FURNITURE}', ' ', 'g')").replace("AS plain", "AS body"),
     "rate_limit_sliding": "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events), r AS (SELECT user_id, rn, CAST(NULL AS BIGINT) AS older, t AS last, true AS admitted FROM e WHERE rn = 1 UNION ALL SELECT user_id, rn, CASE WHEN ok THEN last ELSE older END, CASE WHEN ok THEN t ELSE last END, ok FROM (SELECT e.user_id, e.rn, e.t, r.older, r.last, r.older IS NULL OR r.older <= e.t - 86400000000 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) x) SELECT user_id, count(*) AS n, count(*) FILTER (WHERE admitted) AS admitted FROM r GROUP BY user_id",
     "contested_ranking": DUCK_PREFIX + f", p AS (SELECT cluster_id, avg(CASE WHEN coalesce(regexp_matches(lower(title), '{_DISPUTED}'), false) OR article_id % 3 = 0 THEN 1e0 ELSE 0e0 END) AS share, count(DISTINCT source) AS outlets, max(us) AS latest, count(*) FILTER (WHERE article_id % 11 = 0) AS quotes FROM members GROUP BY cluster_id), s AS (SELECT cluster_id, round(share + CASE WHEN cluster_id % 2 = 0 THEN 0.25e0 ELSE 0e0 END + 0.25e0 * quotes, 6) AS score, outlets, latest FROM p) SELECT cluster_id, score, outlets, latest FROM s WHERE score >= 0.5 ORDER BY score DESC, outlets DESC, latest DESC NULLS LAST, cluster_id LIMIT 20",
@@ -243,7 +299,7 @@ ORACLES = {
     "search_with_story": f"WITH {_SIM}, firm AS (SELECT la FROM pairs WHERE la = lb GROUP BY la HAVING avg(sim) >= 0.3) SELECT vec_id, firm.la AS story_id, round(distance, 6) AS distance FROM (SELECT * FROM {_DIST} ORDER BY distance, vec_id LIMIT 20) t LEFT JOIN firm ON firm.la = t.label",
     "related_centroids": f"WITH {_CENT}, n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM cent GROUP BY label), p AS (SELECT x.label AS a, y.label AS b, sum(x.m * y.m) AS s FROM cent x JOIN cent y ON x.pos = y.pos AND x.label < y.label GROUP BY x.label, y.label) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(s / (n.norm * k.norm), 6) AS sim FROM p JOIN n ON n.label = a JOIN n k ON k.label = b WHERE s / (n.norm * k.norm) >= 0.1",
     "separation_stats": f"WITH {_APART} SELECT count(*) AS n, round(avg(first), 6) AS mean, round(quantile_cont(first, 0.5), 6) AS median, round(min(first), 6) AS least, round(avg(second), 6) AS mean_second, round(quantile_cont(second, 0.5), 6) AS median_second, round(quantile_cont(second, 0.9) - quantile_cont(second, 0.1), 6) AS spread FROM sep",
-    "mcnemar_exact": "WITH n AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 2 = 0) AS b, count(*) FILTER (WHERE quality = 0 AND doc_id % 2 = 1) AS c FROM labels), i AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS i FROM n) SELECT b, c, least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) AS p FROM i GROUP BY b, c",
+    "mcnemar_exact": "WITH n AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 2 = 0) AS b, count(*) FILTER (WHERE quality = 0 AND doc_id % 2 = 1) AS c FROM labels), i AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS i FROM n) SELECT b, c, round(least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))), 9) AS p FROM i GROUP BY b, c",
     "upsert_preview": "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, o.toxic FROM (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) o FULL OUTER JOIN (SELECT page_id AS doc_id, 7 AS quality FROM pages WHERE page_id % 2 = 0) n ON n.doc_id = o.doc_id",
     "span_marking": "SELECT page_id, '[[' || substr(url, 1, 4) || ']]' || substr(url, 5) AS marked, coalesce(substr(url, 1, 4) = 'http', false) AS holds FROM pages",
     "class_of_scores": "SELECT event_id, CASE WHEN value >= 100 - value AND value >= 40 THEN 0 WHEN 100 - value >= 40 THEN 1 ELSE 2 END AS class FROM events",
