@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from storyweft.functions import text as T
-import plain
+import byrows
 from storyweft.operators import evalstats, extract, models, people
 
 
@@ -52,7 +52,7 @@ def test_thresholds(spark):
     got = {r.step: r.f1 for r in evalstats.threshold_scores(spark.createDataFrame(rows, "gold string, score double")).collect()}
     for step in range(81):
         guess = ["pos" if s > step / 100 else "neg" if s < -step / 100 else "neu" for _, s in rows]
-        assert math.isclose(got[step], plain.f1([g for g, _ in rows], guess))
+        assert math.isclose(got[step], byrows.f1([g for g, _ in rows], guess))
 
 
 def test_folded_names(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from storyweft import catalog
 from storyweft.functions import text as T
-import plain
+import byrows
 from storyweft.operators import clustering, comparison, evalstats, extract, grouping, models, stories, vectors
 from storyweft.streaming import ingest
 
@@ -115,9 +115,9 @@ def test_coverage_and_differences(spark):
 
 def test_statistics():
     gold, guess = ["neg", "neu", "pos", "pos"], ["neg", "pos", "pos", "neu"]
-    assert plain.f1(gold, guess) == pytest.approx(0.5) and plain.f1(gold, guess, ("neg", "pos")) == pytest.approx(0.75)
-    assert plain.paired_bootstrap(gold, guess, guess, 200) == (0, 0)
-    assert plain.mcnemar(0, 0) == 1 and plain.mcnemar(5, 0) == pytest.approx(0.0625)
+    assert byrows.f1(gold, guess) == pytest.approx(0.5) and byrows.f1(gold, guess, ("neg", "pos")) == pytest.approx(0.75)
+    assert byrows.paired_bootstrap(gold, guess, guess, 200) == (0, 0)
+    assert byrows.mcnemar(0, 0) == 1 and byrows.mcnemar(5, 0) == pytest.approx(0.0625)
     share, kept = evalstats.pool_estimate(9, 10, 4, 20, 12, 52)
     assert round(share, 2) == 0.33 and round(kept, 2) == 0.51
 

@@ -3,7 +3,7 @@
 import datetime
 
 import numpy as np
-import plain
+import byrows
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,13 +104,13 @@ def _labels(spark):
 def test_bootstrap_by_cells_equals_resampled_rows(spark):
     rows = _labels(spark)
     got = [tuple(r[c] for r in rows.collect()) for c in ("gold", "a", "b")]
-    low, high = plain.paired_bootstrap(*map(list, got), times=5000)
+    low, high = byrows.paired_bootstrap(*map(list, got), times=5000)
     r = evalstats.bootstrap(rows, "gold", "a", "b").first()
-    assert (r.n, r.value) == (len(got[0]), pytest.approx(plain.f1(got[0], got[1]) - plain.f1(got[0], got[2])))
+    assert (r.n, r.value) == (len(got[0]), pytest.approx(byrows.f1(got[0], got[1]) - byrows.f1(got[0], got[2])))
     assert abs(r.low - low) < 0.005 and abs(r.high - high) < 0.005
     assert tuple(evalstats.bootstrap(rows, "gold", "a", "b").first()) == tuple(r)
     one = evalstats.bootstrap(rows, "gold", "b", times=300).first()
-    assert one.value == pytest.approx(plain.f1(got[0], got[2])) and one.low < one.value < one.high
+    assert one.value == pytest.approx(byrows.f1(got[0], got[2])) and one.low < one.value < one.high
 
 
 def test_bootstrap_of_nothing_and_of_certainty(spark):
@@ -132,9 +132,9 @@ def test_kappas_and_mcnemar_equal_plain_python(spark):
     rows = _labels(spark)
     got = [[r[c] for r in rows.collect()] for c in ("gold", "b")]
     r = evalstats.kappas(rows, "gold", "b").first()
-    assert r.kappa == pytest.approx(plain.kappa(*got)) and r.quadratic == pytest.approx(plain.kappa(*got, quadratic=True))
+    assert r.kappa == pytest.approx(byrows.kappa(*got)) and r.quadratic == pytest.approx(byrows.kappa(*got, quadratic=True))
     same = evalstats.kappas(spark.createDataFrame([("pos", "pos")] * 3, "a string, b string"), "a", "b").first()
     assert tuple(same) == (3, 1.0, 1.0)
     pairs = [(0, 0), (5, 0), (3, 9), (40, 25), (900, 1000), (7, 7)]
     df = spark.createDataFrame(pairs, "b long, c long")
-    assert {(x.b, x.c): x.p for x in df.select("b", "c", evalstats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()} == {k: pytest.approx(plain.mcnemar(*k)) for k in pairs}
+    assert {(x.b, x.c): x.p for x in df.select("b", "c", evalstats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()} == {k: pytest.approx(byrows.mcnemar(*k)) for k in pairs}
