@@ -3,7 +3,9 @@
 Every document of a source starts with the same fractional number of copies, target over source size. Pairs of
 documents then trade mass along the direction that leaves their words' sum alone, up or down at random so that each
 expectation stays, until one of them is a whole number. A bucket of documents leaves one fractional document per
-source; those residuals are paired again in a reduction tree, until one per source is left, which is rounded to the nearest.
+source; those residuals are paired again in a reduction tree, until one per source is left. That one, often a large
+document, is rounded to the nearest, and the words that the source is then short of or over are made up by whole
+documents that are smaller, taken once more or once less.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import hashlib
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut
 
@@ -22,6 +24,8 @@ MOST_COPIES = 3
 BUCKET = 20_000
 #: Residuals of a source that one task of the tree pairs.
 TREE = 256
+#: Documents drawn of a source, and as many of its smallest, that may make up for its last one.
+TRADED = 2048
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,7 +54,7 @@ def _coin(seed: int, *parts) -> float:
 
 
 def pivotal(keys: list, size: list[int], p: list[float], seed: int) -> list[float]:
-    """Rounds p to whole numbers, all but one; the sum of size * p stays, and so does each expectation. Larger sizes go first, so the one left is small."""
+    """Rounds p to whole numbers, all but one; the sum of size * p stays, and so does each expectation. Of a pair the smaller is mostly settled, so that the one left is often large."""
     out, held = list(p), None
     for i in sorted(range(len(p)), key=lambda i: (-size[i], str(keys[i]))):
         if out[i] in (0.0, 1.0):
@@ -91,12 +95,46 @@ def _round(seed: int):
     return run
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """`rows` with a running number, from 0, of those that share a key. Which of them gets which number is left open; a key's rows are counted by partition, so that no task needs them all. `rows` must be read from files."""
+    several = cut(rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1"))
+    if not several.head(1):
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    marked = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).join(several, F.col(key) == F.col("_key"), "left")
+    # Written, so that partitions and places are the same in both uses.
+    some = cut(marked.where("_n is not null").drop("_key", "_n"))
+    before = some.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count("*").alias("_m"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_at")) - 1
+    some = some.withColumn("_place", place).join(before, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_of")))
+    some = some.withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).select(*rows.columns, name)
+    return marked.where("_n is null").select(*rows.columns, F.lit(0).cast("long").alias(name)).unionByName(some)
+
+
+def row_key(id_column: Column, source: Column, text_hash: Column) -> Column:
+    """One string for an id, source and text; null ids and sources have their own."""
+    return F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("-")), text_hash.cast("string"), F.coalesce(F.concat(F.lit("s"), source), F.lit("-")))
+
+
+def _made_up(table: pa.Table) -> pa.Table:
+    """Which of a source's candidates are taken once more or less: the largest first, as long as they fit into what is missing."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("size", "key", "short")), strict=True), key=lambda r: (-r[0], r[1]))
+    left, out = abs(rows[0][2]) if rows else 0.0, []
+    for size, key, short in rows:
+        if size <= left + 0.5:
+            left -= size
+            out.append((key, 1 if short > 0 else -1))
+    return pa.table({"key": pa.array([k for k, _ in out], pa.string()), "step": pa.array([d for _, d in out], pa.int64())})
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, size, source_size, target, copies, taken (= copies * size), its source and text_hash (xxhash64 of the text); no row is taken more than three times.
+    """Per row: id, size, source_size, target, copies, taken (= copies * size), its source, text_hash (xxhash64 of the text) and repeat (its number among equal rows); no row is taken more than three times.
 
     Null text has size 0 and is never taken; null sources form one source, the last. Repeated ids are told apart by
-    their text's hash; repeated rows are the same row and get the same copies. All choices come from hashes of ids, so
-    reruns agree. An empty table gives no rows.
+    their text's hash; rows that are repeated with id, source and text are rounded one by one, so that they get the same
+    copies in some order on every run. All choices come from hashes, so reruns agree. A source's taken words miss its
+    target by less than its smallest documents, if TRADED of them are enough to make up for one document. An empty table
+    gives no rows.
     """
     base = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("h"),
@@ -105,11 +143,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id
     base = cut(base)
     targets = cut(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(0.0))
-    rows = base.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", rate.alias("rate"))
-    own = rows.select(
-        F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("h").cast("string")).alias("key"), "source", "size",
-        (F.col("rate") - F.floor("rate")).alias("p"),
-    ).where("size > 0 and p > 0").distinct()
+    told = numbered(base.withColumn("key", row_key(F.col("id"), F.col("source"), F.col("h"))), "key", "repeat").withColumn("key", F.concat_ws("#", "key", "repeat"))
+    rows = told.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", rate.alias("rate"))
+    own = rows.select("key", "source", "size", (F.col("rate") - F.floor("rate")).alias("p")).where("size > 0 and p > 0")
     kind = "key string, source string, size long, p double"
     done, turn = [], 0
     parts = math.ceil(max(1, base.count()) / BUCKET)
@@ -120,15 +156,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id
         most = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         turn += 1
         if most <= 1:
-            done.append(rest.withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)))
             break
         part = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(math.ceil(most / TREE)))
         level = cut(rest.withColumn("g", F.xxhash64("source", part)).groupBy("g").applyInArrow(_round(seed + turn), kind))
-    rounded = done[0]
-    for d in done[1:]:
+    nearest = F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)
+    rounded = rest.withColumn("p", nearest)
+    for d in done:
         rounded = rounded.unionByName(d)
-    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("h").cast("string"))
-    picked = rounded.select("key", F.col("source").alias("of"), "p")
-    out = rows.withColumn("key", key).alias("r").join(picked.alias("q"), (F.col("r.key") == F.col("q.key")) & F.col("r.source").eqNullSafe(F.col("of")), "left").drop("key", "of")
     copies = F.when(F.col("size") > 0, F.floor("rate") + F.coalesce(F.col("p"), F.lit(0.0)).cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.col("source").alias(source_col), F.col("h").alias("text_hash"))
+    out = cut(rows.join(rounded.select(F.col("key").alias("of"), "p"), F.col("key") == F.col("of"), "left").select("id", "key", "repeat", "source", "h", "size", "source_size", "target", copies.alias("copies")))
+    # What each source is short of (above 0) or over, after its last document was rounded.
+    short = cut(rest.select("source", F.col("key").alias("last"), ((F.col("p") - nearest) * F.col("size")).alias("short")).where("abs(short) >= 1"))
+    able = F.when(F.col("short") > 0, F.col("copies") < MOST_COPIES).otherwise(F.col("copies") > 0)
+    small = out.alias("o").join(short.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).where(able & (F.col("key") != F.col("last")) & (F.col("size") > 0) & (F.col("size") <= F.abs("short")))
+    small = small.select("o.key", "o.size", "o.source", "short")
+    drawn = small.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("key", F.lit(seed)), "key"))).where(F.col("rn") <= TRADED).drop("rn")
+    least = small.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("size", F.xxhash64("key", F.lit(seed)), "key"))).where(F.col("rn") <= TRADED).drop("rn")
+    traded = drawn.unionByName(least).distinct().groupBy("source").applyInArrow(_made_up, "key string, step long")
+    final = out.join(traded.select(F.col("key").alias("of"), "step"), F.col("key") == F.col("of"), "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
+    return final.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("source").alias(source_col), F.col("h").alias("text_hash"), "repeat")

@@ -375,6 +375,38 @@ def test_mix(spark, docs, rows):
         assert abs(taken[s] - (full | share)[s]) <= max(size[i] for i, _, x in rows if x == s)
 
 
+def _missed(spark, docs):
+    """By source: how far the taken words are from the target, its median document, and the mix."""
+    out = {}
+    for r in mixing.mix(docs).collect():
+        assert r.taken % max(r.size, 1) == 0 and r.taken <= 3 * r.size
+        out.setdefault(r.source, []).append(r)
+    return {s: (abs(sum(r.taken for r in own) - own[0].target), sorted(r.size for r in own if r.size)[sum(r.size > 0 for r in own) // 2]) for s, own in out.items() if any(r.size for r in own)}
+
+
+def test_mix_is_within_a_median_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for source, (missed, median) in _missed(spark, docs).items():
+        assert missed <= median, source
+
+
+def test_mix_rounds_repeated_rows_one_by_one(spark):
+    """Forty equal rows of a source do not share a coin; their copies are the same in some order on every run, over any partitions."""
+    rows = [(1, "w " * 10, "a")] * 40 + [(10 + i, "v " * (i + 1), "a") for i in range(19)] + [(100 + i, "u " * 7, "b") for i in range(60)] + [(200 + i, "t " * 30, None) for i in range(20)] + [(None, "s " * 9, "b")] * 30
+    schema = "doc_id long, text string, source string"
+    parts = [spark.createDataFrame(r, schema).repartition(n) for r, n in ((rows, 1), (rows[::-1], 5))]
+    for missed, median in _missed(spark, parts[0]).values():
+        assert missed <= median
+    one, two = (Counter(map(tuple, mixing.mix(p).drop("repeat").collect())) for p in parts)
+    assert one == two and len({r[4] for r in one if r[0] == 1}) > 1
+
+
+def test_numbered_counts_within_a_key(spark, tmp_path):
+    spark.createDataFrame([("a",)] * 50 + [("b",)] * 3 + [("c",)], "key string").repartition(7).write.parquet(str(tmp_path / "rows"))
+    got = mixing.numbered(spark.read.parquet(str(tmp_path / "rows")), "key", "n").collect()
+    assert sorted((r.key, r.n) for r in got) == [("a", i) for i in range(50)] + [("b", i) for i in range(3)] + [("c", 0)]
+
+
 def test_pivotal_keeps_expectations():
     size, p = [50, 40, 30, 20, 10, 5], [0.3, 0.6, 0.5, 0.2, 0.9, 0.4]
     runs = np.array([mixing.pivotal(list(range(6)), size, p, seed) for seed in range(4000)])
