@@ -48,12 +48,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (up to three times, as rows of their own).
 
-    Null and empty texts are never taken. Rows of one id are told apart by source and text; repeated rows are taken alike."""
-    from storyweft.llm.mixing import mix
+    Null and empty texts are never taken. Rows of one id are told apart by source and text; ones that are repeated with
+    all of these are numbered and taken one by one."""
+    from storyweft.llm.mixing import mix, numbered, row_key
 
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("text_hash").alias("_h"), "copies").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_of")) & (F.xxhash64(docs["text"]) == F.col("_h"))
-    rows = docs.select(*COLUMNS).join(taken, same)
+    taken = mix(docs).where("copies > 0").select(row_key(F.col("doc_id"), F.col("source"), F.col("text_hash")).alias("_of"), F.col("repeat").alias("_nth"), "copies")
+    rows = numbered(docs.select(*COLUMNS).withColumn("_row", row_key(F.col("doc_id"), F.col("source"), F.xxhash64("text"))), "_row", "_repeat")
+    rows = rows.join(taken, (F.col("_row") == F.col("_of")) & (F.col("_repeat") == F.col("_nth")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
