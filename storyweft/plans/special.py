@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
-from ..operators import clustering, comparison, density, extract, grouping, models, stories, vectors
+from ..operators import clustering, comparison, density, extract, grouping, models, pages, stories, vectors
 from ..operators.snapshots import checkpoint_ready
 from ..sources.tables import DUCK_PREFIX, run_sql, table
 from ..streaming.ingest import rate_limit
@@ -100,6 +100,7 @@ QUERIES = {
     "hdbscan_window": windows,
     "continuity_greedy": kept_ids,
     "html_to_text": lambda s, d: table(s, d, "pages").select("page_id", T.html_body(F.col("html")).alias("body")),
+    "page_main_text": lambda s, d: table(s, d, "pages").select("page_id", pages.main_texts(F.col("html")).alias("body")),
     "figure_parse": figure_rows,
     "quote_extract": lambda s, d: extract.table_function(table(s, d, "documents").select("doc_id", "text"), "text", extract.quotes, "quote string, speaker string, verb string, how string, start long, end long", ["doc_id"]),
     "claim_extract": lambda s, d: extract.table_function(table(s, d, "documents").select("doc_id", "text"), "text", extract.claims, "pos long, claim string, context string", ["doc_id"]),
@@ -121,6 +122,9 @@ ORACLES = {
     "medoid_title": f"WITH {_CENT}, s AS (SELECT c.label, e.vec_id, sum(CAST(e.embedding[c.pos + 1] AS DOUBLE) * c.m) AS sim FROM embeddings e JOIN cent c ON c.label = e.label GROUP BY c.label, e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS rn FROM s) SELECT label, vec_id AS medoid, trim(split_part(text, chr(10), 1)) AS title FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rn = 1",
     "quantize_int8": "WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127 AS scale FROM embeddings) SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(list_transform(embedding, lambda x: abs(CAST(round_even(CAST(x AS DOUBLE) / scale, 0) AS INTEGER)))) AS INTEGER) AS mass FROM s",
     "pairwise_similar_claims": f"WITH {_SIM} SELECT a, b, round(sim, 6) AS sim FROM pairs WHERE la = lb AND sim >= 0.35",
+    "page_main_text": r"""WITH a AS (SELECT page_id, replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', chr(1), 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM pages),
+l AS (SELECT page_id, unnest(string_split(t, chr(1))) AS x, unnest(range(0, len(string_split(t, chr(1))))) AS i FROM a)
+SELECT page_id, coalesce(string_agg(trim(regexp_replace(x, '\s+', ' ', 'g')), chr(10) ORDER BY i) FILTER (WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''), '') AS body FROM l GROUP BY page_id""",
     "nn_separation": f"WITH {_APART} SELECT id, round(first, 6) AS first, round(second, 6) AS second FROM sep",
     "coverage_groups": DUCK_PREFIX + ", o AS (SELECT cluster_id AS story, source, bool_or(article_id % 2 = 0) AS readable FROM members GROUP BY 1, 2), g AS (SELECT cluster_id AS story, category AS grp, source, bool_or(article_id % 3 > 0) AS same FROM members GROUP BY 1, 2, 3), k AS (SELECT DISTINCT story, grp FROM g), t AS (SELECT k.story, k.grp, s.source, CASE WHEN g.same THEN 'r' WHEN g.source IS NOT NULL THEN 'm' WHEN s.readable THEN 'o' END AS kind FROM k JOIN o s ON s.story = k.story LEFT JOIN g ON g.story = k.story AND g.grp = k.grp AND g.source = s.source) SELECT story, grp, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE kind = 'r'), '') AS reported_by, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE kind = 'm'), '') AS related, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE kind = 'o'), '') AS omitted_by FROM t GROUP BY story, grp",
 }
