@@ -144,11 +144,14 @@ def proximity(index: DataFrame, items: DataFrame, terms: int = 4, span: int = 20
     rarest = own.join(found, "term", "left").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= terms)
     whole = Window.partitionBy("item")
     rarest = cut(rarest.withColumn("n", F.count("*").over(whole)).withColumn("held", F.count("f").over(whole)).where("held = n").select("item", "term", "rank", "n"))
-    rows = cut(_salted(index, rarest).select("item", "at", "rank", "n").join(home if home is not None else slots(index), F.expr(f"at div {SLOT}") == F.col("slot")).drop("slot"))
-    rows = rows.join(cut(rows.where("rank = 1").select("item", "base").distinct()), ["item", "base"], "left_semi")
-    ahead = Window.partitionBy("item", "base").orderBy("at").rangeBetween(0, span - 1)
-    met = rows.withColumn("met", F.size(F.collect_set("rank").over(ahead))).where("met = n")
-    return met.select("item", "base", F.col("at").alias("start"))
+    # A posting is in its slot and, near the slot's beginning, in the one before, so that a span from any place of a slot is whole there.
+    slot = F.expr(f"at div {SLOT}")
+    places = F.when(F.col("at") % SLOT < span - 1, F.array(slot, slot - 1)).otherwise(F.array(slot))
+    rows = cut(_salted(index, rarest).select("item", "at", "rank", "n", F.explode(places).alias("slot")))
+    rows = rows.join(cut(rows.where("rank = 1").select("item", "slot").distinct()), ["item", "slot"], "left_semi")
+    ahead = Window.partitionBy("item", "slot").orderBy("at").rangeBetween(0, span - 1)
+    met = rows.withColumn("met", F.size(F.collect_set("rank").over(ahead))).where((F.col("met") == F.col("n")) & (slot == F.col("slot")))
+    return met.select("item", "slot", F.col("at").alias("start")).join(home if home is not None else slots(index), "slot").select("item", "base", "start")
 
 
 def slots(index: DataFrame) -> DataFrame:
