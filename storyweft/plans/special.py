@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
-from ..operators import clustering, comparison, density, extract, grouping, models, pages, stories, vectors
+from ..operators import clustering, comparison, density, extract, grouping, models, pages, people, stories, vectors
+from ..operators.quotes import extract_quotes
 from ..operators.snapshots import checkpoint_ready
 from ..sources.tables import DUCK_PREFIX, run_sql, table
 from ..streaming.ingest import rate_limit
@@ -68,6 +69,28 @@ def figure_rows(s: SparkSession, d: str) -> DataFrame:
     return extract.table_function(rows, "text", extract.figures, "value double, unit string, state string, currency string, start long, end long", ["doc_id"])
 
 
+def transcripts(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as articles, one paragraph a turn, in four forms by turn: attributed after the quote, before it, by pronoun, and not at all."""
+    said = F.concat(F.lit("“"), F.translate("text", '"“”‘’', ""), F.lit("”"))
+    name = F.when(F.col("role") == "user", F.lit("Jane Wanjiku")).otherwise("Peter Otieno")
+    form = F.col("turn") % 4
+    line = F.when(form == 0, F.concat(said, F.lit(", said "), name, F.lit("."))).when(form == 1, F.concat(name, F.lit(" said: "), said)).when(form == 2, F.concat(F.lit("He added: "), said)).otherwise(said)
+    turns = table(s, d, "conversations").where("text is not null and conv_id is not null").select("conv_id", F.struct("turn", line.alias("line")).alias("t"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text"))
+
+
+def quote_rows(s: SparkSession, d: str) -> DataFrame:
+    return extract.table_function(transcripts(s, d), "text", extract_quotes, "quote string, speaker string, how string, language string, start long", ["conv_id"]).select("conv_id", "quote", "speaker", "how")
+
+
+def story_quotes(s: SparkSession, d: str) -> DataFrame:
+    """Remarks of stories of seven conversations, each by one of five outlets, from the quotes in their transcripts."""
+    found = extract.table_function(transcripts(s, d), "text", extract_quotes, "quote string, speaker string, how string, language string, start long", ["conv_id"])
+    vector = models.column(models.embed, ArrayType(DoubleType()))(F.col("quote"))
+    rows = found.select(F.floor(F.col("conv_id") / 7).cast("long").alias("story"), (F.col("conv_id") * 1_000_000 + F.col("start")).alias("pos"), F.concat(F.lit("o"), (F.col("conv_id") % 5).cast("string")).alias("source"), "speaker", F.col("quote").alias("wording"), F.col("language").alias("lang"), vector.alias("vector"))
+    return people.remarks(rows).select("story", "remark", "pos", "version", "outlets", "relation")
+
+
 def limited(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select("event_id", "user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"))
     return rate_limit(e, ["user_id"], "us", "event_id", most=2, window=86_400.0).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
@@ -102,7 +125,8 @@ QUERIES = {
     "html_to_text": lambda s, d: table(s, d, "pages").select("page_id", T.html_body(F.col("html")).alias("body")),
     "page_main_text": lambda s, d: table(s, d, "pages").select("page_id", pages.main_texts(F.col("html")).alias("body")),
     "figure_parse": figure_rows,
-    "quote_extract": lambda s, d: extract.table_function(table(s, d, "documents").select("doc_id", "text"), "text", extract.quotes, "quote string, speaker string, verb string, how string, start long, end long", ["doc_id"]),
+    "quote_extract": quote_rows,
+    "story_quotes": story_quotes,
     "claim_extract": lambda s, d: extract.table_function(table(s, d, "documents").select("doc_id", "text"), "text", extract.claims, "pos long, claim string, context string", ["doc_id"]),
     "tone_model": lambda s, d: table(s, d, "documents").select("doc_id", models.column(models.tone, DoubleType())(F.col("text")).alias("tone")),
     "rate_limit_sliding": limited,
@@ -122,6 +146,11 @@ ORACLES = {
     "medoid_title": f"WITH {_CENT}, s AS (SELECT c.label, e.vec_id, sum(CAST(e.embedding[c.pos + 1] AS DOUBLE) * c.m) AS sim FROM embeddings e JOIN cent c ON c.label = e.label GROUP BY c.label, e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS rn FROM s) SELECT label, vec_id AS medoid, trim(split_part(text, chr(10), 1)) AS title FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rn = 1",
     "quantize_int8": "WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127 AS scale FROM embeddings) SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(list_transform(embedding, lambda x: abs(CAST(round_even(CAST(x AS DOUBLE) / scale, 0) AS INTEGER)))) AS INTEGER) AS mass FROM s",
     "pairwise_similar_claims": f"WITH {_SIM} SELECT a, b, round(sim, 6) AS sim FROM pairs WHERE la = lb AND sim >= 0.35",
+    "quote_extract": r"""WITH q AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Jane Wanjiku' ELSE 'Peter Otieno' END AS name, turn % 4 AS form, trim(translate(text, '"“”‘’', ''), ' ' || chr(10) || chr(9) || chr(13)) AS q FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL),
+w AS (SELECT *, regexp_extract_all(q, '[A-Za-z][A-Za-z''-]*') AS x FROM q),
+s AS (SELECT *, lag(name, 1) OVER o AS n1, lag(name, 2) OVER o AS n2 FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, left(q, 400) AS quote, CASE form WHEN 0 THEN name WHEN 1 THEN name WHEN 2 THEN n1 ELSE n2 END AS speaker, ['named', 'named', 'pronoun', 'continued'][form + 1] AS how
+FROM s WHERE len(regexp_split_to_array(q, '\s+')) >= 4 AND NOT (len(x) <= 8 AND len(list_filter(x, lambda y: length(y) > 3)) >= 2 AND len(list_filter(x, lambda y: length(y) > 3 AND NOT regexp_matches(y, '^[A-Z]'))) = 0)""",
     "page_main_text": r"""WITH a AS (SELECT page_id, replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', chr(1), 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM pages),
 l AS (SELECT page_id, unnest(string_split(t, chr(1))) AS x, unnest(range(0, len(string_split(t, chr(1))))) AS i FROM a)
 SELECT page_id, coalesce(string_agg(trim(regexp_replace(x, '\s+', ' ', 'g')), chr(10) ORDER BY i) FILTER (WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''), '') AS body FROM l GROUP BY page_id""",
