@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import composite, desk, expressions, relational, reports, special
+from .plans import composite, desk, expressions, newsroom, relational, reports, special
 from .sources.tables import duck_sql, run_sql
 
 _MARKS = {"explode_words": {"spark": "explode(split(lower(text), '[^a-z]+'))", "duck": "unnest(string_split_regex(lower(text), '[^a-z]+'))"}} | reports.MARKS
@@ -15,5 +15,5 @@ def _fill(body: str, engine: str) -> str:
     return body
 
 
-QUERIES = {k: (lambda spark, sf_dir, body=_fill(v, "spark"): run_sql(spark, sf_dir, body)) for k, v in _BODIES.items()} | expressions.QUERIES | special.QUERIES | composite.QUERIES | desk.QUERIES
-ORACLES = {k: duck_sql(_fill(v, "duck")) for k, v in _BODIES.items()} | expressions.ORACLES | special.ORACLES | composite.ORACLES | desk.ORACLES
+QUERIES = {k: (lambda spark, sf_dir, body=_fill(v, "spark"): run_sql(spark, sf_dir, body)) for k, v in _BODIES.items()} | expressions.QUERIES | special.QUERIES | composite.QUERIES | desk.QUERIES | newsroom.QUERIES
+ORACLES = {k: duck_sql(_fill(v, "duck")) for k, v in _BODIES.items()} | expressions.ORACLES | special.ORACLES | composite.ORACLES | desk.ORACLES | newsroom.ORACLES

@@ -105,29 +105,30 @@ def phrases(index: DataFrame, tests: DataFrame, found: DataFrame | None = None)
     found = frequencies(index, tests) if found is None else found
     distinct = tests.groupBy("window").agg(F.first("terms").alias("terms")).where(F.size("terms") > 0)
     lists = cut(distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")))
-    ranked = lists.join(found, "term").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("f", "offset")))
+    ranked = lists.join(found, "term").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("f", "term", "offset")))
     # A window with a word that the index lacks cannot occur.
     whole = Window.partitionBy("window")
     ranked = cut(ranked.withColumn("held", F.count("*").over(whole)).where("held = size").select("window", "size", "term", "offset", "rank"))
-    first = _salted(index, ranked.where("rank = 1")).select("window", "size", (F.col("at") - F.col("offset")).alias("start"))
 
-    def kept(starts: DataFrame, tested, wanted: int | None) -> DataFrame:
-        """Of starts, those at which all words whose rank is tested stand at their offsets."""
-        tests_ = ranked.where(tested(F.col("rank"))).select("window", F.col("term").alias("wanted"), "offset")
-        needed = starts.join(tests_, "window").select("window", "size", "start", "wanted", (F.col("start") + F.col("offset")).alias("at"))
+    def confirmed(needed: DataFrame) -> DataFrame:
+        """Rows of needed(at, wanted, ...) whose place has the word wanted."""
         # Only postings in the candidates' slots can confirm one: read by an equal key, the rest stays where it is.
         near = cut(needed.select(F.expr(f"at div {SLOT}").alias("slot")).distinct())
-        held = index.where("term is not null").join(cut(ranked.where(tested(F.col("rank"))).select("term").distinct()), "term", "left_semi")
+        held = index.where("term is not null").join(cut(needed.select(F.col("wanted").alias("term")).distinct()), "term", "left_semi")
         held = held.select("term", "at", F.expr(f"at div {SLOT}").alias("slot")).join(near, "slot", "left_semi").select("term", F.col("at").alias("place"))
-        met = needed.join(held, (needed["at"] == held["place"]) & (needed["wanted"] == held["term"]), "left_semi")
-        if wanted == 1:
-            return met.select("window", "size", "start")
-        return met.groupBy("window", "size", "start").agg(F.count("*").alias("met")).where("met = size - 2").drop("met")
-
-    first = cut(first)
-    both = cut(kept(first.where("size > 1"), lambda r: r == 2, 1))
-    out = kept(both.where("size > 2"), lambda r: r > 2, None)
-    return cut(out.unionByName(both.where("size = 2")).unionByName(first.where("size = 1")))
+        return needed.join(held, (needed["at"] == held["place"]) & (needed["wanted"] == held["term"]), "left_semi")
+
+    single = _salted(index, ranked.where("size = 1")).select("window", "size", F.col("at").alias("start"))
+    # Windows that overlap mostly have the same two rarest words as far apart: those two lists are intersected once.
+    two = ranked.groupBy("window", "size").agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(c[0] + str(r)) for r in (1, 2) for c in ("term", "offset")]).where("size > 1")
+    two = cut(two.withColumn("apart", F.col("o2") - F.col("o1")).withColumn("pair", F.xxhash64("t1", "t2", "apart")))
+    rarest = two.select(F.col("t1").alias("term"), "pair", F.col("t2").alias("wanted"), "apart").distinct()
+    candidates = cut(_salted(index, rarest).select("pair", F.col("at").alias("first"), "wanted", (F.col("at") + F.col("apart")).alias("at")))
+    both = cut(confirmed(candidates).select("pair", "first").join(two, "pair").select("window", "size", (F.col("first") - F.col("o1")).alias("start")))
+    others = ranked.where("rank > 2").select("window", F.col("term").alias("wanted"), "offset")
+    needed = cut(both.join(others, "window").select("window", "size", "start", "wanted", (F.col("start") + F.col("offset")).alias("at")))
+    out = confirmed(needed).groupBy("window", "size", "start").agg(F.count("*").alias("met")).where("met = size - 2").drop("met")
+    return cut(out.unionByName(both.where("size = 2")).unionByName(single))
 
 
 def proximity(index: DataFrame, items: DataFrame, terms: int = 4, span: int = 20, found: DataFrame | None = None, home: DataFrame | None = None) -> DataFrame:
