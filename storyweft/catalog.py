@@ -5,7 +5,12 @@ from __future__ import annotations
 from .plans import composite, desk, expressions, newsroom, relational, reports, special
 from .sources.tables import duck_sql, run_sql
 
-_MARKS = {"explode_words": {"spark": "explode(split(lower(text), '[^a-z]+'))", "duck": "unnest(string_split_regex(lower(text), '[^a-z]+'))"}} | reports.MARKS
+_WORDS = {"spark": "split(lower(text), '[^a-z]+')", "duck": "string_split_regex(lower(text), '[^a-z]+')"}
+_MARKS = {
+    "explode_words": {"spark": f"explode({_WORDS['spark']})", "duck": f"unnest({_WORDS['duck']})"},
+    "explode_distinct_words": {"spark": f"explode(array_distinct({_WORDS['spark']}))", "duck": f"unnest(list_distinct({_WORDS['duck']}))"},
+    "has_word": {"spark": "lower(text) RLIKE '[a-z]'", "duck": "regexp_matches(lower(text), '[a-z]')"},
+} | reports.MARKS
 _BODIES = relational.BODIES | reports.BODIES
 
 

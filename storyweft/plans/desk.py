@@ -113,7 +113,6 @@ QUERIES = {
     "json_navigation": lambda s, d: table(s, d, "events").select("event_id", F.to_json(F.struct("event_id", F.struct("user_id", "event_type").alias("who"))).alias("j")).select("event_id", F.get_json_object("j", "$.who.event_type").alias("kind"), F.get_json_object("j", "$.who.user_id").cast("long").alias("person"), F.get_json_object("j", "$.none").alias("none")),
     "positional_zip": lambda s, d: table(s, d, "embeddings").select("vec_id", F.explode(F.arrays_zip(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 6)).alias("x"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("name"))).alias("z")).select("vec_id", "z.name", "z.x"),
     "status_update": lambda s, d: table(s, d, "labels").select("doc_id", stories.next_status(F.when(F.col("quality") == 1, "deep").when(F.col("toxic") == 1, "failed"), F.when(F.col("doc_id") % 2 == 0, "preview").otherwise("deep"), F.when(F.col("doc_id") % 5 == 0, "timeout")).alias("status")),
-    "centroid_order_rounded": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 3).alias("score")).orderBy(F.desc("score"), "vec_id").limit(50),
 }
 
 _STEP = """g AS (SELECT CASE WHEN toxic = 1 THEN 'neg' WHEN quality = 1 THEN 'pos' ELSE 'neu' END AS gold, doc_id * 7919 % 201 - 100 AS s FROM labels WHERE doc_id IS NOT NULL),
@@ -153,7 +152,6 @@ SELECT id, coalesce(cased, title) AS cased FROM g LEFT JOIN j USING (id)""",
     "json_navigation": "SELECT event_id, event_type AS kind, CAST(user_id AS BIGINT) AS person, CAST(NULL AS VARCHAR) AS none FROM events",
     "positional_zip": "SELECT vec_id, ['a', 'b', 'c'][i] AS name, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM embeddings, (SELECT unnest([1, 2, 3]) AS i)",
     "status_update": "SELECT doc_id, CASE WHEN quality = 1 THEN 'deep' WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'preview' ELSE 'deep' END AS status FROM labels",
-    "centroid_order_rounded": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 3) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50",
     "possessive_straight": "SELECT doc_id, md5(replace(coalesce(text, ''), '’s ', '''s ') || ' Ruto''s ‘plan’ isn’t Kenya’sx') AS digest FROM documents",
     "phrase_cleanup": "SELECT doc_id, regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1) || ' -; ', '^[ .,:;|—-]+', ''), '[ .,:;|—-]+$', '') AS phrase FROM documents",
 }

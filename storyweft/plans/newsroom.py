@@ -10,6 +10,7 @@ from ..operators import subjects, vector_index, vectors
 from ..operators.snapshots import shared_dir
 from ..sources import site
 from ..sources.tables import DUCK_PREFIX, run_sql, table
+from .special import _CENT, _SIM
 
 
 def _place(s: SparkSession, name: str) -> str:
@@ -63,7 +64,27 @@ def site_pages(s: SparkSession, d: str) -> DataFrame:
     return site.built(s, at).join(wrong, "path", "left").select("path", "size", F.coalesce("problems", F.lit(0)).cast("long").alias("problems"))
 
 
+def centroid_order(s: SparkSession, d: str) -> DataFrame:
+    """Articles of each story by similarity to its centroid, rounded to three places, then by id."""
+    e = table(s, d, "embeddings").select("label", "vec_id", "embedding")
+    centre = vectors.centroids(e, "label", "embedding").select("label", "centroid")
+    norm = lambda c: F.sqrt(vectors.dot(F.col(c), F.col(c)))
+    near = e.join(centre, "label").withColumn("score", F.round(vectors.dot(F.col("embedding"), F.col("centroid")) / norm("centroid"), 3))
+    # A story's articles, without their vectors, are what a page shows in order.
+    listed = near.groupBy("label").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "vec_id"))).alias("x"))
+    return listed.select("label", F.posexplode("x").alias("place", "x")).select("label", "place", "x.vec_id", (-F.col("x.k")).alias("score"))
+
+
+def coherence_bins(s: SparkSession, d: str) -> DataFrame:
+    """Stories by coherence in thirty bins of -1 to 1, and how many of each bin are below the floor."""
+    c = vectors.coherence(table(s, d, "embeddings"), "label", "embedding").withColumn("c", F.round("coherence", 6))
+    bin_ = F.least(F.lit(29), F.floor((F.col("c") + 1) * 15)).cast("int")
+    return c.groupBy(bin_.alias("bin")).agg(F.count("*").alias("stories"), F.count_if(F.col("c") < 0.5).alias("below"))
+
+
 QUERIES = {
+    "centroid_order_rounded": centroid_order,
+    "coherence_histogram": coherence_bins,
     "figure_links": figure_links,
     "story_subject": story_subject,
     "vector_index_search": index_search,
@@ -74,6 +95,8 @@ QUERIES = {
 
 _HEAD = "CASE WHEN regexp_matches(w, 'ies$') AND length(w) > 4 THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN w[:-2] ELSE w END"
 ORACLES = {
+    "coherence_histogram": f"WITH {_SIM}, c AS (SELECT la, round(avg(sim), 6) AS c FROM pairs WHERE la = lb GROUP BY la) SELECT CAST(least(29, floor((c + 1) * 15)) AS INTEGER) AS bin, count(*) AS stories, count(*) FILTER (WHERE c < 0.5) AS below FROM c GROUP BY 1",
+    "centroid_order_rounded": f"WITH {_CENT}, n AS (SELECT label, sqrt(sum(m * m)) AS n FROM cent GROUP BY label), x AS (SELECT c.label, e.vec_id, round(sum(CAST(e.embedding[c.pos + 1] AS DOUBLE) * c.m) / any_value(n.n), 3) AS score FROM embeddings e JOIN cent c ON c.label = e.label JOIN n ON n.label = c.label GROUP BY c.label, e.vec_id) SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) - 1 AS INTEGER) AS place, vec_id, score FROM x",
     "story_subject": DUCK_PREFIX + f""", t AS (SELECT cluster_id AS story, article_id AS pos, string_split(regexp_replace(coalesce(title, ''), '[^\\p{{L}}\\p{{N}}''’ -]+', '|', 'g'), '|') AS p FROM members),
 a AS (SELECT story, pos, unnest(range(0, len(p))) AS i, unnest(p) AS x FROM t),
 b AS (SELECT story, pos, i, unnest(range(0, len(w))) AS j, unnest(w) AS w FROM (SELECT *, list_filter(string_split(x, ' '), lambda y: y <> '') AS w FROM a)),

@@ -32,13 +32,13 @@ BODIES: dict[str, str] = {
     "known_identifiers_semi": "SELECT article_id FROM articles a WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.article_id)",
     "new_items_anti": "WITH c AS (SELECT article_id, title, row_number() OVER (PARTITION BY lower(title) ORDER BY article_id) AS rn FROM articles WHERE title <> '') SELECT c.article_id FROM c WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.article_id)",
     "feed_first_25": "WITH r AS (SELECT article_id, source, row_number() OVER (PARTITION BY source ORDER BY article_id) AS pos FROM articles) SELECT article_id, source, pos FROM r WHERE pos <= 25",
-    "repeat_snippet_blank": "SELECT article_id, CASE WHEN count(*) OVER (PARTITION BY snippet) >= 3 THEN '' ELSE snippet END AS snippet FROM articles",
+    "repeat_snippet_blank": "WITH r AS (SELECT snippet FROM articles GROUP BY snippet HAVING count(*) >= 3), k AS (SELECT snippet, 1 AS tag FROM r) SELECT a.article_id, CASE WHEN k.tag = 1 THEN '' ELSE a.snippet END AS snippet FROM articles a LEFT JOIN k ON k.snippet IS NOT DISTINCT FROM a.snippet",
     "first_article_per_outlet": "WITH r AS (SELECT cluster_id, source, article_id, row_number() OVER (PARTITION BY cluster_id, source ORDER BY us DESC NULLS LAST, article_id) AS rn FROM members) SELECT cluster_id, source, article_id FROM r WHERE rn = 1",
     "majority_topic": "WITH v AS (SELECT cluster_id, category, article_id, row_number() OVER (PARTITION BY cluster_id ORDER BY article_id) AS pos FROM members), c AS (SELECT cluster_id, category, count(*) AS n, min(pos) AS first_pos FROM v WHERE pos <= 10 GROUP BY cluster_id, category), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN category = 'es' THEN 1 ELSE 0 END, n DESC, first_pos) AS rn FROM c) SELECT cluster_id, category, n FROM r WHERE rn = 1",
     "cluster_share_guard": "SELECT max(article_count) / CAST(sum(article_count) AS DOUBLE) > 0.25 AS rejected, max(article_count) AS largest FROM stories",
     "membership_overlap_jaccard": "WITH a AS (SELECT cluster_id AS old_id, article_id FROM members), b AS (SELECT article_id % 7 AS new_id, article_id FROM members), n AS (SELECT old_id, count(*) AS na FROM a GROUP BY old_id), k AS (SELECT new_id, count(*) AS nb FROM b GROUP BY new_id), s AS (SELECT old_id, new_id, count(*) AS shared FROM a JOIN b ON a.article_id = b.article_id GROUP BY old_id, new_id) SELECT s.old_id, s.new_id, shared, round(shared / CAST(na + nb - shared AS DOUBLE), 6) AS jaccard, round(shared / CAST(least(na, nb) AS DOUBLE), 6) AS of_smaller FROM s JOIN n ON n.old_id = s.old_id JOIN k ON k.new_id = s.new_id",
     "ended_stories_anti": "SELECT s.cluster_id FROM stories s WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.cluster_id = s.cluster_id AND m.article_id % 50 = 0)",
-    "document_frequency": "WITH t AS (SELECT DISTINCT article_id, w FROM (SELECT article_id, {explode_words} AS w FROM articles) x WHERE w <> ''), n AS (SELECT count(DISTINCT article_id) AS total FROM t) SELECT w, count(*) AS df FROM t CROSS JOIN n GROUP BY w, total HAVING count(*) > 0.25 * total",
+    "document_frequency": "WITH n AS (SELECT count(DISTINCT article_id) AS total FROM articles WHERE {has_word}), t AS (SELECT w, count(*) AS df FROM (SELECT {explode_distinct_words} AS w FROM articles) x WHERE w <> '' GROUP BY w) SELECT w, df FROM t CROSS JOIN n WHERE df > 0.25 * total",
     "keyword_subject": "WITH t AS (SELECT cluster_id, article_id, {explode_words} AS w FROM articles WHERE cluster_id IS NOT NULL), c AS (SELECT cluster_id, w, count(DISTINCT article_id) AS n FROM t WHERE length(w) > 3 GROUP BY cluster_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, w) AS rn FROM c) SELECT cluster_id, w, n FROM r WHERE rn <= 6",
     "never_named_by": "WITH o AS (SELECT DISTINCT source FROM articles), p AS (SELECT DISTINCT category FROM articles), seen AS (SELECT DISTINCT source, category FROM members) SELECT p.category, o.source FROM p CROSS JOIN o WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.source = o.source AND seen.category = p.category)",
     "coverage_set_algebra": "WITH o AS (SELECT DISTINCT source FROM articles), rep AS (SELECT DISTINCT cluster_id, source FROM members WHERE article_id % 2 = 0), rel AS (SELECT DISTINCT cluster_id, source FROM members WHERE article_id % 2 = 1) SELECT s.cluster_id, o.source, CASE WHEN rep.source IS NOT NULL THEN 'reported' WHEN rel.source IS NOT NULL THEN 'related' ELSE 'omitted' END AS state FROM stories s CROSS JOIN o LEFT JOIN rep ON rep.cluster_id = s.cluster_id AND rep.source = o.source LEFT JOIN rel ON rel.cluster_id = s.cluster_id AND rel.source = o.source",
@@ -48,13 +48,13 @@ BODIES: dict[str, str] = {
     "strongest_sentence": "SELECT m.source, max_by(m.article_id, abs(l.quality - 2 * l.toxic) * 1000000 - m.article_id) AS example, count(*) AS n FROM members m JOIN labels l ON l.doc_id = m.article_id GROUP BY m.source",
     "tone_mix": "WITH t AS (SELECT a.source, CAST(l.quality AS DOUBLE) * 4e-1 - l.toxic * 9e-1 AS tone FROM articles a JOIN labels l ON l.doc_id = a.article_id), m AS (SELECT source, count(*) AS n, avg(CASE WHEN tone > 0.15 THEN 1e0 ELSE 0e0 END) AS pos, avg(CASE WHEN tone < -0.15 THEN 1e0 ELSE 0e0 END) AS neg FROM t GROUP BY source HAVING count(*) >= 4) SELECT source, n, round(CAST(pos AS DOUBLE), 6) AS pos, round(CAST(neg AS DOUBLE), 6) AS neg, CASE WHEN 1 - pos - neg >= 0.6 THEN 'mostly neutral' WHEN pos - neg >= 0.25 THEN 'leans positive' WHEN neg - pos >= 0.25 THEN 'leans negative' ELSE 'mixed' END AS label FROM m",
     "weighted_tone": "WITH s AS (SELECT a.category, a.source, avg(CAST(l.quality AS DOUBLE)) AS tone, count(*) AS n FROM articles a JOIN labels l ON l.doc_id = a.article_id GROUP BY a.category, a.source) SELECT category, round(sum(tone * n) / sum(n), 6) AS tone, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY category",
-    "newest_mentions": "WITH r AS (SELECT category, source, article_id, row_number() OVER (PARTITION BY category, source ORDER BY us DESC NULLS LAST, article_id) AS rn, count(*) OVER (PARTITION BY category, source) AS total FROM articles) SELECT category, source, article_id, total FROM r WHERE rn <= 3",
+    "newest_mentions": "WITH r AS (SELECT category, source, article_id, row_number() OVER (PARTITION BY category, source ORDER BY us DESC NULLS LAST, article_id) AS rn FROM articles), k AS (SELECT category, source, count(*) AS total FROM articles GROUP BY category, source) SELECT r.category, r.source, r.article_id, k.total FROM r JOIN k ON k.category IS NOT DISTINCT FROM r.category AND k.source IS NOT DISTINCT FROM r.source WHERE r.rn <= 3",
     "one_per_role_first": "WITH r AS (SELECT source, category, article_id, us, row_number() OVER (PARTITION BY source, category ORDER BY us DESC NULLS LAST, article_id) AS in_role FROM articles), q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN in_role = 1 THEN 0 ELSE 1 END, us DESC NULLS LAST, article_id) AS rn FROM r) SELECT source, category, article_id FROM q WHERE rn <= 6",
     "role_shares": "WITH c AS (SELECT source, category, count(*) AS n FROM articles GROUP BY source, category) SELECT source, category, n, round(n / CAST(sum(n) OVER (PARTITION BY source) AS DOUBLE), 6) AS share, row_number() OVER (PARTITION BY source ORDER BY n DESC, category) AS place FROM c",
     "share_extremes": "WITH c AS (SELECT source, category, count(*) AS n FROM articles GROUP BY source, category), s AS (SELECT source, category, n / CAST(sum(n) OVER (PARTITION BY source) AS DOUBLE) AS share FROM c) SELECT category, round(max(share) - min(share), 6) AS apart, max(share) - min(share) >= 0.15 AS tell FROM s GROUP BY category",
     "largest_figure_per_claim": "WITH f AS (SELECT l_orderkey, l_suppkey, l_quantity, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_suppkey) AS rn, count(*) OVER (PARTITION BY l_orderkey) - 1 AS others FROM lineitem) SELECT l_orderkey, l_suppkey, l_quantity, others FROM f WHERE rn = 1",
     "distinct_figure_first": "WITH f AS (SELECT l_suppkey, l_quantity, l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_quantity, l_returnflag ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) SELECT l_suppkey, l_quantity, l_returnflag, l_orderkey, l_linenumber FROM f WHERE rn = 1",
-    "figure_peers": "WITH f AS (SELECT DISTINCT o_custkey, o_orderpriority, o_orderkey FROM orders) SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority) - count(*) OVER (PARTITION BY o_orderpriority, o_custkey) AS peers FROM f",
+    "figure_peers": "WITH f AS (SELECT DISTINCT o_custkey, o_orderpriority, o_orderkey FROM orders), a AS (SELECT o_orderpriority, count(*) AS n FROM f GROUP BY o_orderpriority), b AS (SELECT o_orderpriority, o_custkey, count(*) AS n FROM f GROUP BY o_orderpriority, o_custkey) SELECT f.o_orderkey, a.n - b.n AS peers FROM f JOIN a ON a.o_orderpriority IS NOT DISTINCT FROM f.o_orderpriority JOIN b ON b.o_orderpriority IS NOT DISTINCT FROM f.o_orderpriority AND b.o_custkey IS NOT DISTINCT FROM f.o_custkey",
     "spread_gate": "SELECT l_partkey, max(l_quantity) / min(l_quantity) <= 3 AS near, count(DISTINCT l_suppkey) AS outlets FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 2",
     "confusion_matrix": f"SELECT gold, guess, count(*) AS n FROM {_PAIR} p GROUP BY gold, guess",
     "macro_f1": f"WITH c AS (SELECT k.k, count(*) FILTER (WHERE gold = k.k AND guess = k.k) AS tp, count(*) FILTER (WHERE gold <> k.k AND guess = k.k) AS fp, count(*) FILTER (WHERE gold = k.k AND guess <> k.k) AS fn FROM {_PAIR} p CROSS JOIN (SELECT 'neg' AS k UNION ALL SELECT 'neu' UNION ALL SELECT 'pos') k GROUP BY k.k) SELECT round(avg(CASE WHEN tp = 0 THEN 0e0 ELSE 2e0 * tp / (2 * tp + fp + fn) END), 6) AS f1m, CAST(sum(tp) AS BIGINT) AS hits FROM c",
@@ -68,7 +68,6 @@ BODIES: dict[str, str] = {
     "source_availability": "SELECT event_type, round(1 - count(*) FILTER (WHERE value < 10) / CAST(count(*) AS DOUBLE), 6) AS availability FROM events GROUP BY event_type",
     "quality_checks": "SELECT 'double_member' AS check_name, count(*) AS bad FROM (SELECT article_id FROM members GROUP BY article_id HAVING count(*) > 1) x UNION ALL SELECT 'count_mismatch', count(*) FROM stories s WHERE article_count <> (SELECT count(*) FROM members m WHERE m.cluster_id = s.cluster_id) UNION ALL SELECT 'no_title', count(*) FROM articles WHERE title = ''",
     "due_check": "SELECT count(*) >= 40 AS due, count(*) AS new_articles FROM articles a WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.article_id)",
-    "coherence_histogram": "SELECT CAST(floor(article_count / 5e0) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (WHERE article_count < 30) AS below FROM stories GROUP BY CAST(floor(article_count / 5e0) AS BIGINT)",
     "latest_stories": "SELECT cluster_id, latest FROM stories ORDER BY latest DESC NULLS LAST, cluster_id LIMIT 3",
     "index_newest_by_url": "WITH r AS (SELECT article_id, url, row_number() OVER (PARTITION BY url ORDER BY us DESC NULLS LAST, article_id) AS rn FROM articles WHERE url IS NOT NULL) SELECT article_id, url FROM r WHERE rn = 1",
     "visualisation_join": "SELECT a.article_id, s.cluster_id, s.outlets, l.quality FROM articles a LEFT JOIN stories s ON s.cluster_id = a.cluster_id LEFT JOIN labels l ON l.doc_id = a.article_id WHERE a.us IS NOT NULL",

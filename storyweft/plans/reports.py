@@ -28,13 +28,13 @@ BODIES: dict[str, str] = {
     "figure_window_bounds": "SELECT conv_id, turn, length(text) AS size, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) AS after FROM conversations",
     "speaker_look_back": "WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role END AS speaker FROM conversations) SELECT conv_id, turn, {last_known} OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS speaker FROM s",
     "age_and_day": f"SELECT article_id, CAST(floor(((SELECT max(us) FROM articles) - us) / CAST({HOUR} AS DOUBLE)) AS BIGINT) AS age_hours, CASE WHEN us >= (SELECT max(us) FROM articles) - 24 * {HOUR} THEN 'today' ELSE 'earlier' END AS period FROM articles WHERE us IS NOT NULL",
-    "runtime_upper_median": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, n, value AS median FROM r WHERE rn = floor(n / 2e0) + 1",
+    "runtime_upper_median": "WITH c AS (SELECT event_type, value, count(*) AS c FROM events GROUP BY event_type, value), t AS (SELECT event_type, sum(c) AS n FROM c GROUP BY event_type), r AS (SELECT c.event_type, c.value, c.c, t.n, sum(c.c) OVER (PARTITION BY c.event_type ORDER BY c.value) AS upto FROM c JOIN t ON t.event_type IS NOT DISTINCT FROM c.event_type) SELECT event_type, CAST(n AS BIGINT) AS n, value AS median FROM r WHERE upto >= floor(n / 2e0) + 1 AND upto - c < floor(n / 2e0) + 1",
     "round_half_even": "SELECT event_id, {half_even} AS v FROM events",
     # how many stories a share of the corpus yields, in seeded subsamples
     "subsample_stability": "WITH k AS (SELECT 0 AS seed UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4), s AS (SELECT k.seed, m.cluster_id, m.source FROM members m CROSS JOIN k WHERE substr(md5(CAST(k.seed AS STRING) || '-' || CAST(m.article_id AS STRING)), 1, 2) < 'e6'), c AS (SELECT seed, cluster_id, count(*) AS n, count(DISTINCT source) AS outlets FROM s GROUP BY seed, cluster_id) SELECT seed, count(*) FILTER (WHERE outlets >= 2) AS stories, CAST(sum(n) AS BIGINT) AS articles FROM c GROUP BY seed",
     "density_curve": "WITH k AS (SELECT '40' AS lim, 25 AS pct UNION ALL SELECT '80', 50 UNION ALL SELECT 'c0', 75 UNION ALL SELECT 'g', 100), s AS (SELECT k.pct, m.cluster_id, m.source FROM members m CROSS JOIN k WHERE substr(md5(CAST(m.article_id AS STRING)), 1, 2) < k.lim), c AS (SELECT pct, cluster_id, count(*) AS n, count(DISTINCT source) AS outlets FROM s GROUP BY pct, cluster_id), d AS (SELECT pct, CAST(sum(n) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE outlets >= 3) AS DOUBLE) AS stories FROM c GROUP BY pct) SELECT CAST(a.pct AS BIGINT) AS pct, CAST(a.n AS BIGINT) AS articles, CAST(a.stories AS BIGINT) AS stories, CASE WHEN a.stories > 0 AND a.n < b.n THEN round(ln(b.stories / a.stories) / ln(b.n / a.n), 6) END AS elasticity FROM d a CROSS JOIN (SELECT n, stories FROM d WHERE pct = 100) b",
     # evaluation: samples, splits, comparisons
-    "sample_in_turns": "WITH r AS (SELECT article_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('0-' || CAST(article_id AS STRING)), article_id) AS turn FROM articles) SELECT article_id, category, turn FROM r ORDER BY turn, category LIMIT 40",
+    "sample_in_turns": "WITH r AS (SELECT article_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('0-' || CAST(article_id AS STRING)), article_id) AS turn FROM articles) SELECT article_id, category, turn FROM r WHERE turn <= 40 ORDER BY turn, category LIMIT 40",
     "sample_per_story_capped": "WITH r AS (SELECT cluster_id, article_id, row_number() OVER (PARTITION BY cluster_id, article_id % 2 ORDER BY md5('1-' || CAST(article_id AS STRING)), article_id) AS rn FROM members) SELECT cluster_id, article_id, CASE WHEN article_id % 2 = 0 THEN 'kept' ELSE 'split' END AS half FROM r WHERE rn <= 3",
     "split_by_article": "SELECT article_id, CASE WHEN substr(md5('0-' || text), 1, 1) < '8' THEN 'test' ELSE 'dev' END AS part FROM articles WHERE text IS NOT NULL",
     "blinded_pairs": "WITH t AS (SELECT doc_id AS article_id, md5('blind-' || CAST(doc_id AS STRING)) AS h FROM labels WHERE toxic = 1 ORDER BY h, article_id LIMIT 40) SELECT article_id, CASE WHEN substr(h, 1, 1) < '8' THEN 'rules' ELSE 'hybrid' END AS a_is, row_number() OVER (ORDER BY h, article_id) AS pos FROM t",
