@@ -285,11 +285,10 @@ def test_chunks_are_reused():
     assert 0.15 < c.reused / c.asked < 0.34  # seven of eight times, the passage, less its ends
 
 
-def test_lines(spark, docs, rows):
-    lines = {i: t.split("\n") if t is not None else [] for i, t, _ in rows}
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_words=20).collect()}
-    assert len(got) == len(rows)
-    before = []
+def _without_lines(rows, least):
+    """(id, lines, removed, kept text) by looking for every line run among all earlier ones."""
+    lines = {i: t.split("\n") if t is not None else [] for i, t, *_ in rows}
+    before, out = [], []
     for i, own in lines.items():
         gone = [False] * len(own)
         for p in range(len(own)):
@@ -299,12 +298,17 @@ def test_lines(spark, docs, rows):
                 while p + n < len(own) and q + n < len(lines[j]) and own[p + n] == lines[j][q + n]:
                     n += 1
                 best = max(best, n)
-            if sum(len(words(x)) for x in own[p : p + best]) >= 20:
+            if sum(len(words(x)) for x in own[p : p + best]) >= least:
                 gone[p : p + best] = [True] * best
         before += [(i, q) for q in range(len(own))]
-        text = dict((a, b) for a, b, _ in rows)[i]
-        assert (got[i].n_lines, got[i].n_removed) == (len(own), sum(gone))
-        assert got[i].kept_text == (text if not any(gone) else "\n".join(x for x, g in zip(own, gone) if not g))
+        text = {a: b for a, b, *_ in rows}[i]
+        out.append((i, len(own), sum(gone), text if not any(gone) else "\n".join(x for x, g in zip(own, gone) if not g)))
+    return out
+
+
+def test_lines(spark, docs, rows):
+    got = [(r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(docs, min_words=20).collect()]
+    assert sorted(got) == sorted(_without_lines(rows, 20), key=lambda r: r[0])
 
 
 def test_short_lines_go_too(spark):
@@ -545,6 +549,90 @@ def test_toxicity(spark):
     assert all(r.p_toxic < 0.5 for r in toxicity.classify(docs, nothing, list(targets)).collect())
 
 
+def test_toxicity_chain_step_by_step():
+    """The second model learns from the first one's predictions on rows that this one was not fitted on; scores are those of a plain sum."""
+    rnd = np.random.default_rng(3)
+    n = 120
+    own = [np.unique(rnd.integers(1, 40, 8).astype(np.uint64)) for _ in range(n)]
+    first = np.array([float(3 in x) for x in own])
+    y = np.column_stack([first, np.array([float(3 in x or 5 in x) for x in own])])
+    folds = np.arange(n) % toxicity.FOLDS
+    chain = toxicity.fit_chain(own, y, folds)
+    alone = lambda at: toxicity.fit_chain([own[i] for i in at], y[at, :1], folds[at])[0]
+
+    def plain(model, x, before):
+        weights = dict(zip(model["words"].tolist(), model["w"].tolist(), strict=True))
+        z = model["b"] + sum(weights.get(int(w), 0.0) for w in x) + sum(a * b for a, b in zip(model["u"], before, strict=True))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    oof = np.zeros(n)
+    vocabulary = {int(w) for x in own for w in x if sum(w in z for z in own) >= toxicity.LEAST}
+    for f in range(toxicity.FOLDS):
+        model = alone(np.flatnonzero(folds != f))
+        assert set(model["words"].tolist()) <= vocabulary
+        for i in np.flatnonzero(folds == f):
+            oof[i] = plain(model, own[i], [])
+    rows_ = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in own])
+    flat = np.concatenate(own)
+    known = np.array(sorted(vocabulary), np.uint64)
+    inside = np.isin(flat, known)
+    second = toxicity._fit_linear(rows_[inside], np.searchsorted(known, flat[inside]).astype(np.int32), len(known), n, oof[:, None], y[:, 1])
+    assert np.allclose(second["u"], chain[1]["u"], atol=1e-6) and np.allclose(second["b"], chain[1]["b"], atol=1e-6)
+    got = toxicity.run_chain(chain, rows_, flat, n)
+    for i, x in enumerate(own):
+        p = plain(chain[0], x, [])
+        assert got[i] == pytest.approx([p, plain(chain[1], x, [p])])
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept, against plain Python on the same rows."""
+    import corpus_pipeline
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(11)
+    rows = [(i, (t or "") + (" vile scum" if i % 6 == 0 and t else ""), "en", s, len(t or "")) for i, t, s in corpus(8, 70)]
+    base = [f"n{k}" for k in range(90)]
+    for i in range(70, 84):
+        rows.append((i, " ".join(w if rnd.random() > 0.01 else f"z{rnd.randrange(99)}" for w in base), "en", f"s{i % 5}", 0))
+    labels = [(i, int(i % 5 > 0), int(i % 6 == 0)) for i in range(0, 60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, out = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = common.cut(stage(spark, docs, str(tmp_path)))
+        docs = out[name]
+    held = {k: sorted((tuple(r) for r in v.collect()), key=lambda r: (r[0], str(r[1]))) for k, v in out.items()}
+    targets = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+    start = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    chain = toxicity.train(start, spark.read.parquet(str(tmp_path / "labels.parquet")), targets)
+
+    def toxic(t):
+        h, _ = tokens.words([t.encode()], toxicity.HEADS)
+        p = []
+        for m in chain:
+            weights = dict(zip(m["words"].tolist(), m["w"].tolist(), strict=True))
+            z = m["b"] + sum(weights.get(int(x), 0.0) for x in np.unique(h.reshape(-1))) + sum(a * b for a, b in zip(m["u"], p, strict=True))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        return p[1] >= 0.5
+
+    assert held["toxicity"] == [r for r in rows if not toxic(r[1])] and 5 < len(rows) - len(held["toxicity"]) < 20
+    want = [(i, t) for i, _, gone, t in _without_lines(held["toxicity"], line_dedup.MIN_WORDS) if not gone or words(t)]
+    assert [r[:2] for r in held["line_dedup"]] == want
+    _, root = _components([r[:3] for r in held["line_dedup"]], 80)
+    assert held["near_dedup"] == [r for r in held["line_dedup"] if root[r[0]] == r[0]] and len(held["near_dedup"]) < len(held["line_dedup"])
+    taken = Counter(r[0] for r in held["mixing"])
+    assert set(map(tuple, held["mixing"])) <= set(held["near_dedup"]) and max(taken.values()) <= 3
+    for source, (missed, median) in _missed(spark, out["near_dedup"]).items():
+        have = sum(len(words(r[1])) for r in held["mixing"] if r[3] == source)
+        target = next(r.target for r in mixing.mix(out["near_dedup"]).collect() if r.source == source)
+        # A source of a dozen documents may have one that the others can't make up for.
+        assert abs(have - target) == pytest.approx(missed) and missed <= max(median, max(len(words(r[1])) for r in held["near_dedup"] if r[3] == source) / 2 + 1)
+    t = Tokenizer.from_file(path)
+    ids = sorted((r[0], t.encode(r[1] or "", add_special_tokens=False).ids) for r in held["mixing"])
+    assert sorted((r.doc_id, r.ids) for r in out["bpe"].collect()) == ids
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
