@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import true_case, worth_framing
+from . import names
 from .grouping import _unit, unite
 from .models import relation
 
@@ -120,3 +123,52 @@ def framing_view(scores: DataFrame, most: int = 3) -> DataFrame:
     per = means.groupBy("story", "entity").agg(F.round(F.max("score") - F.min("score"), 6).alias("spread"), F.array_join(listed, ",").alias("outlets"), F.min("targeted").alias("targeted"), F.count("*").alias("n")).where("n > 1")
     place = Window.partitionBy("story").orderBy(F.desc("spread"), "entity")
     return per.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).drop("n")
+
+
+def person_mentions(articles: DataFrame, gazetteer: DataFrame, listed_only: bool = False) -> DataFrame:
+    """articles(article, outlet, text) -> article, outlet, person, name, start, sentence, role, verb, title, tone: every person named in whole texts, and how the sentence presents them.
+
+    person is the listed id, else the lower-cased name; title what stands before the name. Roles are extract.role's.
+    Null texts name nobody."""
+    from .extract import role, sentences
+    from .models import tone
+
+    found = names.mentions(articles, "text", ["article", "outlet"], gazetteer, model=None, titles=not listed_only).where("label = 'PERSON'")
+    spans = found.groupBy("article", "outlet").agg(F.collect_list(F.struct("start", "end", F.coalesce("id", F.lower("text")).alias("person"))).alias("spans"))
+    rows = articles.join(spans, ["article", "outlet"])
+    kind = dict(articles.dtypes)["article"]
+
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for article, outlet, text, held in pdf[["article", "outlet", "text", "spans"]].itertuples(index=False, name=None):
+                view = sentences(text)
+                starts = np.array([a for a, _ in view])
+                for s in held:
+                    at, sentence = view[max(0, int(np.searchsorted(starts, s["start"], "right")) - 1)]
+                    name = text[s["start"] : s["end"]]
+                    told = role(sentence, name) or {"role": "mentioned", "verb": None}
+                    before = re.search(r"((?:\b(?:" + "|".join(sorted(names.TITLES + names.CASED_TITLES, key=len, reverse=True)) + r")\b\.?\s*)+)$", text[max(0, s["start"] - 60) : s["start"]], re.I)
+                    out.append((article, outlet, s["person"], name, s["start"], sentence, told["role"], told["verb"], before[1].strip() if before else None, tone(sentence)))
+            yield pd.DataFrame(out, columns=["article", "outlet", "person", "name", "start", "sentence", "role", "verb", "title", "tone"])
+
+    return rows.select("article", "outlet", "text", "spans").mapInPandas(run, f"article {kind}, outlet string, person string, name string, start long, sentence string, role string, verb string, title string, tone double")
+
+
+ROLES = ["speaks", "acts", "acted on", "spoken about", "described", "mentioned"]
+
+
+def portrayal_of(mentions: DataFrame, least_articles: int = 6, examples: int = 3, positive: float = 0.15) -> DataFrame:
+    """person_mentions(...) -> by person and outlet: articles, mentions, one counter a role, warm, cold, mean_tone, title (the commonest, then the first in the alphabet), examples (the first sentences of each role by article and place).
+
+    Persons whom fewer than `least_articles` articles of all outlets name are left out."""
+    by = ["person", "outlet"]
+    known = mentions.groupBy("person").agg(F.countDistinct("article").alias("k")).where(F.col("k") >= least_articles).select("person")
+    rows = mentions.join(known, "person", "left_semi")
+    counters = [F.count_if(F.col("role") == r).alias(r.replace(" ", "_")) for r in ROLES]
+    counts = rows.groupBy(*by).agg(F.countDistinct("article").alias("articles"), F.count("*").alias("mentions"), *counters, F.count_if(F.col("tone") > positive).alias("warm"), F.count_if(F.col("tone") < -positive).alias("cold"), F.round(F.avg("tone"), 6).alias("mean_tone"))
+    titles = rows.where("title is not null").groupBy(*by, "title").agg(F.count("*").alias("n")).groupBy(*by).agg(F.min_by("title", F.struct(-F.col("n"), "title")).alias("title"))
+    first = Window.partitionBy(*by, "role").orderBy("article", "start")
+    shown = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= examples).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("role", "rn", "sentence"))).alias("x"))
+    shown = shown.select(*by, F.transform("x", lambda e: F.struct(e["role"].alias("role"), e["sentence"].alias("sentence"))).alias("examples"))
+    return counts.join(titles, by, "left").join(shown, by, "left")

@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import subjects, vector_index, vectors
+from ..operators import people, subjects, vector_index, vectors
 from ..operators.snapshots import shared_dir
 from ..sources import site
 from ..sources.tables import DUCK_PREFIX, run_sql, table
-from .special import _CENT, _SIM
+from .special import _CENT, _SIM, transcripts
 
 
 def _place(s: SparkSession, name: str) -> str:
@@ -82,7 +82,16 @@ def coherence_bins(s: SparkSession, d: str) -> DataFrame:
     return c.groupBy(bin_.alias("bin")).agg(F.count("*").alias("stories"), F.count_if(F.col("c") < 0.5).alias("below"))
 
 
+def portrayal_from_text(s: SparkSession, d: str) -> DataFrame:
+    """How outlets present the people named in transcripts: five outlets by conversation, two listed people."""
+    articles = transcripts(s, d).select(F.col("conv_id").alias("article"), F.concat(F.lit("o"), (F.col("conv_id") % 5).cast("string")).alias("outlet"), "text")
+    listed = s.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("surface"), F.lit(i).alias("id")) for n, i in (("Jane Wanjiku", "wanjiku"), ("Peter Otieno", "otieno"))])).alias("x")).select("x.*", F.lit("PERSON").alias("label"), F.lit(False).alias("case_sensitive"))
+    out = people.portrayal_of(people.person_mentions(articles, listed, listed_only=True))
+    return out.select("person", "outlet", "articles", "mentions", "speaks", "acted_on", "described", "mentioned", F.size("examples").alias("examples"))
+
+
 QUERIES = {
+    "portrayal_from_text": portrayal_from_text,
     "centroid_order_rounded": centroid_order,
     "coherence_histogram": coherence_bins,
     "figure_links": figure_links,
@@ -95,6 +104,9 @@ QUERIES = {
 
 _HEAD = "CASE WHEN regexp_matches(w, 'ies$') AND length(w) > 4 THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN w[:-2] ELSE w END"
 ORACLES = {
+    "portrayal_from_text": """WITH m AS (SELECT conv_id, 'o' || (conv_id % 5) AS outlet, CASE WHEN role = 'user' THEN 'wanjiku' ELSE 'otieno' END AS person FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn % 4 IN (0, 1)),
+k AS (SELECT person FROM m GROUP BY person HAVING count(DISTINCT conv_id) >= 6)
+SELECT person, outlet, count(DISTINCT conv_id) AS articles, count(*) AS mentions, count(*) AS speaks, CAST(0 AS BIGINT) AS acted_on, CAST(0 AS BIGINT) AS described, CAST(0 AS BIGINT) AS mentioned, CAST(least(3, count(*)) AS INTEGER) AS examples FROM m JOIN k USING (person) GROUP BY person, outlet""",
     "coherence_histogram": f"WITH {_SIM}, c AS (SELECT la, round(avg(sim), 6) AS c FROM pairs WHERE la = lb GROUP BY la) SELECT CAST(least(29, floor((c + 1) * 15)) AS INTEGER) AS bin, count(*) AS stories, count(*) FILTER (WHERE c < 0.5) AS below FROM c GROUP BY 1",
     "centroid_order_rounded": f"WITH {_CENT}, n AS (SELECT label, sqrt(sum(m * m)) AS n FROM cent GROUP BY label), x AS (SELECT c.label, e.vec_id, round(sum(CAST(e.embedding[c.pos + 1] AS DOUBLE) * c.m) / any_value(n.n), 3) AS score FROM embeddings e JOIN cent c ON c.label = e.label JOIN n ON n.label = c.label GROUP BY c.label, e.vec_id) SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) - 1 AS INTEGER) AS place, vec_id, score FROM x",
     "story_subject": DUCK_PREFIX + f""", t AS (SELECT cluster_id AS story, article_id AS pos, string_split(regexp_replace(coalesce(title, ''), '[^\\p{{L}}\\p{{N}}''’ -]+', '|', 'g'), '|') AS p FROM members),

@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from storyweft.operators import external, names, wording
+from storyweft.operators import external, names, people, wording
 from storyweft.operators.names import Span
 
 KIND = "surface string, label string, id string, name string, case_sensitive boolean"
@@ -175,3 +175,18 @@ def test_empty_rows_and_a_gazetteer_too_large(spark, monkeypatch):
     monkeypatch.setattr(names, "MOST", 3)
     with pytest.raises(ValueError):
         names.mentions(empty, "text", ["id"], gazetteer)
+
+
+def test_portrayal_from_text(spark):
+    texts = [
+        (1, "a", "Governor Jane Doe said the plan works. Later Jane Doe was arrested on Monday."), (2, "a", "Critics blame Governor Jane Doe"), (3, "b", "Doe is a lawyer. It was a great day for Doe."),
+        (4, "b", None), (5, "b", "Nobody is named here."), (6, "a", "Minister Paul Kamau left."),
+    ]
+    listed = spark.createDataFrame([("Jane Doe", "PERSON", "doe", "Jane Doe", False), ("Doe", "PERSON", "doe", "Jane Doe", True), ("Monday", "GPE", None, "Monday", False)], KIND)
+    found = people.person_mentions(spark.createDataFrame(texts, "article long, outlet string, text string"), listed)
+    rows = sorted((r.article, r.person, r.role, r.title) for r in found.collect())
+    assert rows == [(1, "doe", "acted on", None), (1, "doe", "speaks", "Governor"), (2, "doe", "acted on" if rows[2][2] == "acted on" else "mentioned", "Governor"), (3, "doe", "described", None), (3, "doe", "mentioned", None), (6, "paul kamau", rows[5][2], "Minister")]
+    out = {(r.person, r.outlet): r for r in people.portrayal_of(found, least_articles=2, examples=1).collect()}
+    a, b = out[("doe", "a")], out[("doe", "b")]
+    assert set(out) == {("doe", "a"), ("doe", "b")} and (a.articles, a.mentions, a.speaks, a.title) == (2, 3, 1, "Governor")
+    assert (b.described, b.mentioned, b.warm, b.title) == (1, 1, 1, None) and [e.role for e in b.examples] == ["described", "mentioned"]
