@@ -331,3 +331,9 @@ def clean_phrase(s: Column) -> Column:
 def worth_framing(kind: Column, name: Column, verbs: Column, key: Column, share: Column, most: float = 0.25) -> Column:
     """A mention that a tone can be about: of a framed kind, four words at most, no verb among them, a key of three letters or more, not in all the corpus."""
     return kind.isin(FRAMED_TYPES) & (F.size(F.split(F.trim(name), r"\s+")) <= 4) & ~F.coalesce(verbs, F.lit(False)) & (F.length(key) >= 3) & (F.coalesce(share, F.lit(0.0)) <= most)
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, trimmed, in order: they end at a line's break, or after . ! ? (and a closing mark) where white space and a capital or an opening mark follow. Null text has none."""
+    parts = F.split(F.coalesce(text, F.lit("")), "(?<=[.!?][\"”']|[.!?])[ \\t\\n\\r\\f]+(?=[A-Z\"“'])|\\n+")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")

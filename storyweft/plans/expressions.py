@@ -56,16 +56,18 @@ QUERIES = {
 
 
 def sentence_context(s: SparkSession, d: str) -> DataFrame:
-    """Each line with the one before and after, 600 characters at most."""
-    rows = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return rows.select("doc_id", "pos", F.substring(F.concat_ws(" ", F.lag("line").over(w), "line", F.lead("line").over(w)), 1, 600).alias("context"))
+    """Each sentence with the one before and after, 600 characters at most."""
+    around = lambda x, i: F.substring(F.concat_ws(" ", F.when(i > 0, F.get("x", F.greatest(i - 1, F.lit(0)))), x, F.get("x", i + 1)), 1, 600)
+    rows = _docs(s, d).select("doc_id", T.sentences(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.posexplode(F.transform("x", around)).alias("pos", "context"))
 
 
 def claim_cap(s: SparkSession, d: str) -> DataFrame:
     """The first 8 sentences of an article that are 40 characters or longer and are no table rows."""
-    rows = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where((F.length("line") >= 40) & ~F.col("line").rlike(r"^\|.*\|$"))
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where("rn <= 8").select("doc_id", "pos", "rn")
+    placed = F.transform(T.sentences(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    held = F.filter(placed, lambda e: (F.length(e["x"]) >= 40) & ~e["x"].rlike(r"^\|.*\|$"))
+    rows = _docs(s, d).select("doc_id", F.posexplode(F.slice(held, 1, 8)).alias("k", "e"))
+    return rows.select("doc_id", F.col("e.pos").alias("pos"), (F.col("k") + 1).alias("rn"))
 
 
 def casing_lexicon(s: SparkSession, d: str) -> DataFrame:
@@ -83,10 +85,10 @@ def threshold_grid(s: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(grid)).groupBy("t").agg(F.sum(F.when(F.col("v") > F.col("t"), F.col("even")).otherwise(F.col("n") - F.col("even"))).alias("hits"))
 
 
-_SPLIT = "(SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
 _DISPUTE = T.DISPUTED
 _END = "CASE " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) - {len(e)} >= 4 THEN left(w, length(w) - {len(e)})" for e in ("ing", "ed", "es", "s", "e")) + " ELSE w END"
 
+_SENTENCES = r"""(SELECT doc_id, unnest(s) AS x, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?]["”'']?)[ \t\n\r\f]+([A-Z"“''])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '') AS s FROM documents)) q"""
 ORACLES = {
     "clean_text": f"SELECT doc_id, {_CLEAN.replace('{x}', 'text')} AS clean FROM documents",
     "title_key": f"SELECT doc_id, {_KEY.replace('{x}', 'title')} AS title_key FROM {_TITLES}",
@@ -108,8 +110,8 @@ ORACLES = {
     "cumulative_flag": f"SELECT doc_id, true AS a, regexp_matches(lower(text), '{'|'.join(T.CUMULATIVE)}') AS b FROM documents",
     "word_overlap_search": "SELECT doc_id, overlap FROM (SELECT doc_id, len(list_filter(['the', 'ing', 'ouer', 'zzz'], lambda x: contains(lower(text), x))) / 4 AS overlap FROM documents) WHERE overlap >= 0.5",
     "runtime_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
-    "sentence_context": f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(concat_ws(' ', lag(line) OVER w, line, lead(line) OVER w), 1, 600) AS context FROM {_SPLIT} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
-    "claim_cap_per_article": rf"SELECT * FROM (SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS rn FROM {_SPLIT} WHERE length(line) >= 40 AND NOT regexp_matches(line, '^\|.*\|$')) WHERE rn <= 8",
+    "sentence_context": f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(concat_ws(' ', lag(x) OVER w, x, lead(x) OVER w), 1, 600) AS context FROM {_SENTENCES} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
+    "claim_cap_per_article": rf"SELECT * FROM (SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS rn FROM {_SENTENCES} WHERE length(x) >= 40 AND NOT regexp_matches(x, '^\|.*\|$')) WHERE rn <= 8",
     "number_mentions": r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]+([.,][0-9]+)*')) AS n FROM documents",
     "casing_lexicon": "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS form FROM documents WHERE lang = 'en'), c AS (SELECT lower(form) AS word, form, count(*) AS n FROM w WHERE form <> upper(form) GROUP BY 1, 2) SELECT word, max_by(form, lpad(CAST(n AS VARCHAR), 12, '0') || form) AS form, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY word HAVING sum(n) >= 2",
     "threshold_grid": "SELECT t, CAST(sum(CASE WHEN (floor(value) > t) = (user_id % 2 = 0) THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM events CROSS JOIN (SELECT unnest(range(81)) AS t) GROUP BY t",

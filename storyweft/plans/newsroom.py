@@ -10,7 +10,7 @@ from ..operators import people, subjects, vector_index, vectors
 from ..operators.snapshots import shared_dir
 from ..sources import site
 from ..sources.tables import DUCK_PREFIX, run_sql, table
-from .special import _CENT, _SIM, transcripts
+from .special import _CENT, _SIM, covered, transcripts
 
 
 def _place(s: SparkSession, name: str) -> str:
@@ -90,7 +90,14 @@ def portrayal_from_text(s: SparkSession, d: str) -> DataFrame:
     return out.select("person", "outlet", "articles", "mentions", "speaks", "acted_on", "described", "mentioned", F.size("examples").alias("examples"))
 
 
+def gaps(s: SparkSession, d: str) -> DataFrame:
+    """By story: groups of claims that some outlet it has read omits or only relates, of all its groups."""
+    some = (F.col("related") != "") | (F.col("omitted_by") != "")
+    return covered(s, d).groupBy(F.col("story").alias("cluster_id")).agg(F.count_if(some).alias("gaps"), F.count("*").alias("groups"))
+
+
 QUERIES = {
+    "gap_count": gaps,
     "portrayal_from_text": portrayal_from_text,
     "centroid_order_rounded": centroid_order,
     "coherence_histogram": coherence_bins,
@@ -104,6 +111,7 @@ QUERIES = {
 
 _HEAD = "CASE WHEN regexp_matches(w, 'ies$') AND length(w) > 4 THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN w[:-2] ELSE w END"
 ORACLES = {
+    "gap_count": DUCK_PREFIX + ", o AS (SELECT cluster_id, source, bool_or(article_id % 2 = 0) AS readable FROM members GROUP BY ALL), g AS (SELECT cluster_id, category, source, bool_or(article_id % 3 > 0) AS same FROM members GROUP BY ALL), k AS (SELECT DISTINCT cluster_id, category FROM g), t AS (SELECT k.cluster_id, k.category, bool_or(NOT g.same OR (g.source IS NULL AND o.readable)) AS gap FROM k JOIN o ON o.cluster_id = k.cluster_id LEFT JOIN g ON g.cluster_id = k.cluster_id AND g.category IS NOT DISTINCT FROM k.category AND g.source = o.source GROUP BY ALL) SELECT cluster_id, count(*) FILTER (WHERE gap) AS gaps, count(*) AS groups FROM t GROUP BY cluster_id",
     "portrayal_from_text": """WITH m AS (SELECT conv_id, 'o' || (conv_id % 5) AS outlet, CASE WHEN role = 'user' THEN 'wanjiku' ELSE 'otieno' END AS person FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn % 4 IN (0, 1)),
 k AS (SELECT person FROM m GROUP BY person HAVING count(DISTINCT conv_id) >= 6)
 SELECT person, outlet, count(DISTINCT conv_id) AS articles, count(*) AS mentions, count(*) AS speaks, CAST(0 AS BIGINT) AS acted_on, CAST(0 AS BIGINT) AS described, CAST(0 AS BIGINT) AS mentioned, CAST(least(3, count(*)) AS INTEGER) AS examples FROM m JOIN k USING (person) GROUP BY person, outlet""",

@@ -42,7 +42,6 @@ BODIES: dict[str, str] = {
     "keyword_subject": "WITH t AS (SELECT cluster_id, article_id, {explode_words} AS w FROM articles WHERE cluster_id IS NOT NULL), c AS (SELECT cluster_id, w, count(DISTINCT article_id) AS n FROM t WHERE length(w) > 3 GROUP BY cluster_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, w) AS rn FROM c) SELECT cluster_id, w, n FROM r WHERE rn <= 6",
     "never_named_by": "WITH o AS (SELECT DISTINCT source FROM articles), p AS (SELECT DISTINCT category FROM articles), seen AS (SELECT DISTINCT source, category FROM members) SELECT p.category, o.source FROM p CROSS JOIN o WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.source = o.source AND seen.category = p.category)",
     "coverage_set_algebra": "WITH o AS (SELECT DISTINCT source FROM articles), rep AS (SELECT DISTINCT cluster_id, source FROM members WHERE article_id % 2 = 0), rel AS (SELECT DISTINCT cluster_id, source FROM members WHERE article_id % 2 = 1) SELECT s.cluster_id, o.source, CASE WHEN rep.source IS NOT NULL THEN 'reported' WHEN rel.source IS NOT NULL THEN 'related' ELSE 'omitted' END AS state FROM stories s CROSS JOIN o LEFT JOIN rep ON rep.cluster_id = s.cluster_id AND rep.source = o.source LEFT JOIN rel ON rel.cluster_id = s.cluster_id AND rel.source = o.source",
-    "gap_count": "WITH o AS (SELECT count(DISTINCT source) AS n FROM articles) SELECT cluster_id, o.n - outlets AS gaps FROM stories CROSS JOIN o",
     "readability_by_outlet": "WITH f AS (SELECT m.cluster_id, m.source, bool_or(l.doc_id IS NOT NULL) AS was_read FROM members m LEFT JOIN labels l ON l.doc_id = m.article_id GROUP BY m.cluster_id, m.source) SELECT source, count(*) FILTER (WHERE was_read) AS read_stories, count(*) FILTER (WHERE NOT was_read) AS unread_stories FROM f GROUP BY source",
     "framing_mean_spread": "WITH s AS (SELECT m.cluster_id, m.source, avg(CAST(l.quality AS DOUBLE) - l.toxic) AS mean, count(*) AS n FROM members m JOIN labels l ON l.doc_id = m.article_id GROUP BY m.cluster_id, m.source) SELECT cluster_id, round(max(mean) - min(mean), 6) AS spread, count(*) AS outlets FROM s WHERE n >= 2 GROUP BY cluster_id HAVING count(*) >= 2",
     "strongest_sentence": "SELECT m.source, max_by(m.article_id, abs(l.quality - 2 * l.toxic) * 1000000 - m.article_id) AS example, count(*) AS n FROM members m JOIN labels l ON l.doc_id = m.article_id GROUP BY m.source",
