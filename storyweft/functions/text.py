@@ -233,6 +233,11 @@ def parse_vector(s: Column) -> Column:
     return F.transform(F.split(F.btrim(s, F.lit("[] ")), ","), lambda x: x.cast("double"))
 
 
+def format_vector(v: Column) -> Column:
+    """A vector as text, as parse_vector reads it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("double").cast("string")), ","), F.lit("]"))
+
+
 def first_date(*raw: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(x) for x in raw])
 

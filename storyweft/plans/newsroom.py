@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
 from ..operators import people, subjects, vector_index, vectors
 from ..operators.snapshots import shared_dir
 from ..sources import site
@@ -96,7 +97,24 @@ def gaps(s: SparkSession, d: str) -> DataFrame:
     return covered(s, d).groupBy(F.col("story").alias("cluster_id")).agg(F.count_if(some).alias("gaps"), F.count("*").alias("groups"))
 
 
+def _titles(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"), "text", "source")
+
+
+def _words(s: SparkSession, d: str) -> DataFrame:
+    return _titles(s, d).select(F.explode(T.word_tokens(F.col("text"))).alias("word")).distinct()
+
+
 QUERIES = {
+    "outlet_initials": lambda s, d: _titles(s, d).where("source is not null").select("source").distinct().select("source", T.initials(F.concat(F.lit("The "), "source", F.lit(" daily news"))).alias("initials")),
+    "page_site": lambda s, d: table(s, d, "pages").select("page_id", T.site(F.col("url")).alias("site")),
+    "trimmed_text": lambda s, d: _titles(s, d).where("text is not null").select("doc_id", T.trim_to(F.col("text"), 150).alias("short")),
+    "word_singulars": lambda s, d: _words(s, d).select("word", T.singular(F.col("word")).alias("singular")),
+    "verb_present": lambda s, d: _words(s, d).where(F.length("word") > 2).select("word", T.headline_tense(F.col("word")).alias("present")),
+    "seven_point_marks": lambda s, d: table(s, d, "labels").where("doc_id is not null").select("doc_id", T.seven_point(F.when(F.col("doc_id") % 9 == 0, " X ").when(F.col("doc_id") % 9 == 1, "").when(F.col("doc_id") % 9 == 2, "maybe").otherwise((F.col("doc_id") % 9 - 5).cast("string"))).alias("marked")),
+    "vector_text": lambda s, d: table(s, d, "embeddings").select("vec_id", T.parse_vector(T.format_vector(F.col("embedding"))).alias("v")).select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
+    "spelled_names": lambda s, d: _titles(s, d).where("source is not null").select("source").distinct().select("source", F.array_join(T.spellings(F.concat("source", F.lit("'s"))), "|").alias("spellings")),
+    "quoted_things": lambda s, d: _titles(s, d).select("doc_id", T.names_a_thing(F.col("title")).alias("thing")),
     "gap_count": gaps,
     "portrayal_from_text": portrayal_from_text,
     "centroid_order_rounded": centroid_order,
@@ -110,7 +128,17 @@ QUERIES = {
 }
 
 _HEAD = "CASE WHEN regexp_matches(w, 'ies$') AND length(w) > 4 THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN w[:-2] ELSE w END"
+_TOKENS = "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*|%')) AS w FROM documents)"
 ORACLES = {
+    "outlet_initials": "SELECT DISTINCT source, upper(left(regexp_extract(source, '[\\p{L}\\p{N}]+'), 1)) || 'DN' AS initials FROM documents WHERE source IS NOT NULL",
+    "page_site": "SELECT page_id, nullif(regexp_extract(url, '^(https?://[^/:?#]+)', 1), '') AS site FROM pages",
+    "trimmed_text": r"WITH h AS (SELECT doc_id, text, left(text, 150) AS h FROM documents WHERE text IS NOT NULL), x AS (SELECT *, regexp_extract(h, '(?s)^(.*[.!?])(\s|$)', 1) AS e FROM h) SELECT doc_id, CASE WHEN length(text) <= 150 THEN text WHEN length(e) > 90 THEN e ELSE regexp_replace(regexp_extract(h, '(?s)^(.*)\s', 1), '[\s,;:-]+$', '') || '…' END AS short FROM x",
+    "word_singulars": f"SELECT w AS word, {_HEAD} AS singular FROM {_TOKENS}",
+    "verb_present": f"SELECT w AS word, CASE WHEN w = 'have' THEN 'has' WHEN regexp_matches(w, '(s|x|z|ch|sh|o)$') THEN w || 'es' WHEN regexp_matches(w, '[^aeiou]y$') THEN left(w, length(w) - 1) || 'ies' ELSE w || 's' END AS present FROM {_TOKENS} WHERE length(w) > 2",
+    "seven_point_marks": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'unusable' WHEN 1 THEN NULL WHEN 2 THEN 'invalid' WHEN 3 THEN 'negative' WHEN 4 THEN 'negative' WHEN 5 THEN 'neutral' ELSE 'positive' END AS marked FROM labels WHERE doc_id IS NOT NULL",
+    "vector_text": "SELECT vec_id, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
+    "spelled_names": "SELECT DISTINCT source, source || '''s|' || source || '’s|' || source || 's' AS spellings FROM documents WHERE source IS NOT NULL",
+    "quoted_things": r"WITH t AS (SELECT doc_id, regexp_extract_all(split_part(coalesce(text, ''), chr(10), 1), '[\p{L}''-]+') AS w FROM documents), l AS (SELECT *, list_filter(w, lambda y: length(y) >= 4) AS l FROM t) SELECT doc_id, len(w) <= 8 AND len(l) >= 2 AND len(list_filter(l, lambda y: regexp_matches(y, '^\p{Lu}'))) = len(l) AS thing FROM l",
     "gap_count": DUCK_PREFIX + ", o AS (SELECT cluster_id, source, bool_or(article_id % 2 = 0) AS readable FROM members GROUP BY ALL), g AS (SELECT cluster_id, category, source, bool_or(article_id % 3 > 0) AS same FROM members GROUP BY ALL), k AS (SELECT DISTINCT cluster_id, category FROM g), t AS (SELECT k.cluster_id, k.category, bool_or(NOT g.same OR (g.source IS NULL AND o.readable)) AS gap FROM k JOIN o ON o.cluster_id = k.cluster_id LEFT JOIN g ON g.cluster_id = k.cluster_id AND g.category IS NOT DISTINCT FROM k.category AND g.source = o.source GROUP BY ALL) SELECT cluster_id, count(*) FILTER (WHERE gap) AS gaps, count(*) AS groups FROM t GROUP BY cluster_id",
     "portrayal_from_text": """WITH m AS (SELECT conv_id, 'o' || (conv_id % 5) AS outlet, CASE WHEN role = 'user' THEN 'wanjiku' ELSE 'otieno' END AS person FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn % 4 IN (0, 1)),
 k AS (SELECT person FROM m GROUP BY person HAVING count(DISTINCT conv_id) >= 6)
