@@ -61,6 +61,58 @@ def target_tone(t: str | None, start: int, end: int, window: int = 300) -> float
     return tone(t[max(0, start - window) : end + window])
 
 
+def _listed(words: Column, held: set[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(sorted(held))))
+
+
+def tone_of(text: Column) -> Column:
+    """tone(...) as an expression."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    good, bad = _listed(words, GOOD), _listed(words, BAD)
+    return F.when(good + bad > 0, (good - bad) / (good + bad)).otherwise(F.lit(0.0))
+
+
+def target_tone_of(text: Column, start: Column, end: Column, window: int = 300) -> Column:
+    """target_tone(...) as an expression: null if the span is outside the text."""
+    first = F.greatest(F.lit(0), start - window)
+    inside = text.isNotNull() & (start >= 0) & (start < end) & (end <= F.length(text))
+    return F.when(inside, tone_of(F.substring(text, first + 1, end + window - first)))
+
+
+def topic_of(text: Column, least: float = 0.75) -> Column:
+    """topic(...) as an expression: of topics with as many words, the one listed first."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    scores = F.array(*[_listed(words, v) for v in TOPICS.values()])
+    best, total = F.array_max(scores), F.aggregate(scores, F.lit(0), lambda a, x: a + x)
+    name = F.element_at(F.array(*[F.lit(k) for k in TOPICS]), F.array_position(scores, best).cast("int"))
+    return F.when((best > 0) & (best / F.nullif(total, F.lit(0)) >= least), name).otherwise(F.lit("General"))
+
+
+def relation_of(a: Column, b: Column, least: float = 0.5) -> Column:
+    """relation(...) with the lexical entailment, as an expression."""
+    set_ = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    both = F.size(F.array_intersect(set_(a), set_(b)))
+    holds = lambda h: F.coalesce(both / F.nullif(F.size(set_(h)), F.lit(0)), F.lit(0.0)) >= least
+    return F.when(holds(b) & holds(a), "same").when(holds(b), "first_more").when(holds(a), "second_more").otherwise("different")
+
+
+def batched(load: Callable[[], Callable[[list[str]], list]], kind: T.DataType, size: int = 32) -> Callable[..., Column]:
+    """A column function of a model that takes texts in batches: `load` runs once a worker, and gets each distinct text of an Arrow batch once, `size` at a time, texts of like length together. Null texts have no score."""
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = None
+        for s in parts:
+            model = model or load()
+            texts = sorted({t for t in s if t is not None}, key=lambda t: (len(t), t))
+            known: dict[str, object] = {}
+            for a in range(0, len(texts), size):
+                known |= dict(zip(texts[a : a + size], model(texts[a : a + size]), strict=True))
+            yield pd.Series([known.get(t) for t in s], dtype=object)
+
+    return run
+
+
 def column(fn: Callable, kind: T.DataType) -> Callable[..., Column]:
     """An Arrow-batched column function of a backend, set up once per worker."""
 

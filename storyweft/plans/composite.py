@@ -7,7 +7,6 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import text as T
 from ..operators import comparison, density, evalstats, grouping, models, names, runs, snapshots, stories, vectors, wording
@@ -139,16 +138,14 @@ def claim_pool(s: SparkSession, d: str) -> DataFrame:
     pairs = vectors.similar_pairs(_emb(s, d), 0.35, group="label")
     docs = table(s, d, "documents")
     text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    relation = F.pandas_udf(lambda x, y: pd.Series([models.relation(p or "", q or "") for p, q in zip(x, y, strict=True)]), StringType())
-    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", relation("text_a", "text_b").alias("relation"))
+    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", models.relation_of(F.col("text_a"), F.col("text_b")).alias("relation"))
 
 
 def target_tones(s: SparkSession, d: str) -> DataFrame:
     """Tone at a span, of the sentence where the span can't be scored, and by which it was scored; each distinct text once."""
     spans = table(s, d, "documents").select("doc_id", "text", F.lit(0).alias("start"), (F.locate(" ", "text") - 1).alias("stop"))
-    at = F.pandas_udf(lambda t, a, b: pd.Series([models.target_tone(x, int(i), int(j)) for x, i, j in zip(t, a, b, strict=True)], dtype="float64"), DoubleType())
-    scored = spans.withColumn("targeted", at("text", F.coalesce("start", F.lit(0)), F.coalesce("stop", F.lit(-1))))
-    whole = models.column(models.tone, DoubleType())(F.col("text"))
+    scored = spans.withColumn("targeted", models.target_tone_of(F.col("text"), F.coalesce("start", F.lit(0)), F.coalesce("stop", F.lit(-1))))
+    whole = models.tone_of(F.col("text"))
     return scored.select("doc_id", F.coalesce("targeted", whole).alias("tone"), F.when(F.col("targeted").isNull(), "sentence").otherwise("targeted").alias("scored_by"))
 
 
@@ -237,7 +234,7 @@ QUERIES = {
     "hdbscan_density_curve": lambda s, d: density.density_curve(weeks(s, d), [0.25, 0.4, 0.55, 0.7, 0.85, 1.0]),
     "claim_pair_pool": claim_pool,
     "targeted_tone": target_tones,
-    "topic_model": lambda s, d: table(s, d, "documents").select("doc_id", models.column(models.topic, StringType())(F.col("text")).alias("topic")),
+    "topic_model": lambda s, d: table(s, d, "documents").select("doc_id", models.topic_of(F.col("text")).alias("topic")),
     "mcnemar_exact": mcnemar,
     "listed_names": listed_counts,
     "word_diff": turn_diffs,

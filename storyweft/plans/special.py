@@ -128,7 +128,7 @@ QUERIES = {
     "quote_extract": quote_rows,
     "story_quotes": story_quotes,
     "claim_extract": lambda s, d: extract.table_function(table(s, d, "documents").select("doc_id", "text"), "text", extract.claims, "pos long, claim string, context string", ["doc_id"]),
-    "tone_model": lambda s, d: table(s, d, "documents").select("doc_id", models.column(models.tone, DoubleType())(F.col("text")).alias("tone")),
+    "tone_model": lambda s, d: table(s, d, "documents").select("doc_id", models.tone_of(F.col("text")).alias("tone")),
     "rate_limit_sliding": limited,
 }
 

@@ -100,3 +100,32 @@ def test_doubled_consonants_and_ages_and_money(spark):
     assert units("2.8 billion was lost") == [(2.8e9, "currency", None, None)] and units("20 hospitals") == [(20, "hospital", None, None)]
     about = extract.subject("Foreign direct investment rose; FDI in 20 hospitals", "hospitals")
     assert about["tokens"] == ["direct", "fdi", "foreign", "investment"] and "fdi" in about["acronyms"] and about["upper"] == ["fdi"]
+
+
+def test_tone_and_topic_as_expressions(spark):
+    rnd = random.Random(12)
+    vocabulary = [*sorted(models.GOOD), *sorted(models.BAD), "President", "bank", "goodé", "bad_", "hospital", "goal", "x"]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 12))) for _ in range(80)] + [None, ""]
+    rows = spark.createDataFrame([(i, t, rnd.randint(-2, 20), rnd.randint(-2, 40)) for i, t in enumerate(texts)], "i int, t string, a int, b int")
+    got = rows.select("i", "t", "a", "b", models.tone_of(F.col("t")).alias("tone"), models.topic_of(F.col("t")).alias("topic"), models.target_tone_of(F.col("t"), F.col("a"), F.col("b"), 5).alias("at")).collect()
+    for r in got:
+        assert (r.tone, r.topic, r["at"]) == (models.tone(r.t), models.topic(r.t), models.target_tone(r.t, r.a, r.b, 5))
+
+
+def test_relation_as_an_expression(spark):
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["ten", "People", "died", "in", "the", "flood"]) for _ in range(rnd.randint(0, 6))) for _ in range(30)]
+    pairs = [(a, b) for a in texts[:15] for b in texts[15:]]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", models.relation_of(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(r.r == models.relation(r.a, r.b) for r in got) and len({r.r for r in got}) == 4
+
+
+def test_batched_model(spark):
+    from pyspark.sql.types import DoubleType
+
+    def load():
+        return lambda texts: [float(len(texts)) * 0 + len(t) for t in texts] if len(texts) <= 2 else None
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["abc", "a", None, "abc", "abcdef", ""])], "i int, t string").repartition(1)
+    got = {r.i: r.s for r in rows.select("i", models.batched(load, DoubleType(), 2)(F.col("t")).alias("s")).collect()}
+    assert got == {0: 3.0, 1: 1.0, 2: None, 3: 3.0, 4: 6.0, 5: 0.0}
