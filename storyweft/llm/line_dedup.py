@@ -52,14 +52,20 @@ def _ranked(lines: DataFrame) -> DataFrame:
 def suffix_ranks(lines: DataFrame) -> DataFrame:
     """Prefix doubling; s is 0 while a suffix is open, then the step that settled it."""
     state, step = _ranked(lines), 1
+    width = max(1, -(-(int(state.agg(F.max("r")).first()[0] or 0) + 1) // (fanout(state.sparkSession) * 4)))
     along = Window.partitionBy(*_DOC).orderBy("ln")
     while state.where("s = 0").head(1):
         there = F.lead("ln", step).over(along) == F.col("ln") + step
         next_ = state.withColumn("r2", F.when(there, F.lead("r", step).over(along)).otherwise(F.lit(-1)))
         next_ = cut(next_)
         keys = next_.where("s = 0").groupBy("r", "r2").agg(F.count("*").alias("n"))
-        smaller = Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
-        keys = keys.select("r", "r2", "n", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("by"))
+        # A common line has as many rows here as lines that follow it: they are summed up to ranges of r2 first, then within one.
+        keys = cut(keys.withColumn("range", F.expr(f"r2 div {width}")))
+        before = Window.partitionBy("r").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = cut(keys.groupBy("r", "range").agg(F.sum("n").alias("n")))
+        ranges = cut(ranges.select("r", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below")))
+        smaller = Window.partitionBy("r", "range").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
+        keys = keys.withColumn("inner", F.coalesce(F.sum("n").over(smaller), F.lit(0))).join(ranges, ["r", "range"]).select("r", "r2", "n", (F.col("below") + F.col("inner")).alias("by"))
         moved = next_.where("s = 0").join(keys, ["r", "r2"]).select(
             *_PLACE, "left", "first", "end", (F.col("r") + F.col("by")).alias("r"), F.when((F.col("n") == 1) | (F.col("r2") < 0), step).otherwise(0).alias("s")
         )
