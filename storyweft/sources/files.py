@@ -69,8 +69,10 @@ def gazetteer(spark: SparkSession, path: str, sections: dict[str, str]) -> DataF
     return out.where(F.trim("surface") != "")
 
 
-def write_sheet(rows: DataFrame, path: str, order: list[str]) -> None:
-    """A label sheet as CSV with a header and a running `item`. It never overwrites: a sheet may hold labels. Sheets are small by design (people fill them), so one task numbers them."""
+def write_sheet(rows: DataFrame, path: str, order: list[str], most: int = 10_000) -> None:
+    """A label sheet as CSV with a header and a running `item`. It never overwrites: a sheet may hold labels. People fill sheets, so one task numbers their rows, `most` at most; more are refused."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a sheet has {most} rows at most")
     numbered = rows.withColumn(_SHEET_ORDER, F.row_number().over(Window.orderBy(*order)))
     numbered.select(_SHEET_ORDER, *rows.columns).coalesce(1).write.mode("errorifexists").csv(path, header=True, escape='"')
 
@@ -135,6 +137,11 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("r.key is not null and r.score is not null").groupBy("r.key", "r.version").agg(F.max_by("r.score", "at").alias("score"))
 
 
+def write_scores(rows: DataFrame, path: str) -> None:
+    """Adds rows (key, version, score) to a score cache, as read_scores reads it; rows without a key or score are left out."""
+    rows.where("key is not null and score is not null").select(F.to_json(F.struct("key", "version", F.col("score").cast("double").alias("score"))).alias("value")).write.mode("append").text(path)
+
+
 def score_key(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("\u001f", *[F.coalesce(p.cast(T.StringType()), F.lit("")) for p in parts]))
 

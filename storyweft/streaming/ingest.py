@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import canonical_url, clean_text, identifier, is_web_url
@@ -19,17 +20,21 @@ def valid_candidates(raw: DataFrame) -> DataFrame:
 
 
 def append_batch(table: str):
-    """foreachBatch: new identifiers only, so a replayed batch adds nothing."""
+    """foreachBatch: new identifiers only, so a replayed batch adds nothing. Of several rows of one identifier the earliest published stays, then the first by title and url."""
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = valid_candidates(batch).dropDuplicates(["identifier"])
+        rows = valid_candidates(batch)
+        others = [c for c in rows.columns if c != "identifier"]
+        order = F.struct(F.col("published").isNull().alias("late"), *others) if "published" in others else F.struct(*others)
+        first = rows.groupBy("identifier").agg(F.min(order).alias("r")).select("identifier", *[F.col("r")[c].alias(c) for c in others]).select(*rows.columns)
         try:
-            rows = rows.join(spark.read.parquet(table).select("identifier"), "identifier", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+            # Only the identifiers of the table are read.
+            first = first.join(spark.read.parquet(table).select("identifier"), "identifier", "left_anti").select(*rows.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        rows.write.mode("append").parquet(table)
+        first.write.mode("append").parquet(table)
 
     return run
 

@@ -92,3 +92,34 @@ def test_search_index(spark, tmp_path):
     got = files.search_index(df, str(tmp_path / "i")).orderBy("article_id").collect()
     assert [(r["article_id"], r["snippet"], r["codes"]) for r in got] == [(2, "", [0, 127]), (3, "", None)]
     assert spark.read.parquet(str(tmp_path / "i")).count() == 2
+
+
+def test_scores_written_and_read(spark, tmp_path):
+    at = str(tmp_path / "scores")
+    rows = spark.createDataFrame([("a", "v1", 0.5), ("b", "v1", None), (None, "v1", 1.0), ("c", None, -1.0)], "key string, version string, score double")
+    files.write_scores(rows, at)
+    files.write_scores(rows.where("key = 'a'").selectExpr("key", "'v2' version", "0.25 score"), at)
+    with open(tmp_path / "scores" / "part-cut.txt", "w") as f:
+        f.write('{"key": "d", "vers')
+    assert sorted(map(str, map(tuple, files.read_scores(spark, at).collect()))) == ["('a', 'v1', 0.5)", "('a', 'v2', 0.25)", "('c', None, -1.0)"]
+
+
+def test_sheet_too_large(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(ValueError):
+        files.write_sheet(spark.range(5), str(tmp_path / "sheet"), ["id"], most=4)
+
+
+def test_batch_keeps_the_earliest_of_an_identifier(spark, tmp_path):
+    import datetime
+
+    from storyweft.streaming import ingest
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [("https://x/a", "One", day(3)), ("https://x/a", "One", day(2)), ("https://x/a", "One", None), ("https://x/b", "Two", None), ("nowhere", "Three", day(1))]
+    batch = spark.createDataFrame(rows, "url string, title string, published timestamp")
+    at = str(tmp_path / "articles")
+    for _ in range(2):
+        ingest.append_batch(at)(batch, 0)
+    assert sorted((r.title, r.published) for r in spark.read.parquet(at).collect()) == [("One", day(2)), ("Two", None)]
