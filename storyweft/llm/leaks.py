@@ -110,12 +110,13 @@ def phrases(index: DataFrame, tests: DataFrame, found: DataFrame | None = None)
     whole = Window.partitionBy("window")
     ranked = cut(ranked.withColumn("held", F.count("*").over(whole)).where("held = size").select("window", "size", "term", "offset", "rank"))
 
-    def confirmed(needed: DataFrame) -> DataFrame:
-        """Rows of needed(at, wanted, ...) whose place has the word wanted."""
-        # Only postings in the candidates' slots can confirm one: read by an equal key, the rest stays where it is.
-        near = cut(needed.select(F.expr(f"at div {SLOT}").alias("slot")).distinct())
+    def confirmed(needed: DataFrame, few: bool) -> DataFrame:
+        """Rows of needed(at, wanted, ...) whose place has the word wanted. With `few`, they are in few texts, and only the postings in their slots are moved."""
         held = index.where("term is not null").join(cut(needed.select(F.col("wanted").alias("term")).distinct()), "term", "left_semi")
-        held = held.select("term", "at", F.expr(f"at div {SLOT}").alias("slot")).join(near, "slot", "left_semi").select("term", F.col("at").alias("place"))
+        if few:
+            near = cut(needed.select(F.expr(f"at div {SLOT}").alias("slot")).distinct())
+            held = held.select("term", "at", F.expr(f"at div {SLOT}").alias("slot")).join(near, "slot", "left_semi")
+        held = held.select("term", F.col("at").alias("place"))
         return needed.join(held, (needed["at"] == held["place"]) & (needed["wanted"] == held["term"]), "left_semi")
 
     single = _salted(index, ranked.where("size = 1")).select("window", "size", F.col("at").alias("start"))
@@ -123,11 +124,11 @@ def phrases(index: DataFrame, tests: DataFrame, found: DataFrame | None = None)
     two = ranked.groupBy("window", "size").agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(c[0] + str(r)) for r in (1, 2) for c in ("term", "offset")]).where("size > 1")
     two = cut(two.withColumn("apart", F.col("o2") - F.col("o1")).withColumn("pair", F.xxhash64("t1", "t2", "apart")))
     rarest = two.select(F.col("t1").alias("term"), "pair", F.col("t2").alias("wanted"), "apart").distinct()
-    candidates = cut(_salted(index, rarest).select("pair", F.col("at").alias("first"), "wanted", (F.col("at") + F.col("apart")).alias("at")))
-    both = cut(confirmed(candidates).select("pair", "first").join(two, "pair").select("window", "size", (F.col("first") - F.col("o1")).alias("start")))
+    candidates = cut(_salted(index, rarest).select("pair", "wanted", (F.col("at") + F.col("apart")).alias("at")))
+    both = cut(confirmed(candidates, False).select("pair", "at").join(two, "pair").select("window", "size", (F.col("at") - F.col("o2")).alias("start")))
     others = ranked.where("rank > 2").select("window", F.col("term").alias("wanted"), "offset")
     needed = cut(both.join(others, "window").select("window", "size", "start", "wanted", (F.col("start") + F.col("offset")).alias("at")))
-    out = confirmed(needed).groupBy("window", "size", "start").agg(F.count("*").alias("met")).where("met = size - 2").drop("met")
+    out = confirmed(needed, True).groupBy("window", "size", "start").agg(F.count("*").alias("met")).where("met = size - 2").drop("met")
     return cut(out.unionByName(both.where("size = 2")).unionByName(single))
 
 
