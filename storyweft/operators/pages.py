@@ -13,11 +13,14 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Elements without text of the page, furniture, elements that begin a line of text, elements that have no end.
+# Elements without text of the page, furniture, elements that begin a line of text, elements that say they hold the story, elements that have no end.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "head"}
 FURNITURE = {"nav", "aside", "footer", "form", "button", "select", "menu"}
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "td", "th", "figcaption", "div", "section", "article", "main", "body", "ul", "ol", "table", "tr", "header", "html"} | FURNITURE
+STORIES = {"article", "main"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
+#: How many times over the text counts of an element that says it holds the story: a short one is not lost to an advertisement.
+MARKED = 10
 #: Elements that hold lines and end where the next begins, or their holder ends.
 _LINES = {"p", "li", "dt", "dd", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -30,6 +33,7 @@ class _Reader(HTMLParser):
         self.open: list[tuple[str, int]] = []  # blocks and silent elements that are open, numbered
         self.lines: list[tuple[int, str, int, bool]] = []
         self.text, self.linked, self.link, self.n, self.parent = [], 0, 0, 0, {0: 0}
+        self.stories: set[int] = set()
 
     def _end_line(self) -> None:
         line = " ".join("".join(self.text).split())
@@ -50,6 +54,8 @@ class _Reader(HTMLParser):
             if tag not in VOID:
                 self.n += 1
                 self.parent[self.n] = self.open[-1][1] if self.open else 0
+                if tag in STORIES:
+                    self.stories.add(self.n)
                 self.open.append((tag, self.n))
 
     def handle_endtag(self, tag):
@@ -68,7 +74,7 @@ class _Reader(HTMLParser):
 
 
 def main_text(html: str | None) -> str:
-    """The lines of the element that holds most plain text, links counting against it, and of what is nested in it; furniture and lines that are mostly links are left out. Null or no text: empty."""
+    """The lines of the element that holds most plain text, links counting against it and marked stories MARKED times, and of what is nested in it; furniture and lines that are mostly links are left out. Null or no text: empty."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
@@ -76,7 +82,7 @@ def main_text(html: str | None) -> str:
     own: dict[int, int] = {}
     for holder, line, linked, aside in reader.lines:
         if not aside:
-            own[holder] = own.get(holder, 0) + len(line) - 3 * linked
+            own[holder] = own.get(holder, 0) + (len(line) - 3 * linked) * (MARKED if holder in reader.stories else 1)
     if not own:
         return ""
     best = min(own, key=lambda h: (-own[h], h))
