@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from .snapshots import cut
 from .vectors import distances, in_tiles, matrix, nearest_each, placed
 
-#: Rows of a block; a task holds the distances of two blocks' points.
-TILE = 1024
+#: Rows of a block; a task holds the distances of two blocks' points, some 400 MB with what is derived from them.
+TILE = 2048
 _EDGES = pa.schema([("window", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
 
 
