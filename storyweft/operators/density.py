@@ -1,9 +1,10 @@
 """Density clustering of whole windows: HDBSCAN over a distributed minimum spanning tree.
 
 Two passes over blocks of distances: one for core distances, one in which every pair of blocks gives the spanning tree
-of its own points. An edge left out there is the longest of a cycle, so the tree of the window is within those trees;
-Borůvka rounds over them find it, each component taking its least outgoing edge. Edges are ordered by weight, then by
-ids, so that the tree is one and the same for any block size. What a window's last task holds is its tree, one edge a point.
+of the edges between them, and every block that of its own. An edge left out there is the longest of a cycle, so the
+tree of the window is within those trees, and is found in them. Edges are ordered by weight, then by ids, so that the
+tree is one and the same for any block size. A window has a few blocks however large it is, and a task goes through
+two of them by tiles: what is shuffled, and what a window's last task holds, grows with its points.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .snapshots import cut
-from .vectors import distances, in_tiles, matrix, nearest_each, placed
+from .vectors import as_numbers, distances, in_tiles, matrix, nearest_placed, placed, same_block, steps
 
-#: Rows of a block; a task holds the distances of two blocks' points, some 400 MB with what is derived from them.
+#: Rows of a tile; a task holds the distances of two tiles' points, some 150 MB with what is derived from them.
 TILE = 2048
+_COUNTS = pa.schema([(c, pa.int64()) for c in ("window", "clusters", "usable", "wide")])
 _EDGES = pa.schema([("window", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
 
 
@@ -40,6 +42,63 @@ def dense_tree(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64), np.array(w, float)
 
 
+def cross_tree(reach: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, weight) of the spanning tree of the edges between two sets, a < b being the places of rows and columns in one order, least by weight, then a, then b."""
+    most = int(max(rows.max(), columns.max())) + 1
+    sides, place = (reach, np.ascontiguousarray(reach.T)), (rows, columns)
+    best = [np.full(len(p), np.inf) for p in place]
+    key = [np.full(len(p), np.iinfo(np.int64).max) for p in place]
+    free = [np.ones(len(p), bool) for p in place]
+    a, b, w = (np.zeros(len(rows) + len(columns) - 1, t) for t in (np.int64, np.int64, float))
+    side, at = 0, 0
+    for e in range(len(w)):
+        free[side][at], best[side][at] = False, np.inf
+        far, own = 1 - side, place[side][at]
+        d, to = sides[side][at], place[far]
+        nearer = np.flatnonzero((d <= best[far]) & free[far])
+        if len(nearer):
+            k = np.minimum(to[nearer], own) * most + np.maximum(to[nearer], own)
+            nearer, k = (x[(d[nearer] < best[far][nearer]) | (k < key[far][nearer])] for x in (nearer, k))
+            best[far][nearer], key[far][nearer] = d[nearer], k
+        least = min(best[0].min(), best[1].min())
+        side, at, held = -1, -1, 0
+        for x in (0, 1):
+            met = np.flatnonzero((best[x] == least) & free[x])
+            if len(met):
+                i = int(met[key[x][met].argmin()]) if len(met) > 1 else int(met[0])
+                if side < 0 or key[x][i] < held:
+                    side, at, held = x, i, key[x][i]
+        a[e], b[e], w[e] = held // most, held % most, least
+    return a, b, w
+
+
+def least_tree(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spanning forest of edges between points 0 to n - 1, least by weight, then a, then b: each part takes its first open edge, until none is open."""
+    order = np.lexsort((b, a, w))
+    a, b, w = a[order], b[order], w[order]
+    part, kept, live = np.arange(n), np.zeros(len(w), bool), np.arange(len(w))
+    while True:
+        x, y = part[a[live]], part[b[live]]
+        open_ = x != y
+        live, x, y = live[open_], x[open_], y[open_]
+        if not len(live):
+            return a[kept], b[kept], w[kept]
+        first = np.full((2, n), len(w))
+        first[0][x[::-1]], first[1][y[::-1]] = live[::-1], live[::-1]
+        first = first.min(axis=0)
+        root = np.flatnonzero(first < len(w))
+        edge = first[root]
+        kept[edge] = True
+        up = np.arange(n)
+        up[root] = part[a[edge]] + part[b[edge]] - root
+        # Two parts that take the same edge would point at each other: the lesser is their root.
+        both = root[(up[up[root]] == root) & (root < up[root])]
+        up[both] = both
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+
+
 def tree_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int = 2, epsilon: float = 0.0) -> np.ndarray:
     """Labels (-1: noise) of points 0 to n - 1 from their spanning tree: condensed tree, excess of mass, and merging of clusters that part below `epsilon`. The root is never a cluster; labels are numbered by their first point."""
     least = max(least, 2)
@@ -118,58 +177,65 @@ def tree_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int
     return np.array([names.setdefault(c, len(names)) if c else -1 for c in of])
 
 
-def _tile_tree(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The spanning tree, by mutual reachability, of the points of one or two blocks."""
-    if not len(left) or not len(right):
-        return _EDGES.empty_table()
-    both = left if left.column("block")[0].as_py() == right.column("block")[0].as_py() else pa.concat_tables([left.select(["g", "id", "v", "core"]), right.select(["g", "id", "v", "core"])])
-    ids, core = both.column("id").to_numpy(), both.column("core").to_numpy()
-    order = np.argsort(ids)
-    ids, core, x = ids[order], core[order], matrix(both.column("v"))[order]
-    reach = np.maximum(distances(x, x), np.maximum(core[:, None], core[None]))
-    a, b, w = dense_tree(reach)
-    return pa.table([np.full(len(w), both.column("g")[0].as_py(), np.int64), ids[a], ids[b], w], schema=_EDGES)
+def _named_tree(ids: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One least tree of several between places of sorted ids."""
+    return least_tree(len(ids), *(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _block_trees(tile: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The spanning tree, by mutual reachability, of the points of a block, or of the edges between two blocks."""
+        if not len(left) or not len(right):
+            return _EDGES.empty_table()
+        same = same_block(left, right)
+        own, core, x = [[f(t) for t in (left, right)] for f in (lambda t: t.column("id").to_numpy(), lambda t: t.column("core").to_numpy(), lambda t: matrix(t.column("v")))]
+        ids = np.unique(own[0]) if same else np.unique(np.concatenate(own))
+        place, held, n = [np.searchsorted(ids, i) for i in own], [], 0
+        for a, b in steps(len(own[0]), len(own[1]), tile, same):
+            if same and a == b:
+                a = b = np.argsort(place[0][a]) + a.start
+            reach = distances(x[0][a], x[1][b])
+            np.maximum(reach, core[0][a][:, None], out=reach)
+            np.maximum(reach, core[1][b][None], out=reach)
+            if a is b:
+                f, t, w = dense_tree(reach)
+                f, t = place[0][a][f], place[0][a][t]
+            else:
+                f, t, w = cross_tree(reach, place[0][a], place[1][b])
+            held.append((f, t, w))
+            n += len(w)
+            if n > 16 * len(ids):
+                held = [_named_tree(ids, held)]
+                n = len(held[0][2])
+        f, t, w = _named_tree(ids, held) if len(held) > 1 else held[0]
+        return pa.table([np.full(len(w), left.column("g")[0].as_py(), np.int64), ids[f], ids[t], w], schema=_EDGES)
+
+    return run
+
 
+def _window_tree(edges: pa.Table) -> pa.Table:
+    a, b, w = (edges.column(c).to_numpy() for c in ("a", "b", "w"))
+    ids = np.unique(np.concatenate((a, b)))
+    f, t, w = least_tree(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b), w)
+    return pa.table([np.full(len(w), edges.column("window")[0].as_py(), np.int64), ids[f], ids[t], w], schema=_EDGES)
 
-def spanning_tree(vectors: DataFrame, samples: int = 1, tile: int = TILE) -> DataFrame:
+
+def near_points(vectors: DataFrame, samples: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The points of vectors(window, id, vector) in blocks, and the `samples` nearest of each; from them the trees of up to so many samples are made."""
+    rows = vectors.select(F.col("window").cast("long").alias("g"), F.col("id").cast("long").alias("id"), as_numbers(vectors, "vector").alias("v")).where("g is not null and id is not null and v is not null")
+    held = cut(placed(rows, tile))
+    return held, cut(nearest_placed(held, samples, tile))
+
+
+def spanning_tree(vectors: DataFrame, samples: int = 1, tile: int = TILE, points: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """vectors(window, id, vector) -> (window, a, b, w): the minimum spanning tree of each window by mutual reachability (Euclidean; a point's core distance is that of its `samples`-th other point).
 
     Rows with a null window, id or vector take no part; ids are unique in a window. A window of one point has no edge.
     """
-    rows = vectors.select(F.col("window").cast("long").alias("g"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("g is not null and id is not null and v is not null")
-    core = nearest_each(rows, samples, tile).select("g", "id", F.element_at("near", -1).getField("d").alias("core"))
-    held = placed(rows, tile).join(core, ["g", "id"])
-    # With several blocks, each pair of different ones holds the pairs within its two as well.
-    trees = cut(in_tiles(held, _tile_tree, "window long, a long, b long, w double", ["core"], within=F.col("blocks") == 1))
-    several = cut(held.where("blocks > 1").select(F.col("g").alias("window"), "id"))
-    one = trees.join(several.select("window").distinct(), "window", "left_anti")
-    return one.unionByName(_boruvka(trees.join(several.select("window").distinct(), "window", "left_semi").distinct(), several))
-
-
-def _boruvka(edges: DataFrame, points: DataFrame) -> DataFrame:
-    """The least spanning tree within edges(window, a, b, w) of connected windows with points(window, id)."""
-    k = F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    ends = [F.struct(F.col(x).alias("from"), F.col(y).alias("to")) for x, y in (("a", "b"), ("b", "a"))]
-    open_ = cut(edges.select("window", k.alias("k"), F.explode(F.array(*ends)).alias("e")).select("window", "e.from", "e.to", "k"))
-    parts = points.select("window", F.col("id").alias("part"))
-    tree = edges.limit(0)
-    while open_.head(1):
-        best = cut(open_.groupBy("window", F.col("from").alias("part")).agg(F.min(F.struct("k", "to")).alias("m")).select("window", "part", "m.k", F.col("m.to").alias("up")))
-        tree = tree.unionByName(best.select("window", F.col("k.lo").alias("a"), F.col("k.hi").alias("b"), F.col("k.w").alias("w")).distinct())
-        # Two parts that take the same edge would point at each other: the lesser is their root. Then every part follows to its root.
-        up = parts.join(best.drop("k"), ["window", "part"], "left").select("window", "part", F.coalesce("up", "part").alias("up"))
-        over = up.select("window", F.col("part").alias("up"), F.col("up").alias("next"))
-        up = cut(up.join(over, ["window", "up"]).select("window", "part", F.when((F.col("next") == F.col("part")) & (F.col("part") < F.col("up")), F.col("part")).otherwise(F.col("up")).alias("up")))
-        while True:
-            over = up.select("window", F.col("part").alias("up"), F.col("up").alias("next"))
-            up = cut(up.join(over, ["window", "up"]).select("window", "part", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
-            if not up.where("moved").head(1):
-                break
-        to = lambda c: up.select("window", F.col("part").alias(c), F.col("up").alias(c + "_up"))
-        met = open_.join(to("from"), ["window", "from"]).join(to("to"), ["window", "to"]).where("from_up <> to_up")
-        open_ = cut(met.groupBy("window", F.col("from_up").alias("from"), F.col("to_up").alias("to")).agg(F.min("k").alias("k")).select("window", "from", "to", "k"))
-        parts = up.select("window", F.col("up").alias("part")).distinct()
-    return tree
+    held, near = points or near_points(vectors, samples, tile)
+    core = near.select("g", "id", F.get("near", F.least(F.size("near"), F.lit(samples)) - 1).getField("d").alias("core"))
+    trees = in_tiles(cut(held.join(core, ["g", "id"])), _block_trees(tile), "window long, a long, b long, w double", ["core"])
+    return trees.groupBy("window").applyInArrow(_window_tree, "window long, a long, b long, w double")
 
 
 def settings(leasts: list[int], epsilons: list[float]) -> list[tuple[int, float]]:
@@ -200,9 +266,10 @@ def cluster(vectors: DataFrame, least: int = 2, samples: int = 1, epsilon: float
 
 def sweep(vectors: DataFrame, leasts: list[int], samples: list[int], epsilons: list[float], most: float = 0.25, tile: int = TILE) -> DataFrame:
     """(window, least, samples, epsilon, n, clusters, noise, largest, ok): how each window clusters under every setting; ok unless nothing clusters or one cluster has more than `most` of the window. One spanning tree serves all settings of `samples`."""
-    out = None
+    vectors = cut(vectors.select("window", "id", "vector"))
+    out, points = None, near_points(vectors, max(samples), tile)
     for k in samples:
-        rows = labelled(vectors, spanning_tree(vectors, k, tile), settings(leasts, epsilons)).withColumn("samples", F.lit(k).cast("long"))
+        rows = labelled(vectors, spanning_tree(vectors, k, tile, points), settings(leasts, epsilons)).withColumn("samples", F.lit(k).cast("long"))
         out = rows if out is None else out.unionByName(rows)
     by = ["window", "least", "samples", "epsilon"]
     sizes = out.groupBy(*by, "label").agg(F.count("*").alias("m"))
@@ -222,7 +289,7 @@ def subsamples(vectors: DataFrame, shares: list[float], trials: int, seed: int =
 
 def stability(vectors: DataFrame, trials: int = 5, share: float = 0.9, most: float = 0.25, least: int = 2, samples: int = 1, seed: int = 0) -> DataFrame:
     """(window, trials, held): how many seeded subsamples of each window, clustered anew, keep clear of a cluster with more than `most` of it."""
-    tried = subsamples(vectors, [share], trials, seed)
+    tried = subsamples(cut(vectors.select("window", "id", "vector")), [share], trials, seed)
     names = tried.select("window", "own").distinct()
     return sweep(tried, [least], [samples], [0.0], most).join(names, "window").groupBy(F.col("own").alias("window")).agg(F.count("*").alias("trials"), F.count_if("ok").alias("held"))
 
@@ -233,14 +300,29 @@ def density_curve(vectors: DataFrame, shares: list[float], trials: int = 3, cohe
     Usable clusters have two sources and the coherence asked for, wide ones `wide` sources of those. exponent is the
     slope of log wide over log articles between the least share and the whole; null where either is 0 or they are as large.
     """
-    from .vectors import coherence as coherences
-
-    tried = subsamples(vectors, shares, trials, seed)
-    members = cluster(tried, 2, 1).where("label >= 0").join(tried.select("window", "id", "source", "vector"), ["window", "id"])
-    members = members.withColumn("key", F.struct("window", "label"))
-    per = members.groupBy("key").agg(F.countDistinct("source").alias("sources")).join(coherences(members, "key", "vector"), "key")
-    firm = (F.col("coherence") >= coherence) & (F.col("sources") >= 2)
-    runs = per.groupBy("key.window").agg(F.count("*").alias("clusters"), F.count_if(firm).alias("usable"), F.count_if(firm & (F.col("sources") >= wide)).alias("wide"))
+
+    def counts(points: pa.Table, edges: pa.Table) -> pa.Table:
+        """How many clusters of a window there are, are usable and are wide. Its task holds its vectors once, as it holds its tree."""
+        order = np.argsort(points.column("id").to_numpy())
+        ids, found = points.column("id").to_numpy()[order], [0, 0, 0]
+        label = tree_labels(len(ids), *(np.searchsorted(ids, edges.column(c).to_numpy()) for c in ("a", "b")), edges.column("w").to_numpy())
+        if (label >= 0).any():
+            order, label = (x[label >= 0] for x in (order, label))
+            together = np.argsort(label, kind="stable")
+            order, label, n = order[together], label[together], np.bincount(label)
+            sums = np.add.reduceat(matrix(points.column("v"))[order], np.cumsum(n) - n, axis=0)
+            close = ((sums * sums).sum(axis=1) - n) / (n * (n - 1))
+            source = points.column("source").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()[order].astype(np.int64)
+            pairs = np.unique(label[source >= 0] * (source.max() + 1) + source[source >= 0])
+            sources = np.bincount(pairs // (source.max() + 1), minlength=len(n)) if len(pairs) else np.zeros(len(n))
+            firm = (close >= coherence) & (sources >= 2)
+            found = [len(n), int(firm.sum()), int((firm & (sources >= wide)).sum())]
+        return pa.table({"window": [points.column("window")[0].as_py()] if len(ids) else [], **{c: [v] if len(ids) else [] for c, v in zip(("clusters", "usable", "wide"), found, strict=True)}}, schema=_COUNTS)
+
+    tried = subsamples(cut(vectors.select("window", "id", "vector", "source")), shares, trials, seed)
+    points = tried.where("window is not null and id is not null and vector is not null").select(F.col("window").cast("long").alias("window"), F.col("id").cast("long").alias("id"), as_numbers(tried, "vector").alias("v"), F.col("source").cast("string").alias("source"))
+    edges = spanning_tree(tried).withColumnRenamed("window", "of")
+    runs = points.groupBy("window").cogroup(edges.groupBy("of")).applyInArrow(counts, "window long, clusters long, usable long, wide long")
     zero = {"clusters": 0, "usable": 0, "wide": 0}
     all_ = tried.groupBy("window", "own", "share").agg(F.count("*").alias("articles")).join(runs, "window", "left").fillna(zero)
     curve = all_.groupBy(F.col("own").alias("window"), "share").agg(*[F.avg(c).alias(c) for c in ("articles", *zero)])

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .snapshots import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -86,49 +88,81 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.round(np.maximum(out, 0, out=out), 12, out=out), out=out)
 
 
+#: Blocks of a group at most. Larger groups have larger blocks, cut into tiles within a task, so that what is shuffled grows with the rows, not with their square.
+BLOCKS = 8
+
+
+def as_numbers(rows: DataFrame, column: str) -> Column:
+    """A vector as it is if its type is exact as double, else as array of double."""
+    return F.col(column) if dict(rows.select(column).dtypes)[column] in ("array<float>", "array<double>") else F.col(column).cast("array<double>")
+
+
 def placed(rows: DataFrame, tile: int) -> DataFrame:
-    """rows(g, id, ...) with the block of each and how many of about `tile` rows its group has."""
-    cuts = rows.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    """rows(g, id, ...) with the block of each and how many its group has: one of about `tile` rows each, BLOCKS at most."""
+    cuts = rows.groupBy("g").agg(F.least(F.ceil(F.count("*") / tile), F.lit(BLOCKS)).cast("int").alias("blocks"))
     return rows.join(cuts, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def in_tiles(held: DataFrame, run, schema: str, more: list[str] = [], within: Column | None = None) -> DataFrame:  # noqa: B006
-    """run(left, right) over each unordered pair of a group's blocks, placed(...) rows as tables (g, id, v, block, *more). Pairs of a block with itself are left out where `within` is false."""
+def in_tiles(held: DataFrame, run, schema: str, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """run(left, right) over each unordered pair of a group's blocks, a block with itself included, placed(...) rows as tables (g, id, v, block, *more)."""
     columns = ["g", "id", "v", "block", *more]
-    own = (F.col("other") != F.col("block")) | (within if within is not None else F.lit(True))
-    left = held.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).where(own).select(*columns, F.col("block").alias("i"), F.col("other").alias("j"))
-    right = held.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).where(own).select(*[F.col(c).alias("r_" + c) for c in columns], F.col("other").alias("r_i"), F.col("block").alias("r_j"))
+    left = held.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).select(*columns, F.col("block").alias("i"), F.col("other").alias("j"))
+    right = held.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).select(*[F.col(c).alias("r_" + c) for c in columns], F.col("other").alias("r_i"), F.col("block").alias("r_j"))
     return left.groupBy("g", "i", "j").cogroup(right.groupBy("r_g", "r_i", "r_j")).applyInArrow(lambda a, b: run(a, b.rename_columns(a.column_names)), schema)
 
 
-def nearest_each(rows: DataFrame, k: int, tile: int = 2048) -> DataFrame:
-    """rows(g, id, v) -> (g, id, near): the `k` nearest other rows of the group (all, if fewer), as (d, id) by distance, then id. A tile keeps k a row, which are merged; a row alone in its group is left out."""
+def same_block(left: pa.Table, right: pa.Table) -> bool:
+    return left.column("block")[0].as_py() == right.column("block")[0].as_py()
+
+
+def steps(n: int, m: int, tile: int, same: bool):
+    """(rows, rows) slices of a block of n and one of m rows: each pair of their tiles, each unordered pair if they are one block."""
+    for a in range(0, n, tile):
+        for b in range(a if same else 0, m, tile):
+            yield slice(a, min(n, a + tile)), slice(b, min(m, b + tile))
+
+
+def nearest_placed(held: DataFrame, k: int, tile: int = 2048) -> DataFrame:
+    """`nearest_each` of placed(...) rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"g": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "other": pa.array([], pa.int64())})
+        ids, x, same = [t.column("id").to_numpy() for t in (left, right)], [matrix(t.column("v")) for t in (left, right)], same_block(left, right)
+        best = [(np.full((len(i), k), np.inf), np.zeros((len(i), k), np.int64)) for i in ids]
+
+        def take(side: int, rows: slice, m: np.ndarray, others: np.ndarray) -> None:
+            n = min(k, m.shape[1])
+            at = np.argpartition(m, n - 1, axis=1)[:, :n]
+            d, o = (np.concatenate(c, axis=1) for c in ((best[side][0][rows], np.take_along_axis(m, at, axis=1)), (best[side][1][rows], others[at])))
+            first = np.lexsort((o, d), axis=1)[:, :k]
+            best[side][0][rows], best[side][1][rows] = np.take_along_axis(d, first, axis=1), np.take_along_axis(o, first, axis=1)
+
+        for a, b in steps(len(ids[0]), len(ids[1]), tile, same):
+            d = distances(x[0][a], x[1][b])
+            d[ids[0][a][:, None] == ids[1][b][None]] = np.inf
+            take(0, a, d, ids[1][b])
+            if not same or a != b:
+                take(0 if same else 1, b, d.T, ids[0][a])
         out = []
-        if len(left) and len(right):
-            ids, x = [t.column("id").to_numpy() for t in (left, right)], [matrix(t.column("v")) for t in (left, right)]
-            d = distances(*x)
-            d[ids[0][:, None] == ids[1][None]] = np.inf
-            # A block against itself is met once, as a whole.
-            same = left.column("block")[0].as_py() == right.column("block")[0].as_py()
-            for own, far, m in [(ids[0], ids[1], d)] + ([] if same else [(ids[1], ids[0], d.T)]):
-                n = min(k, m.shape[1])
-                at = np.argpartition(m, n - 1, axis=1)[:, :n]
-                near = np.take_along_axis(m, at, axis=1)
-                i, j = np.nonzero(np.isfinite(near))
-                out.append((own[i], near[i, j], far[at[i, j]]))
-        cells = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
-        g = left.column("g")[0].as_py() if len(left) else 0
-        return pa.table({"g": np.full(len(cells[0]), g, np.int64), "id": cells[0], "d": cells[1], "other": cells[2]})
-
-    found = in_tiles(placed(rows, tile), run, "g long, id long, d double, other long")
+        for side in range(1 if same else 2):
+            i, j = np.nonzero(np.isfinite(best[side][0]))
+            out.append((ids[side][i], best[side][0][i, j], best[side][1][i, j]))
+        cells = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table({"g": np.full(len(cells[0]), left.column("g")[0].as_py(), np.int64), "id": cells[0], "d": cells[1], "other": cells[2]})
+
+    found = in_tiles(held, run, "g long, id long, d double, other long")
     return found.groupBy("g", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("other").alias("id")))), 1, k).alias("near"))
 
 
+def nearest_each(rows: DataFrame, k: int, tile: int = 2048) -> DataFrame:
+    """rows(g, id, v) -> (g, id, near): the `k` nearest other rows of the group (all, if fewer), as (d, id) by distance, then id. A pair of blocks keeps k a row, which are merged; a row alone in its group is left out."""
+    return nearest_placed(cut(placed(rows, tile)), k, tile)
+
+
 def separation(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(id, first, second): distances to the nearest and second nearest other row; null where there is none. Every row with an id and a vector comes back; ids are unique."""
-    rows = vectors.select(F.lit(0).cast("long").alias("g"), F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    rows = vectors.select(F.lit(0).cast("long").alias("g"), F.col(id_col).cast("long").alias("id"), as_numbers(vectors, column).alias("v")).where("id is not null and v is not null")
     near = nearest_each(rows, 2).select("id", "near")
     return rows.select("id").join(near, "id", "left").select("id", F.get("near", F.lit(0)).getField("d").alias("first"), F.get("near", F.lit(1)).getField("d").alias("second"))
 

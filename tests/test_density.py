@@ -42,6 +42,31 @@ def test_tree_of_many_windows_with_copies_ties_and_lone_points(spark):
     assert density.cluster(rows.limit(0)).collect() == []
 
 
+def test_what_is_shuffled_grows_with_the_rows(spark, monkeypatch):
+    """A group has BLOCKS blocks at most: a row is sent to as many tasks however large its group is. Many tiles in a block give the same tree and neighbours."""
+    x = _planted(700, 9)
+    rows = _table(spark, x).select(F.col("window").alias("g"), "id", F.col("vector").alias("v"))
+    assert vectors.placed(rows, 16).agg(F.max("blocks")).first()[0] == vectors.BLOCKS == vectors.placed(rows.where("id < 300"), 16).agg(F.max("blocks")).first()[0]
+    small, large = ({r.id: r.near for r in vectors.nearest_each(rows, 3, tile).collect()} for tile in (16, 4096))
+    assert all([n.id for n in small[i]] == [n.id for n in large[i]] for i in range(700))
+    assert sorted(map(tuple, density.spanning_tree(_table(spark, x), 2, tile=32).collect())) == sorted(map(tuple, density.spanning_tree(_table(spark, x), 2, tile=4096).collect()))
+
+
+def test_curve_counts_clusters_by_sources_and_coherence(spark):
+    x = _planted(400, 6, groups=30)
+    rows = _table(spark, x).withColumn("source", F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 4)))
+    labels = clustering.hdbscan(x, 2, 1)
+    usable = wide = 0
+    for c in set(labels) - {-1}:
+        at = np.flatnonzero(labels == c)
+        sim = (x[at] @ x[at].T)[np.triu_indices(len(at), 1)].mean()
+        n = len({i % 4 for i in at if i % 5})
+        usable += sim >= 0.4 and n >= 2
+        wide += sim >= 0.4 and n >= 3
+    got = density.density_curve(rows, [1.0], coherence=0.4).collect()
+    assert [(r.articles, r.clusters, r.usable, r.wide) for r in got] == [(400, len(set(labels) - {-1}), usable, wide)] and usable > wide > 0
+
+
 def test_epsilon_merges_what_parts_below_it():
     centres = np.array([[0.0, 0], [1, 0], [10, 0], [11, 0], [40, 40]])
     x = np.concatenate([c + np.random.default_rng(i).normal(size=(12, 2)) * 0.05 for i, c in enumerate(centres)])
