@@ -3,64 +3,77 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import true_case, worth_framing
 from . import names
-from .grouping import _unit, unite
+from .grouping import speaker_components, unit_rows
 from .models import relation
+from .snapshots import cut
 
 
 #: How a version relates to the first, by what a model of entailment says of the two.
 RELATIONS = {"same": "same", "first_more": "says less", "second_more": "says more", "different": "worded differently"}
 
 
-def _versions(rows: list[dict], sim: np.ndarray, floor: float, same: float) -> list[list[int]]:
-    """Remarks of one story, each its versions in order, the first leading.
-
-    Speakers that two outlets credit with nearly the same words are one; a speaker's attributed quotes lead, and a lead
-    takes the first near enough quote of every other outlet."""
-    n = len(rows)
-    source = np.array([r["source"] for r in rows], object)
-    known = [r["speaker"] for r in rows]
-    alike = [(i, j) for i, j in zip(*np.nonzero(np.triu(sim >= same, 1)), strict=True) if source[i] != source[j]]
-    first_of: dict[str, int] = {}
-    one = [(first_of.setdefault(k, i), i) for i, k in enumerate(known) if k is not None]
-    speaker = unite(n, [*alike, *one])
-    out, free = [], dict.fromkeys(sorted(range(n), key=lambda i: (speaker[i], known[i] is None, i)))
-    while free:
-        lead = next(iter(free))
-        near = [i for i in free if i != lead and speaker[i] == speaker[lead] and sim[lead, i] >= floor and source[i] != source[lead]]
-        group = [lead, *{source[i]: i for i in reversed(near)}.values()]
-        for i in group:
-            free.pop(i)
-        out.append([lead, *sorted(group[1:], key=near.index)])
-    return out
+def _versions(x: np.ndarray, source: np.ndarray, floor: float) -> Iterator[list[int]]:
+    """Remarks of one speaker's quotes in order, each its versions in order, the first leading: a lead takes the first near enough quote of every other outlet."""
+    free, left = np.ones(len(x), bool), np.bincount(source, minlength=1)
+    live = np.arange(len(x))
+    while len(live):
+        # What is taken is left out from time to time, so that a lead looks at what is free.
+        for lead in live[:256].tolist():
+            if not free[lead]:
+                continue
+            taken = {int(source[lead]): lead}
+            most = np.count_nonzero(left) + (0 if left[source[lead]] else 1)
+            for a in range(0, len(live), 512):
+                if len(taken) == most:
+                    break
+                at = live[a : a + 512]
+                at = at[free[at]]
+                near = at[(x[at] @ x[lead] >= floor) & ~np.isin(source[at], list(taken))]
+                for s, i in zip(*np.unique(source[near], return_index=True), strict=True):
+                    taken[int(s)] = int(near[i])
+            group = [lead, *sorted(i for i in taken.values() if i != lead)]
+            free[group] = False
+            np.subtract.at(left, source[group], 1)
+            yield group
+        live = live[free[live]]
 
 
 def remarks(quotes: DataFrame, floor: float = 0.7, same: float = 0.9) -> DataFrame:
     """quotes(story, pos, source, speaker, wording, lang, vector) -> story, remark (its first place), pos, version (from 0), outlets, shared, relation.
 
-    One remark has one version of each outlet; a quote that none shares is a remark of its own. relation says of a
-    version whether it says the same as the first, more, less, or is worded differently; only English ones are compared.
-    One story is one task's work, as a story has few quotes; places are unique in it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos", kind="stable").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        x = _unit(pd.Series([r["vector"] for r in rows]))
+    Speakers that two outlets credit with nearly the same words are one; a speaker's attributed quotes lead. One remark
+    has one version of each outlet; a quote that none shares is a remark of its own. relation says of a version whether it
+    says the same as the first, more, less, or is worded differently; only English ones are compared. One speaker of a
+    story is one task's work, which holds the quotes, not their pairs; places are unique in a story, and rows with a null
+    story or place take no part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pos, known = table.column("pos").to_numpy(), table.column("speaker").is_valid().to_numpy()
+        table = table.take(np.lexsort((pos, ~known)))
+        pos, wording, lang = table.column("pos").to_pylist(), table.column("wording").to_pylist(), table.column("lang").to_pylist()
+        source = pd.factorize(table.column("source").to_numpy(), use_na_sentinel=False)[0]
         out = []
-        for group in _versions(rows, x @ x.T, floor, same):
-            lead = rows[group[0]]
+        for group in _versions(unit_rows(table.column("vector")), source, floor):
+            lead = group[0]
             for v, i in enumerate(group):
-                both = v and lead["lang"] == rows[i]["lang"] == "en"
-                how = "first" if not v else RELATIONS[relation(lead["wording"] or "", rows[i]["wording"] or "")] if both else "not compared"
-                out.append((lead["story"], lead["pos"], rows[i]["pos"], v, len(group), len(group) > 1, how))
-        return pd.DataFrame(out, columns=["story", "remark", "pos", "version", "outlets", "shared", "relation"])
-
-    return quotes.groupBy("story").applyInPandas(run, "story long, remark long, pos long, version long, outlets long, shared boolean, relation string")
+                both = v and lang[lead] == lang[i] == "en"
+                how = "first" if not v else RELATIONS[relation(wording[lead] or "", wording[i] or "")] if both else "not compared"
+                out.append((pos[lead], pos[i], v, len(group), len(group) > 1, how))
+        remark, place, version, outlets, shared, how = zip(*out, strict=True)
+        return pa.table([pa.array([table.column("story")[0].as_py()] * len(out), pa.int64()), remark, place, version, outlets, shared, how], names=["story", "remark", "pos", "version", "outlets", "shared", "relation"])
+
+    rows = cut(quotes.select(F.col("story").cast("long").alias("story"), F.col("pos").cast("long").alias("pos"), "source", "speaker", "wording", "lang", "vector"))
+    of = speaker_components(rows.select("story", "pos", "speaker", "source", "vector"), same)
+    return rows.join(of, ["story", "pos"]).groupBy("story", "component").applyInArrow(run, "story long, remark long, pos long, version long, outlets long, shared boolean, relation string")
 
 
 def remark_split(versions: DataFrame) -> DataFrame:
