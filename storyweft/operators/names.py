@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Words that make a longer place name the better one, particles within names, titles before names, titles matched only as written, capitalised words that are no names.
@@ -34,6 +34,8 @@ NO_NAMES = {
 
 #: Surfaces of a gazetteer that a worker holds; a larger one is refused.
 MOST = 2_000_000
+#: Names that a worker holds before it passes them on.
+HELD = 8192
 _TITLE_WORDS = {w for t in TITLES for w in t.split()} | {t.lower() for t in CASED_TITLES}
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _TITLE = re.compile(r"(?<!\w)(?:(?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")|" + "|".join(CASED_TITLES) + r")\.?\s+")
@@ -220,20 +222,33 @@ def mentions(rows: DataFrame, column: str, keys: list[str], gazetteer: DataFrame
             _WORKER[token] = (automaton(shared.value), words)
         return _WORKER[token]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*keys, "text", "label", "id", "start", "end"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto, words = worker()
-        for pdf in parts:
-            out = []
-            for *k, text in pdf[[*keys, column]].itertuples(index=False, name=None):
+        for batch in parts:
+            kinds = [*(batch.schema.field(k).type for k in keys), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            # Texts are read one by one, and names go on as they are found: a batch of long texts is held once, its names never all at once.
+            out: list[list] = [[] for _ in names]
+            for i in range(len(batch)):
+                text = batch.column(column)[i].as_py()
                 if not text:
                     continue
                 spans = listed(text, auto)
                 if model or named:
                     spans = settle(text, spans, model(text) if model else [], titled(text) if named else [], lambda i: words.get(i, set()))
-                out += [(*k, text[s.start : s.end], s.label, s.id, s.start, s.end) for s in spans]
-            yield pd.DataFrame(out, columns=[*keys, "text", "label", "id", "start", "end"])
-
-    return rows.select(*keys, column).mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "text string, label string, id string, start long, end long"]))
+                k = [batch.column(c)[i].as_py() for c in keys]
+                for a in range(0, len(spans), HELD):
+                    for s in spans[a : a + HELD]:
+                        for held, v in zip(out, (*k, text[s.start : s.end], s.label, s.id, s.start, s.end), strict=True):
+                            held.append(v)
+                    if len(out[0]) >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
+                        out = [[] for _ in names]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
+
+    return rows.select(*keys, column).mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "text string, label string, id string, start long, end long"]))
 
 
 def identify(typed: DataFrame, gazetteer: DataFrame) -> DataFrame:

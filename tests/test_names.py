@@ -190,3 +190,23 @@ def test_portrayal_from_text(spark):
     a, b = out[("doe", "a")], out[("doe", "b")]
     assert set(out) == {("doe", "a"), ("doe", "b")} and (a.articles, a.mentions, a.speaks, a.title) == (2, 3, 1, "Governor")
     assert (b.described, b.mentioned, b.warm, b.title) == (1, 1, 1, None) and [e.role for e in b.examples] == ["described", "mentioned"]
+
+
+def test_names_are_passed_on_as_they_are_found(spark):
+    """One batch of texts with more names than a worker holds comes out in several, and none is lost."""
+    import pyarrow as pa
+
+    class Rows:
+        sparkSession, dtypes = spark, [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    listed = spark.createDataFrame([("Otieno", "PERSON", "o", None, True)], KIND)
+    run = names.mentions(Rows(), "text", ["doc_id"], listed, model=None, titles=False)
+    texts = ["Otieno " * 5000, None, "Otieno and Otieno", "none"] * 4
+    out = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])))
+    assert len(out) > 2 and max(len(b) for b in out) < 2 * names.HELD and sum(len(b) for b in out) == 4 * 5002
