@@ -13,8 +13,17 @@ def coverage(claims: DataFrame, outlets: DataFrame) -> DataFrame:
     return groups.join(readable, "story", "left").select("story", "grp", "reported_by", related.alias("related"), F.array_except(F.array_except(F.coalesce("readable", F.array().cast("array<string>")), "reported_by"), related).alias("omitted_by"))
 
 
+#: Tasks that stories are dealt over for each task that reads figures.
+SHARE = 16
+
+
 def digest(figures: DataFrame) -> DataFrame:
-    """figures (story, pos, source, sentence, unit, value): the largest of each outlet's sentence and unit, the rest as breakdown; repeats dropped; peers = same unit, other outlet."""
+    """figures (story, pos, source, sentence, unit, value): the largest of each outlet's sentence and unit, the rest as breakdown; repeats dropped; peers = same unit, other outlet.
+
+    Stories are dealt once, over so many tasks that each has a SHARE of what a reading task reads: what a task sorts does
+    not grow with the table."""
+    spark = figures.sparkSession
+    figures = figures.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), SHARE * figures.rdd.getNumPartitions()), "story")
     own = Window.partitionBy("story", "source", "sentence", "unit").orderBy(F.desc("value"), "pos")
     all_ = Window.partitionBy("story", "source", "sentence", "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     top = figures.withColumn("rn", F.row_number().over(own)).withColumn("breakdown", F.collect_list("value").over(all_)).where("rn = 1")

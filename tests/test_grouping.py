@@ -72,3 +72,14 @@ def test_what_is_held_grows_with_the_rows():
     state = grouping.Leaders(0.6)
     out = [r for a in range(0, len(x), 256) for r in state.take(np.arange(a, min(len(x), a + 256)), x[a : a + 256])]
     assert state.kept.n == 8 and len(out) == len(x) - 8 and len(state.end()) == 8
+
+
+def test_digest_is_dealt_once_over_more_tasks_for_more_input(spark):
+    from storyweft.operators import comparison
+
+    rows = [(i % 9, i, f"o{i % 3}", f"t{i % 2}", "kg", float(i % 5)) for i in range(200)]
+    figures = spark.createDataFrame(rows, "story long, pos long, source string, sentence string, unit string, value double")
+    plan = comparison.digest(figures.repartition(8))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(story" in plan and f", {8 * comparison.SHARE})" in plan and "ENSURE_REQUIREMENTS" not in plan
+    got, want = (sorted(map(str, comparison.digest(f).collect())) for f in (figures.repartition(8), figures.coalesce(1)))
+    assert got == want and len(got) > 20
