@@ -72,9 +72,8 @@ def claim_cap(s: SparkSession, d: str) -> DataFrame:
 
 def casing_lexicon(s: SparkSession, d: str) -> DataFrame:
     """The commonest written form of each word (twice at least), words at a line's start and in capitals left out."""
-    lines = _docs(s, d).where("lang = 'en'").select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0))).alias("form")).where(F.col("form") != F.upper("form"))
-    counts = words.groupBy(F.lower("form").alias("word"), "form").count()
+    words = _docs(s, d).where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("form"))
+    counts = words.groupBy("form").count().where(F.col("form") != F.upper("form")).select(F.lower("form").alias("word"), "form", "count")
     return counts.groupBy("word").agg(F.max_by("form", F.struct("count", "form")).alias("form"), F.sum("count").alias("n")).where("n >= 2")
 
 
