@@ -88,12 +88,20 @@ def topic_of(text: Column, least: float = 0.75) -> Column:
     return F.when((best > 0) & (best / F.nullif(total, F.lit(0)) >= least), name).otherwise(F.lit("General"))
 
 
+def words_of(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def relation_by(shared: Column, words_a: Column, words_b: Column, least: float = 0.5) -> Column:
+    """relation(...) with the lexical entailment, from how many distinct words two texts share and have."""
+    holds = lambda n: F.coalesce(shared / F.nullif(n, F.lit(0)), F.lit(0.0)) >= least
+    return F.when(holds(words_b) & holds(words_a), "same").when(holds(words_b), "first_more").when(holds(words_a), "second_more").otherwise("different")
+
+
 def relation_of(a: Column, b: Column, least: float = 0.5) -> Column:
     """relation(...) with the lexical entailment, as an expression."""
-    set_ = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    both = F.size(F.array_intersect(set_(a), set_(b)))
-    holds = lambda h: F.coalesce(both / F.nullif(F.size(set_(h)), F.lit(0)), F.lit(0.0)) >= least
-    return F.when(holds(b) & holds(a), "same").when(holds(b), "first_more").when(holds(a), "second_more").otherwise("different")
+    return relation_by(F.size(F.array_intersect(words_of(a), words_of(b))), F.size(words_of(a)), F.size(words_of(b)), least)
 
 
 def batched(load: Callable[[], Callable[[list[str]], list]], kind: T.DataType, size: int = 32) -> Callable[..., Column]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .snapshots import cut
@@ -45,36 +48,6 @@ def quantise(v: Column) -> Column:
     return F.struct(F.when(scale > 0, F.transform(v, lambda x: F.bround(x.cast("double") / scale).cast("int"))).alias("codes"), scale.alias("scale"))
 
 
-def _tiles(floor: float):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        ids = [t.column(0).to_numpy() for t in (left, right)]
-        x = [np.array(t.column(1).to_pylist(), np.float64).reshape(len(t), -1) for t in (left, right)]
-        sim = x[0] @ x[1].T
-        i, j = np.nonzero(sim >= floor)
-        a, b, s = ids[0][i], ids[1][j], sim[i, j]
-        # On the diagonal each pair is met twice, elsewhere once.
-        keep = a < b if left.column("ai")[0].as_py() == left.column("aj")[0].as_py() else a != b
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[keep]})
-
-    return run
-
-
-def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", column: str = "embedding", group: str | None = None, tile: int = 2048) -> DataFrame:
-    """Pairs (a < b, sim) of dot product `floor` or more, inside `group` if set, by a blocked matrix product.
-
-    A group is cut into blocks of about `tile` rows, however large it is, and each unordered pair of its blocks is one
-    bounded task. Rows with a null id, vector or group take no part; ids are unique.
-    """
-    rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(0)).cast("long").alias("g")).where("id is not null and g is not null")
-    cuts = rows.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    placed = rows.join(cuts, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    a = placed.withColumn("aj", F.explode(F.sequence("block", F.col("blocks") - 1))).select(F.col("id").alias("aid"), F.col("v").alias("av"), F.col("g").alias("ag"), F.col("block").alias("ai"), "aj")
-    b = placed.withColumn("bi", F.explode(F.sequence(F.lit(0), "block"))).select(F.col("id").alias("bid"), F.col("v").alias("bv"), F.col("g").alias("bg"), "bi", F.col("block").alias("bj"))
-    return a.groupBy("ag", "ai", "aj").cogroup(b.groupBy("bg", "bi", "bj")).applyInArrow(_tiles(floor), "a long, b long, sim double")
-
-
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A list column as rows of a matrix."""
     flat = column.combine_chunks()
@@ -122,6 +95,66 @@ def steps(n: int, m: int, tile: int, same: bool):
             yield slice(a, min(n, a + tile)), slice(b, min(m, b + tile))
 
 
+def _shared(i: np.ndarray, j: np.ndarray, left: slice, right: slice, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """How many words the rows i of `left` and j of `right` share, pair by pair, i in order. words: distinct in a row, as numbers below n; starts: where a row's begin."""
+    out, mark, i, j = np.zeros(len(i), np.int64), np.zeros(n, bool), i + left.start, j + right.start
+    edge = np.flatnonzero(np.diff(i, prepend=-1, append=-1)).tolist() if len(i) else []
+    for a, b in zip(edge, edge[1:]):
+        own, begin, end = words[starts[i[a]] : starts[i[a] + 1]], starts[j[a:b]], starts[j[a:b] + 1]
+        mark[own] = True
+        met = mark[np.concatenate([words[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)])]
+        out[a:b] = np.diff(np.concatenate(([0], np.cumsum(met)))[np.concatenate(([0], np.cumsum(end - begin)))])
+        mark[own] = False
+    return out
+
+
+def _similar(floor: float, tile: int, worded: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The similar pairs of one pair of blocks, a pair of tiles at a time."""
+        rows = pa.Table.from_batches(list(batches))
+        # The rows of the first block, then those of the second.
+        rows = rows.take(np.argsort(rows.column("block").to_numpy(), kind="stable"))
+        ids, x, i, j = rows.column("id").to_numpy(), matrix(rows.column("v")), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        cut_at = int((rows.column("block").to_numpy() == i).sum())
+        if worded:
+            lists = pc.split_pattern(rows.column("words"), " ")
+            codes = pa.chunked_array([c.flatten() for c in lists.chunks], pa.string()).dictionary_encode().combine_chunks()
+            words, n = codes.indices.to_numpy(), len(codes.dictionary)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            starts = np.concatenate(([0], np.cumsum(size)))
+        far = 0 if i == j else cut_at
+        for a, b in steps(cut_at, len(ids) - far, tile, i == j):
+            b = slice(b.start + far, b.stop + far)
+            sim = x[a] @ x[b].T
+            p, q = np.nonzero(sim >= floor)
+            one, two = ids[a][p], ids[b][q]
+            # Within a tile each pair is met twice, elsewhere once.
+            keep = one < two if a == b else one != two
+            p, q, one, two = (c[keep] for c in (p, q, one, two))
+            out = {"a": np.minimum(one, two), "b": np.maximum(one, two), "sim": sim[p, q]}
+            if worded:
+                own, other = size[a][p], size[b][q]
+                out |= {"words_a": np.where(one < two, own, other), "words_b": np.where(one < two, other, own), "shared": _shared(p, q, a, b, words, starts, n)}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", column: str = "embedding", group: str | None = None, tile: int = 2048, words: str | None = None) -> DataFrame:
+    """Pairs (a < b, sim) of dot product `floor` or more, inside `group` if set, by a blocked matrix product.
+
+    A group is cut into a few blocks, however large it is, and each unordered pair of its blocks is one task, which goes
+    through it by tiles of `tile` rows and passes on a tile's pairs at once: what is shuffled grows with the rows. Rows
+    with a null id, vector or group take no part; ids are unique. With `words`, a column of each row's distinct words,
+    pairs have (words_a, words_b, shared) too: how many each has, and both. No row is joined with each of its pairs.
+    """
+    more = [F.nullif(F.array_join(words, " "), F.lit("")).alias("words")] if words else []
+    rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_numbers(vectors, column).alias("v"), (F.col(group) if group else F.lit(0)).cast("long").alias("g"), *more).where("id is not null and g is not null")
+    other = placed(rows, tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("g", "id", "v", "block", *["words"] * bool(words), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.groupBy("g", "i", "j").applyInArrow(_similar(floor, tile, bool(words)), "a long, b long, sim double" + ", words_a long, words_b long, shared long" * bool(words))
+
+
 def nearest_placed(held: DataFrame, k: int, tile: int = 2048) -> DataFrame:
     """`nearest_each` of placed(...) rows."""
 

@@ -134,11 +134,11 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
 
 
 def claim_pool(s: SparkSession, d: str) -> DataFrame:
-    """Similar claims of one story, and whether one entails the other."""
-    pairs = vectors.similar_pairs(_emb(s, d), 0.35, group="label")
-    docs = table(s, d, "documents")
-    text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", models.relation_of(F.col("text_a"), F.col("text_b")).alias("relation"))
+    """Similar claims of one story, and whether one entails the other. A text's words are taken once and meet others' where the vectors do."""
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    rows = _emb(s, d).join(texts, "vec_id").select("vec_id", "embedding", "label", models.words_of(F.col("text")).alias("words"))
+    pairs = vectors.similar_pairs(rows, 0.35, group="label", words="words")
+    return pairs.select("a", "b", models.relation_by(F.col("shared"), F.col("words_a"), F.col("words_b")).alias("relation"))
 
 
 def target_tones(s: SparkSession, d: str) -> DataFrame:

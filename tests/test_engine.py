@@ -161,6 +161,19 @@ def test_similar_pairs_do_not_depend_on_tiles(spark, tile):
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+@pytest.mark.parametrize("tile", [2, 5, 100])
+def test_similar_pairs_count_words_where_the_vectors_meet(spark, tile):
+    """As by two whole texts a pair, but a row goes to as many tasks as there are blocks, and no pair is joined with texts."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4))
+    texts = [" ".join(rng.choice(["Ten", "people", "died", "in", "the", "flood", "été"], size=rng.integers(0, 6))) if i % 9 else None for i in range(40)]
+    rows = spark.createDataFrame([(i, x[i].tolist(), i % 2, texts[i]) for i in range(40)], "vec_id long, embedding array<double>, g long, text string").withColumn("words", models.words_of(F.col("text")))
+    pairs = vectors.similar_pairs(rows, 0.2, group="g", tile=tile, words="words")
+    got = {(r.a, r.b): r.relation for r in pairs.select("a", "b", models.relation_by(F.col("shared"), F.col("words_a"), F.col("words_b")).alias("relation")).collect()}
+    want = {(i, j): models.relation(texts[i] or "", texts[j] or "") for i in range(40) for j in range(i + 1, 40) if i % 2 == j % 2 and x[i] @ x[j] >= 0.2}
+    assert got == want and len(set(want.values())) == 4
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
