@@ -1,23 +1,34 @@
 """Density clustering of whole windows: HDBSCAN over a distributed minimum spanning tree.
 
-Two passes over blocks of distances: one for core distances, one in which every pair of blocks gives the spanning tree
-of the edges between them, and every block that of its own. An edge left out there is the longest of a cycle, so the
-tree of the window is within those trees, and is found in them. Edges are ordered by weight, then by ids, so that the
-tree is one and the same for any block size. A window has a few blocks however large it is, and a task goes through
-two of them by tiles: what is shuffled, and what a window's last task holds, grows with its points.
+Two passes over blocks of distances. The first has the nearest of each point, and with them core distances and a first
+tree of the window, not yet the least. An edge that comes after all those between its ends in that tree is the last of
+a cycle, so the second pass keeps only edges that come before one of them, and the least tree is found in these and the
+first. With points in the order in which the first tree joins them, its last edge between two points is the last of
+those that part neighbours between them, so a product and two comparisons settle nearly all pairs. Edges are ordered by
+weight, then by ids, so that the tree is one and the same for any block size. A window has a few blocks however large
+it is, and a task goes through two of them by tiles: what is shuffled, and what a window's last task holds, grows with
+its points.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .snapshots import cut
-from .vectors import as_numbers, distances, in_tiles, matrix, nearest_placed, placed, same_block, steps
+from .vectors import BLOCKS, PAIRS, as_numbers, in_tiles, low_squares, matrix, nearest_placed, over, pair_distances, placed, same_block, steps
 
 #: Rows of a tile; a task holds the distances of two tiles' points, some 150 MB with what is derived from them.
 TILE = 2048
+#: Neighbours of a point that the first tree is made of, at least.
+NEAR = 6
+#: Points that stand for a part of the first tree where it is linked with others.
+PICKS = 4
+#: Times that such points, and then what they found, look for the nearest in other parts.
+TURNS = 3
 _COUNTS = pa.schema([(c, pa.int64()) for c in ("window", "clusters", "usable", "wide")])
 _EDGES = pa.schema([("window", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
 
@@ -42,36 +53,6 @@ def dense_tree(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64), np.array(w, float)
 
 
-def cross_tree(reach: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, weight) of the spanning tree of the edges between two sets, a < b being the places of rows and columns in one order, least by weight, then a, then b."""
-    most = int(max(rows.max(), columns.max())) + 1
-    sides, place = (reach, np.ascontiguousarray(reach.T)), (rows, columns)
-    best = [np.full(len(p), np.inf) for p in place]
-    key = [np.full(len(p), np.iinfo(np.int64).max) for p in place]
-    free = [np.ones(len(p), bool) for p in place]
-    a, b, w = (np.zeros(len(rows) + len(columns) - 1, t) for t in (np.int64, np.int64, float))
-    side, at = 0, 0
-    for e in range(len(w)):
-        free[side][at], best[side][at] = False, np.inf
-        far, own = 1 - side, place[side][at]
-        d, to = sides[side][at], place[far]
-        nearer = np.flatnonzero((d <= best[far]) & free[far])
-        if len(nearer):
-            k = np.minimum(to[nearer], own) * most + np.maximum(to[nearer], own)
-            nearer, k = (x[(d[nearer] < best[far][nearer]) | (k < key[far][nearer])] for x in (nearer, k))
-            best[far][nearer], key[far][nearer] = d[nearer], k
-        least = min(best[0].min(), best[1].min())
-        side, at, held = -1, -1, 0
-        for x in (0, 1):
-            met = np.flatnonzero((best[x] == least) & free[x])
-            if len(met):
-                i = int(met[key[x][met].argmin()]) if len(met) > 1 else int(met[0])
-                if side < 0 or key[x][i] < held:
-                    side, at, held = x, i, key[x][i]
-        a[e], b[e], w[e] = held // most, held % most, least
-    return a, b, w
-
-
 def least_tree(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The spanning forest of edges between points 0 to n - 1, least by weight, then a, then b: each part takes its first open edge, until none is open."""
     order = np.lexsort((b, a, w))
@@ -177,42 +158,224 @@ def tree_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int
     return np.array([names.setdefault(c, len(names)) if c else -1 for c in of])
 
 
-def _named_tree(ids: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One least tree of several between places of sorted ids."""
-    return least_tree(len(ids), *(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+def parts_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first point of each point's part, of points 0 to n - 1 linked by edges."""
+    part = np.arange(n)
+    while True:
+        x, y = part[a], part[b]
+        if (x == y).all():
+            return part
+        np.minimum.at(part, np.maximum(x, y), np.minimum(x, y))
+        while (part[part] != part).any():
+            part = part[part]
+
+
+def joined_order(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points, edges): points 0 to n - 1 in an order in which every part that the first so many edges join stands together, and the edge that joins what ends with each point and what begins with the next (-1: none)."""
+    root, last, then, gap = list(range(n)), list(range(n)), [-1] * n, [-1] * n
 
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    size = [1] * n
+    first = list(range(n))
+    for e, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if size[x] < size[y]:
+            x, y = y, x
+        then[last[x]], gap[last[x]] = first[y], e
+        last[x], root[y] = last[y], x
+        size[x] += size[y]
+    order = []
+    for v in range(n):
+        if root[v] == v:
+            at = first[v]
+            while at >= 0:
+                order.append(at)
+                at = then[at]
+    return np.array(order, np.int64), np.array(gap, np.int64)[order]
+
+
+def _parts(links: pa.Table) -> pa.Table:
+    """Each point of a window with the part it is in; `picked` if it stands for its part, where there are several."""
+    a, b = (links.column(c).to_numpy() for c in ("a", "b"))
+    ids = np.unique(np.concatenate((a, b)))
+    part = parts_of(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
+    order = np.argsort(part, kind="stable")
+    begin = np.flatnonzero(np.diff(part[order], prepend=-1))
+    nth = np.arange(len(ids)) - np.repeat(begin, np.diff(np.append(begin, len(ids))))
+    many = np.full(len(ids), len(begin) > 1)
+    picked = np.zeros(len(ids), bool)
+    picked[order] = nth < PICKS
+    return pa.table({"g": np.full(len(ids), links.column("g")[0].as_py(), np.int64), "id": ids, "part": ids[part], "open": many, "picked": picked & many})
+
+
+def _bridges_to(tile: int):
+    def run(picked: pa.Table, rows: pa.Table) -> pa.Table:
+        """The nearest point of a block to each picked one that is in another part."""
+        found, picked = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)], picked.rename_columns(rows.column_names)
+        if len(picked) and len(rows):
+            ids, part, x = ([f(t) for t in (picked, rows)] for f in (lambda t: t.column("id").to_numpy(), lambda t: t.column("part").to_numpy(), lambda t: matrix(t.column("v"))))
+            rough, best, to = low_squares(*x), np.full(len(ids[0]), np.inf), np.zeros(len(ids[0]), np.int64)
+            for a, b in steps(len(ids[0]), len(ids[1]), tile, False):
+                low = rough[0][a] @ rough[1][b].T
+                low[part[0][a][:, None] == part[1][b][None]] = np.inf
+                at = low.argmin(axis=1)
+                low = low[np.arange(len(low)), at]
+                nearer = np.flatnonzero(low < best[a])
+                best[a.start + nearer], to[a.start + nearer] = low[nearer], b.start + at[nearer]
+            one = np.flatnonzero(np.isfinite(best))
+            d = pair_distances(x[0][one], x[1][to[one]])
+            one, d = one[np.isfinite(d)], d[np.isfinite(d)]
+            found = [ids[0][one], ids[1][to[one]], d]
+        return pa.table({"g": np.full(len(found[0]), rows.column("g")[0].as_py() if len(rows) else 0, np.int64), **dict(zip(("a", "b", "d"), found, strict=True))})
+
+    return run
 
-def _block_trees(tile: int):
+
+def _links(held: DataFrame, near: DataFrame, tile: int) -> DataFrame:
+    """(g, a, b, d, nth): the edges from each point to those near it, its nth (from 0), and others (-1) that link the parts which these leave, until a window is one part; any links do, near ones spare work later."""
+    links = near.select("g", F.col("id").alias("a"), F.posexplode("near").alias("nth", "to")).select("g", "a", F.col("to.id").alias("b"), F.col("to.d").alias("d"), "nth")
+    ends, out = links, links
+    while True:
+        parts = cut(ends.select("g", "a", "b").groupBy("g").applyInArrow(_parts, "g long, id long, part long, open boolean, picked boolean"))
+        if not parts.where("open").head(1):
+            return out
+        rows, columns, met = cut(held.join(parts.where("open"), ["g", "id"])), ["g", "id", "v", "part", "block"], []
+        picked = rows.where("picked")
+        # What is nearest to a picked point looks for its own nearest in turn: that leads to where two parts are close.
+        for _ in range(TURNS):
+            dealt = picked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*[F.col(c).alias("p_" + c) for c in columns])
+            met.append(cut(dealt.groupBy("p_g", "p_block").cogroup(rows.select(*columns).groupBy("g", "block")).applyInArrow(_bridges_to(tile), "g long, a long, b long, d double")))
+            picked = rows.join(met[-1].groupBy("g", "a").agg(F.min_by("b", "d").alias("id")).select("g", "id").distinct(), ["g", "id"], "left_semi")
+        found = reduce(DataFrame.unionByName, met)
+        if not found.head(1):
+            return out
+        out = out.unionByName(found.withColumn("nth", F.lit(-1)))
+        ends = parts.select("g", F.col("id").alias("a"), F.col("part").alias("b")).unionByName(found.select("g", "a", "b"))
+
+
+_PLACES = "g long, id long, core double, block int, blocks int, pos long, a long, b long, w double, mid_a array<long>, mid_b array<long>, mid_w array<double>"
+
+
+def _first_tree(samples: int, tile: int):
+    def run(links: pa.Table) -> pa.Table:
+        """A window's points in the order in which its first tree joins them. (a, b, w) is the edge that parts a point from the next; mid_a, mid_b and mid_w have the last of those in the blocks between a point's block and each other."""
+        one, two, d, nth = (links.column(c).to_numpy() for c in ("a", "b", "d", "nth"))
+        ids = np.unique(one)
+        n, one, two = len(ids), np.searchsorted(ids, one), np.searchsorted(ids, two)
+        core, own = np.zeros(n), (nth >= 0) & (nth < samples)
+        np.maximum.at(core, one[own], d[own])
+        a, b, w = least_tree(n, np.minimum(one, two), np.maximum(one, two), np.maximum(d, np.maximum(core[one], core[two])))
+        order, gap = joined_order(n, a, b)
+        # A tree that is not whole has open gaps: all pairs across are looked at.
+        a, b, w = np.append(ids[a], -1), np.append(ids[b], -1), np.append(w, np.inf)
+        blocks = min(-(-n // tile), BLOCKS)
+        block = np.arange(n) * blocks // n
+        last = np.maximum.reduceat(np.where(gap < 0, len(w), gap), np.searchsorted(block, np.arange(blocks)))
+        mid = np.full((blocks, blocks), -1)
+        for i in range(blocks):
+            for j in range(i + 2, blocks):
+                mid[i, j] = mid[j, i] = max(mid[i, j - 1], last[j - 1])
+        mid = np.minimum(mid, len(w) - 1)
+        lists = lambda v, none: pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * blocks, np.where(mid < 0, none, v[mid])[block].ravel())
+        return pa.table({
+            "g": np.full(n, links.column("g")[0].as_py(), np.int64), "id": ids[order], "core": core[order], "block": block.astype(np.int32), "blocks": np.full(n, blocks, np.int32), "pos": np.arange(n),
+            "a": a[gap], "b": b[gap], "w": w[gap], "mid_a": lists(a, -1), "mid_b": lists(b, -1), "mid_w": lists(w, -1.0),
+        })
+
+    return run
+
+
+def _last_between(rank: np.ndarray):
+    """(i, j) -> the largest of rank[i:j], for places i < j."""
+    levels = [rank]
+    while 2 << (len(levels) - 1) <= len(rank):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.maximum(levels[-1][:-half], levels[-1][half:]))
+    flat, begin = np.concatenate(levels), np.cumsum([0, *map(len, levels)])
+
+    def last(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        level = np.frexp((j - i).astype(float))[1] - 1
+        return np.maximum(flat[begin[level] + i], flat[begin[level] + j - (1 << level)])
+
+    return last
+
+
+def _edges_before(tile: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The spanning tree, by mutual reachability, of the points of a block, or of the edges between two blocks."""
+        """The edges between the points of two blocks, or of one, that come before the last of the first tree's between their ends; of one, and the first tree's own. One in a cycle of those is left out."""
         if not len(left) or not len(right):
             return _EDGES.empty_table()
         same = same_block(left, right)
-        own, core, x = [[f(t) for t in (left, right)] for f in (lambda t: t.column("id").to_numpy(), lambda t: t.column("core").to_numpy(), lambda t: matrix(t.column("v")))]
-        ids = np.unique(own[0]) if same else np.unique(np.concatenate(own))
-        place, held, n = [np.searchsorted(ids, i) for i in own], [], 0
-        for a, b in steps(len(own[0]), len(own[1]), tile, same):
-            if same and a == b:
-                a = b = np.argsort(place[0][a]) + a.start
-            reach = distances(x[0][a], x[1][b])
-            np.maximum(reach, core[0][a][:, None], out=reach)
-            np.maximum(reach, core[1][b][None], out=reach)
-            if a is b:
-                f, t, w = dense_tree(reach)
-                f, t = place[0][a][f], place[0][a][t]
+        sides = [t.take(np.argsort(t.column("pos").to_numpy())) for t in ([left] if same else [left, right])]
+        own, core, x, a, b, w = ([f(t) for t in sides] for f in (*(lambda t, c=c: t.column(c).to_numpy() for c in ("id", "core")), lambda t: matrix(t.column("v")), *(lambda t, c=c: t.column(c).to_numpy() for c in ("a", "b", "w"))))
+        far = right.column("block")[0].as_py()
+        first = [np.concatenate((*v, [sides[0].column("mid_" + c)[0].as_py()[far]])) for c, v in (("a", a), ("b", b), ("w", w))]
+        # The tree's edges by rank; a last one stands for what has no gap.
+        by = np.lexsort((first[1], first[0], first[2]))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        first = [c[by] for c in first]
+        bound = over(first[2] ** 2)
+        n = len(own[0])
+        between = _last_between(rank[:n])
+        rough = low_squares(x[0], x[-1])
+        bound = bound.astype(rough[0].dtype)
+        ids = np.unique(np.concatenate(own))
+        open_, held, more = w[0] < np.inf, [], 0
+        for p, q in steps(n, len(own[-1]), tile, same):
+            low = rough[0][p] @ rough[1][q].T
+            if same and p == q:
+                m = len(low)
+                most = np.where(np.arange(m)[:, None] <= np.arange(m)[None], bound[rank[p]][None], -np.inf).astype(low.dtype)
+                np.maximum.accumulate(most, axis=1, out=most)
+                met = np.zeros(low.shape, bool)
+                met[:, 1:] = low[:, 1:] <= most[:, :-1]
+                met &= np.arange(m)[:, None] < np.arange(m)[None]
+            elif same:
+                before = np.maximum.accumulate(rank[p.start : q.start][::-1])[::-1][: len(low)]
+                after = np.maximum.accumulate(np.concatenate(([-1], rank[q.start : q.stop - 1])))
             else:
-                f, t, w = cross_tree(reach, place[0][a], place[1][b])
-            held.append((f, t, w))
-            n += len(w)
-            if n > 16 * len(ids):
-                held = [_named_tree(ids, held)]
-                n = len(held[0][2])
-        f, t, w = _named_tree(ids, held) if len(held) > 1 else held[0]
-        return pa.table([np.full(len(w), left.column("g")[0].as_py(), np.int64), ids[f], ids[t], w], schema=_EDGES)
+                before = np.maximum(np.maximum.accumulate(rank[p.start : n][::-1])[::-1][: len(low)], rank[-1])
+                after = np.maximum.accumulate(np.concatenate(([-1], rank[n : n + q.stop - 1])))[q]
+            if not same or p != q:
+                met = low <= bound[before][:, None]
+                met |= low <= np.where(after < 0, -np.inf, bound[after]).astype(low.dtype)[None]
+            at = np.flatnonzero(met)
+            for c in range(0, len(at), PAIRS):
+                i, j = np.divmod(at[c : c + PAIRS], low.shape[1])
+                last = between(i + p.start, j + q.start) if same else np.maximum(before[i], after[j])
+                i, j = i + p.start, j + q.start
+                f, t = np.minimum(own[0][i], own[-1][j]), np.maximum(own[0][i], own[-1][j])
+                sooner = (f < first[0][last]) | ((f == first[0][last]) & (t < first[1][last]))
+                # No weight is less than 0.
+                keep = (first[2][last] > 0) | sooner
+                i, j, f, t, last, sooner = (v[keep] for v in (i, j, f, t, last, sooner))
+                d = np.maximum(pair_distances(x[0][i], x[-1][j]), np.maximum(core[0][i], core[-1][j]))
+                keep = (d < first[2][last]) | ((d == first[2][last]) & sooner)
+                held.append((np.searchsorted(ids, f[keep]), np.searchsorted(ids, t[keep]), d[keep]))
+                more += len(held[-1][2])
+                if more > 16 * len(ids):
+                    held = [_merged(len(ids), held)]
+                    more = len(held[0][2])
+        f, t, d = _merged(len(ids), held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        f, t = ids[f], ids[t]
+        if same:
+            f, t, d = np.concatenate((f, a[0][open_])), np.concatenate((t, b[0][open_])), np.concatenate((d, w[0][open_]))
+        return pa.table([np.full(len(d), left.column("g")[0].as_py(), np.int64), f, t, d], schema=_EDGES)
 
     return run
 
 
+def _merged(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One least tree of several sets of edges."""
+    return least_tree(n, *(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
 def _window_tree(edges: pa.Table) -> pa.Table:
     a, b, w = (edges.column(c).to_numpy() for c in ("a", "b", "w"))
     ids = np.unique(np.concatenate((a, b)))
@@ -221,10 +384,10 @@ def _window_tree(edges: pa.Table) -> pa.Table:
 
 
 def near_points(vectors: DataFrame, samples: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """The points of vectors(window, id, vector) in blocks, and the `samples` nearest of each; from them the trees of up to so many samples are made."""
+    """The points of vectors(window, id, vector) in blocks, and links between near ones, `samples` of each point at least; from them the trees of up to so many samples are made."""
     rows = vectors.select(F.col("window").cast("long").alias("g"), F.col("id").cast("long").alias("id"), as_numbers(vectors, "vector").alias("v")).where("g is not null and id is not null and v is not null")
     held = cut(placed(rows, tile))
-    return held, cut(nearest_placed(held, samples, tile))
+    return held, cut(_links(held, cut(nearest_placed(held, max(samples, NEAR), tile)), tile))
 
 
 def spanning_tree(vectors: DataFrame, samples: int = 1, tile: int = TILE, points: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -232,9 +395,9 @@ def spanning_tree(vectors: DataFrame, samples: int = 1, tile: int = TILE, points
 
     Rows with a null window, id or vector take no part; ids are unique in a window. A window of one point has no edge.
     """
-    held, near = points or near_points(vectors, samples, tile)
-    core = near.select("g", "id", F.get("near", F.least(F.size("near"), F.lit(samples)) - 1).getField("d").alias("core"))
-    trees = in_tiles(cut(held.join(core, ["g", "id"])), _block_trees(tile), "window long, a long, b long, w double", ["core"])
+    held, links = points or near_points(vectors, samples, tile)
+    first = links.groupBy("g").applyInArrow(_first_tree(samples, tile), _PLACES)
+    trees = in_tiles(cut(held.drop("block", "blocks").join(first, ["g", "id"])), _edges_before(tile), "window long, a long, b long, w double", ["core", "pos", "a", "b", "w", "mid_a", "mid_b", "mid_w"])
     return trees.groupBy("window").applyInArrow(_window_tree, "window long, a long, b long, w double")
 
 

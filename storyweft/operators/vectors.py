@@ -155,37 +155,105 @@ def similar_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", colu
     return dealt.groupBy("g", "i", "j").applyInArrow(_similar(floor, tile, bool(words)), "a long, b long, sim double" + ", words_a long, words_b long, shared long" * bool(words))
 
 
+def low_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): left @ right.T has for each row of x and of y a number not above the square of their distance, less by what rounding can add; in short floats, where they hold it."""
+    n = [np.einsum("ij,ij->i", v, v) for v in (x, y)]
+    kind = np.float32 if max(v.max(initial=0.0) for v in n) < 1e30 else np.float64
+    low = [v * (1 - (x.shape[1] + 8) * np.finfo(kind).eps) for v in n]
+    return np.column_stack((-2 * x, low[0], np.ones(len(x)))).astype(kind), np.column_stack((y, np.ones(len(y)), low[1])).astype(kind)
+
+
+def over(squares: np.ndarray) -> np.ndarray:
+    """Squares of distances, raised by what their rounding to 12 places and to short floats can take away."""
+    return squares * (1 + 1e-6) + 1e-11
+
+
+def pair_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x and that of y: `distances`, the same whatever other rows there are."""
+    x = x - y
+    return np.sqrt(np.round(np.einsum("ij,ij->i", x, x), 12))
+
+
+#: Pairs whose distances are taken at once.
+PAIRS = 1 << 16
+
+
+def _finite(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors, by id, of the rows whose vectors have a finite length."""
+    ids, x = t.column("id").to_numpy(), matrix(t.column("v"))
+    with np.errstate(over="ignore", invalid="ignore"):
+        rows = np.flatnonzero(np.isfinite(np.einsum("ij,ij->i", x, x)))
+    rows = rows[np.argsort(ids[rows], kind="stable")]
+    return ids[rows], x[rows]
+
+
+class _Nearest:
+    """The k nearest found so far of each row of a block, by distance, then id."""
+
+    def __init__(self, t: pa.Table, k: int):
+        self.ids, self.x = _finite(t)
+        self.d, self.other = np.full((len(self.ids), k), np.inf), np.full((len(self.ids), k), np.iinfo(np.int64).max)
+        self.most = np.full(len(self.ids), np.inf)
+
+    def begin(self, rows: slice, low: np.ndarray, far: np.ndarray) -> None:
+        """Bounds of rows that have none: as many others are no farther. far: squares of the lengths of these others."""
+        k = self.d.shape[1]
+        if k <= low.shape[1] and np.isinf(self.most[rows]).all():
+            own = np.einsum("ij,ij->i", self.x[rows], self.x[rows])
+            error = 2 * (self.x.shape[1] + 8) * np.finfo(low.dtype).eps * (own + far.max())
+            self.most[rows] = over(np.maximum(np.partition(np.ascontiguousarray(low), k - 1, axis=1)[:, k - 1].astype(float) + error, 0))
+
+    def useful(self, i: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Not so those that come after k rows without any distance."""
+        return (self.d[i, -1] > 0) | (other < self.other[i, -1])
+
+    def take(self, i: np.ndarray, d: np.ndarray, other: np.ndarray) -> None:
+        k, rows = self.d.shape[1], np.unique(i)
+        i, d, other = np.concatenate((np.repeat(rows, k), i)), np.concatenate((self.d[rows].ravel(), d)), np.concatenate((self.other[rows].ravel(), other))
+        order = np.lexsort((other, d, i))
+        first = np.searchsorted(i[order], rows)[:, None] + np.arange(k)
+        self.d[rows], self.other[rows] = d[order][first], other[order][first]
+        self.most[rows] = np.minimum(self.most[rows], over(self.d[rows, -1] ** 2))
+
+
 def nearest_placed(held: DataFrame, k: int, tile: int = 2048) -> DataFrame:
-    """`nearest_each` of placed(...) rows."""
+    """`nearest_each` of placed(...) rows. A product in short floats tells which pairs may be near enough; only their distances are taken."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"g": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "other": pa.array([], pa.int64())})
-        ids, x, same = [t.column("id").to_numpy() for t in (left, right)], [matrix(t.column("v")) for t in (left, right)], same_block(left, right)
-        best = [(np.full((len(i), k), np.inf), np.zeros((len(i), k), np.int64)) for i in ids]
-
-        def take(side: int, rows: slice, m: np.ndarray, others: np.ndarray) -> None:
-            n = min(k, m.shape[1])
-            at = np.argpartition(m, n - 1, axis=1)[:, :n]
-            d, o = (np.concatenate(c, axis=1) for c in ((best[side][0][rows], np.take_along_axis(m, at, axis=1)), (best[side][1][rows], others[at])))
-            first = np.lexsort((o, d), axis=1)[:, :k]
-            best[side][0][rows], best[side][1][rows] = np.take_along_axis(d, first, axis=1), np.take_along_axis(o, first, axis=1)
-
-        for a, b in steps(len(ids[0]), len(ids[1]), tile, same):
-            d = distances(x[0][a], x[1][b])
-            d[ids[0][a][:, None] == ids[1][b][None]] = np.inf
-            take(0, a, d, ids[1][b])
-            if not same or a != b:
-                take(0 if same else 1, b, d.T, ids[0][a])
+        same = len(left) and len(right) and same_block(left, right)
+        sides = [_Nearest(t, k) for t in ([left] if same else [left, right])]
+        one, two = sides[0], sides[-1]
+        rough = low_squares(one.x, two.x)
+        for a, b in steps(len(one.ids), len(two.ids), tile, same):
+            own = same and a == b
+            low = rough[0][a] @ rough[1][b].T
+            if own:
+                np.fill_diagonal(low, np.inf)
+            one.begin(a, low, np.einsum("ij,ij->i", two.x[b], two.x[b]))
+            if not own:
+                two.begin(b, low.T, np.einsum("ij,ij->i", one.x[a], one.x[a]))
+            met = low <= one.most[a][:, None].astype(low.dtype)
+            if not own:
+                met |= low <= two.most[b][None].astype(low.dtype)
+            at = np.flatnonzero(met)
+            for c in range(0, len(at), PAIRS):
+                i, j = np.divmod(at[c : c + PAIRS], low.shape[1])
+                i, j = i + a.start, j + b.start
+                keep = one.ids[i] != two.ids[j]
+                keep &= one.useful(i, two.ids[j]) | (False if own else two.useful(j, one.ids[i]))
+                i, j = i[keep], j[keep]
+                d = pair_distances(one.x[i], two.x[j])
+                one.take(i, d, two.ids[j])
+                if not own:
+                    two.take(j, d, one.ids[i])
         out = []
-        for side in range(1 if same else 2):
-            i, j = np.nonzero(np.isfinite(best[side][0]))
-            out.append((ids[side][i], best[side][0][i, j], best[side][1][i, j]))
-        cells = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table({"g": np.full(len(cells[0]), left.column("g")[0].as_py(), np.int64), "id": cells[0], "d": cells[1], "other": cells[2]})
-
-    found = in_tiles(held, run, "g long, id long, d double, other long")
-    return found.groupBy("g", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("other").alias("id")))), 1, k).alias("near"))
+        for side in sides:
+            n = np.isfinite(side.d).sum(axis=1)
+            out.append(pa.table({"g": np.full(len(n), left.column("g")[0].as_py() if len(n) else 0, np.int64), "id": side.ids, **{c: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), v[np.isfinite(side.d)]) for c, v in (("d", side.d), ("other", side.other))}}))
+        return pa.concat_tables(out)
+
+    found = in_tiles(held, run, "g long, id long, d array<double>, other array<long>").where(F.size("d") > 0)
+    return found.groupBy("g", "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", F.col("other").alias("id"))))), 1, k).alias("near"))
 
 
 def nearest_each(rows: DataFrame, k: int, tile: int = 2048) -> DataFrame:

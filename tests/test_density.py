@@ -1,6 +1,7 @@
 """Windows clustered over blocks against the same method in memory, and planted neighbours."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,43 @@ def test_what_is_shuffled_grows_with_the_rows(spark, monkeypatch):
     assert sorted(map(tuple, density.spanning_tree(_table(spark, x), 2, tile=32).collect())) == sorted(map(tuple, density.spanning_tree(_table(spark, x), 2, tile=4096).collect()))
 
 
+@pytest.mark.parametrize("scale, whole", [(1.0, True), (1.0, False), (1e17, False)])
+def test_few_distances_are_taken_for_the_tree(monkeypatch, scale, whole):
+    """Blocks by hand, with copies and far groups: the tree is that of the full matrix, even if the first is left in parts; if not, only some of the second pass's pairs are measured."""
+    x = np.concatenate([_planted(900, 4), np.repeat(_planted(3, 8) + 9, 40, axis=0)]) * scale
+    n, samples = len(x), 2
+    d = vectors.distances(x, x) if scale == 1 else np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    away = d + np.diag(np.full(n, np.inf))
+    near = np.lexsort((np.broadcast_to(np.arange(n), d.shape), away), axis=1)[:, :6]
+    core = away[np.arange(n), near[:, samples - 1]]
+    links = pa.table({"g": np.zeros(n * 6, np.int64), "a": np.repeat(np.arange(n), 6), "b": near.ravel(), "d": vectors.pair_distances(np.repeat(x, 6, axis=0), x[near.ravel()]), "nth": np.tile(np.arange(6), n)})
+    part = density.parts_of(n, *(links.column(c).to_numpy() for c in "ab"))
+    assert len(np.unique(part)) > 3
+    if whole:
+        held = {k: np.flatnonzero(part == k) for k in np.unique(part)}
+        pairs = [(i, j, np.unravel_index(d[np.ix_(held[i], held[j])].argmin(), (len(held[i]), len(held[j])))) for i in held for j in held if i < j]
+        one, two = (np.array(c) for c in zip(*((held[i][p], held[j][q]) for i, j, (p, q) in pairs), strict=True))
+        links = pa.concat_tables([links, pa.table({"g": np.zeros(len(one), np.int64), "a": one, "b": two, "d": vectors.pair_distances(x[one], x[two]), "nth": np.full(len(one), -1)})])
+    placed = density._first_tree(samples, 64)(links)
+    placed = placed.append_column("v", pa.array(x[placed.column("id").to_numpy()].tolist()))
+    parts, taken = [placed.take(np.flatnonzero(placed.column("block").to_numpy() == k)) for k in range(vectors.BLOCKS)], []
+    monkeypatch.setattr(density, "pair_distances", lambda a, b: (taken.append(len(a)), vectors.pair_distances(a, b))[1])
+    edges = pa.concat_tables([density._edges_before(64)(parts[i], parts[j]) for i in range(vectors.BLOCKS) for j in range(i, vectors.BLOCKS)])
+    tree = density._window_tree(edges)
+    a, b, w = density.dense_tree(np.maximum(d, np.maximum(core[:, None], core[None])))
+    assert np.sort(tree.column("w").to_numpy()) == pytest.approx(np.sort(w), rel=1e-9, abs=1e-6)
+    if scale == 1:
+        assert sorted(zip(*(tree.column(c).to_pylist() for c in "ab"), strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+        assert sum(taken) > 0 and (not whole or sum(taken) < 0.1 * n * n / 2)
+
+
+def test_tree_of_many_groups_of_copies(spark):
+    """Every point has more copies than neighbours are looked for, so that no group is linked with another at first."""
+    x = np.repeat(_planted(40, 2), density.NEAR + 3, axis=0)
+    d = vectors.distances(x, x)
+    assert sorted((r.a, r.b, round(r.w, 9)) for r in density.spanning_tree(_table(spark, x), 1, tile=64).collect()) == sorted((a, b, round(w, 9)) for a, b, w in zip(*(v.tolist() for v in density.dense_tree(d)), strict=True))
+
+
 def test_curve_counts_clusters_by_sources_and_coherence(spark):
     x = _planted(400, 6, groups=30)
     rows = _table(spark, x).withColumn("source", F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 4)))
