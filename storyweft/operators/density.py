@@ -16,10 +16,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .snapshots import cut
-from .vectors import BLOCKS, PAIRS, as_numbers, in_tiles, low_squares, matrix, nearest_placed, over, pair_distances, placed, same_block, steps
+from .vectors import BLOCKS, PAIRS, as_numbers, in_tiles, low_squares, matrix, nearest_members, nearest_placed, over, pair_distances, placed, same_block, steps
 
 #: Rows of a tile; a task holds the distances of two tiles' points, some 150 MB with what is derived from them.
 TILE = 2048
@@ -401,6 +402,271 @@ def spanning_tree(vectors: DataFrame, samples: int = 1, tile: int = TILE, points
     return trees.groupBy("window").applyInArrow(_window_tree, "window long, a long, b long, w double")
 
 
+#: Subsamples whose trees are made together at most: they are told apart by the bits of a number.
+TOGETHER = 48
+#: Marks of links (`nth`) beside those to near points (0 and up) and between parts (-1): past points that a subsample leaves out, and to the nearest of a subsample.
+PAST, MEMBER = -2, -3
+
+
+def _in_order(ids: np.ndarray, links: pa.Table) -> tuple[np.ndarray, ...]:
+    """(one, two, d, nth, k) of links, ends by their place in ids, those of a point from its nearest on."""
+    one, two = (np.searchsorted(ids, links.column(c).to_numpy()) for c in ("a", "b"))
+    d, nth, k = (links.column(c).to_numpy() for c in ("d", "nth", "k"))
+    by = np.lexsort((nth, one))
+    return one[by], two[by], d[by], nth[by], k[by]
+
+
+def _members(points: pa.Table, links: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The points that have links, and of each the subsamples it is in, as bits."""
+    ids = np.unique(links.column("a").to_numpy())
+    of = points.column("id").to_numpy()
+    by = np.argsort(of)
+    return ids, points.column("own").to_numpy()[by][np.searchsorted(of[by], ids)]
+
+
+def _up(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The next point towards the first of its part of each point of a forest; that one's is itself."""
+    part = parts_of(n, a, b)
+    one, two = np.concatenate((a, b)), np.concatenate((b, a))
+    two = two[np.argsort(one, kind="stable")]
+    begin = np.concatenate(([0], np.cumsum(np.bincount(one, minlength=n))))
+    up = np.where(part == np.arange(n), part, -1)
+    now = np.flatnonzero(up >= 0)
+    while len(now):
+        m = begin[now + 1] - begin[now]
+        to = two[np.repeat(begin[now] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        of = np.repeat(now, m)
+        of, to = of[up[to] < 0], to[up[to] < 0]
+        up[to] = of
+        now = to
+    return up
+
+
+def _asked(samples: int, near: int, trials: int):
+    def run(links: pa.Table, points: pa.Table) -> pa.Table:
+        """What the links of a window lack for its subsamples: `past`, points to link a point with where its next one is left out, so that each subsample stays in one part; `short`, subsamples of which too few are near it."""
+        none = pa.table({"g": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "past": pa.array([], pa.list_(pa.int64())), "short": pa.array([], pa.list_(pa.int64()))})
+        if not len(links):
+            return none
+        ids, own = _members(points, links)
+        one, two, d, nth, _ = _in_order(ids, links)
+        n = len(ids)
+        a, b, _ = least_tree(n, np.minimum(one, two), np.maximum(one, two), d)
+        up, listed = _up(n, a, b), np.bincount(one[nth >= 0], minlength=n)
+        out: list[list[np.ndarray]] = [[], []]
+        for k in range(trials):
+            mine = (own >> k & 1).astype(bool)
+            to = up.copy()
+            while True:
+                gone = np.flatnonzero(~mine[to] & (up[to] != to))
+                if not len(gone):
+                    break
+                to[gone] = up[to[gone]]
+            # Those with none of the subsample above them are linked with one of them.
+            top = np.flatnonzero(mine & ~mine[to])
+            to[top] = top[np.unique(to[top], return_index=True)[1]][np.unique(to[top], return_inverse=True)[1]] if len(top) else top
+            new = np.flatnonzero(mine & (to != up) & (to != np.arange(n)))
+            out[0].append(new * n + to[new])
+            met = np.bincount(one[(nth >= 0) & mine[two]], minlength=n)
+            out[1].append(np.flatnonzero(mine & (met < samples) & (listed >= near)) * trials + k)
+        past, short = (np.unique(np.concatenate(v)) for v in out)
+        at = np.unique(np.concatenate((past // n, short // trials)))
+        lists = lambda v, m, names: pa.ListArray.from_arrays(np.searchsorted(v, np.append(at, n) * m).astype(np.int32), names[v % m])
+        return pa.table({"g": np.full(len(at), links.column("g")[0].as_py(), np.int64), "id": ids[at], "past": lists(past, n, ids), "short": lists(short, trials, np.arange(trials))})
+
+    return run
+
+
+def _lengths(batches):
+    """(g, a, b, d) of pairs of points with the vectors x and y."""
+    for rows in batches:
+        rows = pa.Table.from_batches([rows])
+        d, size = np.zeros(len(rows)), pc.list_value_length(rows.column("x")).to_numpy()
+        # Windows may differ in the width of their vectors.
+        for m in np.unique(size):
+            at = np.flatnonzero(size == m)
+            some = rows.take(at)
+            d[at] = pair_distances(matrix(some.column("x")), matrix(some.column("y")))
+        yield from pa.table({"g": rows.column("g"), "a": rows.column("a"), "b": rows.column("b"), "d": d}).to_batches()
+
+
+_SUB = "id long, pos long, block int, blocks int, core array<double>, a array<long>, b array<long>, w array<double>, mid_a array<long>, mid_b array<long>, mid_w array<double>, tree_a array<long>, tree_b array<long>, tree_w array<double>"
+
+
+def _first_trees(samples: int, tile: int, trials: int):
+    def run(links: pa.Table, points: pa.Table) -> pa.Table:
+        """A window's points in the order in which a tree of all joins them, and of each subsample a first tree (tree_: an edge a point), core distances, and, where a point is followed by one of the subsample, the edge of its tree that parts it from the one before (b < 0: none; w infinite: its tree is not whole). mid_, with the first point of a block only, has the last of those in the blocks between it and each other, by block, then subsample."""
+        if not len(links):
+            return pa.table({"g": pa.array([], pa.int64()), **{c: pa.array([], t) for c, t in zip(_NAMES, _TYPES, strict=True)}})
+        ids, own = _members(points, links)
+        one, two, d, nth, of = _in_order(ids, links)
+        n, whole, listed = len(ids), nth > PAST, nth >= 0
+        order, _ = joined_order(n, *least_tree(n, np.minimum(one, two)[whole], np.maximum(one, two)[whole], d[whole])[:2])
+        blocks = min(-(-n // tile), BLOCKS)
+        block = np.arange(n) * blocks // n
+        edge = {c: np.full((n, trials), v) for c, v in (("a", -1), ("b", -1), ("w", -1.0), ("core", 0.0), ("tree_a", -1), ("tree_b", -1), ("tree_w", -1.0))}
+        mids = {c: np.full((blocks, blocks, trials), v) for c, v in (("a", -1), ("b", -1), ("w", -1.0))}
+        for k in range(trials):
+            mine = (own >> k & 1).astype(bool)
+            # The first `samples` of a point's near ones that are in the subsample.
+            met = listed & mine[one] & mine[two]
+            so_far = np.cumsum(met)
+            before = (so_far - met)[np.searchsorted(one, np.arange(n))]
+            met &= so_far - before[one] <= samples
+            core = np.zeros(n)
+            met |= (nth == MEMBER) & (of == k)
+            np.maximum.at(core, one[met], d[met])
+            here = np.cumsum(mine) - 1
+            at = np.flatnonzero(mine)
+            use = mine[one] & mine[two] & ((nth != MEMBER) | (of == k))
+            x, y = here[one[use]], here[two[use]]
+            a, b, w = least_tree(len(at), np.minimum(x, y), np.maximum(x, y), np.maximum(d[use], np.maximum(core[one[use]], core[two[use]])))
+            joined, gap = joined_order(len(at), a, b)
+            place = np.empty(len(at), np.int64)
+            place[joined] = np.arange(len(at))
+            seen = np.flatnonzero(mine[order])
+            last = np.full(n, -1)
+            if len(at) > 1:
+                u, v = place[here[order[seen[:-1]]]], place[here[order[seen[1:]]]]
+                last[seen[1:] - 1] = _last_between(np.where(gap < 0, len(w), gap))(np.minimum(u, v), np.maximum(u, v))
+            ends = [np.append(ids[at[a]], (-1, -1)), np.append(ids[at[b]], (-1, -1)), np.append(w, (np.inf, -1.0))]
+            most = np.maximum.reduceat(last, np.searchsorted(block, np.arange(blocks)))
+            mid = np.full((blocks, blocks), -1)
+            for i in range(blocks):
+                for j in range(i + 2, blocks):
+                    mid[i, j] = mid[j, i] = max(mid[i, j - 1], most[j - 1])
+            for c, v in zip("abw", ends, strict=True):
+                edge[c][:, k] = v[np.where(last < 0, len(w) + 1, last)]
+                mids[c][:, :, k] = v[np.where(mid < 0, len(w) + 1, mid)]
+                edge["tree_" + c][: len(w), k] = v[: len(w)]
+            edge["core"][:, k] = core[order]
+        lists = lambda v: pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * trials, v.ravel())
+        begin = np.diff(block, prepend=-1) > 0
+        long = lambda v: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(begin * blocks * trials))).astype(np.int32), v.ravel())
+        return pa.table({
+            "g": np.full(n, links.column("g")[0].as_py(), np.int64), "id": ids[order], "pos": np.arange(n), "block": block.astype(np.int32), "blocks": np.full(n, blocks, np.int32), "core": lists(edge["core"]),
+            **{c: lists(edge[c]) for c in "abw"}, **{"mid_" + c: long(mids[c]) for c in "abw"}, **{c: lists(edge[c]) for c in ("tree_a", "tree_b", "tree_w")},
+        })
+
+    return run
+
+
+_NAMES = [c.split()[0] for c in _SUB.split(", ")]
+_TYPES = [{"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[c.split()[1]] for c in _SUB.split(", ")]
+
+
+def _edges_of_trials(tile: int, trials: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """`_edges_before` of several subsamples: one product tells which pairs any of them may need, by the last gap of any between their ends; each then keeps its own. window: the subsample's number in that window."""
+        if not len(left) or not len(right):
+            return _EDGES.empty_table()
+        same = same_block(left, right)
+        sides = [t.take(np.argsort(t.column("pos").to_numpy())) for t in ([left] if same else [left, right])]
+        ids, own, x = ([f(t) for t in sides] for f in (lambda t: t.column("id").to_numpy(), lambda t: t.column("own").to_numpy(), lambda t: matrix(t.column("v"))))
+        core, a, b, w = ([np.asarray(t.column(c).combine_chunks().flatten()).reshape(-1, trials) for t in sides] for c in ("core", "a", "b", "w"))
+        n, far = len(ids[0]), right.column("block")[0].as_py()
+        if not same:
+            # The gaps between the blocks stand between theirs; a point of the second comes after those.
+            a, b, w = ([v[0], np.asarray(sides[0].column("mid_" + c)[0].as_py(), v[0].dtype).reshape(-1, trials)[far : far + 1], v[1]] for c, v in (("a", a), ("b", b), ("w", w)))
+        a, b, w = (np.concatenate(v) for v in (a, b, w))
+        core, skip = [c.T.copy() for c in core], 0 if same else n + 1
+        every = np.unique(np.concatenate(ids))
+        first, between = [], []
+        for k in range(trials):
+            by = np.lexsort((b[:, k], a[:, k], w[:, k]))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            first.append((a[by, k], b[by, k], w[by, k]))
+            between.append(_last_between(rank))
+        rough = low_squares(x[0], x[-1])
+        kind, most = rough[0].dtype, w.max(axis=1)
+        bound = np.where(most < 0, -np.inf, over(most**2)).astype(kind)
+        held, more = [[] for _ in range(trials)], np.zeros(trials, np.int64)
+        for p, q in steps(n, len(ids[-1]), tile, same):
+            low, begin = rough[0][p] @ rough[1][q].T, q.start + skip
+            if same and p == q:
+                m = len(low)
+                reach = np.where(np.arange(m)[:, None] <= np.arange(m)[None], bound[p][None], -np.inf).astype(kind)
+                np.maximum.accumulate(reach, axis=1, out=reach)
+                met = np.zeros(low.shape, bool)
+                met[:, 1:] = low[:, 1:] <= reach[:, :-1]
+                met &= np.arange(m)[:, None] < np.arange(m)[None]
+            else:
+                before = np.maximum.accumulate(bound[p.start : begin][::-1])[::-1][: len(low)]
+                after = np.maximum.accumulate(np.concatenate(([-np.inf], bound[begin : begin + low.shape[1] - 1]))).astype(kind)
+                met = low <= before[:, None]
+                met |= low <= after[None]
+            at = np.flatnonzero(met)
+            for c in range(0, len(at), PAIRS):
+                i, j = np.divmod(at[c : c + PAIRS], low.shape[1])
+                short = low.ravel()[at[c : c + PAIRS]]
+                i, j = i + p.start, j + q.start
+                both = own[0][i] & own[-1][j]
+                f, t = np.minimum(ids[0][i], ids[-1][j]), np.maximum(ids[0][i], ids[-1][j])
+                wanted = []
+                for k in range(trials):
+                    r = np.flatnonzero(both >> k & 1)
+                    last = between[k](i[r], j[r] + skip)
+                    fa, fb, fw = (v[last] for v in first[k])
+                    sooner = (f[r] < fa) | ((f[r] == fa) & (t[r] < fb))
+                    # No weight is less than 0.
+                    keep = ((fw > 0) | sooner) & (short[r] <= over(fw**2).astype(kind))
+                    wanted.append((r[keep], fw[keep], sooner[keep]))
+                need = np.zeros(len(i), bool)
+                for r, _, _ in wanted:
+                    need[r] = True
+                d = np.zeros(len(i))
+                need = np.flatnonzero(need)
+                d[need] = pair_distances(x[0][i[need]], x[-1][j[need]])
+                for k, (r, fw, sooner) in enumerate(wanted):
+                    far_ = np.maximum(d[r], np.maximum(core[0][k][i[r]], core[-1][k][j[r]]))
+                    keep = (far_ < fw) | ((far_ == fw) & sooner)
+                    r = r[keep]
+                    held[k].append((np.searchsorted(every, f[r]), np.searchsorted(every, t[r]), far_[keep]))
+                    more[k] += len(r)
+                    if more[k] > 16 * len(every):
+                        held[k] = [_merged(len(every), held[k])]
+                        more[k] = len(held[k][0][2])
+        out, window = [], left.column("g")[0].as_py() * trials
+        for k in range(trials):
+            if more[k]:
+                f, t, d = _merged(len(every), held[k])
+                out.append(pa.table([np.full(len(d), window + k, np.int64), every[f], every[t], d], schema=_EDGES))
+        return pa.concat_tables(out) if out else _EDGES.empty_table()
+
+    return run
+
+
+def trial_trees(vectors: DataFrame, trials: int, samples: int = 1, tile: int = TILE) -> DataFrame:
+    """vectors(window, id, vector, own), bit k of `own` telling whether a row is in subsample k -> (window, a, b, w): the spanning_tree of each subsample of each window, as window * trials + k.
+
+    Distances of a window are gone through twice for all its subsamples, not for each, and a row is sent once for all:
+    neighbours are looked for among all rows, then those in a subsample are taken, and looked for anew where too few
+    are. Any links will do for a first tree, so where a subsample lacks a point, those next to it in a tree of all are
+    linked. The order of that tree serves every subsample: the last edge between two points is not after the last of
+    those that part neighbours between them, in any order, so no edge of a least tree is missed.
+    """
+    rows = vectors.select(F.col("window").cast("long").alias("g"), F.col("id").cast("long").alias("id"), as_numbers(vectors, "vector").alias("v"), "own").where("g is not null and id is not null and v is not null and own <> 0")
+    held, near = cut(placed(rows, tile)), max(samples, NEAR)
+    # Where parts are linked, `own` is in no one's way.
+    links = cut(_links(held, cut(nearest_placed(held, near, tile)), tile).withColumn("k", F.lit(-1).cast("long")).withColumn("nth", F.col("nth").cast("long")))
+    points = held.select(F.col("g").alias("of"), "id", "own")
+    asked = cut(links.groupBy("g").cogroup(points.groupBy("of")).applyInArrow(_asked(samples, near, trials), "g long, id long, past array<long>, short array<long>"))
+    x = held.select("g", F.col("id").alias("a"), F.col("v").alias("x"))
+    y = held.select("g", F.col("id").alias("b"), F.col("v").alias("y"))
+    past = asked.select("g", F.col("id").alias("a"), F.explode("past").alias("b")).join(x, ["g", "a"]).join(y, ["g", "b"]).select("g", "a", "b", "x", "y").mapInArrow(_lengths, "g long, a long, b long, d double")
+    dealt = asked.select("g", "id", F.explode("short").alias("k")).join(held.select("g", "id", "v", "blocks"), ["g", "id"]).select(F.col("g").alias("q_g"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("k").alias("q_k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"))
+    found = dealt.groupBy("q_g", "q_block").cogroup(held.select("g", "id", "v", "own", "block").groupBy("g", "block")).applyInArrow(nearest_members(samples, tile), "g long, a long, k long, d array<double>, other array<long>")
+    found = found.groupBy("g", "a", "k").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", F.col("other").alias("b"))))), 1, samples).alias("near"))
+    found = found.select("g", "a", "k", F.explode("near").alias("n")).select("g", "a", "n.b", "n.d", F.lit(MEMBER).cast("long").alias("nth"), "k")
+    links = links.unionByName(past.withColumns({"nth": F.lit(PAST).cast("long"), "k": F.lit(-1).cast("long")})).unionByName(found)
+    first = cut(links.groupBy("g").cogroup(points.groupBy("of")).applyInArrow(_first_trees(samples, tile, trials), "g long, " + _SUB))
+    more = ["own", "pos", "core", "a", "b", "w", "mid_a", "mid_b", "mid_w"]
+    trees = in_tiles(cut(held.drop("block", "blocks").join(first.drop("tree_a", "tree_b", "tree_w"), ["g", "id"])), _edges_of_trials(tile, trials), "window long, a long, b long, w double", more)
+    own = first.select("g", F.posexplode(F.arrays_zip("tree_a", "tree_b", "tree_w")).alias("k", "e")).where("e.tree_a >= 0").select((F.col("g") * trials + F.col("k")).alias("window"), F.col("e.tree_a").alias("a"), F.col("e.tree_b").alias("b"), F.col("e.tree_w").alias("w"))
+    return trees.unionByName(own).groupBy("window").applyInArrow(_window_tree, "window long, a long, b long, w double")
+
+
 def settings(leasts: list[int], epsilons: list[float]) -> list[tuple[int, float]]:
     return [(m, e) for m in leasts for e in epsilons]
 
@@ -434,27 +700,53 @@ def sweep(vectors: DataFrame, leasts: list[int], samples: list[int], epsilons: l
     for k in samples:
         rows = labelled(vectors, spanning_tree(vectors, k, tile, points), settings(leasts, epsilons)).withColumn("samples", F.lit(k).cast("long"))
         out = rows if out is None else out.unionByName(rows)
+    return _judged(out, most)
+
+
+def _judged(rows: DataFrame, most: float) -> DataFrame:
     by = ["window", "least", "samples", "epsilon"]
-    sizes = out.groupBy(*by, "label").agg(F.count("*").alias("m"))
+    sizes = rows.groupBy(*by, "label").agg(F.count("*").alias("m"))
     inner = F.col("label") >= 0
     found = sizes.groupBy(*by).agg(F.sum("m").alias("n"), F.count_if(inner).alias("clusters"), F.coalesce(F.sum(F.when(~inner, F.col("m"))), F.lit(0)).alias("noise"), F.coalesce(F.max(F.when(inner, F.col("m"))), F.lit(0)).alias("largest"))
     return found.withColumn("ok", (F.col("clusters") > 0) & (F.col("largest") <= F.col("n") * most))
 
 
+def _draws(shares: list[float], trials: int) -> list[tuple[int, float, int]]:
+    """(number, share, trial) of each subsample. A share of 1 is tried once."""
+    return [(i * trials + t, float(s), t) for i, s in enumerate(shares) for t in range(trials if s < 1 else 1)]
+
+
 def subsamples(vectors: DataFrame, shares: list[float], trials: int, seed: int = 0) -> DataFrame:
     """vectors with (share, trial), each in a window of its own for every share and trial: a row is in by the hash of its id, so that reruns agree. A share of 1 is tried once."""
-    tried = [(i * trials + t, float(s), t) for i, s in enumerate(shares) for t in range(trials if s < 1 else 1)]
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(s).alias("share"), F.lit(t).cast("long").alias("trial")) for k, s, t in tried]))
-    draw = F.pmod(F.xxhash64("id", F.lit(seed), F.col("t.k")), F.lit(1 << 30)) / (1 << 30)
-    rows = vectors.withColumn("t", each).where(draw < F.col("t.share"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(s).alias("share"), F.lit(t).cast("long").alias("trial")) for k, s, t in _draws(shares, trials)]))
+    rows = vectors.withColumn("t", each).where(_draw(F.col("t.k"), seed) < F.col("t.share"))
     return rows.withColumn("own", F.col("window")).withColumn("window", F.col("window") * (len(shares) * trials) + F.col("t.k")).select("*", "t.share", "t.trial").drop("t")
 
 
+def _draw(k: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed), k), F.lit(1 << 30)) / (1 << 30)
+
+
+def subsample_trees(vectors: DataFrame, shares: list[float], trials: int, seed: int = 0, samples: int = 1, tile: int = TILE) -> DataFrame:
+    """The trees of subsamples(...), some at once."""
+    drawn, n, out = _draws(shares, trials), len(shares) * trials, None
+    for at in range(0, len(drawn), TOGETHER):
+        some = drawn[at : at + TOGETHER]
+        bits = [F.when(_draw(F.lit(k).cast("long"), seed) < s, F.lit(1 << i).cast("long")).otherwise(0) for i, (k, s, _) in enumerate(some)]
+        trees = trial_trees(vectors.withColumn("own", reduce(Column.__add__, bits)), len(some), samples, tile)
+        name = F.get(F.array(*[F.lit(k).cast("long") for k, _, _ in some]), F.pmod("window", F.lit(len(some))).cast("int"))
+        trees = trees.withColumn("window", F.floor(F.col("window") / len(some)).cast("long") * n + name)
+        out = trees if out is None else out.unionByName(trees)
+    return out
+
+
 def stability(vectors: DataFrame, trials: int = 5, share: float = 0.9, most: float = 0.25, least: int = 2, samples: int = 1, seed: int = 0) -> DataFrame:
     """(window, trials, held): how many seeded subsamples of each window, clustered anew, keep clear of a cluster with more than `most` of it."""
-    tried = subsamples(cut(vectors.select("window", "id", "vector")), [share], trials, seed)
+    vectors = cut(vectors.select("window", "id", "vector"))
+    tried = subsamples(vectors, [share], trials, seed)
     names = tried.select("window", "own").distinct()
-    return sweep(tried, [least], [samples], [0.0], most).join(names, "window").groupBy(F.col("own").alias("window")).agg(F.count("*").alias("trials"), F.count_if("ok").alias("held"))
+    found = labelled(tried, subsample_trees(vectors, [share], trials, seed, samples), [(least, 0.0)]).withColumn("samples", F.lit(samples).cast("long"))
+    return _judged(found, most).join(names, "window").groupBy(F.col("own").alias("window")).agg(F.count("*").alias("trials"), F.count_if("ok").alias("held"))
 
 
 def density_curve(vectors: DataFrame, shares: list[float], trials: int = 3, coherence: float = 0.5, wide: int = 3, seed: int = 0) -> DataFrame:
@@ -482,9 +774,10 @@ def density_curve(vectors: DataFrame, shares: list[float], trials: int = 3, cohe
             found = [len(n), int(firm.sum()), int((firm & (sources >= wide)).sum())]
         return pa.table({"window": [points.column("window")[0].as_py()] if len(ids) else [], **{c: [v] if len(ids) else [] for c, v in zip(("clusters", "usable", "wide"), found, strict=True)}}, schema=_COUNTS)
 
-    tried = subsamples(cut(vectors.select("window", "id", "vector", "source")), shares, trials, seed)
+    vectors = cut(vectors.select("window", "id", "vector", "source"))
+    tried = subsamples(vectors, shares, trials, seed)
     points = tried.where("window is not null and id is not null and vector is not null").select(F.col("window").cast("long").alias("window"), F.col("id").cast("long").alias("id"), as_numbers(tried, "vector").alias("v"), F.col("source").cast("string").alias("source"))
-    edges = spanning_tree(tried).withColumnRenamed("window", "of")
+    edges = subsample_trees(vectors, shares, trials, seed).withColumnRenamed("window", "of")
     runs = points.groupBy("window").cogroup(edges.groupBy("of")).applyInArrow(counts, "window long, clusters long, usable long, wide long")
     zero = {"clusters": 0, "usable": 0, "wide": 0}
     all_ = tried.groupBy("window", "own", "share").agg(F.count("*").alias("articles")).join(runs, "window", "left").fillna(zero)

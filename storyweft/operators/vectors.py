@@ -256,6 +256,35 @@ def nearest_placed(held: DataFrame, k: int, tile: int = 2048) -> DataFrame:
     return found.groupBy("g", "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", F.col("other").alias("id"))))), 1, k).alias("near"))
 
 
+def nearest_members(k: int, tile: int = 2048):
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        """asked(g, id, v, k, block), rows(g, id, v, own, block) of one block: the nearest other rows of the block to each asked one, as lists, that have bit k of `own`."""
+        out = [pa.table({"g": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "k": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.float64())), "other": pa.array([], pa.list_(pa.int64()))})]
+        asked = asked.rename_columns([c.removeprefix("q_") for c in asked.column_names])
+        bits, numbers = rows.column("own").to_numpy(), asked.column("k").to_numpy()
+        for bit in np.unique(numbers):
+            mine = np.flatnonzero(bits >> bit & 1)
+            if not len(mine):
+                continue
+            one = _Nearest(asked.take(np.flatnonzero(numbers == bit)), k)
+            ids, x = _finite(rows.take(mine))
+            rough = low_squares(one.x, x)
+            for a, b in steps(len(one.ids), len(ids), tile, False):
+                low = rough[0][a] @ rough[1][b].T
+                low[one.ids[a][:, None] == ids[b][None]] = np.inf
+                one.begin(a, low, np.einsum("ij,ij->i", x[b], x[b]))
+                i, j = np.nonzero((low <= one.most[a][:, None].astype(low.dtype)) & np.isfinite(low))
+                for c in range(0, len(i), PAIRS):
+                    p, q = i[c : c + PAIRS] + a.start, j[c : c + PAIRS] + b.start
+                    one.take(p, pair_distances(one.x[p], x[q]), ids[q])
+            met = np.isfinite(one.d)
+            lists = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(met.sum(axis=1)))).astype(np.int32), v[met]) for v in (one.d, one.other)]
+            out.append(pa.table({"g": np.full(len(one.ids), rows.column("g")[0].as_py(), np.int64), "a": one.ids, "k": np.full(len(one.ids), bit, np.int64), "d": lists[0], "other": lists[1]}))
+        return pa.concat_tables(out)
+
+    return run
+
+
 def nearest_each(rows: DataFrame, k: int, tile: int = 2048) -> DataFrame:
     """rows(g, id, v) -> (g, id, near): the `k` nearest other rows of the group (all, if fewer), as (d, id) by distance, then id. A pair of blocks keeps k a row, which are merged; a row alone in its group is left out."""
     return nearest_placed(cut(placed(rows, tile)), k, tile)

@@ -136,3 +136,28 @@ def test_separation_of_lone_points_and_pairs(spark):
     found = get(rows)
     assert found[2] == (pytest.approx(2**0.5), pytest.approx(2.0)) and found[3] == (pytest.approx(2.0), pytest.approx(10**0.5)) and 4 not in found
     assert get(rows[:1]) == {1: (None, None)} and get(rows[:2])[1] == (pytest.approx(2**0.5), None)
+
+
+@pytest.mark.parametrize("samples, tile", [(1, 32), (3, 4096), (5, 16)])
+def test_trees_of_subsamples_made_together_are_those_made_alone(spark, samples, tile):
+    """Several windows, copies and ties; small shares leave points with too few near ones, and a part without its first point."""
+    rng = np.random.default_rng(5)
+    parts = [_planted(260, 4), np.repeat(_planted(12, 8), 9, axis=0), rng.integers(0, 4, size=(90, 3)).astype(float), np.ones((1, 3)), np.concatenate((_planted(40, 1), _planted(40, 2) + 50))]
+    rows = None
+    for w, x in enumerate(parts):
+        one = _table(spark, x, w - 1)
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.unionByName(spark.createDataFrame([(0, 999, None), (None, 998, [1.0, 2.0, 3.0])], rows.schema))
+    shares = [0.15, 0.9, 1.0]
+    alone = sorted(map(tuple, density.spanning_tree(density.subsamples(rows, shares, 2, 3), samples, tile).collect()))
+    assert sorted(map(tuple, density.subsample_trees(rows, shares, 2, 3, samples, tile).collect())) == alone and len(alone) > 1000
+    assert density.subsample_trees(rows.limit(0), shares, 2).collect() == []
+
+
+def test_a_row_is_sent_once_for_all_its_subsamples(spark, monkeypatch):
+    """What is dealt to pairs of blocks has a row per point, however often it is drawn."""
+    rows, dealt = _table(spark, _planted(300, 3)), []
+    for place in (density, vectors):
+        monkeypatch.setattr(place, "in_tiles", lambda held, *a, f=vectors.in_tiles: (dealt.append(held.count()), f(held, *a))[1])
+    assert density.stability(rows, trials=5).collect()[0].trials == 5
+    assert dealt and max(dealt) <= 300
