@@ -264,7 +264,7 @@ _PLACES = "g long, id long, core double, block int, blocks int, pos long, a long
 
 def _first_tree(samples: int, tile: int):
     def run(links: pa.Table) -> pa.Table:
-        """A window's points in the order in which its first tree joins them. (a, b, w) is the edge that parts a point from the next; mid_a, mid_b and mid_w have the last of those in the blocks between a point's block and each other."""
+        """A window's points in the order in which its first tree joins them. (a, b, w) is the edge that parts a point from the next; mid_a, mid_b and mid_w, with the first point of a block only, have the last of those in the blocks between it and each other."""
         one, two, d, nth = (links.column(c).to_numpy() for c in ("a", "b", "d", "nth"))
         ids = np.unique(one)
         n, one, two = len(ids), np.searchsorted(ids, one), np.searchsorted(ids, two)
@@ -282,7 +282,8 @@ def _first_tree(samples: int, tile: int):
             for j in range(i + 2, blocks):
                 mid[i, j] = mid[j, i] = max(mid[i, j - 1], last[j - 1])
         mid = np.minimum(mid, len(w) - 1)
-        lists = lambda v, none: pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * blocks, np.where(mid < 0, none, v[mid])[block].ravel())
+        begin = np.concatenate(([0], np.cumsum(np.diff(block, prepend=-1) > 0) * blocks)).astype(np.int32)
+        lists = lambda v, none: pa.ListArray.from_arrays(begin, np.where(mid < 0, none, v[mid]).ravel())
         return pa.table({
             "g": np.full(n, links.column("g")[0].as_py(), np.int64), "id": ids[order], "core": core[order], "block": block.astype(np.int32), "blocks": np.full(n, blocks, np.int32), "pos": np.arange(n),
             "a": a[gap], "b": b[gap], "w": w[gap], "mid_a": lists(a, -1), "mid_b": lists(b, -1), "mid_w": lists(w, -1.0),

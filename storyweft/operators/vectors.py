@@ -80,8 +80,14 @@ def in_tiles(held: DataFrame, run, schema: str, more: list[str] = []) -> DataFra
     """run(left, right) over each unordered pair of a group's blocks, a block with itself included, placed(...) rows as tables (g, id, v, block, *more)."""
     columns = ["g", "id", "v", "block", *more]
     left = held.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).select(*columns, F.col("block").alias("i"), F.col("other").alias("j"))
-    right = held.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).select(*[F.col(c).alias("r_" + c) for c in columns], F.col("other").alias("r_i"), F.col("block").alias("r_j"))
-    return left.groupBy("g", "i", "j").cogroup(right.groupBy("r_g", "r_i", "r_j")).applyInArrow(lambda a, b: run(a, b.rename_columns(a.column_names)), schema)
+    # A block meets itself with the rows that are there as the first of its pairs.
+    right = held.where("block > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select(*[F.col(c).alias("r_" + c) for c in columns], F.col("other").alias("r_i"), F.col("block").alias("r_j"))
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        own = len(a) and a.column("i")[0].as_py() == a.column("j")[0].as_py()
+        return run(a, a if own else b.rename_columns(a.column_names))
+
+    return left.groupBy("g", "i", "j").cogroup(right.groupBy("r_g", "r_i", "r_j")).applyInArrow(pair, schema)
 
 
 def same_block(left: pa.Table, right: pa.Table) -> bool:

@@ -161,3 +161,15 @@ def test_a_row_is_sent_once_for_all_its_subsamples(spark, monkeypatch):
         monkeypatch.setattr(place, "in_tiles", lambda held, *a, f=vectors.in_tiles: (dealt.append(held.count()), f(held, *a))[1])
     assert density.stability(rows, trials=5).collect()[0].trials == 5
     assert dealt and max(dealt) <= 300
+
+
+def test_a_block_is_sent_once_for_its_own_pairs(spark):
+    """A row meets every block of its group, its own among them, in BLOCKS tasks, and is sent to each once. What only a block needs goes with one of its points."""
+    x = _planted(500, 2)
+    held = vectors.placed(_table(spark, x).select(F.col("window").alias("g"), "id", F.col("vector").alias("v")), 16)
+    sent = vectors.in_tiles(held, lambda a, b: pa.table({"n": [len(a) + (0 if a is b else len(b))], "own": [vectors.same_block(a, b)]}), "n long, own boolean").collect()
+    assert sum(r.n for r in sent) == 500 * vectors.BLOCKS and len(sent) == vectors.BLOCKS * (vectors.BLOCKS + 1) / 2 and sum(r.own for r in sent) == vectors.BLOCKS
+    one, two = np.arange(499), np.arange(1, 500)
+    links = pa.table({"g": np.zeros(998, np.int64), "a": np.concatenate((one, two)), "b": np.concatenate((two, one)), "d": np.ones(998), "nth": np.zeros(998, np.int64)})
+    first = density._first_tree(1, 16)(links)
+    assert sum(len(v) for v in first.column("mid_w").to_pylist()) == vectors.BLOCKS**2
