@@ -123,6 +123,49 @@ def test_substrings_of_repeated_and_null_ids(spark):
     assert got == Counter([(1, 130, 0, 0), (2, 320, 0, 0), (2, 60, 60, 1), (2, 60, 60, 1), (3, 280, 280, 1), (None, 60, 0, 0), (4, 0, 0, 0)])
 
 
+def test_substrings_where_most_rows_are_whole_copies(spark, tmp_path, monkeypatch):
+    rnd = random.Random(12)
+    x, y, z = ("".join(rnd.choice("abcdefgh é") for _ in range(k)) for k in (60, 320, 70))
+    one = [(2, x + z), (3, y), (3, y), (5, y[100:] + x), (6, "short"), (7, None), (8, y[:200])]
+    rows = [(i + 10 * k, t, "s") for k in range(5) for i, t in one] + [(3, z + "more", "s"), (3, x + z, "s"), (1, z, "s"), (None, y, "s")]
+    rnd.shuffle(rows)
+    emit, at = substring_dedup._emit_runs, str(tmp_path)
+
+    def told(width, n):
+        def run(batches):
+            import uuid
+
+            def each():
+                for b in batches:
+                    with open(f"{at}/{uuid.uuid4().hex}", "w") as f:
+                        f.write(str(len(b)))
+                    yield b
+
+            yield from emit(width, n)(each())
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_emit_runs", told)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, tuple((s.start, s.stop) for s in r.spans)) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    first = {}
+    for i, t, _ in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49) if i is not None else ():
+            first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    want = Counter()
+    for i, t, _ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49) if i is not None else ():
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        spans = tuple(m.span() for m in re.finditer(b"\1+", bytes(gone)))
+        want[i, len(b), sum(gone), len(spans), hashlib.sha256(bytes(v for v, g in zip(b, gone) if not g)).hexdigest(), spans] += 1
+    assert got == want
+    # Whole copies deal out nothing: what is left are the texts too short to be told apart and the first of the others.
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == len([t for i, t, _ in rows if i is not None and len((t or "").encode()) < 50]) + 7
+
+
 def test_suffix_array_and_intervals():
     rnd = random.Random(2)
     texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(6, 40))) for _ in range(12)] + [b"a" * 30, b"a" * 30]
